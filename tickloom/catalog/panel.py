@@ -46,7 +46,7 @@ SCORES = f"{PANEL}, scores AS (SELECT ts, symbol, mom_3m AS score, target FROM p
 IC = f"{SCORES}, {ic_sql('scores')}"
 SUMMARY = """count(ic) AS n_days, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std,
   round(avg(ic) / stddev_samp(ic), 6) AS stability, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS t_stat,
-  round(avg(CAST(ic > 0 AS DOUBLE)), 6) AS frac_positive"""
+  round(avg(CAST(ic > 1e-12 AS DOUBLE)), 6) AS frac_positive"""
 
 
 def panel(spark, d, h=H):

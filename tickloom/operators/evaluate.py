@@ -12,6 +12,8 @@ from tickloom.operators.series import RN, Blocks, calendar_chunk, ewm_lookback,
 from tickloom.settings import ewm_alpha
 
 VAR_EPS = 1e-12
+# A coefficient within rounding of zero is not positive.
+ZERO_IC = 1e-12
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -39,7 +41,7 @@ def ic_columns() -> dict[str, Column]:
         "std": sd,
         "stability": F.when(sd > 0, mean / sd).otherwise(F.lit(0.0)),
         "t_stat": F.when(sd > 0, mean / (sd / F.sqrt(n))).otherwise(F.lit(0.0)),
-        "frac_positive": F.coalesce(F.avg((ic > 0).cast("double")), F.lit(0.0)),
+        "frac_positive": F.coalesce(F.avg((ic > ZERO_IC).cast("double")), F.lit(0.0)),
     }
 
 

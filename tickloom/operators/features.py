@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from tickloom.operators.quality import drop_incomplete, drop_warmup
-from tickloom.operators.series import RN, Blocks, ewm_lookback
+from tickloom.operators.quality import drop_incomplete
+from tickloom.operators.series import RN, Blocks, ewm_lookback, index_series
 from tickloom.settings import TRADING_DAYS, FeatureSettings, ewm_alpha
 
 ANNUAL = math.sqrt(TRADING_DAYS)
@@ -48,12 +48,12 @@ def feature_layout(bars: DataFrame, cfg: FeatureSettings, *, chunk: Column | Non
 
 def log_returns(b: Blocks, horizons: tuple[int, ...]) -> dict[str, Column]:
     c = F.col("close")
-    return {f"ret_{h}d": F.ln(c / b.lag(c, h)) for h in horizons}
+    return {f"ret_{h}d": F.ln(F.try_divide(c, b.lag(c, h))) for h in horizons}
 
 
 def volatilities(b: Blocks, windows: tuple[int, ...], log_ret: Column) -> dict[str, Column]:
     """Close-to-close and Garman-Klass volatility, annualised."""
-    hl, co = F.ln(F.col("high") / F.col("low")), F.ln(F.col("close") / F.col("open"))
+    hl, co = F.ln(F.try_divide(F.col("high"), F.col("low"))), F.ln(F.try_divide(F.col("close"), F.col("open")))
     gk = 0.5 * hl * hl - (2.0 * math.log(2.0) - 1.0) * co * co
     out = {}
     for w in windows:
@@ -90,7 +90,7 @@ def bollinger(b: Blocks, window: int) -> Column:
 
 def ma_distances(b: Blocks, windows: tuple[int, ...]) -> dict[str, Column]:
     c = F.col("close")
-    return {f"dist_ma_{w}": c / b.mean(c, w) - 1.0 for w in windows}
+    return {f"dist_ma_{w}": F.try_divide(c, b.mean(c, w)) - 1.0 for w in windows}
 
 
 def volume_features(b: Blocks, zwin: int, window: int) -> dict[str, Column]:
@@ -146,34 +146,44 @@ def compute_features(bars: DataFrame, cfg: FeatureSettings | None = None) -> Dat
     Two exchanges: one to number the bars, one to lay the blocks out; every
     window then shares one (symbol, block) partitioning and order.
     """
-    cfg = cfg or FeatureSettings()
+    return _features(bars, cfg or FeatureSettings()).close()
+
+
+def _features(bars: DataFrame, cfg: FeatureSettings) -> Blocks:
+    keep = [c for c in bars.columns]
     b = feature_layout(bars, cfg)
     b = frac_diff(b, F.ln("close"), cfg.fracdiff_d, cfg.fracdiff_threshold, "ffd_log_close")
     fast, slow, signal = cfg.macd
     c = F.col("close")
     b = b.add(
-        **log_returns(b, cfg.return_horizons), **rsi_inputs(b), _lr=F.ln(c / b.lag(c, 1)), _tr=true_range(b),
+        **log_returns(b, cfg.return_horizons), **rsi_inputs(b), _lr=F.ln(F.try_divide(c, b.lag(c, 1))), _tr=true_range(b),
         _macd=macd_line(b, fast, slow),
     )
     b = b.add(
         **volatilities(b, cfg.vol_windows, F.col("_lr")),
         rsi=rsi(b, cfg.rsi_window),
-        macd=F.col("_macd") / c,
-        macd_hist=(F.col("_macd") - b.ewm(F.col("_macd"), ewm_alpha(span=signal))) / c,
+        macd=F.try_divide(F.col("_macd"), c),
+        macd_hist=F.try_divide(F.col("_macd") - b.ewm(F.col("_macd"), ewm_alpha(span=signal)), c),
         bb_position=bollinger(b, cfg.bollinger_window),
         **ma_distances(b, cfg.ma_windows),
         **volume_features(b, cfg.zscore_window, cfg.volume_window),
-        atr_pct=b.mean(F.col("_tr"), cfg.atr_window) / c,
+        atr_pct=F.try_divide(b.mean(F.col("_tr"), cfg.atr_window), c),
         ffd_z=b.zscore(F.col("ffd_log_close"), cfg.zscore_window),
         **{f"ret_{h}d_z": b.zscore(F.col(f"ret_{h}d"), cfg.zscore_window) for h in cfg.return_horizons},
     )
-    return b.close().drop("_gain", "_loss", "_lr", "_tr", "_macd")
+    layout = [RN, "_home", *b.part]
+    made = [f"ret_{h}d" for h in cfg.return_horizons] + ["ffd_log_close"]
+    cols = dict.fromkeys([*layout, *keep, *made, *cfg.columns()])
+    return b._with(b.frame.select(*cols))
 
 
 def build_dataset(bars: DataFrame, cfg: FeatureSettings | None = None) -> DataFrame:
-    """Complete feature rows after the warm-up."""
+    """Complete feature rows after the warm-up (short symbols keep all rows)."""
     cfg = cfg or FeatureSettings()
-    return drop_incomplete(drop_warmup(compute_features(bars, cfg), cfg.warmup), cfg.columns())
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    own = _features(index_series(bars, ["symbol"], ["ts"]).withColumn("_n", n), cfg).close(keep_rn=True)
+    warm = own.filter((F.col(RN) >= cfg.warmup) | (F.col("_n") <= cfg.warmup)).drop("_n", RN)
+    return drop_incomplete(warm, cfg.columns())
 
 
 def min_ffd_order(

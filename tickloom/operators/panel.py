@@ -41,7 +41,7 @@ def cross_zscore(c: Column, by: list[str], clip_sigma: float) -> Column:
 def forward_return(bench: DataFrame, horizon: int) -> DataFrame:
     """ts and the benchmark's return over the next ``horizon`` rows."""
     b = Blocks.lay(bench.select("ts", "close"), [], ["ts"], lookback=0, lookahead=horizon)
-    f = b.lead(F.col("close"), horizon) / F.col("close") - 1.0
+    f = F.try_divide(b.lead(F.col("close"), horizon), F.col("close")) - 1.0
     return b.add(bench_fwd=f).close().select("ts", "bench_fwd")
 
 
@@ -49,15 +49,15 @@ def momentum_frame(bars: DataFrame, horizons: list[int]) -> DataFrame:
     """Per-symbol part of the panel with one forward return per horizon."""
     b = Blocks.lay(bars.select("symbol", "ts", "close", "volume"), ["symbol"], ["ts"], lookback=M12 + 1, lookahead=max(horizons))
     c = F.col("close")
-    b = b.add(_ret=c / b.lag(c, 1) - 1.0, _dollar=c * F.col("volume"))
+    b = b.add(_ret=F.try_divide(c, b.lag(c, 1)) - 1.0, _dollar=c * F.col("volume"))
     b = b.add(
-        mom_1m=c / b.lag(c, M1) - 1.0,
-        mom_3m=c / b.lag(c, M3) - 1.0,
-        mom_12m=b.lag(c, M1) / b.lag(c, M12) - 1.0,
+        mom_1m=F.try_divide(c, b.lag(c, M1)) - 1.0,
+        mom_3m=F.try_divide(c, b.lag(c, M3)) - 1.0,
+        mom_12m=F.try_divide(b.lag(c, M1), b.lag(c, M12)) - 1.0,
         vol_20d=b.std(F.col("_ret"), 20),
         vol_60d=b.std(F.col("_ret"), 60),
         adv_20d=b.mean(F.col("_dollar"), 20),
-        **{f"_fwd_{h}": b.lead(c, h) / c - 1.0 for h in horizons},
+        **{f"_fwd_{h}": F.try_divide(b.lead(c, h), c) - 1.0 for h in horizons},
     )
     return b.close().drop("_ret", "_dollar", "volume")
 
@@ -81,11 +81,11 @@ def extended_panel(bars: DataFrame, bench: DataFrame, *, horizon: int = 20) -> D
     momentum, log dollar volume, each with its within-date z-score."""
     b = Blocks.lay(bars.select("symbol", "ts", "close", "volume"), ["symbol"], ["ts"], lookback=M12 + 1)
     c = F.col("close")
-    b = b.add(_ret=c / b.lag(c, 1) - 1.0, _dollar=c * F.col("volume"))
+    b = b.add(_ret=F.try_divide(c, b.lag(c, 1)) - 1.0, _dollar=c * F.col("volume"))
     b = b.add(
-        reversal_5d=-(c / b.lag(c, 5) - 1.0),
+        reversal_5d=-(F.try_divide(c, b.lag(c, 5)) - 1.0),
         high_52w=c / b.full(M12, F.max(c).over(b.rows(M12)), c),
-        mom_vol=F.try_divide(c / b.lag(c, M3) - 1.0, b.std(F.col("_ret"), 60)),
+        mom_vol=F.try_divide(F.try_divide(c, b.lag(c, M3)) - 1.0, b.std(F.col("_ret"), 60)),
         log_adv=F.ln(b.mean(F.col("_dollar"), 20)),
     )
     cols = ["reversal_5d", "high_52w", "mom_vol", "log_adv"]
@@ -99,7 +99,7 @@ def horizon_panel(bars: DataFrame, bench: DataFrame, horizons: list[int]) -> Dat
     p = momentum_frame(bars, horizons).dropna(subset=["mom_3m"])
     wide = None
     b = Blocks.lay(bench.select("ts", "close"), [], ["ts"], lookback=0, lookahead=max(horizons))
-    wide = b.add(**{f"_b{h}": b.lead(F.col("close"), h) / F.col("close") - 1.0 for h in horizons}).close().drop("close")
+    wide = b.add(**{f"_b{h}": F.try_divide(b.lead(F.col("close"), h), F.col("close")) - 1.0 for h in horizons}).close().drop("close")
     p = p.join(wide, "ts", "left")
     stack = F.array(*[F.struct(F.lit(h).alias("h"), (F.col(f"_fwd_{h}") - F.col(f"_b{h}")).alias("target")) for h in horizons])
     return p.select("ts", "symbol", F.col("mom_3m").alias("score"), F.inline(stack))

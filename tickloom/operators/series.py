@@ -28,6 +28,8 @@ RN = "_rn"
 NEGLIGIBLE = 41.0
 # Largest exponent a running sum of scaled terms may span.
 MAX_EXPONENT = 600.0
+# Wider windows are differences of running sums instead of sliding frames.
+SLIDING_MAX = 64
 
 
 # --------------------------------------------------------------- numbering
@@ -111,7 +113,12 @@ class Blocks:
         # A copy into a later block matters only where that block has own
         # rows; surplus copies sit in blocks of their own and are dropped.
         d = d.withColumn("_home", own).withColumn("_block", F.explode(F.sequence(first, last)))
-        return cls(d, list(keys), lookback, lookahead, block_rows, [*keys, "_block"])
+        part = [*keys, "_block"]
+        # The exchange every window of the layout needs, stated with a fixed
+        # number of partitions: window work grows with rows times width, so
+        # merging partitions because their bytes are few would serialise it.
+        n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cls(d.repartition(n_parts, *part), list(keys), lookback, lookahead, block_rows, part)
 
     @property
     def w(self) -> WindowSpec:
@@ -140,13 +147,40 @@ class Blocks:
         return F.lead(c, n).over(self.w)
 
     def mean(self, c: Column, n: int) -> Column:
-        return self.full(n, F.avg(c).over(self.rows(n)), c)
+        if n <= SLIDING_MAX:
+            return self.full(n, F.avg(c).over(self.rows(n)), c)
+        v = _clean(c)
+        return F.when(self._diff(F.count, v, n) == n, self._diff(F.sum, v, n) / n)
 
     def std(self, c: Column, n: int) -> Column:
-        return self.full(n, F.stddev_samp(c).over(self.rows(n)), c)
+        if n <= SLIDING_MAX:
+            return self.full(n, F.stddev_samp(c).over(self.rows(n)), c)
+        return F.sqrt(self._square_sum(_clean(c), n) / (n - 1))
 
     def std_pop(self, c: Column, n: int) -> Column:
-        return self.full(n, F.stddev_pop(c).over(self.rows(n)), c)
+        if n <= SLIDING_MAX:
+            return self.full(n, F.stddev_pop(c).over(self.rows(n)), c)
+        return F.sqrt(self._square_sum(_clean(c), n) / n)
+
+    def _diff(self, agg, c: Column, n: int) -> Column:
+        """Trailing sum or count as a difference of two running ones: constant
+        work per row, where a sliding frame would redo ``n`` rows each time."""
+        self._check(n - 1)
+        upto = agg(c).over(self.w.rowsBetween(Window.unboundedPreceding, 0))
+        gone = agg(c).over(self.w.rowsBetween(Window.unboundedPreceding, -n))
+        return upto - F.coalesce(gone, F.lit(0))
+
+    def _square_sum(self, c: Column, n: int) -> Column:
+        """Sum of squared deviations over the last ``n`` rows.
+
+        What is below the rounding of the running sum counts as zero, so a
+        constant window has no spread.
+        """
+        s1, s2 = self._diff(F.sum, c, n), self._diff(F.sum, c * c, n)
+        total = F.sum(c * c).over(self.w.rowsBetween(Window.unboundedPreceding, 0))
+        m2 = s2 - s1 * s1 / n
+        m2 = F.when(m2 > total * 1e-13, m2).otherwise(F.lit(0.0))
+        return F.when(self._diff(F.count, c, n) == n, m2)
 
     def zscore(self, c: Column, n: int) -> Column:
         """Trailing z-score, this row included in its own statistics."""
@@ -180,6 +214,11 @@ class Blocks:
         return own if keep_rn else own.drop(RN)
 
 
+def _clean(c: Column) -> Column:
+    """Non-finite values as NULL: they would stay in a running sum for good."""
+    return F.when(~(F.isnan(c) | (F.abs(c) == F.lit(float("inf")))), c)
+
+
 def ewm_lookback(alpha: float) -> int:
     """Rows after which an exponential weight is below double precision."""
     return math.ceil(NEGLIGIBLE / -math.log1p(-alpha))
