@@ -111,9 +111,8 @@ def frac_diff(b: Blocks, value: Column, d: float, threshold: float, out: str) ->
     """Fixed-width fractional difference of ``value`` inside the layout.
 
     A block (its rows and copies, a bounded number) is one array per row of
-    the aggregate; the dot products run as one convolution per block, and the
-    rows come back on the same (key, block) partitioning, so the windows that
-    follow need no further shuffle.
+    the aggregate, and the dot products run as one convolution per block: a
+    sliding list of 282 values per row would copy the series 282 times.
     """
     w = ffd_weights(d, threshold)
     b._check(len(w) - 1)
