@@ -240,11 +240,13 @@ def prefix_scan(
     """Running sums, maxima and last non-null values over each key's order.
 
     Each (key, chunk) is scanned by itself; a join on (key, chunk) adds what
-    the earlier chunks carry in.
+    the earlier chunks carry in.  A ``_chunk`` column already in the frame is
+    used and kept, so that scans in a row share one exchange.
     """
     sums, maxs, lasts = sums or {}, maxs or {}, lasts or {}
     ins = {f"_in_{n}": c for n, c in {**sums, **maxs, **lasts}.items()}
-    d = df.withColumn("_chunk", chunk).withColumns(ins)
+    keep = "_chunk" in df.columns
+    d = (df if keep else df.withColumn("_chunk", chunk)).withColumns(ins)
     tail = [F.sum(f"_in_{n}").alias(f"_c_{n}") for n in sums]
     tail += [F.max(f"_in_{n}").alias(f"_c_{n}") for n in maxs]
     key = F.struct(*order)
@@ -271,7 +273,7 @@ def prefix_scan(
     out |= {n: F.greatest(F.col(f"_l_{n}"), F.col(f"_b_{n}")) for n in maxs}
     out |= {n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_b_{n}")) for n in lasts}
     drop = [c for n in (*sums, *maxs, *lasts) for c in (f"_in_{n}", f"_l_{n}", f"_b_{n}")]
-    return d.withColumns(out).drop("_chunk", *drop)
+    return d.withColumns(out).drop(*drop, *([] if keep else ["_chunk"]))
 
 
 def linear_scan(
@@ -292,7 +294,8 @@ def linear_scan(
     by running sums; chunks hand on one (decay, value) pair.  ``before`` names
     an optional column for the value ahead of the row.
     """
-    d = df.withColumn("_chunk", chunk).withColumn("_a", decay).withColumn("_b", add)
+    keep = "_chunk" in df.columns
+    d = (df if keep else df.withColumn("_chunk", chunk)).withColumns({"_a": decay, "_b": add})
     part = [*keys, "_chunk"]
     d = _solve_chunk(d, part, order)
     # (A, B) of a chunk: value at its end is B + A * value carried in.
@@ -307,7 +310,7 @@ def linear_scan(
     if before:
         inner = _w(part).orderBy(*order)
         d = d.withColumn(before, F.coalesce(F.lag(out).over(inner), F.col("_carry")))
-    return d.drop("_chunk", "_y", "_reach", "_carry")
+    return d.drop("_y", "_reach", "_carry", *([] if keep else ["_chunk"]))
 
 
 def _solve_chunk(d: DataFrame, part: list[str], order: list[str]) -> DataFrame:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip
+from tickloom.operators.series import calendar_chunk
 from tickloom.settings import BookSettings, SizingSettings
 
 X = ["ts"]
+# Days of one call of the cap solver: at most this many universes of names.
+CAP_DAYS = 32
 
 
 def _x() -> Window:
@@ -104,8 +108,8 @@ def target_weights(scores: DataFrame, cfg: SizingSettings | None = None) -> Data
     """Signed target weights per ts from score, vol, net_tilt (optional).
 
     Without a per-name cap this is window sums over one date.  With a cap the
-    clamp-and-rescale passes run in pandas on one date's names, a group as
-    large as the universe.
+    clamp-and-rescale passes run as array arithmetic on a month of dates, a
+    group of at most 32 universes.
     """
     cfg = cfg or SizingSettings()
     if "net_tilt" not in scores.columns:
@@ -118,27 +122,42 @@ def target_weights(scores: DataFrame, cfg: SizingSettings | None = None) -> Data
     cols = ["ts", "symbol", "score", "vol", "gross", "net_target", "weight"]
     d = d.select(*cols)
     if cfg.max_position_weight is not None:
-        d = d.groupBy("ts").applyInPandas(_capped(cfg.max_position_weight, cfg.cap_passes), d.schema)
+        days = calendar_chunk("ts", CAP_DAYS).alias("_days")
+        d = d.groupBy(days).applyInPandas(_capped(cfg.max_position_weight, cfg.cap_passes), d.schema)
     return d
 
 
 def _capped(cap: float, passes: int):
-    """Clamp names to the cap and re-solve the sides until both hold."""
+    """Clamp names to the cap and re-solve the sides until both hold.
+
+    One call holds a few dates; every pass is array arithmetic over all of
+    them, with sums per date by code.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, gross, net = pdf["weight"], float(pdf["gross"].iloc[0]), float(pdf["net_target"].iloc[0])
+        _, first, code = np.unique(pdf["ts"].to_numpy(), return_index=True, return_inverse=True)
+        n = len(first)
+        gross, net = pdf["gross"].to_numpy()[first], pdf["net_target"].to_numpy()[first]
+        w = pdf["weight"].to_numpy(copy=True)
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.bincount(code, weights=x, minlength=n)
+
+        open_ = np.ones(n, dtype=bool)
         for _ in range(passes):
-            w = w.clip(-cap, cap)
-            g = w.abs().sum()
-            if g <= 0 or (abs(g - gross) < 1e-9 and abs(w.sum() - net) < 1e-9):
+            w = np.where(open_[code], np.clip(w, -cap, cap), w)
+            lng, sht = total(np.maximum(w, 0)), total(np.maximum(-w, 0))
+            g = lng + sht
+            open_ &= (g > 0) & ~((np.abs(g - gross) < 1e-9) & (np.abs(lng - sht - net) < 1e-9))
+            if not open_.any():
                 break
-            lng, sht = w.clip(lower=0).sum(), -w.clip(upper=0).sum()
-            if lng <= 0 or sht <= 0:
-                w = w / g * gross
-            else:
-                n = max(-gross, min(gross, net))
-                w = w.where(w < 0, w * (gross + n) / (2 * lng)).where(w > 0, w * (gross - n) / (2 * sht))
-        return pdf.assign(weight=w.clip(-cap, cap))
+            aim = np.clip(net, -gross, gross)
+            two = (lng > 0) & (sht > 0)
+            safe = np.where(g > 0, g, 1.0)
+            up = np.where(two, (gross + aim) / (2 * np.where(lng > 0, lng, 1.0)), gross / safe)
+            down = np.where(two, (gross - aim) / (2 * np.where(sht > 0, sht, 1.0)), gross / safe)
+            w = np.where(open_[code], w * np.where(w > 0, up[code], down[code]), w)
+        return pdf.assign(weight=np.clip(w, -cap, cap))
 
     return run
 
