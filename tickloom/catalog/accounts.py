@@ -111,7 +111,7 @@ MARKS = f"""{LASTP}, {BARS}, {CASH}, mk AS (SELECT account, symbol, CAST(unnest(
 
 def marked(spark, d):
     r = running(spark, d)
-    return P.marked_positions(r, T.daily_bars(spark, d), P.month_marks(r, "2002-01-01"))
+    return P.marked_positions(r, T.daily_bars(spark, d), P.month_marks(T.fills(spark, d), "2002-01-01"))
 
 
 def snaps(spark, d):
@@ -184,14 +184,14 @@ def _(spark, d):
 
 @query(
     "lifecycle_columns", "W39",
-    f"""WITH RECURSIVE {MARKS}, e AS (SELECT f.account, f.symbol, CASE WHEN q <> 0 THEN entry END AS entry FROM fin f JOIN ent USING (account, symbol, life))
+    f"""WITH RECURSIVE {MARKS}, le AS (SELECT account, symbol, ts, arg_max(life, rn) AS life FROM run GROUP BY 1, 2, 3), en AS (SELECT le.account, le.symbol, le.ts, entry FROM le JOIN ent USING (account, symbol, life)),
+    m2 AS (SELECT mp.*, CASE WHEN q <> 0 THEN en.entry END AS entry FROM mp ASOF JOIN en ON mp.account = en.account AND mp.symbol = en.symbol AND mp.mark_ts >= en.ts)
     SELECT mp.account, mp.symbol, {day('mp.mark_ts')} AS mark_ts, round(q * px / (cash + net), 6) AS weight, round(CASE WHEN q = 0 THEN 0 ELSE q * (px - avg) END / (cash + net), 6) AS unrealized_share,
-      round(least(greatest(coalesce(mp.mark_ts - entry, 0), 0) / 21.0, 5.0), 6) AS held_scaled FROM mp JOIN snap s ON s.account = mp.account AND s.mark_ts = mp.mark_ts LEFT JOIN e ON e.account = mp.account AND e.symbol = mp.symbol WHERE mp.mark_ts >= DATE '2001-06-01'""",
+      round(least(greatest(coalesce(mp.mark_ts - entry, 0), 0) / 21.0, 5.0), 6) AS held_scaled FROM m2 mp JOIN snap s ON s.account = mp.account AND s.mark_ts = mp.mark_ts WHERE mp.mark_ts >= DATE '2001-06-01'""",
 )
 def _(spark, d):
-    m = marked(spark, d)
-    ent = P.final_positions(running(spark, d)).select("account", "symbol", "entry_ts")
-    x = P.lifecycle_features(m, snaps(spark, d), ent)
+    cash = P.cash_ledger(T.fills(spark, d), ORDER, capital=1e6)
+    x = P.lifecycle_features(marked(spark, d), cash, capital=1e6)
     return tidy(x.filter("mark_ts >= '2001-06-01'"))
 
 

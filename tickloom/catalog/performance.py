@@ -184,7 +184,7 @@ _SIG = f"""{BARS}, sg AS (SELECT symbol, ts, close / lag(close) OVER w - 1 AS re
     close / avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 62 PRECEDING) - 1 AS d63, row_number() OVER w AS rn FROM bars {W}),
   px AS (SELECT ts, avg(ret) AS ret, avg(d21) AS d21, avg(d63) AS d63 FROM sg WHERE rn >= 63 GROUP BY ts),
   pos AS (SELECT 'buy_and_hold' AS strategy, ts, ret / 10 AS ret, 1.0 AS position FROM px UNION ALL SELECT 'flat', ts, ret / 10, 0.0 FROM px
-    UNION ALL SELECT 'ma_cross', ts, ret / 10, CASE WHEN d21 > d63 THEN 1.0 ELSE -1.0 END FROM px),
+    UNION ALL SELECT 'ma_cross', ts, ret / 10, CASE WHEN d21 > d63 THEN 1.0 ELSE 0.0 END FROM px),
   net AS (SELECT *, coalesce(lag(position) OVER w, 0) * coalesce(ret, 0) - 0.00015 * abs(position - coalesce(lag(position) OVER w, 0)) AS net FROM pos WINDOW w AS (PARTITION BY strategy ORDER BY ts)),
   sim AS (SELECT *, 100000 * exp(sum(ln(greatest(1 + net, 1e-8))) OVER (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS equity FROM net)"""
 
@@ -194,15 +194,15 @@ def simulated(spark, d):
     c = F.col("close")
     x = b.add(ret=c / b.lag(c, 1) - 1, **X.ma_distances(b, (21, 63))).close().dropna(subset=["dist_ma_63"])
     px = x.groupBy("ts").agg((F.avg("ret") / 10).alias("ret"), F.avg("dist_ma_21").alias("dist_ma_21"), F.avg("dist_ma_63").alias("dist_ma_63"))
-    return R.evaluate_signals(D.baseline_positions(px), cost=0.00015)
+    return R.evaluate_signals(D.baseline_positions(px, allow_short=False), cost=0.00015)
 
 
 @query(
     "baseline_signal_equity", "C13 C14",
-    f"WITH {_SIG} SELECT strategy, {day('ts')} AS ts, round(position, 6) AS position, round(net, 6) AS net, round(ln(equity), 6) AS log_equity FROM sim",
+    f"WITH {_SIG} SELECT strategy, {day('ts')} AS ts, round(position, 6) AS position, round(net, 6) AS net, round(ln(greatest(equity, 1e-300)), 6) AS log_equity FROM sim",
 )
 def _(spark, d):
-    s = simulated(spark, d).withColumn("log_equity", F.ln("equity"))
+    s = simulated(spark, d).withColumn("log_equity", F.ln(F.greatest("equity", F.lit(1e-300))))
     return tidy(s.select("strategy", "ts", "position", "net", "log_equity"))
 
 

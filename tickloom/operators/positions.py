@@ -7,11 +7,11 @@ recurrence, and realised profit a running sum of per-fill amounts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import costs as K
-from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, linear_scan, prefix_scan
+from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, prefix_scan, solve_chunk
 from tickloom.settings import QTY_EPS, CostSettings
 
 KEYS = ["account", "symbol"]
@@ -29,8 +29,13 @@ def running_positions(
     """Position state after every fill: average-cost accounting with flips.
 
     Adds seq_no, quantity before and after, average price before and after,
-    realised profit of the fill and its running sum, running costs and the
-    lifecycle number (a lifecycle starts at the first fill from flat).
+    realised profit of the fill and its running sum, running costs, the
+    lifecycle number (a lifecycle starts at the first fill from flat) and its
+    entry time.
+
+    Two carries between chunks: quantities first, as sums over the raw fills;
+    then average cost and realised profit together, since a chunk's profit is
+    linear in the average cost it starts with.
     """
     q = F.col("quantity") if fractional else F.rint("quantity")
     d = fills.withColumn("quantity", q).filter(F.abs("quantity") >= QTY_EPS)
@@ -46,15 +51,44 @@ def running_positions(
     flip = ~opening & (F.abs(dq) > F.abs(qb) + QTY_EPS)
     decay = F.when(opening, F.abs(qb) / F.abs(qa)).when((qa == 0) | flip, F.lit(0.0)).otherwise(F.lit(1.0))
     add = F.when(opening, px * F.abs(dq) / F.abs(qa)).when((qa != 0) & flip, px).otherwise(F.lit(0.0))
-    d = linear_scan(d, KEYS, order, F.col("_chunk"), decay=decay, add=add, out="avg_price", before="avg_before")
-    d = d.withColumn("avg_price", F.when(qa == 0, F.lit(0.0)).otherwise(F.col("avg_price")))
-    closed = F.least(F.abs(dq), F.abs(qb))
-    gain = F.when(opening, F.lit(0.0)).otherwise(closed * (px - F.col("avg_before")) * F.signum(qb))
-    d = d.withColumn("realized", gain)
-    d = prefix_scan(
-        d, KEYS, order, F.col("_chunk"), sums={"realized_pnl": F.col("realized"), "lifecycle": (qb == 0).cast("long")}
+    part = [*KEYS, "_chunk"]
+    d = solve_chunk(d.withColumns({"_a": decay, "_b": add}), part, order)
+    inner = Window.partitionBy(*part).orderBy(*order)
+    run = inner.rowsBetween(Window.unboundedPreceding, 0)
+    # Average before the fill is _y0 + _r0 * (average carried into the chunk).
+    d = d.withColumns({"_y0": F.coalesce(F.lag("_y").over(inner), F.lit(0.0)), "_r0": F.coalesce(F.lag("_reach").over(inner), F.lit(1.0))})
+    closed = F.when(opening, F.lit(0.0)).otherwise(F.least(F.abs(dq), F.abs(qb)) * F.signum(qb))
+    d = d.withColumns({"_k": closed, "_own": closed * (px - F.col("_y0")), "_dep": closed * F.col("_r0"), "_open": (qb == 0).cast("long")})
+    d = d.withColumns(
+        {
+            "_sum_own": F.sum("_own").over(run), "_sum_dep": F.sum("_dep").over(run), "_sum_open": F.sum("_open").over(run),
+            "_entry": F.last(F.when(qb == 0, F.col("ts")), ignorenulls=True).over(run),
+        }
+    )
+    end = F.struct(F.col("_reach").alias("_a"), F.col("_y").alias("_b"), "_sum_own", "_sum_dep", "_sum_open", "_entry")
+    tail = d.groupBy(*part).agg(F.max_by(end, "seq_no").alias("_e")).select(*part, "_e.*")
+    tail = solve_chunk(tail, KEYS, ["_chunk"])
+    by_chunk = Window.partitionBy(*KEYS).orderBy("_chunk")
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    tail = tail.withColumn("_avg_in", F.coalesce(F.lag("_y").over(by_chunk), F.lit(0.0)))
+    tail = tail.withColumn("_gain", F.col("_sum_own") - F.col("_sum_dep") * F.col("_avg_in"))
+    carry = tail.select(
+        *part, "_avg_in",
+        F.coalesce(F.sum("_gain").over(before), F.lit(0.0)).alias("_gain_in"),
+        F.coalesce(F.sum("_sum_open").over(before), F.lit(0)).alias("_open_in"),
+        F.last("_entry", ignorenulls=True).over(before).alias("_entry_in"),
+    )
+    d = d.join(carry, part)
+    avg_in = F.col("_avg_in")
+    return d.select(
+        *fills.columns, "seq_no", "qty_before", "qty_after", "total_costs",
+        F.when(qa == 0, F.lit(0.0)).otherwise(F.col("_y") + F.col("_reach") * avg_in).alias("avg_price"),
+        (F.col("_y0") + F.col("_r0") * avg_in).alias("avg_before"),
+        (F.col("_own") - F.col("_dep") * avg_in).alias("realized"),
+        (F.col("_gain_in") + F.col("_sum_own") - F.col("_sum_dep") * avg_in).alias("realized_pnl"),
+        (F.col("_open_in") + F.col("_sum_open")).alias("lifecycle"),
+        F.coalesce("_entry", "_entry_in").alias("entry_ts"),
     )
-    return d.drop("_chunk")
 
 
 def _snap(q: Column) -> Column:
@@ -64,16 +98,13 @@ def _snap(q: Column) -> Column:
 
 def final_positions(running: DataFrame) -> DataFrame:
     """Last state per (account, symbol) with the open lifecycle's entry time."""
-    state = F.struct("qty_after", "avg_price", "realized_pnl", "total_costs", "lifecycle", "ts", "price")
+    state = F.struct("qty_after", "avg_price", "realized_pnl", "total_costs", "entry_ts")
     last = running.groupBy(*KEYS).agg(F.max_by(state, "seq_no").alias("_s"))
-    entry = running.groupBy(*KEYS, "lifecycle").agg(F.min("ts").alias("_entry"))
-    d = last.select(*KEYS, "_s", F.col("_s.lifecycle").alias("lifecycle")).join(entry, [*KEYS, "lifecycle"], "left")
     q = F.col("_s.qty_after")
     side = F.when(q > 0, "long").when(q < 0, "short").otherwise("flat")
-    return d.select(
+    return last.select(
         *KEYS, q.alias("quantity"), F.col("_s.avg_price").alias("avg_price"), F.col("_s.realized_pnl").alias("realized_pnl"),
-        F.col("_s.total_costs").alias("total_costs"), side.alias("side"),
-        F.when(q != 0, F.col("_entry")).alias("entry_ts"),
+        F.col("_s.total_costs").alias("total_costs"), side.alias("side"), F.when(q != 0, F.col("_s.entry_ts")).alias("entry_ts"),
     )
 
 
@@ -97,9 +128,9 @@ def cash_ledger(fills: DataFrame, order: list[str], *, capital: float, chunk_day
     return d.withColumn("cash", capital + F.col("_flow")).drop("_flow")
 
 
-def month_marks(running: DataFrame, last: str) -> DataFrame:
+def month_marks(fills: DataFrame, last: str) -> DataFrame:
     """(account, symbol, mark_ts): month starts from the first fill on."""
-    first = running.groupBy(*KEYS).agg(F.min("ts").alias("_first"))
+    first = fills.groupBy(*KEYS).agg(F.min("ts").alias("_first"))
     grid = F.sequence(F.add_months(F.trunc("_first", "month"), 1), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH"))
     return first.select(*KEYS, F.explode(grid).alias("mark_ts"))
 
@@ -108,9 +139,9 @@ def marked_positions(running: DataFrame, bars: DataFrame, marks: DataFrame) -> D
     """State and last close of every held name at each mark; the price falls
     back to the average cost before the first close."""
     state = running.select(
-        *KEYS, F.col("ts").alias("_fts"), "seq_no", F.col("qty_after").alias("quantity"), "avg_price", "realized_pnl", "total_costs"
+        *KEYS, F.col("ts").alias("_fts"), "seq_no", F.col("qty_after").alias("quantity"), "avg_price", "realized_pnl", "total_costs", "entry_ts"
     )
-    vals = ["seq_no", "quantity", "avg_price", "realized_pnl", "total_costs"]
+    vals = ["seq_no", "quantity", "avg_price", "realized_pnl", "total_costs", "entry_ts"]
     d = asof_backward(marks, state, keys=KEYS, left_ts="mark_ts", right_ts="_fts", values=vals)
     # Prices are per (symbol, mark): find each once, then join.
     px = asof_backward(
@@ -168,14 +199,22 @@ def live_view(report: DataFrame, cash: DataFrame, base: DataFrame, *, capital: f
     )
 
 
-def lifecycle_features(marked: DataFrame, equity: DataFrame, entries: DataFrame) -> DataFrame:
-    """Current weight, unrealised share of equity and holding time per mark."""
-    d = marked.join(equity.select("account", "mark_ts", "equity"), ["account", "mark_ts"]).join(entries, KEYS, "left")
-    held = F.greatest(F.datediff("mark_ts", "entry_ts"), F.lit(0))
+def lifecycle_features(marked: DataFrame, cash: DataFrame, *, capital: float) -> DataFrame:
+    """Weight, unrealised share of equity and holding time per name and mark.
+
+    A window over (account, mark) holds one row per symbol of the account.
+    """
+    c = cash.select("account", F.col("ts").alias("_cts"), "seq_no", "cash")
+    at = marked.select("account", "mark_ts").distinct()
+    at = asof_backward(at, c, keys=["account"], left_ts="mark_ts", right_ts="_cts", values=["seq_no", "cash"])
+    d = marked.join(at.select("account", "mark_ts", "cash"), ["account", "mark_ts"])
+    book = Window.partitionBy("account", "mark_ts")
+    d = d.withColumn("_eq", F.coalesce("cash", F.lit(capital)) + F.sum("value").over(book))
+    held = F.when(F.col("quantity") != 0, F.datediff("mark_ts", "entry_ts"))
     return d.select(
-        *KEYS, "mark_ts", F.try_divide("value", "equity").alias("weight"),
-        F.try_divide("unrealized_pnl", "equity").alias("unrealized_share"),
-        F.least(held / 21.0, F.lit(5.0)).alias("held_scaled"),
+        *KEYS, "mark_ts", F.try_divide("value", "_eq").alias("weight"),
+        F.try_divide("unrealized_pnl", "_eq").alias("unrealized_share"),
+        F.least(F.coalesce(held, F.lit(0)) / 21.0, F.lit(5.0)).alias("held_scaled"),
     )
 
 

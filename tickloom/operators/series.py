@@ -297,15 +297,15 @@ def linear_scan(
     keep = "_chunk" in df.columns
     d = (df if keep else df.withColumn("_chunk", chunk)).withColumns({"_a": decay, "_b": add})
     part = [*keys, "_chunk"]
-    d = _solve_chunk(d, part, order)
+    d = solve_chunk(d, part, order)
     # (A, B) of a chunk: value at its end is B + A * value carried in.
     tail = d.groupBy(*part).agg(
         F.max_by("_reach", F.struct(*order)).alias("_a"), F.max_by("_y", F.struct(*order)).alias("_b")
     )
-    tail = _solve_chunk(tail, keys, ["_chunk"])
+    tail = solve_chunk(tail, keys, ["_chunk"])
     prev = _w(keys).orderBy("_chunk")
     carry = tail.select(*part, F.coalesce(F.lag("_y").over(prev), F.lit(0.0)).alias("_carry"))
-    d = d.drop("_a", "_b", "_group", "_log", "_seg").join(carry, part)
+    d = d.join(carry, part)
     d = d.withColumn(out, F.col("_y") + F.col("_reach") * F.col("_carry"))
     if before:
         inner = _w(part).orderBy(*order)
@@ -313,7 +313,7 @@ def linear_scan(
     return d.drop("_y", "_reach", "_carry", *([] if keep else ["_chunk"]))
 
 
-def _solve_chunk(d: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+def solve_chunk(d: DataFrame, part: list[str], order: list[str]) -> DataFrame:
     """Solve the recurrence from zero inside ``part``: ``_y`` and ``_reach``.
 
     ``_reach`` is the product of decays since the start (0 after a reset).
@@ -335,7 +335,7 @@ def _solve_chunk(d: DataFrame, part: list[str], order: list[str]) -> DataFrame:
     handed = F.col("_end._ys") * F.exp(F.col("_end._log") - F.col("_log"))
     d = d.withColumn("_y", F.col("_ys") + F.coalesce(handed, F.lit(0.0)))
     reach = F.when(F.col("_group") > 0, F.lit(0.0)).otherwise(F.exp(-F.col("_log")))
-    return d.withColumn("_reach", reach).drop("_ys", "_end")
+    return d.withColumn("_reach", reach).drop("_ys", "_end", "_a", "_b", "_group", "_log", "_seg")
 
 
 # -------------------------------------------------------------------- as-of
