@@ -177,7 +177,8 @@ def _(spark, d):
     return tidy(m.select("uid", "url", F.to_date("ts").alias("day"), F.array_join("symbols", ",").alias("symbols")))
 
 
-SIGNAL = f"""{DEDUPED}, use0 AS (SELECT *, TIMESTAMP '{AS_OF}' AS as_of, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0 AS age FROM dd WHERE ts < TIMESTAMP '{AS_OF}'),
+# Copies published at or after the instant must not lend it their symbols.
+SIGNAL = f"""{DEDUPED.replace("FROM articles GROUP", f"FROM articles WHERE ts < TIMESTAMP '{AS_OF}' GROUP")}, use0 AS (SELECT *, TIMESTAMP '{AS_OF}' AS as_of, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0 AS age FROM dd WHERE ts < TIMESTAMP '{AS_OF}'),
   us AS (SELECT * FROM use0 WHERE age <= 14), {polarity_sql('us')},
   ev AS (SELECT *, pow(0.5, greatest(age, 0) / 2.0) * least(matched, 6) / 6.0 AS w FROM pol WHERE matched > 0),
   sy AS (SELECT symbol, sum(w * polarity) / sum(w) AS raw, sum(w) AS weight, count(*) AS n, arg_max(title, row(round(w * abs(polarity), 9), uid)) AS top FROM (SELECT w, polarity, title, uid, unnest(symbols) AS symbol FROM ev) GROUP BY symbol HAVING sum(w) > 0),

@@ -208,7 +208,10 @@ def read_signal_json(text: DataFrame) -> DataFrame:
     """Rows from JSON texts; ``relative`` falls back to ``score`` and an
     unreadable text gives no row."""
     t = "symbol STRING, score DOUBLE, relative DOUBLE, raw_score DOUBLE, articles BIGINT, weight DOUBLE, top_headline STRING"
-    d = text.select(F.from_json("json", t).alias("_j")).select("_j.*").filter("symbol IS NOT NULL AND score IS NOT NULL")
+    # inline keeps the parse behind a generator: filtering parsed fields
+    # directly makes the optimizer copy the parse into every inferred filter.
+    good = F.filter(F.array(F.from_json("json", t)), lambda x: x["symbol"].isNotNull() & x["score"].isNotNull())
+    d = text.select(F.inline(good))
     return d.withColumns(
         {
             "relative": F.coalesce("relative", "score"), "raw_score": F.coalesce("raw_score", "score"),
