@@ -71,20 +71,29 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(text, "\u2019", "'")), F.lit(TOKEN), F.lit(0))
 
 
+def pin(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """Add a column behind a one-element generator.
+
+    The optimizer copies plain column definitions into later filters and
+    lambdas, which would tokenise a text once per token; it does not look
+    through a generator.
+    """
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
 def with_polarity(df: DataFrame, text: str, lex: Lexicon, prefix: str) -> DataFrame:
     """Add ``{prefix}_pos``, ``_neg`` and ``_matched`` of a text column.
 
     The whole text is tokenised once.  A set intersection finds which lexicon
     words occur at all, so only their positions are looked up, and no token
-    rows are exploded or shuffled.  Each intermediate column is used twice,
-    which keeps the optimizer from folding it into a lambda.
+    rows are exploded or shuffled.
     """
     t, h, i = (f"_{prefix}_{x}" for x in ("tok", "hit", "idx"))
-    d = df.withColumn(t, tokens(F.coalesce(F.col(text), F.lit(""))))
-    d = d.withColumn(h, F.array_intersect(F.col(t), lex.words()))
+    d = pin(df, t, tokens(F.coalesce(F.col(text), F.lit(""))))
+    d = pin(d, h, F.array_intersect(F.col(t), lex.words()))
     none = F.array().cast("array<int>")
     at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda k: F.array_contains(F.col(h), F.get(F.col(t), k)))
-    d = d.withColumn(i, F.when(F.size(h) > 0, at).otherwise(none))
+    d = pin(d, i, F.when(F.size(h) > 0, at).otherwise(none))
     neg = literal_array(list(lex.negators))
 
     def signed(k: Column) -> Column:
@@ -94,7 +103,7 @@ def with_polarity(df: DataFrame, text: str, lex: Lexicon, prefix: str) -> DataFr
         return F.when(flipped, -w).otherwise(w)
 
     s = f"_{prefix}_sw"
-    d = d.withColumn(s, F.transform(i, signed))
+    d = pin(d, s, F.transform(i, signed))
 
     def total(keep) -> Column:
         return F.aggregate(F.col(s), F.lit(0.0), lambda acc, x: acc + F.when(keep(x), F.abs(x)).otherwise(F.lit(0.0)))
@@ -207,8 +216,9 @@ def label_articles(df: DataFrame, book: NameBook | None = None, universe: list[s
     """Verify given symbols and add the mentioned ones of the universe."""
     book = book or NameBook()
     text = F.concat(F.col("title"), F.lit(". "), F.coalesce(F.col("summary"), F.lit("")))
-    d = df.withColumn("_text", F.trim(text))
     t = F.col("_text")
-    d = d.withColumns({"_match": match_symbols(t, book, universe), "_named": names_found(t, {**book.names, **book.qualified})})
+    d = pin(df, "_text", F.trim(text))
+    d = pin(d, "_match", match_symbols(t, book, universe))
+    d = pin(d, "_named", names_found(t, {**book.names, **book.qualified}))
     kept = F.when(F.size("symbols") > 0, confirmed(F.col("symbols"), t, F.col("_named"), book)).otherwise(F.array().cast("array<string>"))
     return d.withColumn("symbols", F.array_sort(F.array_union(kept, F.col("_match")))).drop("_text", "_match", "_named")
