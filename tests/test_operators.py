@@ -97,7 +97,9 @@ def test_caps_hold_last(spark):
 
 def test_vol_target_is_hit(spark):
     cfg = SizingSettings()
-    v = sizing.book_vol(sizing.target_weights(scores(spark).withColumn("net_tilt", F.lit(0.0)), cfg), cfg).first()["predicted_vol"]
+    # Equal volatilities: gross is solved before the sides are scaled.
+    even = scores(spark).withColumns({"net_tilt": F.lit(0.0), "vol": F.lit(0.01)})
+    v = sizing.book_vol(sizing.target_weights(even, cfg), cfg).first()["predicted_vol"]
     assert v * cfg.bars_per_year**0.5 == pytest.approx(0.35, rel=1e-9)
 
 
