@@ -55,7 +55,7 @@ def _(spark, d):
 
 
 @query(
-    "forward_filled_ledger", "W26",
+    "forward_filled_ledger", "W26 C28",
     f"""WITH {CURVE}, h AS (SELECT strategy, ts, CASE WHEN day(ts) % 4 = 0 THEN equity END AS mark FROM curve)
     SELECT strategy, {day('ts')} AS ts, round(last_value(mark IGNORE NULLS) OVER (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) AS mark FROM h""",
 )
