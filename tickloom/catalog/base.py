@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,23 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[Runner],
     def add(run: Runner) -> Runner:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, tuple(covers.split()), run, sql and nudge(sql))
+        REGISTRY[name] = Query(name, tuple(covers.split()), _in_utc(run), sql and nudge(sql))
         return run
 
     return add
 
 
+def _in_utc(run: Runner) -> Runner:
+    """Naive stamps are UTC in the tables, so the session must say so too."""
+
+    @wraps(run)
+    def go(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return run(spark, folder)
+
+    return go
+
+
 # Added before rounding on both sides: engines differ on exact halves, which
 # prices divided by a power of two do hit.
 NUDGE = 1e-9
