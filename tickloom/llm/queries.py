@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe
+from tickloom.llm import bpe, rules
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,12 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every document; repeated rows are repeated in the result."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.digests(docs, vocabulary()).drop("text")
+
+
+@query("op9_rules", rules.oracle_sql())
+def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements, failure bits and the verdict of the newest policy for every document."""
+    out = rules.judged(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits",
+    )
