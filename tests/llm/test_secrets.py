@@ -1,0 +1,103 @@
+"""Secret scan: base patterns against a plain form, structures built by hand."""
+
+import base64
+import hashlib
+import json
+import re
+
+import pytest
+
+from tickloom.llm import secrets as S
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([128 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+def integer(n=64, first=17):
+    return der(2, bytes([first]) + hashlib.shake_128(bytes([n])).digest(n - 1))
+
+
+RSA = der(0x30, der(2, b"\0"), *[integer(64 + i) for i in range(8)])
+PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, b"k" * 32)))
+EC = der(0x30, der(2, b"\1"), der(4, b"s" * 32), der(0xA0, der(6, b"\x2a\x86")))
+PUBLIC = der(0x30, der(0x30, der(6, b"\x2a\x86\x48")), der(3, b"\0" + b"p" * 64))
+
+
+def ssh():
+    s = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4, "big") + s(b"pub" * 9) + s(b"private" * 9)
+
+
+def jwt(alg="HS256", signature=b"s" * 32):
+    enc = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    return ".".join([enc(json.dumps({"alg": alg}).encode()), enc(b'{"sub":1}'), enc(signature)])
+
+
+def kinds(text):
+    return [s[2] for s in S.scan(text)[1]]
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, EC, ssh()])
+def test_keys_confirm_in_every_spelling(data):
+    b64 = base64.b64encode(data).decode()
+    for text in (f"k {b64} .", f"k={base64.urlsafe_b64encode(data).decode()}", f"x {data.hex()} y", f"é {data.hex().upper()}"):
+        assert kinds(text) == ["key"], text
+    lines = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+    pem = f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----"
+    assert S.scan("a " + pem)[1] == [(2, 2 + len(pem), "key")]
+
+
+def test_broken_structures_do_not_confirm():
+    for data in (PUBLIC, RSA[:-1], RSA + b"\0", PKCS8[:6] + bytes([PKCS8[6] + 1]) + PKCS8[7:], ssh() + b"x", b"z" * 90):
+        assert kinds(f"k {base64.b64encode(data).decode()} {data.hex()}") == []
+
+
+def test_tokens():
+    good = jwt()
+    assert S.scan(f"t {good} u")[1] == [(2, 2 + len(good), "jwt")]
+    assert kinds(jwt("none", b"")) == ["jwt"]
+    assert kinds(jwt(signature=b"short")) == []
+    assert kinds("a" * 24 + "." + "b" * 24 + "." + "c" * 43) == []
+
+
+def plain(text):
+    """The base patterns as the contract has them."""
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        out += [(m.start(), 0, m.end(), "assign")] if len(m[2]) >= 6 else []
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+CASES = [
+    "", "password=abc", "PassWord : 'abcdef'", "ſecret=abcdefg toKen=abcdefg", "api_key=APIKEY=123456", "tokens=abcdefg token==abcdefgh",
+    "é" * 50 + " AKIA" + "A" * 16 + "AKIAB", "AKIA" + "a" * 30, "f" * 23, "f" * 24 + "g" + "0" * 40, "token=" + "0" * 40, "secret=" + "x" * 100_000, "日本 secret\" = \"abc.def-\"",
+]
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_base_spans_are_the_plain_ones(text):
+    assert S.scan(text)[0] == plain(text)
+
+
+def test_redaction_merges_overlaps():
+    text = "a token=" + "0" * 40 + " b"
+    base, added = S.scan(text)
+    assert len(base) == 2 and S.redact(text, base + added) == "a [SECRET] b"
+
+
+def test_frames(spark):
+    rows = [(1, "password=abcdefgh", "x"), (1, "password=abcdefgh", "x"), (2, None, None), (3, "", "y"), (None, "ok", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, clean string")
+    got = S.scanned(df.select("doc_id", "text")).orderBy("doc_id").collect()
+    assert [r.spans for r in got] == ["", "assign:0:17", "assign:0:17", "", ""]
+    assert got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    red = S.redacted(df)
+    assert red.columns == df.columns and sorted(r.text or "" for r in red.collect()) == ["", "", "[SECRET]", "[SECRET]", "ok"]
+    assert red.filter("text IS NULL").count() == 1
+    assert S.scanned(df.filter("false").select("doc_id", "text")).count() == 0

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, rules
+from tickloom.llm import bpe, rules, secrets
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits",
     )
+
+
+@query("op5_secrets")
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.scanned(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
