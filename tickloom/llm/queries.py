@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, rules, secrets
+from tickloom.llm import bpe, langid, rules, secrets
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,16 @@ def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.scanned(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op2_langid")
+def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those whose id's checksum is not 2 modulo 4.
+
+    A null id belongs to neither part: it isn't learned from and isn't held out.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.train(docs, learn=fold != 2, order=F.col("doc_id"))
+    out = langid.identified(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
