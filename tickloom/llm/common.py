@@ -86,26 +86,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, root), root the least node.
 
     Alternates large-star and small-star steps until nothing changes; each
-    step's edges are written to the shared folder.  Every step is a grouped
+    round's edges are written to the shared folder.  Every step is a grouped
     minimum (combined before the shuffle) joined back to the edges, so a node
     with very many edges is split by the skew join, never gathered in a task.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    e = written(e, "edges")
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    state = _content(e)
     for _ in range(rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if not state[0]:
+            break
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u points to u's least neighbour.
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: the smaller neighbours of u, and u, point to the least of them.
+        # Small star: u and its smaller neighbours point to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = written(small.distinct(), "edges")
-        # A forest of stars is what both steps leave as it is.
-        if new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty():
+        to = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        e = written(large.join(least, "u").select(to.alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        was, state = state, _content(e)
+        if was == state:
             break
-        e = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    pairs = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return pairs.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _content(e: DataFrame) -> tuple:
+    """What a set of distinct edges holds, as a count and two hash sums."""
+    return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, langid, rules, secrets
+from tickloom.llm import bpe, langid, rules, secrets, simhash
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ def op2_langid(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.train(docs, learn=fold != 2, order=F.col("doc_id"))
     out = langid.identified(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document: three-word shingles, two bits."""
+    g = simhash.grouped(table(spark, folder, "documents"), words=3, radius=2)
+    return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
