@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, langid, rules, secrets, simhash
+from tickloom.llm import bpe, langid, mixing, rules, secrets, simhash
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, two bits."""
     g = simhash.grouped(table(spark, folder, "documents"), words=3, radius=2)
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_mixing", mixing.oracle_sql())
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Block window, slot and place in the mixture of every document."""
+    return mixing.scheduled(table(spark, folder, "documents").select("doc_id", "source"))
