@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, langid, mixing, rules, secrets, simhash
+from tickloom.llm import bpe, hosts, langid, mixing, rules, secrets, simhash
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,11 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Block window, slot and place in the mixture of every document."""
     return mixing.scheduled(table(spark, folder, "documents").select("doc_id", "source"))
+
+
+@query("op6_hosts", hosts.oracle_sql())
+def op6_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict for every page; a page's outcome is the label with its number: bad if toxic or of low quality."""
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.coalesce(bad, F.lit(0)).alias("bad"))
+    return hosts.judged(table(spark, folder, "pages").select("page_id", "url"), labels).drop("url")
