@@ -57,8 +57,9 @@ def plain(counts, b):
     s1, s2, s3 = strength(s, lambda k: mu), strength(d, lambda k: s[suf(k)][1] / s[suf(k)][0]), strength(counts, lambda k: d[dom(k)][1] / d[dom(k)][0])
     out = {}
     for k, (n, x) in counts.items():
-        ms = (s[suf(k)][1] + mu * s1) / (s[suf(k)][0] + s1)
-        md = (d[dom(k)][1] + ms * s2) / (d[dom(k)][0] + s2)
+        (dn, dx), (sn, sx) = d[dom(k)], s[suf(k)]
+        ms = (sx - dx + mu * s1) / (sn - dn + s1)
+        md = (dx - x + ms * s2) / (dn - n + s2)
         p, q = x + md * s3, n - x + (1 - md) * s3
         out[k] = p / (p + q) - b.z * math.sqrt(p * q / ((p + q) ** 2 * (p + q + 1)))
     return out

@@ -117,8 +117,9 @@ def reputation(outcomes: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     s1 = spread(suffix, "sn", "sx", F.lit(overall))
     s2 = spread(domain, "dn", "dx", F.col("sx") / F.col("sn"))
     s3 = spread(host, "n", "x", F.col("dx") / F.col("dn"))
-    of_suffix = (F.col("sx") + overall * s1) / (F.col("sn") + s1)
-    of_domain = (F.col("dx") + of_suffix * s2) / (F.col("dn") + s2)
+    # A prior leaves out the counts it is the prior of.
+    of_suffix = (F.col("sx") - F.col("dx") + overall * s1) / (F.col("sn") - F.col("dn") + s1)
+    of_domain = (F.col("dx") - F.col("x") + of_suffix * s2) / (F.col("dn") - F.col("n") + s2)
     a, b = F.col("x") + of_domain * s3, F.col("n") - F.col("x") + (1 - of_domain) * s3
     mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
     return host.select("name", "n", "x", mean.alias("mean"), (mean - bounds.z * F.sqrt(var)).alias("bound"))
@@ -175,7 +176,7 @@ def oracle_sql(bounds: Bounds = Bounds()) -> str:
     o AS (SELECT (coalesce(sum(sx), 0) + 1) / (coalesce(sum(sn), 0) + 2) AS mu FROM s),
     ds AS (SELECT d.*, sn, sx FROM d JOIN s USING (suffix)), hs AS (SELECT h.*, dn, dx, sn, sx FROM h JOIN ds USING (domain, suffix)), so AS (SELECT s.*, mu FROM s, o),
     k AS (SELECT (SELECT mu FROM o) AS mu, {spread('so', 'sn', 'sx', 'mu')} AS s1, {spread('ds', 'dn', 'dx', '(sx / sn)')} AS s2, {spread('hs', 'n', 'x', '(dx / dn)')} AS s3),
-    m AS (SELECT name, n, x, (dx + (sx + mu * s1) / (sn + s1) * s2) / (dn + s2) AS md, s3 FROM hs, k),
+    m AS (SELECT name, n, x, (dx - x + (sx - dx + mu * s1) / (sn - dn + s1) * s2) / (dn - n + s2) AS md, s3 FROM hs, k),
     ab AS (SELECT name, x + md * s3 AS a, n - x + (1 - md) * s3 AS b FROM m),
     r AS (SELECT name, a / (a + b) - {bounds.z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab)
     SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict FROM n JOIN r USING (name)"""
