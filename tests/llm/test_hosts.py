@@ -50,11 +50,13 @@ def plain(counts, b):
         over = of = 0
         for k, (n, x) in groups.items():
             if n:
-                m = parent(k)
-                over += (x - n * m) ** 2 / n - m * (1 - m)
-                of += m * (1 - m) * (n - 1)
-        return 1 / min(b.most, max(b.least, over / of if of > 0 else b.least)) - 1
-    s1, s2, s3 = strength(s, lambda k: mu), strength(d, lambda k: s[suf(k)][1] / s[suf(k)][0]), strength(counts, lambda k: d[dom(k)][1] / d[dom(k)][0])
+                total, bad = parent(k)
+                m = bad / total
+                over += (x - n * m) ** 2 / n - m * (1 - m) * (1 - n / total)
+                of += m * (1 - m) * (1 - n / total) * (n - 1)
+        return 1 / min(b.most, max(b.least, over / of if of > 0 else b.unknown)) - 1
+    top = (n, x)
+    s1, s2, s3 = strength(s, lambda k: top), strength(d, lambda k: s[suf(k)]), strength(counts, lambda k: d[dom(k)])
     out = {}
     for k, (n, x) in counts.items():
         (dn, dx), (sn, sx) = d[dom(k)], s[suf(k)]

@@ -48,6 +48,7 @@ class Bounds:
     z: float = 1.645
     least: float = 0.001  # the fitted correlation of a level's groups is kept in these
     most: float = 0.5
+    unknown: float = 0.1  # stands in where no two groups of a level share a parent
 
 
 def host_of(url: Column) -> Column:
@@ -103,20 +104,24 @@ def reputation(outcomes: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     total = suffix.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("n"), F.coalesce(F.sum("sx"), F.lit(0)).alias("x")).first()
     overall = (total["x"] + 1) / (total["n"] + 2)
 
-    def spread(groups: DataFrame, n: str, x: str, mu: Column) -> float:
-        """Prior strength of a level: its groups' spread around their parents, beyond chance."""
-        v = mu * (1 - mu)
-        over = F.sum((F.col(x) - F.col(n) * mu) ** 2 / F.col(n) - v)
-        of = F.sum(v * (F.col(n) - 1))
+    def spread(groups: DataFrame, n: str, x: str, of_n: Column, of_x: Column) -> float:
+        """Prior strength of a level: its groups' spread around their parents, beyond chance.
+
+        With weights n, the expected sum of squares around the parent's rate is
+        v (1 - n/N) (1 + rho (n - 1)) over the groups; a parent with one group tells nothing.
+        """
+        mu = of_x / of_n
+        share = mu * (1 - mu) * (1 - F.col(n) / of_n)
+        over, of = F.sum((F.col(x) - F.col(n) * mu) ** 2 / F.col(n) - share), F.sum(share * (F.col(n) - 1))
         r = groups.filter(F.col(n) > 0).agg(F.when(of > 0, over / of).alias("rho")).first()["rho"]
-        rho = min(bounds.most, max(bounds.least, r if r is not None else bounds.least))
+        rho = min(bounds.most, max(bounds.least, bounds.unknown if r is None else r))
         return 1 / rho - 1
 
     domain = domain.join(suffix, "suffix")
     host = host.join(domain, ["domain", "suffix"])
-    s1 = spread(suffix, "sn", "sx", F.lit(overall))
-    s2 = spread(domain, "dn", "dx", F.col("sx") / F.col("sn"))
-    s3 = spread(host, "n", "x", F.col("dx") / F.col("dn"))
+    s1 = spread(suffix, "sn", "sx", F.lit(float(total["n"])), F.lit(float(total["x"])))
+    s2 = spread(domain, "dn", "dx", F.col("sn"), F.col("sx"))
+    s3 = spread(host, "n", "x", F.col("dn"), F.col("dx"))
     # A prior leaves out the counts it is the prior of.
     of_suffix = (F.col("sx") - F.col("dx") + overall * s1) / (F.col("sn") - F.col("dn") + s1)
     of_domain = (F.col("dx") - F.col("x") + of_suffix * s2) / (F.col("dn") - F.col("n") + s2)
@@ -161,9 +166,11 @@ def oracle_sql(bounds: Bounds = Bounds()) -> str:
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, rules)) + " WHEN bound > {limit} THEN 'block' ELSE 'allow' END".format(limit=bounds.limit)
     last = lambda k: f"array_to_string(string_split(name, '.')[-{k}:], '.')"
 
-    def spread(t: str, n: str, x: str, mu: str) -> str:
-        return f"""(SELECT 1 / greatest({bounds.least}, least({bounds.most}, coalesce(CASE WHEN sum({mu} * (1 - {mu}) * ({n} - 1)) > 0
-          THEN sum(({x} - {n} * {mu}) * ({x} - {n} * {mu}) / {n} - {mu} * (1 - {mu})) / sum({mu} * (1 - {mu}) * ({n} - 1)) END, {bounds.least}))) - 1 FROM {t} WHERE {n} > 0)"""
+    def spread(t: str, n: str, x: str, of_n: str, of_x: str) -> str:
+        mu = f"({of_x} / {of_n})"
+        share = f"{mu} * (1 - {mu}) * (1 - {n} / {of_n})"
+        return f"""(SELECT 1 / greatest({bounds.least}, least({bounds.most}, coalesce(CASE WHEN sum({share} * ({n} - 1)) > 0
+          THEN sum(({x} - {n} * {mu}) * ({x} - {n} * {mu}) / {n} - {share}) / sum({share} * ({n} - 1)) END, {bounds.unknown}))) - 1 FROM {t} WHERE {n} > 0)"""
 
     return f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{UPPER}', '{LOWER}') AS host,
       coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
@@ -173,9 +180,9 @@ def oracle_sql(bounds: Bounds = Bounds()) -> str:
       CASE WHEN {last(2)} IN ({sfx}) THEN {last(2)} ELSE {last(1)} END AS suffix FROM n LEFT JOIN l ON doc_id = page_id GROUP BY name),
     d AS (SELECT domain, suffix, sum(n) AS dn, sum(x) AS dx FROM h GROUP BY ALL),
     s AS (SELECT suffix, sum(dn) AS sn, sum(dx) AS sx FROM d GROUP BY suffix),
-    o AS (SELECT (coalesce(sum(sx), 0) + 1) / (coalesce(sum(sn), 0) + 2) AS mu FROM s),
-    ds AS (SELECT d.*, sn, sx FROM d JOIN s USING (suffix)), hs AS (SELECT h.*, dn, dx, sn, sx FROM h JOIN ds USING (domain, suffix)), so AS (SELECT s.*, mu FROM s, o),
-    k AS (SELECT (SELECT mu FROM o) AS mu, {spread('so', 'sn', 'sx', 'mu')} AS s1, {spread('ds', 'dn', 'dx', '(sx / sn)')} AS s2, {spread('hs', 'n', 'x', '(dx / dn)')} AS s3),
+    o AS (SELECT (coalesce(sum(sx), 0) + 1) / (coalesce(sum(sn), 0) + 2) AS mu, sum(sn) AS tn, sum(sx) AS tx FROM s),
+    ds AS (SELECT d.*, sn, sx FROM d JOIN s USING (suffix)), hs AS (SELECT h.*, dn, dx, sn, sx FROM h JOIN ds USING (domain, suffix)), so AS (SELECT s.*, tn, tx FROM s, o),
+    k AS (SELECT (SELECT mu FROM o) AS mu, {spread('so', 'sn', 'sx', 'tn', 'tx')} AS s1, {spread('ds', 'dn', 'dx', 'sn', 'sx')} AS s2, {spread('hs', 'n', 'x', 'dn', 'dx')} AS s3),
     m AS (SELECT name, n, x, (dx - x + (sx - dx + mu * s1) / (sn - dn + s1) * s2) / (dn - n + s2) AS md, s3 FROM hs, k),
     ab AS (SELECT name, x + md * s3 AS a, n - x + (1 - md) * s3 AS b FROM m),
     r AS (SELECT name, a / (a + b) - {bounds.z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab)
