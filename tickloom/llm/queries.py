@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, hosts, langid, mixing, rules, secrets, simhash
+from tickloom.llm import archive, bpe, hosts, langid, mixing, rules, secrets, simhash
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,12 @@ def op6_hosts(spark: SparkSession, folder: str) -> DataFrame:
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.coalesce(bad, F.lit(0)).alias("bad"))
     return hosts.judged(table(spark, folder, "pages").select("page_id", "url"), labels).drop("url")
+
+
+@query("op10_archive", archive.ORACLE_SQL)
+def op10_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Archive all pages, then read the archive back and check it."""
+    made = archive.write(table(spark, folder, "pages"))
+    return archive.read(spark, made).select(
+        F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to",
+    )
