@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import archive, bpe, hosts, langid, mixing, rules, secrets, simhash
+from tickloom.llm import archive, bpe, hosts, langid, media, mixing, rules, secrets, simhash
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op10_archive(spark: SparkSession, folder: str) -> DataFrame:
     return archive.read(spark, made).select(
         F.col("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to",
     )
+
+
+@query("op1_webp")
+def op1_webp(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text stored as lossless WebP and read back."""
+    return media.round_trip(table(spark, folder, "documents"))
