@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import archive, bpe, hosts, langid, media, mixing, rules, secrets, simhash
+from tickloom.llm import archive, bpe, hosts, langid, media, mixing, quotes, rules, secrets, simhash
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,13 @@ def op10_archive(spark: SparkSession, folder: str) -> DataFrame:
 def op1_webp(spark: SparkSession, folder: str) -> DataFrame:
     """Every text stored as lossless WebP and read back."""
     return media.round_trip(table(spark, folder, "documents"))
+
+
+@query("op4_quotes")
+def op4_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Reply trees of all conversations, stored as mail that quotes two messages back.
+
+    The conversations of the test tables hold no quotes, so each message is
+    first given those a mail program would add; the operator sees only texts.
+    """
+    return quotes.linked(quotes.as_mail(table(spark, folder, "conversations")))
