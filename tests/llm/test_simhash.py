@@ -57,26 +57,27 @@ def test_links_equal_all_pairs(spark, monkeypatch, radius):
                 x ^= 1 << int(b)
             v.append(x)
     v = sorted(set(v))
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in v], "fp long")
+    second = {x: int(rng.integers(0, 4)) for x in v}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, second[x]) for x in v], "fp long, second long")
     stats = H.bit_stats(df)
     assert stats.n == len(v)
     plans = [H.plan(stats, radius), H.plan(stats, radius, 1 if radius < 3 else 3)]
     for p in plans:
         assert sum(t + 1 for t in p.thresholds) == radius + 1 and sorted(b for g in p.parts for b in g) == list(range(64))
-    for rows_at_once in (20_000, 3):
+    for rows_at_once, verify in ((20_000, 64), (3, 64), (20_000, 1)):
         monkeypatch.setattr(H, "BUCKET_ROWS", rows_at_once)
-        got = H.components(H.links(df, radius, plans[0])).collect()
+        got = H.components(H.links(df, radius, plans[0], verify)).collect()
         root = {x: x for x in v}
-        root |= {r.node & ((1 << 64) - 1): r.root & ((1 << 64) - 1) for r in got}
-        want = plain_components(v, radius)
+        root |= {int(r.node[:16], 16): int(r.root[:16], 16) for r in got}
+        want = plain_components(v, radius, second, verify)
         assert {frozenset(x for x in v if root[x] == r) for r in root.values()} == want
 
 
-def plain_components(v, radius):
+def plain_components(v, radius, second, verify):
     group = {x: {x} for x in v}
     for i, a in enumerate(v):
         for b in v[:i]:
-            if (a ^ b).bit_count() <= radius and group[a] is not group[b]:
+            if (a ^ b).bit_count() <= radius and (second[a] ^ second[b]).bit_count() <= verify and group[a] is not group[b]:
                 both = group[a] | group[b]
                 for x in both:
                     group[x] = both

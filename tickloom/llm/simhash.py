@@ -13,6 +13,9 @@ A partition with threshold t emits a signature for each way to leave out t of
 its bits, so fingerprints within t of each other meet in a bucket.  Buckets are
 compared in tasks, block by block, and leave a forest of their links instead of
 all pairs.
+
+For a large radius a second fingerprint with another hash seed can verify what
+the search finds: unrelated texts among very many then don't link by chance.
 """
 
 from __future__ import annotations
@@ -60,12 +63,12 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprinted(df: DataFrame, text: str = "text", out: str = "fp", words: int = 3) -> DataFrame:
+def fingerprinted(df: DataFrame, text: str = "text", out: str = "fp", words: int = 3, seed: int = 42) -> DataFrame:
     """Append the fingerprint as a long (the unsigned bits); null text is empty."""
 
     def make():
         def fn(column: pa.Array):
-            v = np.array([fingerprint(t, words) for t in texts_of(column)], np.uint64)
+            v = np.array([fingerprint(t, words, seed) for t in texts_of(column)], np.uint64)
             return [pa.array(v.view(np.int64))]
 
         return fn
@@ -197,8 +200,8 @@ def plan(s: BitStats, radius: int, most_parts: int = 10) -> Plan:
 # ------------------------------------------------------------------- links
 
 
-def forest(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of sorted rows within their buckets, as (row's fingerprint, its root's).
+def forest(bucket: np.ndarray, fps: np.ndarray, second: np.ndarray, radius: int, verify: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sorted rows within their buckets, as (row, its root).
 
     Row i meets row i + 1, i + 2, ... of its bucket, all buckets at once; what is
     linked already isn't linked again, so there are fewer links than rows.
@@ -209,6 +212,7 @@ def forest(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
     label, at, d = np.arange(n), np.flatnonzero(end > np.arange(n)), 1
     while len(at):
         near = at[np.bitwise_count(fps[at] ^ fps[at + d]) <= radius]
+        near = near[np.bitwise_count(second[near] ^ second[near + d]) <= verify]
         while len(near):
             a, b = label[near], label[near + d]
             open_ = a != b
@@ -220,30 +224,31 @@ def forest(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray
                 label = label[label]
         d += 1
         at = at[end[at] >= at + d]
-    linked = np.flatnonzero(fps[label] != fps)
-    return fps[linked], fps[label[linked]]
+    linked = np.flatnonzero((fps[label] != fps) | (second[label] != second))
+    return linked, label[linked]
 
 
-def links(fps: DataFrame, radius: int, p: Plan, fp: str = "fp") -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs within ``radius``.
+def links(fps: DataFrame, radius: int, p: Plan, verify: int = BITS) -> DataFrame:
+    """Edges (a, b) between nodes (fp, second), whose components are those of all pairs
+    within ``radius`` bits by fp and ``verify`` bits by second.
 
-    ``fps`` holds distinct fingerprints and is read more than once.
+    ``fps`` (fp, second) holds distinct rows and is read more than once.
     """
     masks = p.masks()
     if not masks:
         raise ValueError("no partition is probed")
     kept = F.array(*[F.lit(m) for m in masks])
-    rows = fps.select(F.col(fp).alias("fp"), F.posexplode(kept).alias("j", "mask")).select("fp", "j", F.col("fp").bitwiseAND(F.col("mask")).alias("v"))
-    rows = _split(fps, rows, p, fp)
+    rows = fps.select("fp", "second", F.posexplode(kept).alias("j", "mask")).select("fp", "second", "j", F.col("fp").bitwiseAND(F.col("mask")).alias("v"))
+    rows = _split(fps, rows, p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def out(x: np.ndarray):
-            _, number = np.unique(x[:, :-1], axis=0, return_inverse=True)
-            a, b = forest(number.ravel(), x[:, -1].copy().view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            number = np.cumsum(np.append(False, (x[1:, :3] != x[:-1, :3]).any(axis=1)))
+            ends = forest(number, x[:, 3].copy().view(np.uint64), x[:, 4].copy().view(np.uint64), radius, verify)
+            return pa.RecordBatch.from_arrays([pa.array(x[i, c]) for i in ends for c in (3, 4)], ["a", "a2", "b", "b2"])
 
         for batch in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
@@ -255,7 +260,7 @@ def links(fps: DataFrame, radius: int, p: Plan, fp: str = "fp") -> DataFrame:
                 continue
             x = np.concatenate(held)
             # The last bucket may go on in the next batch.
-            starts = np.flatnonzero((x[1:, :-1] != x[:-1, :-1]).any(axis=1)) + 1
+            starts = np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1
             cut = int(starts[-1]) if len(starts) else 0
             if cut:
                 yield out(x[:cut])
@@ -265,10 +270,16 @@ def links(fps: DataFrame, radius: int, p: Plan, fp: str = "fp") -> DataFrame:
 
     keys = ["j", "v", "c"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "fp")
-    return dealt.select(*keys, "fp").mapInArrow(run, "a long, b long")
+    found = dealt.select(*keys, "fp", "second").mapInArrow(run, "a long, a2 long, b long, b2 long")
+    return found.select(node(F.col("a"), F.col("a2")).alias("a"), node(F.col("b"), F.col("b2")).alias("b"))
+
+
+def node(fp: Column, second: Column) -> Column:
+    """The name of a pair of fingerprints."""
+    return F.concat(F.lpad(F.hex(fp), 16, "0"), F.lpad(F.hex(second), 16, "0"))
 
 
-def _split(fps: DataFrame, rows: DataFrame, p: Plan, fp: str) -> DataFrame:
+def _split(fps: DataFrame, rows: DataFrame, p: Plan) -> DataFrame:
     """Add the cell ``c`` of each row: 0, but in buckets over BUCKET_ROWS one cell
     for each pair of blocks, a row going to all cells of its block.
 
@@ -278,50 +289,52 @@ def _split(fps: DataFrame, rows: DataFrame, p: Plan, fp: str) -> DataFrame:
     """
     used = [(sum(1 << b for b in bits), t) for bits, t in zip(p.parts, p.thresholds) if t >= 0]
     whole = F.array(*[F.struct(F.lit(m - (1 << 64) if m >> 63 else m).alias("m"), F.lit(1 << t).alias("k")) for m, t in used])
-    value = fps.select(F.col(fp).alias("fp"), F.posexplode(whole).alias("i", "s")).groupBy("i", "s.k", F.col("fp").bitwiseAND(F.col("s.m")).alias("v"))
+    value = fps.select("fp", F.posexplode(whole).alias("i", "s")).groupBy("i", "s.k", F.col("fp").bitwiseAND(F.col("s.m")).alias("v"))
     top = value.agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.col("n") * F.col("k"))).first()[0] or 0
     if top <= BUCKET_ROWS:
         return rows.withColumn("c", F.lit(0).cast("long"))
     hot = rows.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET_ROWS)
     hot = hot.select("j", "v", F.ceil(F.col("n") / BUCKET_ROWS).cast("long").alias("k"))
-    own = F.pmod(F.xxhash64("fp"), F.col("k"))
+    own = F.pmod(F.xxhash64("fp", "second"), F.col("k"))
 
     def cell(x: Column) -> Column:
         return F.least(x, own) * F.col("k") + F.greatest(x, own)
 
     cells = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), cell))
-    return rows.join(hot, ["j", "v"], "left").select("fp", "j", "v", F.explode(cells).alias("c"))
+    return rows.join(hot, ["j", "v"], "left").select("fp", "second", "j", "v", F.explode(cells).alias("c"))
 
 
 # ------------------------------------------------------------------- groups
 
 
-def grouped(df: DataFrame, id_: str = "doc_id", text: str = "text", *, words: int = 3, radius: int = 2) -> DataFrame:
+def grouped(df: DataFrame, id_: str = "doc_id", text: str = "text", *, words: int = 3, radius: int = 2, verify: int | None = None) -> DataFrame:
     """(id, fp, component_id) for every row: the least id reachable over links of ``radius`` bits.
 
-    Repeated rows and ids give repeated rows.  Null text is empty; texts without
-    words share the fingerprint 0, which links like any other.  Null ids don't
-    name a component; where a component has no other, its id is null.
+    With ``verify``, a link also needs at most so many differing bits of a second
+    fingerprint.  Repeated rows and ids give repeated rows.  Null text is empty;
+    texts without words share the fingerprint 0, which links like any other.
+    Null ids don't name a component; where a component has no other, its id is null.
     """
-    seen = written(fingerprinted(df.select(F.col(id_).alias("id"), F.col(text).alias("text")), words=words).drop("text"), "fp")
-    low = seen.groupBy("fp").agg(F.min("id").alias("low"))
-    low = written(low, "low")
+    seen = fingerprinted(df.select(F.col(id_).alias("id"), F.col(text).alias("text")), words=words)
+    seen = seen.withColumn("second", F.lit(0).cast("long")) if verify is None else fingerprinted(seen, out="second", words=words, seed=43)
+    seen = written(seen.drop("text"), "fp")
+    low = written(seen.groupBy("fp", "second").agg(F.min("id").alias("low")), "low")
     s = bit_stats(low)
     if s.n > 1:
-        parts = components(links(low, radius, plan(s, radius)).distinct())
-        member = parts.join(low, parts["node"] == low["fp"]).select("fp", "root", "low")
+        parts = components(links(low, radius, plan(s, radius), BITS if verify is None else verify).distinct())
+        member = low.withColumn("node", node(F.col("fp"), F.col("second"))).join(parts, "node")
         least = member.groupBy("root").agg(F.min("low").alias("least"))
-        named = member.join(least, "root").select("fp", "least")
-        low = low.join(named, "fp", "left").select("fp", F.coalesce("least", "low").alias("low"))
-    return seen.join(low, "fp").select(F.col("id").alias(id_), "fp", F.col("low").alias("component_id"))
+        named = member.join(least, "root").select("fp", "second", "least")
+        low = low.join(named, ["fp", "second"], "left").select("fp", "second", F.coalesce("least", "low").alias("low"))
+    return seen.join(low, ["fp", "second"]).select(F.col("id").alias(id_), "fp", F.col("low").alias("component_id"))
 
 
-def deduplicated(df: DataFrame, id_: str = "doc_id", text: str = "text", *, words: int = 3, radius: int = 2) -> DataFrame:
+def deduplicated(df: DataFrame, id_: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``df`` with one row of each group, that of the least id; of rows with one id, one stays.
 
-    Rows without an id stay, as nothing can name them.
+    Rows without an id stay, as nothing can name them.  ``how`` goes to ``grouped``.
     """
-    g = written(grouped(df, id_, text, words=words, radius=radius), "groups")
+    g = written(grouped(df, id_, text, **how), "groups")
     gone = g.filter(F.col(id_) != F.col("component_id")).select(id_).distinct()
     again = g.filter(F.col(id_).isNotNull()).groupBy(id_).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_)
     kept = df.join(gone, id_, "left_anti").select(*df.columns)
