@@ -45,6 +45,32 @@ def test_block_windows_equal_pandas(spark, rows, n):
     np.testing.assert_allclose(got["nxt"].to_numpy(float), g.shift(-2).to_numpy(), rtol=1e-12)
 
 
+@pytest.mark.parametrize("level,sd", [(1.0, 1.0), (1e3, 1e-3), (1e5, 0.01), (1e6, 0.05), (1e9, 0.5)])
+def test_windows_keep_their_spread_at_any_level(spark, level, sd):
+    rng = np.random.default_rng(3)
+    x = level + sd * rng.standard_normal(700)
+    x[150], x[250], x[350] = np.nan, np.inf, 1e3 * level
+    pdf = pd.DataFrame({"k": "a", "ts": [DAY0 + dt.timedelta(days=i) for i in range(700)], "i": range(700), "x": x})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.col("i") != 50, F.col("x")))
+    b = Blocks.lay(df, ["k"], ["ts"], lookback=310, block_rows=200)
+    widths = (63, 64, 65, 130, 252, 300)
+    b = b.add(**{f"{n}{w}": f(F.col("x"), w) for w in widths for n, f in (("m", b.mean), ("s", b.std), ("p", b.std_pop), ("z", b.zscore))})
+    got = collected(b.close(), "ts")
+    clean = pd.Series(np.where(np.isfinite(x) & (np.arange(700) != 50), x, np.nan))
+    for w in widths:
+        frames = np.lib.stride_tricks.sliding_window_view(clean.to_numpy(), w)
+        pad = np.full(w - 1, np.nan)
+        mean = np.append(pad, frames.mean(1))
+        dev = (frames - frames.mean(1, keepdims=True)) ** 2
+        std, pop = np.append(pad, np.sqrt(dev.sum(1) / (w - 1))), np.append(pad, np.sqrt(dev.mean(1)))
+        np.testing.assert_allclose(got[f"m{w}"].to_numpy(float), mean, rtol=1e-12)
+        np.testing.assert_allclose(got[f"s{w}"].to_numpy(float), std, rtol=1e-5)
+        np.testing.assert_allclose(got[f"p{w}"].to_numpy(float), pop, rtol=1e-5)
+        z = np.where(np.isnan(std), np.nan, (x - mean) / (std + 1e-12))
+        np.testing.assert_allclose(got[f"z{w}"].to_numpy(float), z, rtol=1e-4, atol=1e-4)
+        assert np.isfinite(std).any()
+
+
 def test_constant_window_has_no_spread(spark):
     pdf = pd.DataFrame({"k": "a", "ts": [DAY0 + dt.timedelta(days=i) for i in range(300)], "x": [float(i) for i in range(100)] + [7.3] * 200})
     b = Blocks.lay(spark.createDataFrame(pdf), ["k"], ["ts"], lookback=100)

@@ -28,8 +28,6 @@ RN = "_rn"
 NEGLIGIBLE = 41.0
 # Largest exponent a running sum of scaled terms may span.
 MAX_EXPONENT = 600.0
-# Wider windows are differences of running sums instead of sliding frames.
-SLIDING_MAX = 64
 
 
 # --------------------------------------------------------------- numbering
@@ -147,40 +145,23 @@ class Blocks:
         return F.lead(c, n).over(self.w)
 
     def mean(self, c: Column, n: int) -> Column:
-        if n <= SLIDING_MAX:
-            return self.full(n, F.avg(c).over(self.rows(n)), c)
+        """Mean of the last ``n`` values.
+
+        One rule for every width, here and in the spreads: a value that is NULL,
+        NaN or infinite is missing, and a window with a missing value is NULL.
+        The frame is summed afresh for each row, so a window far from zero keeps
+        its spread and a value that has left it leaves no trace.
+        """
         v = _clean(c)
-        return F.when(self._diff(F.count, v, n) == n, self._diff(F.sum, v, n) / n)
+        return self.full(n, F.avg(v).over(self.rows(n)), v)
 
     def std(self, c: Column, n: int) -> Column:
-        if n <= SLIDING_MAX:
-            return self.full(n, F.stddev_samp(c).over(self.rows(n)), c)
-        return F.sqrt(self._square_sum(_clean(c), n) / (n - 1))
+        v = _clean(c)
+        return self.full(n, F.stddev_samp(v).over(self.rows(n)), v)
 
     def std_pop(self, c: Column, n: int) -> Column:
-        if n <= SLIDING_MAX:
-            return self.full(n, F.stddev_pop(c).over(self.rows(n)), c)
-        return F.sqrt(self._square_sum(_clean(c), n) / n)
-
-    def _diff(self, agg, c: Column, n: int) -> Column:
-        """Trailing sum or count as a difference of two running ones: constant
-        work per row, where a sliding frame would redo ``n`` rows each time."""
-        self._check(n - 1)
-        upto = agg(c).over(self.w.rowsBetween(Window.unboundedPreceding, 0))
-        gone = agg(c).over(self.w.rowsBetween(Window.unboundedPreceding, -n))
-        return upto - F.coalesce(gone, F.lit(0))
-
-    def _square_sum(self, c: Column, n: int) -> Column:
-        """Sum of squared deviations over the last ``n`` rows.
-
-        What is below the rounding of the running sum counts as zero, so a
-        constant window has no spread.
-        """
-        s1, s2 = self._diff(F.sum, c, n), self._diff(F.sum, c * c, n)
-        total = F.sum(c * c).over(self.w.rowsBetween(Window.unboundedPreceding, 0))
-        m2 = s2 - s1 * s1 / n
-        m2 = F.when(m2 > total * 1e-13, m2).otherwise(F.lit(0.0))
-        return F.when(self._diff(F.count, c, n) == n, m2)
+        v = _clean(c)
+        return self.full(n, F.stddev_pop(v).over(self.rows(n)), v)
 
     def zscore(self, c: Column, n: int) -> Column:
         """Trailing z-score, this row included in its own statistics."""
@@ -190,8 +171,9 @@ class Blocks:
         """Recursive mean ``y = (1-alpha)*y + alpha*x`` as one running sum.
 
         ``seed='first'`` starts at the first value, ``'zero'`` at zero.  The
-        layout must copy ``ewm_lookback(alpha)`` rows: what lies further back
-        weighs less than a double can hold.
+        layout must copy ``ewm_lookback(alpha)`` rows.  Documented limit: what lies
+        further back weighs less than e^-41, below a double's precision for
+        values of like size, and is left out.
         """
         self._check(min(ewm_lookback(alpha), self.lookback + 1) if alpha < 1 else 0)
         rate = -math.log1p(-alpha)
@@ -215,7 +197,7 @@ class Blocks:
 
 
 def _clean(c: Column) -> Column:
-    """Non-finite values as NULL: they would stay in a running sum for good."""
+    """Non-finite values as NULL."""
     return F.when(~(F.isnan(c) | (F.abs(c) == F.lit(float("inf")))), c)
 
 
