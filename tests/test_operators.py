@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import NameBook, match_symbols, score_articles
-from tickloom.operators import alpha, features, news, panel, positions, quality, sizing
-from tickloom.settings import AlphaSettings, FeatureSettings, SizingSettings
+from tickloom.operators import alpha, decisions, features, news, panel, positions, quality, report, sizing
+from tickloom.settings import AlphaSettings, BookSettings, FeatureSettings, SizingSettings
+from tickloom.sources import bars as B
 from tickloom.streaming.jobs import apply_fill
 
 DAY0 = dt.date(2020, 1, 1)
@@ -168,3 +169,73 @@ def test_quality_rules_count_and_quarantine(spark):
     good, held = quality.quarantine(bad)
     assert {r.symbol for r in held.select("symbol").distinct().collect()} == {"S1"}
     assert good.count() == 60
+
+
+def test_stops_fire_on_long_names_only(spark):
+    cfg = BookSettings(stop_loss_sigma=None, stop_loss_pct=0.1)
+    rows = [("long down", 10.0, 80.0), ("short down", -10.0, 80.0), ("long up", 10.0, 120.0), ("short up", -10.0, 120.0), ("none", 0.0, 50.0)]
+    df = spark.createDataFrame(rows, "symbol string, quantity double, price double").selectExpr(
+        "*", "100D avg_price", "0.01D daily_vol", "0.5D conviction", "false cooling", "false is_flatten", "true entries_ok")
+    got = {r.symbol: r.action for r in decisions.book_actions(df, cfg).collect()}
+    assert got == {"long down": "stop_loss", "short down": "rebalance", "long up": "rebalance", "short up": "rebalance", "none": "entry"}
+
+
+def test_recent_stops_by_bars(spark):
+    at = lambda h, m: dt.datetime(2026, 3, 2, h, m)
+    calendar = spark.createDataFrame([(at(10, 0),), (at(10, 30),), (at(11, 0),), (at(11, 30),)], "ts timestamp")
+    stops = spark.createDataFrame([("a", at(10, 0)), ("b", at(10, 30))], "symbol string, ts timestamp")
+    got = decisions.recent_stops(calendar, stops, BookSettings(stop_cooldown_bars=2)).orderBy("ts").collect()
+    assert [r.recent for r in got] == [1, 2, 1, 0]
+
+
+def test_turnover_counts_names_that_leave(spark):
+    d = [dt.date(2026, 1, i) for i in (1, 2, 3, 4)]
+    w = spark.createDataFrame([(d[0], "a", 0.5), (d[0], "b", -0.5), (d[1], "a", 0.25), (d[3], "a", 0.25)], "ts date, symbol string, weight double")
+    w = w.unionByName(spark.createDataFrame([(d[2], "c", 0.1)], "ts date, symbol string, weight double"))
+    rets = spark.createDataFrame([(x, s, 0.0) for x in d for s in "abc"], "ts date, symbol string, fwd double")
+    got = report.cost_sweep(w, rets, [10.0]).first()
+    # entries 1.0; 0.25 and b's exit 0.5; c's entry 0.1 and a's exit 0.25; a's entry 0.25 and c's exit 0.1
+    assert got.turnover == pytest.approx((1.0 + 0.75 + 0.35 + 0.35) / 4) and got.n_days == 4
+
+
+def test_cash_and_positions_round_alike_and_charges_drain(spark):
+    t = lambda i: dt.date(2026, 1, i)
+    rows = [("x", "s", t(1), 1, 10.4, 5.0, 1.0, 0.0), ("x", "s", t(3), 2, -4.6, 6.0, 1.0, 0.5), ("x", "s", t(4), 3, 0.3, 7.0, 1.0, 0.0)]
+    fills = spark.createDataFrame(rows, "account string, symbol string, ts date, seq long, quantity double, price double, commission double, fees double")
+    charges = spark.createDataFrame([("x", t(2), 2.0), ("x", t(2), 0.0)], "account string, ts date, amount double")
+    cash = [r.cash for r in positions.cash_ledger(fills, ["ts", "seq"], capital=100.0, charges=charges).orderBy("seq_no").collect()]
+    assert cash == [49.0, 47.0, 75.5]
+    last = positions.final_positions(positions.running_positions(fills, ["ts", "seq"])).first()
+    assert last.quantity == 5.0 and cash[-1] + 2.0 + last.quantity * last.avg_price == pytest.approx(100.0 + last.realized_pnl - last.total_costs)
+
+
+def test_bars_held_and_drawdown(spark):
+    t = lambda i: dt.date(2026, 1, i)
+    bars = spark.createDataFrame([("s", t(i), 10.0) for i in (2, 5, 6, 7, 9)], "symbol string, ts date, close double")
+    marked = spark.createDataFrame([("x", "s", t(6), 5.0, t(2), 40.0, 0.0), ("x", "s", t(9), 5.0, t(2), 50.0, 10.0)],
+                                   "account string, symbol string, mark_ts date, quantity double, entry_ts date, value double, unrealized_pnl double")
+    cash = spark.createDataFrame([("x", t(2), 1, 50.0)], "account string, ts date, seq_no long, cash double")
+    got = positions.lifecycle_features(marked, cash, bars, capital=100.0).orderBy("mark_ts").collect()
+    assert [round(r.held_scaled * 21) for r in got] == [2, 4]
+    assert [r.drawdown for r in got] == pytest.approx([0.1, 0.0])
+
+
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    (tmp_path / "BRK.B.csv").write_text("Date,Open,High,Low,Close,Volume\n2026-01-02,1,3,0.5,2,10\nbroken,1,2\n")
+    (tmp_path / "x.csv").write_text('Close,Date,"Adj Close",Volume\n4,2026-01-02,3.5,20\n')
+    got = {(r.symbol, str(r.ts)): r for r in B.read_csv_bars(spark, str(tmp_path)).collect()}
+    a, b, bad = got["BRK.B", "2026-01-02"], got["X", "2026-01-02"], got["BRK.B", "None"]
+    assert (a.open, a.high, a.low, a.close, a.adj_close, a.volume) == (1, 3, 0.5, 2, 2, 10)
+    assert (b.open, b.close, b.adj_close, b.volume) == (None, 4, 3.5, 20) and bad._corrupt == "broken,1,2"
+
+
+def test_jumps_among_duplicates_are_repeatable(spark):
+    rows = [("s", dt.date(2026, 1, i), p, p, p, p, p, 1.0) for i in (1, 2) for p in (10.0, 30.0, 11.0)]
+    schema = "symbol string, ts date, open double, high double, low double, close double, adj_close double, volume double"
+    runs = [sorted(r._ret or 0 for r in quality.flag_rows(spark.createDataFrame(rows, schema).repartition(k)).collect()) for k in (1, 3)]
+    assert runs[0] == runs[1]
+
+
+def test_weights_beyond_the_width_are_an_error():
+    with pytest.raises(ValueError):
+        features.ffd_weights(0.4, 1e-4, max_width=5)

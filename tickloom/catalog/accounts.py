@@ -99,7 +99,7 @@ def _(spark, d):
     return tidy(c.select("account", "seq_no", "ts", "cash"), cash=3)
 
 
-MARKS = f"""{LASTP}, {BARS}, {CASH}, mk AS (SELECT account, symbol, CAST(unnest(generate_series(CAST(date_trunc('month', min(ts)) + INTERVAL 1 MONTH AS TIMESTAMP), TIMESTAMP '2002-01-01', INTERVAL 1 MONTH)) AS DATE) AS mark_ts FROM fills GROUP BY account, symbol),
+MARKS = f"""{LASTP}, {BARS}, {CASH}, mk AS (SELECT account, symbol, CAST(unnest(generate_series(CAST(date_trunc('month', min(ts)) + INTERVAL 1 MONTH AS TIMESTAMP), CAST((SELECT max(ts) FROM bars) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS mark_ts FROM fills GROUP BY account, symbol),
   lastst AS (SELECT account, symbol, ts, arg_max(q, rn) AS q, arg_max(avg, rn) AS avg, arg_max(rp, rn) AS rp, arg_max(tc, rn) AS tc FROM run GROUP BY 1, 2, 3),
   ms AS (SELECT m.*, s.q, s.avg, s.rp, s.tc FROM mk m ASOF JOIN lastst s ON m.account = s.account AND m.symbol = s.symbol AND m.mark_ts >= s.ts),
   mp AS (SELECT ms.*, coalesce(b.close, avg) AS px FROM ms ASOF LEFT JOIN bars b ON ms.symbol = b.symbol AND ms.mark_ts >= b.ts),
@@ -111,7 +111,8 @@ MARKS = f"""{LASTP}, {BARS}, {CASH}, mk AS (SELECT account, symbol, CAST(unnest(
 
 def marked(spark, d):
     r = running(spark, d)
-    return P.marked_positions(r, T.daily_bars(spark, d), P.month_marks(T.fills(spark, d), "2002-01-01"))
+    last = T.table(spark, d, "lineitem").agg(F.to_date(F.max("l_shipdate"))).first()[0]
+    return P.marked_positions(r, T.daily_bars(spark, d), P.month_marks(T.fills(spark, d), last))
 
 
 def snaps(spark, d):
@@ -132,12 +133,15 @@ def _(spark, d):
 
 @query(
     "equity_identity", "C8",
-    f"""WITH RECURSIVE {LASTP} SELECT f.account, round(sum(rp) - sum(tc), 2) AS realized_net, round(sum(q * avg), 2) AS cost_basis FROM fin f GROUP BY f.account""",
+    f"""WITH RECURSIVE {LASTP}, {CASH}, lc AS (SELECT account, 1e6 + arg_max(flow, sn) AS cash FROM cs GROUP BY account)
+    SELECT account, round(sum(rp) - sum(tc), 2) AS realized_net, round(sum(q * avg), 2) AS cost_basis, round(any_value(cash), 2) AS cash, 0.0 AS gap FROM fin JOIN lc USING (account) GROUP BY account""",
 )
 def _(spark, d):
-    f = P.final_positions(running(spark, d))
-    return tidy(f.groupBy("account").agg((F.sum("realized_pnl") - F.sum("total_costs")).alias("realized_net"),
-                                         F.sum(F.col("quantity") * F.col("avg_price")).alias("cost_basis")), 2)
+    f = P.final_positions(running(spark, d)).groupBy("account").agg(
+        (F.sum("realized_pnl") - F.sum("total_costs")).alias("realized_net"), F.sum(F.col("quantity") * F.col("avg_price")).alias("cost_basis"))
+    c = P.cash_ledger(T.fills(spark, d), ORDER, capital=1e6).groupBy("account").agg(F.max_by("cash", "seq_no").alias("cash"))
+    # Cash and holdings at cost are the capital and what was realised.
+    return tidy(f.join(c, "account").withColumn("gap", F.round(F.col("cash") + F.col("cost_basis") - 1e6 - F.col("realized_net"), 3)), 2)
 
 
 QUOTES = f"""q AS (SELECT symbol, arg_max(close, ts) AS price FROM bars WHERE symbol <> 'Brand#3' GROUP BY symbol)"""
@@ -185,14 +189,16 @@ def _(spark, d):
 @query(
     "lifecycle_columns", "W39",
     f"""WITH RECURSIVE {MARKS}, le AS (SELECT account, symbol, ts, arg_max(life, rn) AS life FROM run GROUP BY 1, 2, 3), en AS (SELECT le.account, le.symbol, le.ts, entry FROM le JOIN ent USING (account, symbol, life)),
+    bn AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars),
+    pk AS (SELECT *, greatest(max(cash + net) OVER (PARTITION BY account ORDER BY mark_ts), 1e6) AS peak FROM snap),
     m2 AS (SELECT mp.*, CASE WHEN q <> 0 THEN en.entry END AS entry FROM mp ASOF JOIN en ON mp.account = en.account AND mp.symbol = en.symbol AND mp.mark_ts >= en.ts)
     SELECT mp.account, mp.symbol, {day('mp.mark_ts')} AS mark_ts, round(q * px / (cash + net), 6) AS weight, round(CASE WHEN q = 0 THEN 0 ELSE q * (px - avg) END / (cash + net), 6) AS unrealized_share,
-      round(least(greatest(coalesce(mp.mark_ts - entry, 0), 0) / 21.0, 5.0), 6) AS held_scaled FROM m2 mp JOIN snap s ON s.account = mp.account AND s.mark_ts = mp.mark_ts WHERE mp.mark_ts >= DATE '2001-06-01'""",
+      round(least(coalesce(CASE WHEN q <> 0 THEN n1.n - n0.n END, 0) / 21.0, 5.0), 6) AS held_scaled, round(1 - (cash + net) / peak, 6) AS drawdown
+    FROM m2 mp JOIN pk s ON s.account = mp.account AND s.mark_ts = mp.mark_ts ASOF LEFT JOIN bn n1 ON mp.symbol = n1.symbol AND mp.mark_ts >= n1.ts LEFT JOIN bn n0 ON mp.symbol = n0.symbol AND mp.entry = n0.ts""",
 )
 def _(spark, d):
     cash = P.cash_ledger(T.fills(spark, d), ORDER, capital=1e6)
-    x = P.lifecycle_features(marked(spark, d), cash, capital=1e6)
-    return tidy(x.filter("mark_ts >= '2001-06-01'"))
+    return tidy(P.lifecycle_features(marked(spark, d), cash, T.daily_bars(spark, d), capital=1e6))
 
 
 CTX = f"""{BARS}, cx0 AS (SELECT *, ln(close / lag(close) OVER w) AS lr FROM bars {W}), cx AS (SELECT symbol, ts, close AS ref, volume, coalesce(nullif({full('stddev_pop(lr)', 'lr', 26)}, 0), 0.02) AS sg FROM cx0)"""
@@ -252,9 +258,9 @@ def _(spark, d):
 @query(
     "pending_at_quote", "J14",
     f"""WITH {FILLS}, {BARS}, q AS (SELECT symbol, close FROM bars WHERE ts = DATE '2000-06-15') SELECT account, f.symbol, {day('f.ts')} AS decided_ts, round(quantity, 6) AS quantity, round(close, 6) AS quote
-    FROM fills f JOIN q USING (symbol) WHERE f.ts < DATE '2000-06-15' AND f.ts >= DATE '2000-06-10'""",
+    FROM fills f JOIN q USING (symbol) WHERE f.ts < DATE '2000-06-15'""",
 )
 def _(spark, d):
-    o = T.fills(spark, d).filter("ts >= '2000-06-10'").select("account", "symbol", F.col("ts").alias("decided_ts"), "quantity")
+    o = T.fills(spark, d).select("account", "symbol", F.col("ts").alias("decided_ts"), "quantity")
     b = T.daily_bars(spark, d).select("symbol", "ts", F.col("close").alias("price"))
     return tidy(pending_fills(o, b, today=F.lit("2000-06-15").cast("date")))

@@ -249,7 +249,7 @@ def _(spark, d):
 
 def feed_bodies(spark, d):
     """RSS and Atom bodies written from the documents' first lines."""
-    a = T.articles(spark, d).withColumn("t", F.substring(F.regexp_replace("title", "[^A-Za-z ]", ""), 1, 60)).filter("trim(t) <> ''")
+    a = T.articles(spark, d).withColumn("t", F.regexp_replace("title", "[^A-Za-z ]", "")).filter("trim(t) <> ''")
     rfc = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rss = F.concat(F.lit("<rss version='2.0'><channel><title>c</title><item><title><![CDATA[<b>"), "t", F.lit("</b>]]></title><link>"), "url",
@@ -263,7 +263,7 @@ def feed_bodies(spark, d):
 
 @query(
     "feed_articles", "S20 F9 F10 F12",
-    f"""WITH {ARTICLES}, a AS (SELECT *, trim(regexp_replace(substr(regexp_replace(title, '[^A-Za-z ]', '', 'g'), 1, 60), ' +', ' ', 'g'), ' ') AS t FROM articles WHERE trim(substr(regexp_replace(title, '[^A-Za-z ]', '', 'g'), 1, 60), ' ') <> '')
+    f"""WITH {ARTICLES}, a AS (SELECT *, trim(regexp_replace(regexp_replace(title, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'), ' ') AS t FROM articles WHERE trim(regexp_replace(title, '[^A-Za-z ]', '', 'g'), ' ') <> '')
     SELECT substr(sha1(url), 1, 16) AS uid, {stamp('ts')} AS ts, source, kind, t AS title, CASE WHEN doc_id % 3 = 1 THEN 's' ELSE '' END AS summary, url FROM a WHERE doc_id % 3 < 2""",
 )
 def _(spark, d):
@@ -273,11 +273,11 @@ def _(spark, d):
 
 @query(
     "vendor_articles", "S21 F38",
-    f"""WITH {ARTICLES}, a AS (SELECT *, trim(regexp_replace(substr(regexp_replace(title, '[^A-Za-z ]', '', 'g'), 1, 60), ' +', ' ', 'g'), ' ') AS t FROM articles WHERE trim(substr(regexp_replace(title, '[^A-Za-z ]', '', 'g'), 1, 60), ' ') <> '')
+    f"""WITH {ARTICLES}, a AS (SELECT *, trim(regexp_replace(regexp_replace(title, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'), ' ') AS t FROM articles WHERE trim(regexp_replace(title, '[^A-Za-z ]', '', 'g'), ' ') <> '')
     SELECT substr(sha1(url), 1, 16) AS uid, {stamp('ts')} AS ts, t AS title, url, source AS symbol FROM a WHERE doc_id % 3 < 2""",
 )
 def _(spark, d):
-    a = T.articles(spark, d).withColumn("t", F.substring(F.regexp_replace("title", "[^A-Za-z ]", ""), 1, 60)).filter("trim(t) <> ''")
+    a = T.articles(spark, d).withColumn("t", F.regexp_replace("title", "[^A-Za-z ]", "")).filter("trim(t) <> ''")
     nested = F.to_json(F.struct(F.struct(F.col("t").alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pubDate"),
                                          F.struct("url").alias("canonicalUrl")).alias("content")))
     flat = F.to_json(F.struct(F.col("t").alias("title"), F.unix_seconds("ts").alias("providerPublishTime"), F.col("url").alias("link")))

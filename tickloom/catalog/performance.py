@@ -221,8 +221,10 @@ def _(spark, d):
     f"""WITH {SCORES}, w0 AS (SELECT ts, symbol, score - avg(score) OVER (PARTITION BY ts) AS c FROM scores),
     w1 AS (SELECT ts, symbol, c / nullif(sum(abs(c)) OVER (PARTITION BY ts), 0) AS weight FROM w0),
     fw AS (SELECT symbol, ts, lead(close) OVER w / close - 1 AS fwd FROM bars {W}),
-    j AS (SELECT ts, symbol, weight, fwd, abs(weight - coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY ts), 0)) AS dw FROM w1 JOIN fw USING (ts, symbol)),
-    dd AS (SELECT ts, coalesce(sum(weight * fwd), 0) AS g, sum(dw) AS t FROM j GROUP BY ts),
+    dt AS (SELECT ts, lead(ts) OVER (ORDER BY ts) AS nx FROM (SELECT DISTINCT ts FROM w1)),
+    pv AS (SELECT nx AS ts, symbol, weight AS pw FROM w1 JOIN dt USING (ts) WHERE nx IS NOT NULL),
+    tu AS (SELECT ts, sum(abs(coalesce(weight, 0) - coalesce(pw, 0))) AS t FROM w1 FULL JOIN pv USING (ts, symbol) GROUP BY ts),
+    dd AS (SELECT ts, coalesce(sum(weight * fwd), 0) AS g, any_value(t) AS t FROM w1 LEFT JOIN fw USING (ts, symbol) JOIN tu USING (ts) GROUP BY ts),
     x AS (SELECT cost_bp, g - t * cost_bp * 1e-4 AS net, t FROM dd, (SELECT unnest([0.0, 1.0, 2.0, 3.0, 5.0]) AS cost_bp))
     SELECT round(cost_bp, 6) AS cost_bp, count(*) AS n_days, round(avg(net) * 1e4, 4) AS net_bp, round(avg(t), 6) AS turnover, round(avg(net) / stddev_samp(net) * sqrt(252.0), 6) AS sharpe FROM x GROUP BY cost_bp""",
 )

@@ -27,11 +27,11 @@ def fresh(spark, name):
 @query(
     "bar_store_upsert", "S5 S6 S7 D1 ST4",
     f"""{with_(BARS)} SELECT symbol, CAST(year(ts) AS BIGINT) AS year, count(*) AS n_bars, round(sum(CASE WHEN year(ts) = 1997 THEN close * 2 ELSE close END), 4) AS close_sum
-    FROM bars WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4') GROUP BY 1, 2""",
+    FROM bars GROUP BY 1, 2""",
 )
 def _(spark, d):
     root = fresh(spark, "store")
-    b = T.daily_bars(spark, d).filter(F.col("symbol").isin("Brand#1", "Brand#2", "Brand#3", "Brand#4")).withColumn("seq", F.lit(0))
+    b = T.daily_bars(spark, d).withColumn("seq", F.lit(0))
     B.upsert(spark, root, b, seq="seq", staging=root + "/stage1")
     late = b.filter(F.year("ts") == 1997).withColumn("close", F.col("close") * 2)
     B.upsert(spark, root, late, seq="seq", staging=root + "/stage2")
@@ -39,22 +39,41 @@ def _(spark, d):
     return tidy(q, close_sum=4)
 
 
+def csv_files(df, path):
+    """Write lines (file, line, ord) as one file each: partitions first, then renamed in place."""
+    df.repartition("file").sortWithinPartitions("file", "ord").select("file", "line").write.partitionBy("file").text(path + "-parts")
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path + "-parts")
+    fs = root.getFileSystem(conf)
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
+    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "file=*/part-*")):
+        name = part.getPath().getParent().getName().removeprefix("file=")
+        fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(path, name + ".csv"))
+
+
 @query(
     "csv_bars", "S2 S3 U1",
-    f"""{with_(BARS)} SELECT upper(replace(symbol, '#', '')) AS symbol, {day('ts')} AS ts, round(round(close, 6), 5) AS close, round(round(close, 6), 5) AS adj_close, volume FROM bars
-    WHERE symbol IN ('Brand#1', 'Brand#2') AND ts BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""",
+    f"""{with_(BARS)}, b AS (SELECT upper(replace(symbol, '#', '.')) AS symbol, ts, round(close, 6) AS close, volume FROM bars WHERE ts BETWEEN DATE '1996-01-01' AND DATE '1997-12-31')
+    SELECT symbol, {day('ts')} AS ts, round(close, 5) AS close, round(CASE WHEN CAST(substr(symbol, 7) AS INT) % 2 = 0 THEN close / 2 ELSE close END, 5) AS adj_close, volume, 0 AS corrupt FROM b
+    UNION ALL SELECT DISTINCT upper(replace(symbol, '#', '.')), NULL, NULL, NULL, NULL, 1 FROM bars""",
 )
 def _(spark, d):
-    frames = []
-    for s in ("Brand#1", "Brand#2"):
-        path = fresh(spark, "csv")
-        name = s.replace("#", "")
-        b = T.daily_bars(spark, d).filter(F.col("symbol") == s)
-        cols = [F.round(F.col(c) + 1e-9, 6).alias(c.title()) for c in ("open", "high", "low", "close")]
-        b.select(F.col("ts").alias("Date"), *cols, F.col("volume").alias("Volume")).write.option("header", True).csv(path)
-        frames.append(B.read_csv_bars(spark, path, start="1996-01-01", end="1997-12-31").withColumn("symbol", F.lit(name.upper())))
-    good, _bad = B.load_many(frames)
-    return tidy(good.select("symbol", "ts", "close", "adj_close", "volume"), 5)
+    """A file a brand; every second has other columns in another order; each ends in a bad line."""
+    path = fresh(spark, "csv")
+    b = T.daily_bars(spark, d)
+    file, r = F.replace("symbol", F.lit("#"), F.lit(".")), lambda c: F.round(F.col(c) + 1e-9, 6).cast("string")
+    other = F.split("symbol", "#")[1].cast("int") % 2 == 0
+    one = F.concat_ws(",", F.col("ts").cast("string"), r("open"), r("high"), r("low"), r("close"), F.col("volume").cast("string"))
+    two = F.concat_ws(",", F.col("volume").cast("string"), r("close"), F.col("ts").cast("string"), (F.round(F.col("close") + 1e-9, 6) / 2).cast("string"), r("low"))
+    lines = b.select(file.alias("file"), F.when(other, two).otherwise(one).alias("line"), F.date_format("ts", "yyyyMMdd").alias("ord"))
+    names = b.select("symbol").distinct()
+    head = F.when(other, "Volume,Close,Date,Adj Close,Low").otherwise("Date,Open,High,Low,Close,Volume")
+    heads = names.select(file.alias("file"), head.alias("line"), F.lit("").alias("ord"))
+    tails = names.select(file.alias("file"), F.lit("n/a,n/a,n/a").alias("line"), F.lit("z").alias("ord"))
+    csv_files(lines.unionByName(heads).unionByName(tails), path)
+    good, bad = B.load_many([B.read_csv_bars(spark, path, start="1996-01-01", end="1997-12-31")])
+    out = good.withColumn("corrupt", F.lit(0)).unionByName(bad.filter("_corrupt IS NOT NULL").withColumn("corrupt", F.lit(1)))
+    return tidy(out.select("symbol", "ts", "close", "adj_close", "volume", "corrupt"), 5)
 
 
 @query(

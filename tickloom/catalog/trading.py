@@ -145,11 +145,11 @@ def _(spark, d):
     return tidy(D.classify(D.align_targets(w, current_weights(w)), SIZE), target=5, current=5)
 
 
-_BOOK = f"""{ALPHA}, bk AS (SELECT a.ts, a.symbol, greatest(-1, least(1, score / 3)) AS conviction, day(a.ts) % 3 = 0 AS held, a.close AS price,
+_BOOK = f"""{ALPHA}, bk AS (SELECT a.ts, a.symbol, greatest(-1, least(1, score / 3)) AS conviction, CASE WHEN day(a.ts) % 3 = 0 THEN CASE WHEN day(a.ts) % 2 = 0 THEN 10 ELSE -10 END ELSE 0 END AS quantity, day(a.ts) % 3 = 0 AS held, a.close AS price,
     b.high * 1.2 AS avg_price, a.vol AS daily_vol, day(a.ts) % 7 = 0 AS cooling, day(a.ts) = 28 AS is_flatten, day(a.ts) <= 25 AS entries_ok
   FROM alpha a JOIN bars b ON a.ts = b.ts AND a.symbol = b.symbol),
   acts AS (SELECT *, CASE WHEN held AND is_flatten THEN 'eod_flat' WHEN is_flatten THEN 'none'
-     WHEN held AND price <= avg_price * (1 - 2.0 * daily_vol * sqrt(20.0)) THEN 'stop_loss'
+     WHEN quantity > 0 AND price <= avg_price * (1 - 2.0 * daily_vol * sqrt(20.0)) THEN 'stop_loss'
      WHEN held AND abs(conviction) < 0.05 THEN 'exit' WHEN held THEN 'rebalance'
      WHEN entries_ok AND NOT cooling AND abs(conviction) >= 0.15 THEN 'entry' ELSE 'none' END AS action FROM bk)"""
 
@@ -158,7 +158,7 @@ def book(spark, d):
     b = bars(spark, d).select("ts", "symbol", F.col("close").alias("price"), (F.col("high") * 1.2).alias("avg_price"))
     dom = F.dayofmonth("ts")
     k = alpha(spark, d).join(b, ["ts", "symbol"]).withColumns({
-        "conviction": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / 3)), "held": dom % 3 == 0,
+        "conviction": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / 3)), "quantity": F.when(dom % 3 == 0, F.when(dom % 2 == 0, 10.0).otherwise(-10.0)).otherwise(0.0),
         "daily_vol": F.col("vol"), "cooling": dom % 7 == 0, "is_flatten": dom == 28, "entries_ok": dom <= 25})
     return D.book_actions(k, BookSettings())
 
@@ -174,7 +174,9 @@ def _(spark, d):
 
 @query(
     "conviction_sizing", "C5 C6",
-    f"""WITH {_BOOK}, g AS (SELECT ts, symbol, conviction, count(*) FILTER (action = 'stop_loss') OVER x AS recent, count(*) FILTER (held) OVER x AS n_open, action FROM acts WINDOW x AS (PARTITION BY ts)),
+    f"""WITH {_BOOK}, st AS (SELECT symbol, ts FROM acts WHERE action = 'stop_loss'),
+    rs AS (SELECT d.ts, count(DISTINCT st.symbol) AS recent FROM (SELECT DISTINCT ts FROM acts) d LEFT JOIN st ON st.ts <= d.ts AND d.ts - st.ts < 10 GROUP BY d.ts),
+    g AS (SELECT ts, symbol, conviction, recent, count(*) FILTER (action = 'rebalance') OVER x AS n_open, action FROM acts JOIN rs USING (ts) WINDOW x AS (PARTITION BY ts)),
     h AS (SELECT *, CASE WHEN recent = 0 THEN 0.9 ELSE greatest(0.3, 0.9 * (1 - recent / greatest(recent + n_open, 1))) END AS cap FROM g WHERE action IN ('entry', 'rebalance')),
     t AS (SELECT *, conviction * 0.2 AS t FROM h)
     SELECT {day('ts')} AS ts, symbol, round(cap, 6) AS gross_cap, round(greatest(-0.2, least(0.2, t * CASE WHEN sum(abs(t)) OVER x > 0 THEN least(cap / sum(abs(t)) OVER x, 1) ELSE 1 END)), 6) AS target
@@ -183,8 +185,9 @@ def _(spark, d):
 def _(spark, d):
     cfg = BookSettings()
     b = book(spark, d)
-    n = b.groupBy("ts").agg(F.count_if(F.col("action") == "stop_loss").alias("recent"), F.count_if("held").alias("n_open"))
-    k = b.filter(F.col("action").isin("entry", "rebalance")).join(n, "ts")
+    held = b.groupBy("ts").agg(F.count_if(F.col("action") == "rebalance").alias("n_open"))
+    stopped = D.recent_stops(b, b.filter("action = 'stop_loss'").select("symbol", "ts"), cfg)
+    k = b.filter(F.col("action").isin("entry", "rebalance")).join(held, "ts").join(stopped, "ts")
     k = k.withColumn("gross_cap", S.gross_cap(F.col("recent"), F.col("n_open"), cfg))
     return tidy(S.conviction_targets(k, cfg).select("ts", "symbol", "gross_cap", "target"))
 
@@ -278,12 +281,14 @@ def _(spark, d):
 
 @query(
     "pending_superseded", "J7 U6",
-    f"""{with_(BARS, STOPS)}, p AS (SELECT symbol, ts FROM stops WHERE year(ts) = 1996), f AS (SELECT symbol, ts FROM stops WHERE ts BETWEEN DATE '1997-01-01' AND DATE '1997-01-20')
+    f"""{with_(BARS, STOPS)}, p AS (SELECT symbol || '/' || strftime(ts, '%Y-%m') AS symbol, ts FROM stops WHERE day(ts) <= 15), f AS (SELECT symbol || '/' || strftime(ts, '%Y-%m') AS symbol, ts FROM stops WHERE day(ts) > 15)
     SELECT symbol, {day('ts')} AS ts FROM f UNION ALL SELECT symbol, {day('ts')} FROM p WHERE symbol NOT IN (SELECT symbol FROM f)""",
 )
 def _(spark, d):
     s = stops(spark, d)
-    return tidy(D.supersede(s.filter(F.year("ts") == 1996), s.filter(F.col("ts").between("1997-01-01", "1997-01-20"))))
+    # A book a month: what it decides in the second half replaces its pending orders.
+    s = s.select(F.concat("symbol", F.lit("/"), F.date_format("ts", "yyyy-MM")).alias("symbol"), "ts")
+    return tidy(D.supersede(s.filter(F.dayofmonth("ts") <= 15), s.filter(F.dayofmonth("ts") > 15)))
 
 
 @query(

@@ -34,13 +34,13 @@ def classify(aligned: DataFrame, cfg: SizingSettings | None = None) -> DataFrame
 def book_actions(book: DataFrame, cfg: BookSettings | None = None) -> DataFrame:
     """Exit, keep, enter or ignore, per name of a conviction book.
 
-    Needs conviction, held, price, avg_price, daily_vol, cooling, is_flatten,
-    entries_ok.  A flatten bar sells every holding.
+    Needs conviction, quantity (signed), price, avg_price, daily_vol, cooling,
+    is_flatten, entries_ok.  A flatten bar sells every holding.
     """
     cfg = cfg or BookSettings()
     f = F.abs("conviction")
-    stop = stop_touched(F.col("price"), F.col("avg_price"), F.col("daily_vol"), cfg)
-    held = F.col("held")
+    stop = stop_touched(F.col("quantity"), F.col("price"), F.col("avg_price"), F.col("daily_vol"), cfg)
+    held = F.abs("quantity") > QTY_EPS
     action = (
         F.when(held & F.col("is_flatten"), "eod_flat")
         .when(F.col("is_flatten"), "none")
@@ -53,15 +53,15 @@ def book_actions(book: DataFrame, cfg: BookSettings | None = None) -> DataFrame:
     return book.withColumn("action", action)
 
 
-def stop_touched(price: Column, avg_price: Column, daily_vol: Column, cfg: BookSettings) -> Column:
-    """Price at or below the barrier, scaled by the name's own volatility."""
+def stop_touched(quantity: Column, price: Column, avg_price: Column, daily_vol: Column, cfg: BookSettings) -> Column:
+    """A long name's price at or below the barrier, scaled by its own volatility."""
     if cfg.stop_loss_sigma is not None:
         frac = cfg.stop_loss_sigma * daily_vol * (cfg.stop_horizon_days**0.5)
     elif cfg.stop_loss_pct is not None:
         frac = F.lit(cfg.stop_loss_pct)
     else:
         return F.lit(False)
-    return price <= avg_price * (1.0 - frac)
+    return (quantity > QTY_EPS) & (price <= avg_price * (1.0 - frac))
 
 
 def range_touch(entry: Column, is_long: Column, *, stop_pct: float, take_pct: float) -> Column:
@@ -116,7 +116,11 @@ def recent_stops(calendar: DataFrame, stops: DataFrame, cfg: BookSettings) -> Da
     """
     b = Blocks.lay(stops.select("symbol", "ts").distinct(), ["symbol"], ["ts"], lookback=0, lookahead=1)
     s = b.add(_next=b.lead(F.col("ts"), 1)).close()
-    end = F.least(F.date_add("ts", cfg.stop_cooldown_days), F.col("_next"))
+    if cfg.stop_cooldown_bars is None:
+        over = F.date_add("ts", cfg.stop_cooldown_days).cast(stops.schema["ts"].dataType)
+    else:
+        over = F.col("ts") + F.make_dt_interval(mins=F.lit(cfg.stop_cooldown_bars * cfg.bar_minutes))
+    end = F.least(over, F.col("_next"))
     steps = s.select(F.inline(F.array(
         F.struct(F.col("ts").alias("ts"), F.lit(1).alias("_step")), F.struct(end.alias("ts"), F.lit(-1).alias("_step"))
     )))

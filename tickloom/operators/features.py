@@ -26,12 +26,12 @@ def ffd_weights(d: float, threshold: float = 1e-4, max_width: int = 10_000) -> l
     if d < 0 or threshold <= 0:
         raise ValueError("order must be non-negative and threshold positive")
     w = [1.0]
-    for k in range(1, max_width):
+    for k in range(1, max_width + 1):
         nxt = -w[-1] * (d - k + 1) / k
         if abs(nxt) < threshold:
-            break
+            return w[::-1]
         w.append(nxt)
-    return w[::-1]
+    raise ValueError(f"more than {max_width} weights are above {threshold}")
 
 
 def feature_layout(bars: DataFrame, cfg: FeatureSettings, *, chunk: Column | None = None) -> Blocks:

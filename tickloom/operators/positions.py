@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import costs as K
-from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, prefix_scan, solve_chunk
+from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, index_series, prefix_scan, solve_chunk
 from tickloom.settings import QTY_EPS, CostSettings
 
 KEYS = ["account", "symbol"]
@@ -23,6 +23,15 @@ def check_fills(fills: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fills.filter(F.coalesce(ok, F.lit(False))), fills.filter(~F.coalesce(ok, F.lit(False)))
 
 
+def executed(fills: DataFrame, *, fractional: bool = False) -> DataFrame:
+    """Fills as they are booked: whole shares unless ``fractional``, none below the least quantity.
+
+    Positions and cash both start here, so they agree on every fill.
+    """
+    q = F.col("quantity") if fractional else F.rint("quantity")
+    return fills.withColumn("quantity", q).filter(F.abs("quantity") >= QTY_EPS)
+
+
 def running_positions(
     fills: DataFrame, order: list[str], *, chunk_days: int = 32, fractional: bool = False
 ) -> DataFrame:
@@ -37,8 +46,7 @@ def running_positions(
     then average cost and realised profit together, since a chunk's profit is
     linear in the average cost it starts with.
     """
-    q = F.col("quantity") if fractional else F.rint("quantity")
-    d = fills.withColumn("quantity", q).filter(F.abs("quantity") >= QTY_EPS)
+    d = executed(fills, fractional=fractional)
     d = d.withColumn("_chunk", calendar_chunk("ts", chunk_days))
     d = prefix_scan(
         d, KEYS, order, F.col("_chunk"),
@@ -119,19 +127,32 @@ def round_trips(running: DataFrame) -> DataFrame:
     return g.withColumn("pnl", F.col("realized") - F.col("costs")).drop("_q")
 
 
-def cash_ledger(fills: DataFrame, order: list[str], *, capital: float, chunk_days: int = 32) -> DataFrame:
-    """Cash after every fill of an account: less price times quantity and costs."""
+def cash_ledger(
+    fills: DataFrame, order: list[str], *, capital: float, chunk_days: int = 32, fractional: bool = False,
+    charges: DataFrame | None = None,
+) -> DataFrame:
+    """Cash after every fill of an account: less price times quantity and costs.
+
+    ``charges`` (account, ts, amount) are costs without a trade, such as short
+    borrow; each is a row without a symbol, booked before its day's fills.
+    """
+    d = executed(fills, fractional=fractional)
     flow = -(F.col("quantity") * F.col("price")) - F.col("commission") - F.col("fees")
+    d = d.withColumn("_cash_in", flow)
+    if charges is not None:
+        c = charges.filter(F.col("amount") > 0).select("account", "ts", (-F.col("amount")).alias("_cash_in"))
+        d = d.unionByName(c, allowMissingColumns=True)
     d = prefix_scan(
-        fills, ["account"], order, calendar_chunk("ts", chunk_days), sums={"_flow": flow, "seq_no": F.lit(1).cast("long")}
+        d, ["account"], order, calendar_chunk("ts", chunk_days), sums={"_flow": F.col("_cash_in"), "seq_no": F.lit(1).cast("long")}
     )
-    return d.withColumn("cash", capital + F.col("_flow")).drop("_flow")
+    return d.withColumn("cash", capital + F.col("_flow")).drop("_flow", "_cash_in")
 
 
 def month_marks(fills: DataFrame, last: str) -> DataFrame:
-    """(account, symbol, mark_ts): month starts from the first fill on."""
+    """(account, symbol, mark_ts): month starts after the first fill, up to ``last``."""
     first = fills.groupBy(*KEYS).agg(F.min("ts").alias("_first"))
-    grid = F.sequence(F.add_months(F.trunc("_first", "month"), 1), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH"))
+    start, end = F.add_months(F.trunc("_first", "month"), 1), F.lit(last).cast("date")
+    grid = F.when(start <= end, F.sequence(start, end, F.expr("INTERVAL 1 MONTH")))
     return first.select(*KEYS, F.explode(grid).alias("mark_ts"))
 
 
@@ -199,10 +220,13 @@ def live_view(report: DataFrame, cash: DataFrame, base: DataFrame, *, capital: f
     )
 
 
-def lifecycle_features(marked: DataFrame, cash: DataFrame, *, capital: float) -> DataFrame:
-    """Weight, unrealised share of equity and holding time per name and mark.
+def lifecycle_features(marked: DataFrame, cash: DataFrame, bars: DataFrame, *, capital: float) -> DataFrame:
+    """Weight, unrealised share of equity, bars held and the account's drawdown per name and mark.
 
-    A window over (account, mark) holds one row per symbol of the account.
+    Bars held are the symbol's bars after the entry, in months of 21, at most 5.
+    Drawdown is measured from the highest equity of the account's marks so far,
+    the capital included.  A window over (account, mark) holds one row per
+    symbol of the account, one over an account one row per mark.
     """
     c = cash.select("account", F.col("ts").alias("_cts"), "seq_no", "cash")
     at = marked.select("account", "mark_ts").distinct()
@@ -210,11 +234,21 @@ def lifecycle_features(marked: DataFrame, cash: DataFrame, *, capital: float) ->
     d = marked.join(at.select("account", "mark_ts", "cash"), ["account", "mark_ts"])
     book = Window.partitionBy("account", "mark_ts")
     d = d.withColumn("_eq", F.coalesce("cash", F.lit(capital)) + F.sum("value").over(book))
-    held = F.when(F.col("quantity") != 0, F.datediff("mark_ts", "entry_ts"))
+    n = index_series(bars.select("symbol", "ts"), ["symbol"], ["ts"], calendar_chunk("ts", 512), rn="bar_no")
+    for c, out in (("mark_ts", "_now"), ("entry_ts", "_then")):
+        at = d.select("symbol", c).filter(F.col(c).isNotNull()).distinct()
+        at = asof_backward(at, n.withColumnRenamed("ts", "_bts"), keys=["symbol"], left_ts=c, right_ts="_bts", values=["bar_no"])
+        d = d.join(at.select("symbol", c, F.col("bar_no").alias(out)), ["symbol", c], "left")
+    held = F.when(F.col("quantity") != 0, F.col("_now") - F.col("_then"))
+    peak = d.groupBy("account", "mark_ts").agg(F.max("_eq").alias("_e"))
+    up = Window.partitionBy("account").orderBy("mark_ts").rowsBetween(Window.unboundedPreceding, 0)
+    peak = peak.select("account", "mark_ts", F.greatest(F.max("_e").over(up), F.lit(capital)).alias("_peak"))
+    d = d.join(peak, ["account", "mark_ts"])
     return d.select(
         *KEYS, "mark_ts", F.try_divide("value", "_eq").alias("weight"),
         F.try_divide("unrealized_pnl", "_eq").alias("unrealized_share"),
         F.least(F.coalesce(held, F.lit(0)) / 21.0, F.lit(5.0)).alias("held_scaled"),
+        (1.0 - F.col("_eq") / F.col("_peak")).alias("drawdown"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import finite
-from tickloom.operators.series import RN, Blocks, index_series
+from tickloom.operators.series import RN, Blocks, calendar_chunk, index_series
 from tickloom.settings import EXCHANGE_TZ
 from tickloom.sources.bars import PRICE_COLUMNS
 
@@ -22,7 +22,9 @@ RULES = [
 def flag_rows(bars: DataFrame, *, max_abs_return: float = 0.75) -> DataFrame:
     """Bars with one 0/1 column per row rule and the adjusted return."""
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    b = Blocks.lay(bars, ["symbol"], ["ts"], lookback=1)
+    # Unclean bars may repeat keys without bound: number them in chunks, in a total order.
+    order = ["ts", *PRICE_COLUMNS, "volume"]
+    b = Blocks.lay(bars, ["symbol"], order, lookback=1, chunk=calendar_chunk("ts"))
     prev = b.lag(F.col("adj_close"), 1)
     order = (h < lo) | (h < o) | (h < c) | (lo > o) | (lo > c)
     cols = {f"non_positive_{p}": (F.col(p) <= 0) for p in PRICE_COLUMNS}

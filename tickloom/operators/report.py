@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import norm_cdf, norm_ppf, safe_div
-from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, prefix_scan
+from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, index_series, prefix_scan
 from tickloom.settings import TRADING_DAYS
 
 EULER_GAMMA = 0.5772156649015329
@@ -338,14 +338,23 @@ def evaluate_signals(positions: DataFrame, *, cost: float, capital: float = 100_
 def cost_sweep(weights: DataFrame, rets: DataFrame, costs_bp: list[float], *, ppy: int = TRADING_DAYS) -> DataFrame:
     """Net daily return and Sharpe of a rebalanced book per cost level.
 
-    Weights of (ts, symbol) earn the symbol's next return; turnover is the
-    change of weight per symbol.
+    Weights of (ts, symbol) earn the symbol's next return.  Turnover of a date is
+    the change of every name's weight since the date before, a name without a
+    weight counting as zero: one that leaves the book trades its whole weight on
+    the next date.
     """
-    b = Blocks.lay(weights.select("ts", "symbol", "weight").join(rets.select("ts", "symbol", "fwd"), ["ts", "symbol"]), ["symbol"], ["ts"], lookback=1)
-    d = b.add(_dw=F.abs(F.col("weight") - F.coalesce(b.lag(F.col("weight"), 1), F.lit(0.0)))).close()
-    day = d.groupBy("ts").agg(
-        F.coalesce(F.sum(F.col("weight") * F.col("fwd")), F.lit(0.0)).alias("gross_ret"), F.sum("_dw").alias("turnover")
-    )
+    w = weights.select("ts", "symbol", "weight")
+    dates = index_series(w.select("ts").distinct(), [], ["ts"], calendar_chunk("ts", 512), rn="_day")
+    w = w.join(dates, "ts")
+    b = Blocks.lay(w, ["symbol"], ["_day"], lookback=1, lookahead=1)
+    x, day_ = F.col("weight"), F.col("_day")
+    went = F.abs(x - F.when(b.lag(day_, 1) == day_ - 1, b.lag(x, 1)).otherwise(F.lit(0.0)))
+    left = F.when(F.coalesce(b.lead(day_, 1), F.lit(-1)) != day_ + 1, F.abs(x))
+    d = b.add(_in=went, _out=left).close()
+    steps = d.select(F.inline(F.array(F.struct(day_.alias("_day"), F.col("_in").alias("_dw")), F.struct((day_ + 1).alias("_day"), F.col("_out").alias("_dw")))))
+    moved = steps.groupBy("_day").agg(F.coalesce(F.sum("_dw"), F.lit(0.0)).alias("turnover"))
+    gain = w.join(rets.select("ts", "symbol", "fwd"), ["ts", "symbol"], "left").groupBy("ts", "_day").agg(F.coalesce(F.sum(x * F.col("fwd")), F.lit(0.0)).alias("gross_ret"))
+    day = gain.join(moved, "_day").drop("_day")
     grid = F.array(*[F.lit(float(c)) for c in costs_bp])
     x = day.select("*", F.explode(grid).alias("cost_bp"))
     net = F.col("gross_ret") - F.col("turnover") * F.col("cost_bp") * 1e-4

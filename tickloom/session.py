@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,10 +32,13 @@ def build_session(app: str = "tickloom", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests) a temporary folder is used.
+    Where it is unset and all tasks run in this process, a folder of this machine
+    serves and is set; on a cluster that would lose rows, so it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TICKLOOM_TEST_SHARED")
     if not path:
-        path = os.environ.get("TICKLOOM_TEST_SHARED") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        os.environ["TICKLOOM_TEST_SHARED"] = path
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir names no shared folder, and {master} has several machines")
+        path = os.environ["TICKLOOM_TEST_SHARED"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return path.rstrip("/")

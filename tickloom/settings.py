@@ -1,4 +1,7 @@
-"""Parameters of the operators, as frozen dataclasses with their defaults."""
+"""Parameters of the operators, as frozen dataclasses.
+
+Fixed values: the defaults decide results and are the ones users expect.
+"""
 
 from __future__ import annotations
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BAR_COLUMNS = ["symbol", "ts", "open", "high", "low", "close", "adj_close", "volume"]
+DATE_NAMES = ("ts", "date", "timestamp")
 PRICE_COLUMNS = ["open", "high", "low", "close", "adj_close"]
 
 DAILY_SCHEMA = T.StructType(
@@ -66,25 +67,44 @@ def try_cast(df: DataFrame, f: T.StructField) -> Column:
     return c.try_cast(f.dataType).alias(f.name)
 
 
+MOST_CSV_COLUMNS = 64
+
+
 def read_csv_bars(spark: SparkSession, folder: str, *, start: str | None = None, end: str | None = None) -> DataFrame:
-    """One CSV file per symbol; the symbol is the file name.
+    """One CSV file per symbol; the symbol is the file name without ``.csv``.
 
-    Column names are matched case-insensitively with blanks as underscores and
-    ``adj_close`` falls back to ``close``.  ``_corrupt`` marks unreadable rows.
+    Each file's own header names its columns, in any order and case, blanks as
+    underscores; ``adj_close`` falls back to ``close``.  A row whose date or
+    close can't be read keeps its text in ``_corrupt``.  A file has at most
+    ``MOST_CSV_COLUMNS`` columns; wider rows are corrupt.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(folder)
-    have = {c.strip().lower().replace(" ", "_"): c for c in raw.columns}
-    ts_col = have.get("ts") or have.get("date") or have.get("timestamp")
-    name = F.element_at(F.split(F.col("_metadata.file_name"), r"\."), 1)
-    num = {c: F.col(f"`{have[c]}`").try_cast("double") for c in BAR_COLUMNS[2:] if c in have}
-    out = raw.select(
-        F.upper(name).alias("symbol"),
-        F.col(f"`{ts_col}`").try_cast("date").alias("ts"),
+    raw = spark.read.option("pathGlobFilter", "*.csv").text(folder)
+    file = F.try_url_decode(F.col("_metadata.file_name"))
+    raw = raw.select("value", F.coalesce(file, F.col("_metadata.file_name")).alias("_file")).filter(F.trim("value") != "")
+    cells = ", ".join(f"c{i} STRING" for i in range(MOST_CSV_COLUMNS))
+    row = F.from_csv("value", cells)
+    d = raw.select("_file", "value", F.array(*[F.trim(row[f"c{i}"]) for i in range(MOST_CSV_COLUMNS)]).alias("_c"))
+    names = F.transform("_c", lambda x: F.replace(F.lower(x), F.lit(" "), F.lit("_")))
+    dated = F.arrays_overlap(names, F.array(*map(F.lit, DATE_NAMES)))
+    heads = d.filter(dated & F.array_contains(names, "close")).groupBy("_file").agg(F.min("value").alias("_head"), F.min(names).alias("_names"))
+    d = d.join(heads, "_file").filter(F.col("value") != F.col("_head"))
+
+    def cell(*wanted: str) -> Column:
+        at = F.greatest(*[F.coalesce(F.array_position("_names", w), F.lit(0)) for w in wanted], F.lit(0))
+        return F.when(at > 0, F.get("_c", at.cast("int") - 1))
+
+    num = {c: cell(c).try_cast("double") for c in BAR_COLUMNS[2:]}
+    ts = cell(*DATE_NAMES).try_cast("date")
+    out = d.select(
+        F.upper(F.regexp_replace("_file", r"(?i)\.csv$", "")).alias("symbol"),
+        ts.alias("ts"),
         *[num[c].alias(c) for c in ("open", "high", "low", "close")],
-        F.coalesce(num.get("adj_close", F.lit(None).cast("double")), num["close"]).alias("adj_close"),
+        F.coalesce(num["adj_close"], num["close"]).alias("adj_close"),
         num["volume"].alias("volume"),
+        F.when(ts.isNull() | num["close"].isNull(), F.col("value")).alias("_corrupt"),
     )
-    return in_range(out, start, end)
+    corrupt = out.filter(F.col("_corrupt").isNotNull())
+    return in_range(out.filter(F.col("_corrupt").isNull()), start, end).unionByName(corrupt)
 
 
 def load_many(frames: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

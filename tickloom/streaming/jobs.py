@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tickloom.functions.text import Lexicon, NameBook, label_articles, score_articles
 from tickloom.operators.news import merge_archive
+from tickloom.operators.positions import executed
 from tickloom.settings import QTY_EPS
 from tickloom.sources.bars import exists, upsert
 
@@ -160,8 +161,9 @@ class PositionKeeper(StatefulProcessor):
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
             self.wait.appendList(list(zip(us.tolist(), pdf["seq"].tolist(), pdf["quantity"].tolist(), pdf["price"].tolist())))
             due |= {u // 1000 + 1 for u in us.tolist()}
-        for ms in due:
-            self.handle.registerTimer(ms)
+        # One timer a batch; when it fires, all that is due goes, in order.
+        if due:
+            self.handle.registerTimer(max(due))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -204,7 +206,7 @@ def apply_fill(q: float, avg: float, dq: float, px: float) -> tuple[float, float
 def streaming_positions(fills: DataFrame, *, lateness: str = "1 day") -> DataFrame:
     """Position after every fill, in event-time order; needs the RocksDB
     state store provider."""
-    d = fills.withWatermark("ts", lateness).groupBy("account", "symbol")
+    d = executed(fills).withWatermark("ts", lateness).groupBy("account", "symbol")
     return d.transformWithStateInPandas(
         statefulProcessor=PositionKeeper(), outputStructType=POSITION_OUT, outputMode="Append", timeMode="eventTime"
     )
