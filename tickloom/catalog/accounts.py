@@ -99,7 +99,8 @@ def _(spark, d):
     return tidy(c.select("account", "seq_no", "ts", "cash"), cash=3)
 
 
-MARKS = f"""{LASTP}, {BARS}, {CASH}, mk AS (SELECT account, symbol, CAST(unnest(generate_series(CAST(date_trunc('month', min(ts)) + INTERVAL 1 MONTH AS TIMESTAMP), CAST((SELECT max(ts) FROM bars) AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS mark_ts FROM fills GROUP BY account, symbol),
+def marks_sql(every):
+    return f"""{LASTP}, {BARS}, {CASH}, mk AS (SELECT account, symbol, CAST(unnest(generate_series(CAST(date_trunc('month', min(ts)) + INTERVAL 1 MONTH AS TIMESTAMP), CAST((SELECT max(ts) FROM bars) AS TIMESTAMP), INTERVAL {every} MONTH)) AS DATE) AS mark_ts FROM fills GROUP BY account, symbol),
   lastst AS (SELECT account, symbol, ts, arg_max(q, rn) AS q, arg_max(avg, rn) AS avg, arg_max(rp, rn) AS rp, arg_max(tc, rn) AS tc FROM run GROUP BY 1, 2, 3),
   ms AS (SELECT m.*, s.q, s.avg, s.rp, s.tc FROM mk m ASOF JOIN lastst s ON m.account = s.account AND m.symbol = s.symbol AND m.mark_ts >= s.ts),
   mp AS (SELECT ms.*, coalesce(b.close, avg) AS px FROM ms ASOF LEFT JOIN bars b ON ms.symbol = b.symbol AND ms.mark_ts >= b.ts),
@@ -109,10 +110,15 @@ MARKS = f"""{LASTP}, {BARS}, {CASH}, mk AS (SELECT account, symbol, CAST(unnest(
   snap AS (SELECT sn.*, 1e6 + lc.flow AS cash FROM sn ASOF JOIN lc ON sn.account = lc.account AND sn.mark_ts >= lc.ts)"""
 
 
-def marked(spark, d):
+MARKS = marks_sql(1)
+# Holdings are many more than accounts, so their features are taken once a year.
+YEARLY = 12
+
+
+def marked(spark, d, every=1):
     r = running(spark, d)
     last = T.table(spark, d, "lineitem").agg(F.to_date(F.max("l_shipdate"))).first()[0]
-    return P.marked_positions(r, T.daily_bars(spark, d), P.month_marks(T.fills(spark, d), last))
+    return P.marked_positions(r, T.daily_bars(spark, d), P.month_marks(T.fills(spark, d), last, every=every))
 
 
 def snaps(spark, d):
@@ -188,17 +194,17 @@ def _(spark, d):
 
 @query(
     "lifecycle_columns", "W39",
-    f"""WITH RECURSIVE {MARKS}, le AS (SELECT account, symbol, ts, arg_max(life, rn) AS life FROM run GROUP BY 1, 2, 3), en AS (SELECT le.account, le.symbol, le.ts, entry FROM le JOIN ent USING (account, symbol, life)),
+    f"""WITH RECURSIVE {marks_sql(YEARLY)}, le AS (SELECT account, symbol, ts, arg_max(life, rn) AS life FROM run GROUP BY 1, 2, 3), en AS (SELECT le.account, le.symbol, le.ts, entry FROM le JOIN ent USING (account, symbol, life)),
     bn AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars),
     pk AS (SELECT *, greatest(max(cash + net) OVER (PARTITION BY account ORDER BY mark_ts), 1e6) AS peak FROM snap),
     m2 AS (SELECT mp.*, CASE WHEN q <> 0 THEN en.entry END AS entry FROM mp ASOF JOIN en ON mp.account = en.account AND mp.symbol = en.symbol AND mp.mark_ts >= en.ts)
-    SELECT mp.account, mp.symbol, {day('mp.mark_ts')} AS mark_ts, round(q * px / (cash + net), 6) AS weight, round(CASE WHEN q = 0 THEN 0 ELSE q * (px - avg) END / (cash + net), 6) AS unrealized_share,
+    SELECT mp.account, mp.symbol, {day('mp.mark_ts')} AS mark_ts, round(q * px / (cash + net), 3) AS weight, round(CASE WHEN q = 0 THEN 0 ELSE q * (px - avg) END / (cash + net), 3) AS unrealized_share,
       round(least(coalesce(CASE WHEN q <> 0 THEN n1.n - n0.n END, 0) / 21.0, 5.0), 6) AS held_scaled, round(1 - (cash + net) / peak, 6) AS drawdown
     FROM m2 mp JOIN pk s ON s.account = mp.account AND s.mark_ts = mp.mark_ts ASOF LEFT JOIN bn n1 ON mp.symbol = n1.symbol AND mp.mark_ts >= n1.ts LEFT JOIN bn n0 ON mp.symbol = n0.symbol AND mp.entry = n0.ts""",
 )
 def _(spark, d):
     cash = P.cash_ledger(T.fills(spark, d), ORDER, capital=1e6)
-    return tidy(P.lifecycle_features(marked(spark, d), cash, T.daily_bars(spark, d), capital=1e6))
+    return tidy(P.lifecycle_features(marked(spark, d, YEARLY), cash, T.daily_bars(spark, d), capital=1e6), weight=3, unrealized_share=3)
 
 
 CTX = f"""{BARS}, cx0 AS (SELECT *, ln(close / lag(close) OVER w) AS lr FROM bars {W}), cx AS (SELECT symbol, ts, close AS ref, volume, coalesce(nullif({full('stddev_pop(lr)', 'lr', 26)}, 0), 0.02) AS sg FROM cx0)"""

@@ -148,11 +148,12 @@ def cash_ledger(
     return d.withColumn("cash", capital + F.col("_flow")).drop("_flow", "_cash_in")
 
 
-def month_marks(fills: DataFrame, last: str) -> DataFrame:
-    """(account, symbol, mark_ts): month starts after the first fill, up to ``last``."""
+def month_marks(fills: DataFrame, last: str, *, every: int = 1) -> DataFrame:
+    """(account, symbol, mark_ts): every so many months from the first month start after
+    the first fill, up to ``last``."""
     first = fills.groupBy(*KEYS).agg(F.min("ts").alias("_first"))
     start, end = F.add_months(F.trunc("_first", "month"), 1), F.lit(last).cast("date")
-    grid = F.when(start <= end, F.sequence(start, end, F.expr("INTERVAL 1 MONTH")))
+    grid = F.when(start <= end, F.sequence(start, end, F.make_ym_interval(months=F.lit(every))))
     return first.select(*KEYS, F.explode(grid).alias("mark_ts"))
 
 

@@ -343,7 +343,7 @@ def cost_sweep(weights: DataFrame, rets: DataFrame, costs_bp: list[float], *, pp
     weight counting as zero: one that leaves the book trades its whole weight on
     the next date.
     """
-    w = weights.select("ts", "symbol", "weight")
+    w = weights.select("ts", "symbol", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     dates = index_series(w.select("ts").distinct(), [], ["ts"], calendar_chunk("ts", 512), rn="_day")
     w = w.join(dates, "ts")
     b = Blocks.lay(w, ["symbol"], ["_day"], lookback=1, lookahead=1)
