@@ -43,7 +43,7 @@ def _(spark, d):
     vol = F.when(F.col("l_orderkey") % 89 == 0, F.lit("bad")).otherwise(F.col("size").cast("string"))
     raw = t.select(
         "symbol", ts.alias("ts"), *[F.col("price").alias(c) for c in B.PRICE_COLUMNS], vol.alias("volume"),
-        F.struct(*T.TICK_ORDER).alias("seq"),
+        F.col("place").alias("seq"),
     )
     return tidy(B.normalize(raw, seq="seq"))
 

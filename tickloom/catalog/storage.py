@@ -155,10 +155,7 @@ _DATES = f"{PANEL}, dts AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn
       (SELECT count(*) FROM panel p WHERE p.ts <= train_end AND target IS NOT NULL) AS n_train, (SELECT count(*) FROM panel p WHERE p.ts BETWEEN pred_start AND pred_end) AS n_pred FROM g""",
 )
 def _(spark, d):
-    p = panel(spark, d).select("ts", "symbol", "target")
-    dates = K.date_index(p)
-    f = K.walk_forward_folds(dates)
-    return tidy(K.fold_sizes(p, f, K.fold_members(p, f, dates, first=277)))
+    return tidy(K.fold_table(panel(spark, d)))
 
 
 def index_of_days(spark, d):
@@ -196,7 +193,7 @@ def _(spark, d):
 @query("walk_forward_model_ic", "C17 A2 S19")
 def _(spark, d):
     p = panel(spark, d)
-    s = K.walk_forward_scores(spark, p, P.FEATURES, refit_every=700, max_iter=5)
+    s = K.walk_forward_scores(spark, p, P.FEATURES, fresh(spark, "ranker"), refit_every=252, max_iter=20)
     return tidy(E.ic_summary(E.rank_ic(s)))
 
 

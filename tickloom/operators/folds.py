@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.series import RN, index_series, calendar_chunk
@@ -19,38 +19,24 @@ def date_index(panel: DataFrame) -> DataFrame:
     return index_series(panel.select("ts").distinct(), [], ["ts"], calendar_chunk("ts", 512))
 
 
-def walk_forward_folds(
-    dates: DataFrame, *, horizon: int = 20, refit_every: int = 21, min_train: int = 252, embargo: int = 5
+def fold_table(
+    panel: DataFrame, *, horizon: int = 20, refit_every: int = 21, min_train: int = 252, embargo: int = 5
 ) -> DataFrame:
-    """fold, train_end, pred_start, pred_end: labels of the training dates are
-    realised, and an embargo has passed, before the first predicted date."""
-    first = min_train + horizon + embargo
-    d = dates.filter(F.col(RN) >= first).withColumn("fold", F.floor((F.col(RN) - first) / refit_every))
-    f = d.groupBy("fold").agg(F.min("ts").alias("pred_start"), F.max("ts").alias("pred_end"), F.min(RN).alias("_start"))
-    cut = dates.select(F.col("ts").alias("train_end"), (F.col(RN) + horizon + embargo + 1).alias("_start"))
-    return f.join(cut, "_start").select("fold", "train_end", "pred_start", "pred_end")
+    """The walk-forward folds with their sizes, in one pass over the panel.
 
-
-def fold_members(panel: DataFrame, folds: DataFrame, dates: DataFrame, *, refit_every: int = 21, first: int) -> DataFrame:
-    """Panel rows to predict, with their fold: an equi-join on the date."""
-    d = dates.filter(F.col(RN) >= first).select("ts", F.floor((F.col(RN) - first) / refit_every).alias("fold"))
-    return panel.join(d, "ts").join(folds.select("fold", "train_end"), "fold")
-
-
-def fold_sizes(panel: DataFrame, folds: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows predicted and usable for training per fold.
-
-    Training sizes are a running count over dates, not a pair of every row
-    with every later fold.
+    Rows combine to two counts a date before the shuffle; all that follows works
+    on one row a date, so its unpartitioned window is bounded by the calendar.
     """
-    from tickloom.operators.series import asof_backward, prefix_scan
-
-    per_day = panel.filter("target IS NOT NULL").groupBy("ts").agg(F.count(F.lit(1)).alias("_n"))
-    run = prefix_scan(per_day, [], ["ts"], calendar_chunk("ts", 512), sums={"n_train": F.col("_n")})
-    run = run.select(F.col("ts").alias("_ts"), "n_train")
-    f = asof_backward(folds, run, keys=[], left_ts="train_end", right_ts="_ts", values=["n_train"])
-    pred = members.groupBy("fold").agg(F.count(F.lit(1)).alias("n_pred"))
-    return f.join(pred, "fold").select("fold", "train_end", "pred_start", "pred_end", "n_train", "n_pred")
+    days = panel.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("labelled"))
+    w = Window.orderBy("ts")
+    upto = F.sum("labelled").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    days = days.select("ts", "n", (F.row_number().over(w) - 1).alias("rn"), upto.alias("upto"))
+    first, gap = min_train + horizon + embargo, horizon + embargo + 1
+    days = days.withColumns({"cut": F.lag("ts", gap).over(w), "known": F.lag("upto", gap).over(w)}).filter(F.col("rn") >= first)
+    return days.groupBy(F.floor((F.col("rn") - first) / refit_every).alias("fold")).agg(
+        F.min_by("cut", "rn").alias("train_end"), F.min("ts").alias("pred_start"), F.max("ts").alias("pred_end"),
+        F.min_by("known", "rn").alias("n_train"), F.sum("n").alias("n_pred"),
+    )
 
 
 def group_bounds(n: int, k: int) -> list[tuple[int, int]]:
@@ -100,32 +86,36 @@ def _role(rn: Column, tests: list[tuple[int, int]], purge: int, embargo: int, n:
 
 
 def walk_forward_scores(
-    spark: SparkSession, panel: DataFrame, features: list[str], *, horizon: int = 20, refit_every: int = 21,
+    spark: SparkSession, panel: DataFrame, features: list[str], folder: str, *, horizon: int = 20, refit_every: int = 21,
     min_train: int = 252, embargo: int = 5, max_iter: int = 50, seed: int = 7,
 ) -> DataFrame:
     """Out-of-sample scores of a boosted-tree model refit per fold.
 
-    Each fit and each scoring is a distributed Spark job; only the fold bounds
-    (one row per refit) reach the driver.  Trees follow the reference depth,
-    step and sampling; leaf growth differs between libraries, so scores agree
-    in information, not in digits.
+    The panel is written once to ``folder``, partitioned by the fold that predicts
+    a date, so a fit reads the earlier folds and a scoring its own; each fold's
+    scores are appended there.  Each fit and each scoring is a distributed Spark
+    job; only the fold bounds (one row per refit) reach the driver.  Trees have
+    the original's depth, step and sampling; leaf growth differs between
+    libraries, so scores agree in information, not in digits.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    vec = VectorAssembler(inputCols=features, outputCol="_x").transform(panel)
-    dates = date_index(panel)
-    bounds = walk_forward_folds(dates, horizon=horizon, refit_every=refit_every, min_train=min_train, embargo=embargo)
+    folds = fold_table(panel, horizon=horizon, refit_every=refit_every, min_train=min_train, embargo=embargo)
+    bounds = folds.orderBy("fold").collect()
+    if not bounds:
+        raise ValueError("not enough dates for one walk-forward fold")
+    starts = F.array(*[F.lit(f.pred_start) for f in bounds])
+    block = F.size(F.filter(starts, lambda s: s <= F.col("ts"))) - 1  # -1 before the first fold
+    kept = panel.select("ts", "symbol", "target", *features).withColumn("_block", block)
+    kept.repartition("_block").write.partitionBy("_block").parquet(folder + "/panel")
+    vec = VectorAssembler(inputCols=features, outputCol="_x").transform(spark.read.schema(kept.schema).parquet(folder + "/panel"))
     gbt = GBTRegressor(
         featuresCol="_x", labelCol="target", predictionCol="score", maxDepth=5, stepSize=0.03, subsamplingRate=0.8,
         featureSubsetStrategy="0.8", minInstancesPerNode=100, maxIter=max_iter, seed=seed,
     )
-    out = None
-    for f in bounds.orderBy("fold").toLocalIterator():
-        train = vec.filter((F.col("ts") <= F.lit(f.train_end)) & F.col("target").isNotNull())
-        pred = vec.filter(F.col("ts").between(F.lit(f.pred_start), F.lit(f.pred_end)))
-        s = gbt.fit(train).transform(pred).select("ts", "symbol", "score", "target")
-        out = s if out is None else out.unionByName(s)
-    if out is None:
-        raise ValueError("not enough dates for one walk-forward fold")
-    return out
+    for i, f in enumerate(bounds):
+        train = vec.filter((F.col("_block") < i) & (F.col("ts") <= F.lit(f.train_end)) & F.col("target").isNotNull())
+        s = gbt.fit(train).transform(vec.filter(F.col("_block") == i)).select("ts", "symbol", "score", "target")
+        s.write.mode("append").parquet(folder + "/scores")
+    return spark.read.parquet(folder + "/scores")

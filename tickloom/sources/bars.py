@@ -24,8 +24,8 @@ def bars_from_ticks(ticks: DataFrame, *, order: list[str], extra: list[Column] |
     """OHLCV per (symbol, ts) from price/size ticks in a total order.
 
     One hash aggregate with map-side combine, so a symbol that holds a third
-    of the tape still shuffles only one row per task and bar.  A tape with a
-    single sequence column aggregates by hash; a composite order by sort.
+    of the tape still shuffles only one row per task and bar.  A single order
+    column of a number type aggregates by hash; a composite one by sort.
     """
     o = F.struct(*order) if len(order) > 1 else F.col(order[0])
     return ticks.groupBy("symbol", "ts").agg(

@@ -7,6 +7,8 @@ bars, fills, the ledger and articles.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def line_order() -> Column:
+    """TICK_ORDER of a line as one number, so that a bar's first and last tick are
+    found by a hash aggregate.  A key out of its range is an error."""
+    fields = [("l_orderkey", 12), ("l_linenumber", 2), ("l_partkey", 8), ("l_suppkey", 7)]
+    out, left = F.round(F.col("l_extendedprice") * 100).cast("decimal(9,0)").cast("decimal(38,0)"), 9
+    for name, digits in reversed(fields):
+        out = out + F.col(name).cast(f"decimal({digits},0)") * F.lit(Decimal(10**left))
+        left += digits
+    return out.cast("decimal(38,0)")
+
+
 def ticks(spark: SparkSession, folder: str, symbol: str = "p_brand") -> DataFrame:
     """symbol, ts, price, size, factor and the tick's total order."""
     li = table(spark, folder, "lineitem")
@@ -29,6 +42,7 @@ def ticks(spark: SparkSession, folder: str, symbol: str = "p_brand") -> DataFram
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
         F.col("l_discount").alias("discount"),
+        line_order().alias("place"),
         *TICK_ORDER,
     )
 
@@ -36,7 +50,7 @@ def ticks(spark: SparkSession, folder: str, symbol: str = "p_brand") -> DataFram
 def daily_bars(spark: SparkSession, folder: str, symbol: str = "p_brand") -> DataFrame:
     """Raw daily bars with an adjusted close below the close by the mean discount."""
     t = ticks(spark, folder, symbol)
-    bars = bars_from_ticks(t, order=TICK_ORDER, extra=[F.avg("discount").alias("_disc")])
+    bars = bars_from_ticks(t, order=["place"], extra=[F.avg("discount").alias("_disc")])
     adj = (F.col("close") * (1 - F.col("_disc"))).alias("adj_close")
     return bars.select("symbol", "ts", "open", "high", "low", "close", adj, "volume")
 
@@ -56,8 +70,9 @@ def intraday_bars(spark: SparkSession, folder: str, minutes: int = 30) -> DataFr
         F.col("event_type").alias("symbol"), "event_id", F.col("value").alias("price"),
         F.lit(1.0).alias("size"), "ts", bar_label(F.col("ts"), minutes).alias("label"),
     )
-    return bars_from_ticks(ev.withColumn("tick_ts", F.col("ts")).withColumn("ts", F.col("label")),
-                           order=["tick_ts", "event_id"])
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(19,0)")
+    place = (micros * F.lit(Decimal(10**18)) + F.col("event_id").cast("decimal(18,0)")).cast("decimal(38,0)")
+    return bars_from_ticks(ev.withColumn("place", place).withColumn("ts", F.col("label")), order=["place"])
 
 
 def bar_label(ts: Column, minutes: int) -> Column:
