@@ -54,6 +54,8 @@ def test_windows_keep_their_spread_at_any_level(spark, level, sd):
     df = spark.createDataFrame(pdf).withColumn("x", F.when(F.col("i") != 50, F.col("x")))
     b = Blocks.lay(df, ["k"], ["ts"], lookback=310, block_rows=200)
     widths = (63, 64, 65, 130, 252, 300)
+    for w in widths:
+        b = b.zscores({f"y{w}": F.col("x")}, w)
     b = b.add(**{f"{n}{w}": f(F.col("x"), w) for w in widths for n, f in (("m", b.mean), ("s", b.std), ("p", b.std_pop), ("z", b.zscore))})
     got = collected(b.close(), "ts")
     clean = pd.Series(np.where(np.isfinite(x) & (np.arange(700) != 50), x, np.nan))
@@ -68,6 +70,7 @@ def test_windows_keep_their_spread_at_any_level(spark, level, sd):
         np.testing.assert_allclose(got[f"p{w}"].to_numpy(float), pop, rtol=1e-5)
         z = np.where(np.isnan(std), np.nan, (x - mean) / (std + 1e-12))
         np.testing.assert_allclose(got[f"z{w}"].to_numpy(float), z, rtol=1e-4, atol=1e-4)
+        np.testing.assert_allclose(got[f"y{w}"].to_numpy(float), z, rtol=1e-4, atol=1e-4)
         assert np.isfinite(std).any()
 
 

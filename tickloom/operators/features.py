@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from tickloom.operators.quality import drop_incomplete
 from tickloom.operators.series import RN, Blocks, ewm_lookback, index_series
@@ -108,35 +106,22 @@ def true_range(b: Blocks) -> Column:
 
 
 def frac_diff(b: Blocks, value: Column, d: float, threshold: float, out: str) -> Blocks:
-    """Fixed-width fractional difference of ``value`` inside the layout.
+    """Fractional differencing of order ``d``: a dot product per full window."""
+    return frac_diffs(b, value, {out: d}, threshold)
 
-    A block (its rows and copies, a bounded number) is one array per row of
-    the aggregate, and the dot products run as one convolution per block: a
-    sliding list of 282 values per row would copy the series 282 times.
-    """
-    w = ffd_weights(d, threshold)
-    b._check(len(w) - 1)
-    kernel = np.array(w)
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def convolve(xs: pd.Series) -> pd.Series:
-        return xs.map(lambda x: _dot(np.array(x, dtype="float64"), kernel))
 
-    row = F.struct(RN, F.struct(*[c for c in b.frame.columns if c not in (*b.part, RN)]).alias("_row"), value.alias("_x"))
-    packed = b.frame.groupBy(*b.part).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    packed = packed.withColumn("_ffd", convolve(F.transform("_rows", lambda r: r["_x"])))
-    flat = packed.select(*b.part, F.inline(F.arrays_zip("_rows", "_ffd")))
-    cols = [F.col(f"_rows._row.{c}").alias(c) for c in b.frame.columns if c not in (*b.part, RN)]
-    frame = flat.select(*b.part, F.col(f"_rows.{RN}").alias(RN), *cols, F.col("_ffd").alias(out))
-    return b._with(frame)
+def frac_diffs(b: Blocks, value: Column, orders: dict[str, float], threshold: float) -> Blocks:
+    """Several orders of one series in one pass: a convolution per block and order."""
+    kernels = [np.array(ffd_weights(d, threshold)) for d in orders.values()]
+    b._check(max(map(len, kernels)) - 1)
+    return b.blockwise([value], list(orders), lambda xs: [_dot(xs[0], k) for k in kernels])
 
 
-def _dot(x: np.ndarray, kernel: np.ndarray) -> list[float | None]:
-    n, k = len(x), len(kernel)
-    if n < k:
-        return [None] * n
-    y = np.convolve(x, kernel[::-1], mode="valid")
-    return [None] * (k - 1) + [None if np.isnan(v) else float(v) for v in y]
+def _dot(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    out = np.full(len(x), np.nan)
+    if len(x) >= len(kernel):
+        out[len(kernel) - 1 :] = np.convolve(x, kernel[::-1], mode="valid")
+    return out
 
 
 def compute_features(bars: DataFrame, cfg: FeatureSettings | None = None) -> DataFrame:
@@ -165,11 +150,11 @@ def _features(bars: DataFrame, cfg: FeatureSettings) -> Blocks:
         macd_hist=F.try_divide(F.col("_macd") - b.ewm(F.col("_macd"), ewm_alpha(span=signal)), c),
         bb_position=bollinger(b, cfg.bollinger_window),
         **ma_distances(b, cfg.ma_windows),
-        **volume_features(b, cfg.zscore_window, cfg.volume_window),
+        volume_ratio=F.try_divide(F.col("volume"), b.mean(F.col("volume"), cfg.volume_window)) - 1.0,
         atr_pct=F.try_divide(b.mean(F.col("_tr"), cfg.atr_window), c),
-        ffd_z=b.zscore(F.col("ffd_log_close"), cfg.zscore_window),
-        **{f"ret_{h}d_z": b.zscore(F.col(f"ret_{h}d"), cfg.zscore_window) for h in cfg.return_horizons},
     )
+    wide = {"volume_z": F.log1p("volume"), "ffd_z": F.col("ffd_log_close")}
+    b = b.zscores(wide | {f"ret_{h}d_z": F.col(f"ret_{h}d") for h in cfg.return_horizons}, cfg.zscore_window)
     layout = [RN, "_home", *b.part]
     made = [f"ret_{h}d" for h in cfg.return_horizons] + ["ffd_log_close"]
     cols = dict.fromkeys([*layout, *keep, *made, *cfg.columns()])
@@ -195,8 +180,7 @@ def min_ffd_order(
     """
     width = max(len(ffd_weights(d, threshold)) for d in candidates)
     b = Blocks.lay(series.select(*keys, order, value), keys, [order], lookback=width)
-    for i, d in enumerate(candidates):
-        b = frac_diff(b, F.col(value), d, threshold, f"_d{i}")
+    b = frac_diffs(b, F.col(value), {f"_d{i}": d for i, d in enumerate(candidates)}, threshold)
     own = b.close(keep_rn=True)
     names = [f"_d{i}" for i in range(len(candidates))]
     long = own.select(*keys, RN, *names).unpivot([*keys, RN], names, "_name", "_y").dropna(subset=["_y"])

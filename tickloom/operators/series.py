@@ -18,10 +18,14 @@ length is bounded by the calendar (bars: one row per key and timestamp).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RN = "_rn"
 # e^-41 < 2^-53: older terms cannot change a double.
@@ -167,6 +171,69 @@ class Blocks:
         """Trailing z-score, this row included in its own statistics."""
         return (c - self.mean(c, n)) / (self.std(c, n) + F.lit(1e-12))
 
+    def zscores(self, columns: dict[str, Column], n: int) -> Blocks:
+        """``zscore`` of several columns over one wide window, as array operations on each block.
+
+        The rule is that of ``mean`` and ``std``; many wide frames cost less this way.
+        """
+        self._check(n - 1)
+
+        def fn(xs: list[np.ndarray]) -> list[np.ndarray]:
+            out = []
+            for x in xs:
+                x = np.where(np.isfinite(x), x, np.nan)
+                z = np.full(len(x), np.nan)
+                if len(x) >= n:
+                    w = np.lib.stride_tricks.sliding_window_view(x, n)
+                    mean = w.mean(1)
+                    dev = w - mean[:, None]
+                    z[n - 1 :] = (x[n - 1 :] - mean) / (np.sqrt(np.einsum("ij,ij->i", dev, dev) / (n - 1)) + 1e-12)
+                out.append(z)
+            return out
+
+        return self.blockwise(list(columns.values()), list(columns), fn)
+
+    def blockwise(self, inputs: list[Column], outs: list[str], fn: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Blocks:
+        """Append double columns that ``fn`` makes of a block's values in row order.
+
+        NULL is NaN on the way in and NaN is NULL on the way out.  Blocks are
+        read one after the other from the sorted layout, so the cost of a task's
+        memory is one block and one Arrow batch; nothing is shuffled.
+        """
+        names = self.frame.columns
+        given = [f"_in{i}" for i in range(len(inputs))]
+        d = self.frame.withColumns({g: c.cast("double") for g, c in zip(given, inputs)} | {"_gid": F.xxhash64(*self.part)})
+        d = d.sortWithinPartitions(*self.part, RN).select(*names, *given, "_gid")
+        schema = T.StructType([*self.frame.schema.fields, *(T.StructField(o, T.DoubleType()) for o in outs)])
+        n, labels = len(names), [*names, *outs]
+
+        def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            gid = t.column(n + len(given)).to_numpy()
+            xs = [t.column(n + i).to_numpy() for i in range(len(given))]
+            cuts = [0, *(np.flatnonzero(gid[1:] != gid[:-1]) + 1), len(gid)]
+            parts = [fn([x[a:b] for x in xs]) for a, b in zip(cuts, cuts[1:])]
+            cols = [np.concatenate([p[i] for p in parts]) for i in range(len(outs))]
+            made_ = [pa.array(c, mask=np.isnan(c)) for c in cols]
+            yield from pa.Table.from_arrays([*t.columns[:n], *made_], labels).combine_chunks().to_batches()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                gid = batch.column(n + len(given)).to_numpy()
+                starts = np.flatnonzero(gid != gid[-1])
+                cut = int(starts[-1]) + 1 if len(starts) else 0
+                before = int(held[-1].column(n + len(given))[-1].as_py() != gid[0]) if held else 0
+                if before or cut:
+                    yield from made(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held = []
+                held.append(batch.slice(cut))
+            if held:
+                yield from made(pa.Table.from_batches(held))
+
+        return self._with(d.mapInArrow(run, schema))
+
     def ewm(self, x: Column, alpha: float, *, seed: str = "first") -> Column:
         """Recursive mean ``y = (1-alpha)*y + alpha*x`` as one running sum.
 
