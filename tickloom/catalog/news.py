@@ -10,6 +10,9 @@ from tickloom.catalog.base import query, tidy
 from tickloom.catalog.sqlbits import ARTICLES, day, stamp
 from tickloom.functions import text as X
 from tickloom.operators import news as N
+from tickloom.plans import chains as C
+from tickloom.session import fresh
+from tickloom.sources import news_store as S
 from tickloom.settings import NewsSettings
 from tickloom.sources import tables as T
 
@@ -211,6 +214,48 @@ def _(spark, d):
     return tidy(m.select("macro", "macro_articles", "total_articles", src.alias("sources")))
 
 
+@query(
+    "archive_append", "S9",
+    f"""WITH {ARTICLES}, f AS (SELECT DISTINCT uid FROM articles WHERE doc_id % 3 <> 0), a AS (SELECT DISTINCT uid FROM articles)
+    SELECT (SELECT count(*) FROM f) AS first_added, (SELECT count(*) FROM a WHERE uid NOT IN (SELECT uid FROM f)) AS then_added, 0 AS again_added, (SELECT count(*) FROM a) AS n_archived""",
+)
+def _(spark, d):
+    root, a = fresh(spark, "news"), T.articles(spark, d)
+    at = lambda day: F.lit(day).cast("timestamp")
+    one = a.filter("doc_id % 3 <> 0").drop("doc_id").withColumn("collected_at", at("2024-02-01"))
+    two = a.drop("doc_id").withColumn("collected_at", at("2024-02-02"))
+    n = [S.append_articles(spark, root, x) for x in (one, two, two)]
+    total = S.articles_since(spark, root).agg(F.count(F.lit(1)).alias("n_archived"))
+    return tidy(total.select(*[F.lit(x).cast("long").alias(c) for x, c in zip(n, ("first_added", "then_added", "again_added"))], "n_archived"))
+
+
+@query(
+    "archive_since", "S8 S9 J2",
+    f"""WITH {ARTICLES}, f AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS side FROM articles),
+    m AS (SELECT uid, arg_min(url, row(side, ts, title, url)) AS url, arg_min(ts, row(side, ts, title, url)) AS ts, array_to_string(coalesce(list_sort(list_distinct(flatten(list(symbols)))), []), ',') AS symbols FROM f GROUP BY uid)
+    SELECT uid, url, {stamp('ts')} AS ts, symbols FROM m WHERE ts >= TIMESTAMP '2024-01-11 00:00:00'""",
+)
+def _(spark, d):
+    root, a = fresh(spark, "news"), T.articles(spark, d)
+    for side, day in (("doc_id % 3 <> 0", "2024-02-01"), ("doc_id % 3 = 0", "2024-02-02")):
+        S.append_articles(spark, root, a.filter(side).drop("doc_id").withColumn("collected_at", F.lit(day).cast("timestamp")))
+    out = S.articles_since(spark, root, "2024-01-11 00:00:00")
+    return tidy(out.select("uid", "url", "ts", F.array_join("symbols", ",").alias("symbols")))
+
+
+@query(
+    "news_pipeline", "C25 C26 S8 S9 S15 D9",
+    f"""WITH {SIGNAL} SELECT '2024-01-15T12:00:00Z' AS as_of, symbol, round(score, 6) AS score, round(relative, 6) AS relative, round(raw, 6) AS raw_score, n AS articles, round(weight, 6) AS weight, md5(top) AS top_md5 FROM sig""",
+)
+def _(spark, d):
+    """Feed bodies aside, the whole way: collected articles, archive, signal, published document, read back; run twice."""
+    root = fresh(spark, "news")
+    added = [C.news(spark, articles(spark, d), root, AS_OF, cfg=CFG, lex=LEX, label=False) for _ in range(2)]
+    rows, _head = S.read_signal(spark, f"{root}/signal")
+    again = F.lit(added[1]) == 0
+    return tidy(rows.filter(again).select("as_of", "symbol", "score", "relative", "raw_score", "articles", "weight", F.md5("top_headline").alias("top_md5")))
+
+
 @query(
     "universe_tone", "A48",
     f"WITH {SIGNAL} SELECT round(avg(score), 6) AS mean_score, round(avg(relative), 6) AS mean_relative, count(*) FILTER (score < 0) AS n_negative, count(*) AS n_symbols FROM sig",

@@ -1,7 +1,5 @@
 """Stores, histories, artefacts, folds, model scores and noise bars."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tickloom.catalog.base import query, tidy
@@ -13,17 +11,13 @@ from tickloom.operators import evaluate as E
 from tickloom.operators import folds as K
 from tickloom.operators import panel as P
 from tickloom.operators.series import RN
-from tickloom.session import shared_folder
+from tickloom.session import fresh
 from tickloom.sources import bars as B
 from tickloom.sources import noise as Z
 from tickloom.sources import state as S
 from tickloom.sources import tables as T
 
 
-def fresh(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "bar_store_upsert", "S5 S6 S7 D1 ST4",
     f"""{with_(BARS)} SELECT symbol, CAST(year(ts) AS BIGINT) AS year, count(*) AS n_bars, round(sum(CASE WHEN year(ts) = 1997 THEN close * 2 ELSE close END), 4) AS close_sum

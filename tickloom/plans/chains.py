@@ -1,12 +1,17 @@
-"""The two standing chains: bars to coefficients, and bars to costed fills."""
+"""The standing chains: bars to coefficients, bars to costed fills, articles to a published signal."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.functions.text import Lexicon, NameBook, label_articles, score_articles
 from tickloom.operators import alpha, decisions, evaluate, panel, positions, sizing
+from tickloom.operators import news as N
 from tickloom.settings import AlphaSettings, CostSettings, NewsSettings, SizingSettings
+from tickloom.sources.news_store import append_articles, articles_since, publish_signal, signal_document
 
 
 def research(bars: DataFrame, bench: DataFrame, *, score: Column, horizon: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -43,3 +48,26 @@ def fills(
     orders = d.select("symbol", "ts", "reason", delta.alias("quantity")).filter("quantity <> 0")
     due = decisions.next_bar_fill(orders, bars, price="close").filter("fill_ts IS NOT NULL")
     return positions.costed_fills(due.drop("ts", "fill_price").withColumnRenamed("fill_ts", "ts"), positions.bar_context(bars), cost_cfg)
+
+
+def news(
+    spark: SparkSession, articles: DataFrame, root: str, as_of: str, *, cfg: NewsSettings | None = None, lex: Lexicon | None = None,
+    book: NameBook | None = None, universe: list[str] | None = None, label: bool = True,
+) -> int:
+    """Collected articles to a published signal: dedupe, label, archive, read back, score, publish.
+
+    The signal is rebuilt from the archive over the look-back, not from what was
+    just collected.  Returns the number of newly archived articles; a second run
+    over the same articles archives none and publishes the same document.
+    """
+    cfg = cfg or NewsSettings()
+    now = F.lit(as_of).cast("timestamp")
+    d = N.dedupe(articles.filter(F.col("ts") < now))
+    if label:
+        d = label_articles(d, book, universe)
+    added = append_articles(spark, root, d.withColumn("collected_at", now))
+    since = datetime.fromisoformat(as_of) - timedelta(days=cfg.max_age_days + 1)
+    usable = N.at_instant(articles_since(spark, root, since.isoformat(sep=" ")), now, cfg.max_age_days)
+    ev = N.evidence(score_articles(usable, lex), cfg)
+    publish_signal(signal_document(N.symbol_signal(ev, cfg), N.macro_signal(ev, cfg)), f"{root}/signal")
+    return added

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError(f"spark.checkpoint.dir names no shared folder, and {master} has several machines")
         path = os.environ["TICKLOOM_TEST_SHARED"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return path.rstrip("/")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
