@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.catalog.base import query, tidy
 from tickloom.catalog.features import W, full
 from tickloom.catalog.panel import zsql
-from tickloom.catalog.sqlbits import BARS, day, with_
+from tickloom.catalog.sqlbits import BARS, INTRADAY, day, stamp, with_
 from tickloom.operators import alpha as A
 from tickloom.operators import decisions as D
 from tickloom.operators import sizing as S
@@ -16,15 +16,20 @@ from tickloom.sources import tables as T
 CFG = AlphaSettings(bars_per_day=1)
 SIZE = SizingSettings(bars_per_year=252, min_dollar_volume=30_000.0)
 
-ALPHA = f"""{BARS}, a0 AS (SELECT *, ln(close / lag(close) OVER w) AS lr, close * volume AS dv, row_number() OVER w AS rn FROM bars {W}),
-  a1 AS (SELECT ts, symbol, close, rn, close / lag(close, 3) OVER w - 1 AS rev, close / lag(close, 20) OVER w - 1 AS mom0,
-    {full('stddev_pop(lr)', 'lr', 10)} AS vol, {full('median(dv)', 'dv', 10)} AS dollar_volume FROM a0 {W}),
-  a2 AS (SELECT ts, symbol, close, rev, mom0 / vol AS mom, vol, dollar_volume, ln(dollar_volume) AS liq FROM a1 WHERE rn >= 22 AND vol > 0),
+def alpha_sql(source, table, rev, mom, vol):
+    """Composite score over ``table`` with look-backs in bars."""
+    return f"""{source}, a0 AS (SELECT *, ln(close / lag(close) OVER w) AS lr, close * volume AS dv, row_number() OVER w AS rn FROM {table} {W}),
+  a1 AS (SELECT ts, symbol, close, rn, close / lag(close, {rev}) OVER w - 1 AS rev, close / lag(close, {mom}) OVER w - 1 AS mom0,
+    {full('stddev_pop(lr)', 'lr', vol)} AS vol, {full('median(dv)', 'dv', vol)} AS dollar_volume FROM a0 {W}),
+  a2 AS (SELECT ts, symbol, close, rev, mom0 / vol AS mom, vol, dollar_volume, ln(dollar_volume) AS liq FROM a1 WHERE rn >= {max(mom, vol) + 2} AND vol > 0),
   a3 AS (SELECT *, count(*) OVER (PARTITION BY ts) AS n FROM a2),
   a4 AS (SELECT *, -1.0 * ({zsql('rev')}) + 0.6 * ({zsql('mom')}) - 0.3 * ({zsql('vol')}) + 0.15 * ({zsql('liq')}) AS raw FROM a3 WHERE n >= 2),
   a5 AS (SELECT *, raw - avg(raw) OVER (PARTITION BY ts) AS c FROM a4),
   alpha AS (SELECT ts, symbol, close, vol, dollar_volume, CASE WHEN stddev_pop(c) OVER (PARTITION BY ts) > 0 THEN c / stddev_pop(c) OVER (PARTITION BY ts) ELSE c END AS score FROM a5)"""
 
+
+ALPHA = alpha_sql(BARS, "bars", 3, 20, 10)
+
 SIZED = f"""{ALPHA},
   s0 AS (SELECT ts, symbol, score, vol, row_number() OVER (PARTITION BY ts, sign(score) ORDER BY abs(score) DESC, symbol) AS k,
     count(*) OVER (PARTITION BY ts, sign(score)) AS m FROM alpha WHERE vol > 0 AND dollar_volume >= 30000 AND score <> 0),
@@ -53,6 +58,26 @@ def _(spark, d):
     return tidy(alpha(spark, d), score=5, dollar_volume=3)
 
 
+@query(
+    "composite_score_intraday", "W21 W22 A29 F40 P12",
+    f"WITH {alpha_sql(INTRADAY, 'ibars', 39, 260, 130)} SELECT {stamp('ts')} AS ts, symbol, round(score, 5) AS score, round(vol, 6) AS vol, round(dollar_volume, 3) AS dollar_volume FROM alpha",
+)
+def _(spark, d):
+    """The score at its default of 13 bars a day, on half-hour bars."""
+    return tidy(A.score_cross_section(T.intraday_bars(spark, d), AlphaSettings()), score=5, dollar_volume=3)
+
+
+@query(
+    "price_level_zscore", "W8",
+    f"""{with_(BARS)} SELECT symbol, {day('ts')} AS ts, round((x - ({full('avg(x)', 'x', 252)})) / (({full('stddev_samp(x)', 'x', 252)}) + 1e-12), 4) AS z
+    FROM (SELECT symbol, ts, 1e6 + close / 1e4 AS x FROM bars)""",
+)
+def _(spark, d):
+    """A small spread on a high level keeps its z-score at a wide window."""
+    b = Blocks.lay(bars(spark, d).select("symbol", "ts", "close"), ["symbol"], ["ts"], lookback=252)
+    return tidy(b.add(z=b.zscore(1e6 + F.col("close") / 1e4, 252)).close().select("symbol", "ts", "z"), z=4)
+
+
 @query(
     "decision_breadth", "P13",
     f"WITH {ALPHA} SELECT {day('ts')} AS ts, count(*) AS n_names, round(sum(score), 4) AS total FROM alpha GROUP BY ts HAVING count(*) >= 20",
