@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.base import query, tidy
 from tickloom.catalog.features import W, full
-from tickloom.catalog.sqlbits import BARS, BENCH, day, with_
+from tickloom.catalog.sqlbits import BARS, BENCH, day
 from tickloom.operators import evaluate as E
 from tickloom.operators import panel as P
 from tickloom.sources import tables as T

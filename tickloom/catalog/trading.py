@@ -114,7 +114,7 @@ _COMPANY = "co AS (SELECT 'Brand#' || CAST(g AS VARCHAR) AS symbol, sin(g) AS re
 
 
 def signal_of(spark, d):
-    """A company tone per symbol from the supplier table: one row per brand."""
+    """A company tone per symbol from the part table: one row per brand."""
     p = T.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
     n = F.substring_index("symbol", "#", -1).cast("double")
     return p.select("symbol", F.sin(n).alias("relative"))

@@ -143,9 +143,3 @@ def score_saturation(scores: DataFrame) -> DataFrame:
         F.avg((a > 0.99).cast("double")).alias("frac_saturated"), F.stddev_pop(a).alias("conviction_std")
     )
     return d.withColumn("alarm", (F.col("frac_saturated") > 0.5) | (F.col("conviction_std") < 0.05))
-
-
-def log_floor(r: Column) -> Column:
-    return F.ln(F.greatest(1.0 + r, F.lit(1e-8)))
-
-

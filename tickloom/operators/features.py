@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.quality import drop_incomplete
-from tickloom.operators.series import RN, Blocks, ewm_lookback, index_series
+from tickloom.operators.series import RN, Blocks, ewm_lookback
 from tickloom.settings import TRADING_DAYS, FeatureSettings, ewm_alpha
 
 ANNUAL = math.sqrt(TRADING_DAYS)
@@ -164,9 +164,10 @@ def _features(bars: DataFrame, cfg: FeatureSettings) -> Blocks:
 def build_dataset(bars: DataFrame, cfg: FeatureSettings | None = None) -> DataFrame:
     """Complete feature rows after the warm-up (short symbols keep all rows)."""
     cfg = cfg or FeatureSettings()
-    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    own = _features(index_series(bars, ["symbol"], ["ts"]).withColumn("_n", n), cfg).close(keep_rn=True)
-    warm = own.filter((F.col(RN) >= cfg.warmup) | (F.col("_n") <= cfg.warmup)).drop("_n", RN)
+    own = _features(bars, cfg).close(keep_rn=True)
+    n = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= cfg.warmup)
+    short = own.join(n, "symbol", "left").withColumn("_short", F.col("_n").isNotNull())
+    warm = short.filter((F.col(RN) >= cfg.warmup) | F.col("_short")).drop("_n", "_short", RN)
     return drop_incomplete(warm, cfg.columns())
 
 

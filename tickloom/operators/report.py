@@ -421,16 +421,12 @@ def day_pnl_base(ledger: DataFrame, today: str) -> DataFrame:
     )
 
 
-def aligned_by_position(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two series joined by row number, cut to the shorter."""
-    x = Blocks.lay(a, [], ["ts"], lookback=0).close(keep_rn=True)
-    y = Blocks.lay(b, [], ["ts"], lookback=0).close(keep_rn=True).select("_rn", F.col("equity").alias("bench"))
-    return x.join(y, "_rn")
-
-
 def session_ids(df: DataFrame, *, keys: list[str], gap_minutes: int) -> DataFrame:
-    """Session number per key: a new one after a gap longer than allowed."""
-    b = Blocks.lay(df, keys, ["ts"], lookback=1)
+    """Session number per key: a new one after a gap longer than allowed.
+
+    A key's events are numbered in chunks of days, so a hot key is many tasks.
+    """
+    b = Blocks.lay(df, keys, ["ts"], lookback=1, chunk=calendar_chunk("ts", 8))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     new = F.coalesce(us - b.lag(us, 1) > gap_minutes * 60_000_000, F.lit(True)).cast("long")
     d = b.add(_new=new).close()
