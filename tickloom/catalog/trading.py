@@ -183,7 +183,7 @@ def book(spark, d):
     b = bars(spark, d).select("ts", "symbol", F.col("close").alias("price"), (F.col("high") * 1.2).alias("avg_price"))
     dom = F.dayofmonth("ts")
     k = alpha(spark, d).join(b, ["ts", "symbol"]).withColumns({
-        "conviction": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / 3)), "quantity": F.when(dom % 3 == 0, F.when(dom % 2 == 0, 10.0).otherwise(-10.0)).otherwise(0.0),
+        "conviction": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score") / 3)), "quantity": F.when(dom % 3 == 0, F.when(dom % 2 == 0, 10.0).otherwise(-10.0)).otherwise(0.0), "held": dom % 3 == 0,
         "daily_vol": F.col("vol"), "cooling": dom % 7 == 0, "is_flatten": dom == 28, "entries_ok": dom <= 25})
     return D.book_actions(k, BookSettings())
 
