@@ -34,7 +34,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 NONE = 1 << 30
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 64
 
 
