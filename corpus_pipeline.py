@@ -18,6 +18,9 @@ from tickloom.llm.queries import vocabulary
 # verified by 12 bits of a second fingerprint.
 NEAR = {"words": 5, "radius": 10, "verify": 12}
 
+# Rows that agree in id and text are interchangeable.
+MIX = {"ties": ["text"]}
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the newest policy keeps; a null text has no words and goes."""
@@ -44,13 +47,17 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, in which every source keeps its target share."""
-    return mixing.mixed(docs, ties=["text"])
+    return mixing.mixed(docs, **MIX)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, n_tokens, ids): the token ids of every document."""
+    """(doc_id, source, lang, place, n_tokens, ids): the token ids of every document, in the order of the mixture.
+
+    A scan doesn't keep the order of the files it reads, so ``place`` is worked
+    out again from the rows, by the schedule the mixture was written in.
+    """
     keep = docs.select(*[c for c in ("doc_id", "source", "lang", "text") if c in docs.columns])
-    return bpe.encode_documents(keep, vocabulary()).drop("text")
+    return bpe.encode_documents(mixing.placed(keep, **MIX), vocabulary()).drop("text")
 
 
 STAGES = [
@@ -66,8 +73,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
+    """Apply all stages to ``documents``; the rows come in the order of the mixture."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
-    return docs
+    return docs.orderBy("place")

@@ -5,8 +5,10 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from tickloom.llm import mixing
 from tickloom.llm import rules as R
 from tickloom.llm import secrets as S
+from tickloom.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,6 +58,25 @@ def test_run_equals_brute_force(spark):
         assert list(got[d].ids) == tok.encode(text, add_special_tokens=False).ids and got[d].source == source and got[d].n_tokens == len(got[d].ids)
 
 
+def test_rows_come_in_the_order_of_the_mixture(spark, request):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else the rows are one file
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    sources = ["hot"] * 400 + [f"s{i % 5}" for i in range(300)] + [None] * 20
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 50), s) for i, s in enumerate(sources)], "doc_id long, text string, source string").repartition(7)
+    want = [(r.doc_id, r.place) for r in mixing.scheduled(docs, **P.MIX).orderBy("place").collect()]
+    files = written(P.mixture(spark, docs, SF), "mix")
+    stored = files.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    assert [r.doc_id for r in stored] == [d for d, _ in want] and len({r.file_name for r in stored}) > 1
+    out = written(P.tokens(spark, files, SF), "tokens")
+    got = out.select("doc_id", "place", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    assert [(r.doc_id, r.place) for r in got] == want
+
+
+def test_run_keeps_the_places(spark):
+    places = [r.place for r in P.run(spark, SF).select("place").collect()]
+    assert places == sorted(set(places)) and len(places) > 50
+
+
 def long_text(seed, n=80):
     rng = random.Random(seed)
     return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))

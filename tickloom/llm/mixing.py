@@ -142,10 +142,18 @@ def names(df: DataFrame) -> dict[str, str]:
     return {c: spare(df, c) for c in ("block", "release", "deadline", "slot", "place")}
 
 
-def mixed(df: DataFrame, **how) -> DataFrame:
-    """All rows of ``df`` laid out in mixture order: partitions by ranges of ``place``, sorted within."""
+def placed(df: DataFrame, **how) -> DataFrame:
+    """``df`` with its ``place`` appended, laid out in that order: partitions by ranges, sorted within.
+
+    A place depends on the rows alone, not on how they are stored.
+    """
     out, place = scheduled(df, **how), names(df)["place"]
-    return out.repartitionByRange(place).sortWithinPartitions(place).select(*df.columns)
+    return out.select(*df.columns, place).repartitionByRange(place).sortWithinPartitions(place)
+
+
+def mixed(df: DataFrame, **how) -> DataFrame:
+    """All rows of ``df`` in mixture order."""
+    return placed(df, **how).select(*df.columns)
 
 
 def oracle_sql(period: int = PERIOD, block_rows: int = BLOCK_ROWS) -> str:
