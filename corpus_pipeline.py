@@ -14,9 +14,9 @@ from tickloom.llm import bpe, mixing, rules, secrets, simhash
 from tickloom.llm.common import spare, table, written
 from tickloom.llm.queries import vocabulary
 
-# Near-duplicates on five-word shingles: 10 of 64 bits (a similarity of 0.84),
-# verified by 12 bits of a second fingerprint.
-NEAR = {"words": 5, "radius": 10, "verify": 12}
+# Near-duplicates share 0.8 of their five-word shingles, counted exactly; candidates agree in a
+# band of least hashes, or in all but 10 of 64 bits and all but 12 of a second fingerprint.
+NEAR = {"words": 5, "radius": 10, "verify": 12, "jaccard": 0.8}
 
 # Rows that agree in id and text are interchangeable.
 MIX = {"ties": ["text"]}

@@ -58,6 +58,20 @@ def test_run_equals_brute_force(spark):
         assert list(got[d].ids) == tok.encode(text, add_special_tokens=False).ids and got[d].source == source and got[d].n_tokens == len(got[d].ids)
 
 
+def test_near_duplicates_share_their_shingles(spark):
+    """The second stage against all pairs: links are pairs of exact similarity 0.8, neither fewer nor more."""
+    docs = P.quality(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    sets = [set(zip(*(t.encode().lower().split()[i:] for i in range(5)))) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert {r.doc_id for r in P.near_duplicates(spark, docs, SF).collect()} == {rows[i][0] for i, g in enumerate(group) if g == i}
+
+
 def test_rows_come_in_the_order_of_the_mixture(spark, request):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else the rows are one file
     request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))

@@ -91,6 +91,46 @@ def test_query_equals_all_pairs(spark):
     assert got == {r.doc_id: (f"{f:016x}", c) for r, f, c in zip(docs, fps, low)}
 
 
+def edited_pairs(each=120, n=200):
+    """(text, copy) pairs; k words of the copy are new, so 5 k of the n - 4 shingles are."""
+    rng = np.random.default_rng(3)
+    for k in (3, 4, 5, 6):
+        for _ in range(each):
+            words = ["".join(x) for x in rng.choice(list("abcdefghijkl"), (n, 6))]
+            copy = list(words)
+            for at in rng.choice(np.arange(1, n // 8 - 1), k, replace=False):
+                copy[8 * at] = "".join(rng.choice(list("mnopq"), 9))
+            yield " ".join(words), " ".join(copy)
+
+
+def test_similarity_decides(spark):
+    pairs = list(edited_pairs())
+    sets = [[set(zip(*(t.split()[i:] for i in range(5)))) for t in p] for p in pairs]
+    alike = [len(a & b) / len(a | b) >= 0.8 for a, b in sets]
+    assert 0 < sum(alike) < len(alike)
+    df = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    low = {r.doc_id: r.component_id for r in H.grouped(df, words=5, radius=10, verify=12, jaccard=0.8).collect()}
+    linked = [low[2 * i] == low[2 * i + 1] for i in range(len(pairs))]
+    recall, false = sum(x and y for x, y in zip(linked, alike)) / sum(alike), sum(x and not y for x, y in zip(linked, alike))
+    print("recall", recall, "of", sum(alike), "false", false, "of", len(alike) - sum(alike))
+    assert recall >= 0.95 and false == 0 and len(low) == 2 * len(pairs)
+
+
+def test_a_failed_star_hides_no_pair(spark):
+    """b and c are alike, the least set of their bands like neither of them."""
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words[: 120 - cut] + [f"x{cut}_{i}" for i in range(cut)]) for cut in (0, 4, 8, 12, 16, 20, 24, 28, 32)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    keys = [set(H.band_keys(H.shingle_set(t, 5))) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in [(i, j) for i in group for j in range(i) if keys[i] & keys[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]:
+        group = [group[j] if g == group[i] else g for g in group]
+    low = {g: min(i for i in range(len(group)) if group[i] == g) for g in group}
+    got = {r.doc_id: r.component_id for r in H.grouped(df, words=5, radius=10, verify=12, jaccard=0.8).collect()}
+    assert got == {i: low[g] for i, g in enumerate(group)}
+
+
 def test_odd_rows(spark):
     rows = [(3, "a b c d", 1), (3, "a b c d", 1), (1, "A  b\tc d", 2), (7, None, 3), (5, "", 4), (None, "x y z", 5), (9, "x y z", 6), (None, "q r s t", 7), (11, "lone words here now", 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")

@@ -16,6 +16,11 @@ all pairs.
 
 For a large radius a second fingerprint with another hash seed can verify what
 the search finds: unrelated texts among very many then don't link by chance.
+
+A fingerprint tells a similarity only roughly.  Where the similarity itself
+decides (``jaccard``), candidates come from the fingerprints and from bands of
+least shingle hashes, and a link is a pair whose shingle sets are that similar,
+counted exactly.
 """
 
 from __future__ import annotations
@@ -40,6 +45,9 @@ PIECE = 1 << 16
 ROW_COST = 300.0
 # Rows of a bucket that one task compares among themselves.
 BUCKET_ROWS = 20_000
+# Bands of least hashes and hashes in each: a pair of similarity 0.8 shares one with 0.992.
+BANDS, BAND_ROWS = 16, 6
+_MIX = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -76,6 +84,37 @@ def fingerprinted(df: DataFrame, text: str = "text", out: str = "fp", words: int
     return append_arrow(df, [text], [(out, T.LongType())], make)
 
 
+def shingle_set(text: str, words: int, seed: int = 44) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles; none without words."""
+    found = text.encode().lower().split()
+    shingles = {b" ".join(x) for x in zip(*(found[i:] for i in range(words)))} if len(found) >= words else {b" ".join(found)} if found else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in shingles), np.uint64, len(shingles)))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A number for each band of least hashes, as signed 64-bit; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[i : i + 1024, None] * _MIX[0] + _MIX[1]).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return [x - (1 << 64) if x >> 63 else x for x in keys]
+
+
+def banded(df: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """Append ``sig``, the name of the text's shingle set, and ``bands``."""
+
+    def make():
+        def fn(column: pa.Array):
+            sets = [shingle_set(t, words) for t in texts_of(column)]
+            return [pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+
+        return fn
+
+    return append_arrow(df, [text], [("sig", T.StringType()), ("bands", T.ArrayType(T.LongType()))], make)
+
+
 # ---------------------------------------------------------------- statistics
 
 
@@ -307,26 +346,108 @@ def _split(fps: DataFrame, rows: DataFrame, p: Plan) -> DataFrame:
 # ------------------------------------------------------------------- groups
 
 
-def grouped(df: DataFrame, id_: str = "doc_id", text: str = "text", *, words: int = 3, radius: int = 2, verify: int | None = None) -> DataFrame:
+def fp_links(low: DataFrame, radius: int, verify: int | None) -> DataFrame | None:
+    """(node, root) of the distinct (fp, second) of ``low`` that link to any other; None for a single one."""
+    s = bit_stats(low)
+    if s.n > 1:
+        return components(links(low, radius, plan(s, radius), BITS if verify is None else verify).distinct())
+    return None
+
+
+def grouped(
+    df: DataFrame, id_: str = "doc_id", text: str = "text", *, words: int = 3, radius: int = 2, verify: int | None = None, jaccard: float | None = None
+) -> DataFrame:
     """(id, fp, component_id) for every row: the least id reachable over links of ``radius`` bits.
 
     With ``verify``, a link also needs at most so many differing bits of a second
-    fingerprint.  Repeated rows and ids give repeated rows.  Null text is empty;
+    fingerprint.  With ``jaccard``, those links and shared bands are candidates,
+    and a link is a candidate whose shingle sets are at least so similar.
+    Repeated rows and ids give repeated rows.  Null text is empty;
     texts without words share the fingerprint 0, which links like any other.
     Null ids don't name a component; where a component has no other, its id is null.
     """
     seen = fingerprinted(df.select(F.col(id_).alias("id"), F.col(text).alias("text")), words=words)
     seen = seen.withColumn("second", F.lit(0).cast("long")) if verify is None else fingerprinted(seen, out="second", words=words, seed=43)
+    if jaccard is not None:
+        seen = banded(seen, words).withColumn("digest", digest(F.col("text")))
+        seen = written(seen.drop("text"), "fp")
+        low = _similar(df.select(F.col(text).alias("text")), seen, words, radius, verify, jaccard)
+        return seen.join(low, "sig").select(F.col("id").alias(id_), "fp", F.col("low").alias("component_id"))
     seen = written(seen.drop("text"), "fp")
     low = written(seen.groupBy("fp", "second").agg(F.min("id").alias("low")), "low")
-    s = bit_stats(low)
-    if s.n > 1:
-        parts = components(links(low, radius, plan(s, radius), BITS if verify is None else verify).distinct())
-        member = low.withColumn("node", node(F.col("fp"), F.col("second"))).join(parts, "node")
-        least = member.groupBy("root").agg(F.min("low").alias("least"))
-        named = member.join(least, "root").select("fp", "second", "least")
-        low = low.join(named, ["fp", "second"], "left").select("fp", "second", F.coalesce("least", "low").alias("low"))
-    return seen.join(low, ["fp", "second"]).select(F.col("id").alias(id_), "fp", F.col("low").alias("component_id"))
+    parts = fp_links(low, radius, verify)
+    if parts is not None:
+        low = _least(low.withColumn("node", node(F.col("fp"), F.col("second"))), parts)
+    return seen.join(low.select("fp", "second", "low"), ["fp", "second"]).select(F.col("id").alias(id_), "fp", F.col("low").alias("component_id"))
+
+
+def digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _least(low: DataFrame, parts: DataFrame) -> DataFrame:
+    """``low`` (node, low, ...) with the least ``low`` of each node's component."""
+    member = low.select("node", "low").join(parts, "node")
+    least = member.groupBy("root").agg(F.min("low").alias("least"))
+    named = member.join(least, "root").select("node", "least")
+    return low.join(named, "node", "left").withColumn("low", F.coalesce("least", "low")).drop("least")
+
+
+def _similar(texts: DataFrame, seen: DataFrame, words: int, radius: int, verify: int | None, jaccard: float) -> DataFrame:
+    """(sig, low): the least id of each shingle set's component over verified links.
+
+    Each candidate group (the sets of a fingerprint component, or of a band) is
+    first a star at its least member, so there are about as many pairs as sets.
+    Where a pair of a star fails, other pairs of its groups may still be similar:
+    there all pairs that aren't connected yet are compared as well.
+    """
+    nodes = written(seen.groupBy("sig").agg(F.min("id").alias("low"), F.min("digest").alias("digest"), F.any_value("bands").alias("bands")), "sets")
+    in_bands = nodes.select("sig", F.explode("bands").alias("group"))
+    stars = _star(in_bands)
+    prints = seen.select("fp", "second").distinct()
+    parts = fp_links(written(prints, "prints"), radius, verify)
+    if parts is not None:
+        named = seen.select("sig", node(F.col("fp"), F.col("second")).alias("node")).distinct().join(parts, "node", "left")
+        stars = stars.unionByName(_star(named.select("sig", F.coalesce("root", "node").alias("group"))))
+    stars = written(stars.distinct(), "stars")
+    ends = stars.select(F.col("a").alias("sig")).unionByName(stars.select(F.col("b").alias("sig"))).distinct()
+    need = written(nodes.join(ends, "sig").select("sig", "digest"), "ends")
+    held = texts.withColumn("digest", digest(F.col("text"))).join(need, "digest").groupBy("sig").agg(F.min("text").alias("text"))
+
+    def make():
+        def fn(column: pa.Array):
+            return [pa.array([shingle_set(t, words).view(np.int64) for t in texts_of(column)], pa.list_(pa.int64()))]
+
+        return fn
+
+    sets = written(append_arrow(held, ["text"], [("set", T.ArrayType(T.LongType()))], make).drop("text"), "shingles")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("set").alias("y")), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return written(x.select("a", "b", (both / (F.size("x") + F.size("y") - both) >= jaccard).alias("ok")), "compared")
+
+    first = compared(stars)
+    good = first.filter("ok").select("a", "b")
+    failed = first.filter("NOT ok")
+    if not failed.isEmpty():
+        near, own = components(stars), components(good)
+        open_ = near.join(failed.select(F.col("a").alias("node")).join(near, "node").select("root").distinct(), "root", "left_semi")
+        open_ = open_.select("node").join(own, "node", "left").select(F.col("node").alias("sig"), F.coalesce("root", "node").alias("own"))
+        x = written(in_bands.join(open_, "sig"), "open")
+        # A group of one component has nothing to compare.
+        more = x.groupBy("group").agg(F.min("own").alias("p"), F.max("own").alias("q")).filter("p != q").select("group")
+        x = x.join(more, "group", "left_semi")
+        y = x.select("group", F.col("sig").alias("b"), F.col("own").alias("own_b"))
+        pairs = x.withColumnRenamed("sig", "a").join(y, "group").filter("own < own_b").select("a", "b").distinct()
+        good = good.unionByName(compared(pairs).filter("ok").select("a", "b"))
+    return _least(nodes.select(F.col("sig").alias("node"), "low"), components(good)).withColumnRenamed("node", "sig")
+
+
+def _star(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member (sig) of a group and the group's least."""
+    least = groups.groupBy("group").agg(F.min("sig").alias("b"), F.max("sig").alias("last")).filter("b != last").select("group", "b")
+    return groups.join(least, "group").filter("sig != b").select(F.col("sig").alias("a"), "b").distinct()
 
 
 def deduplicated(df: DataFrame, id_: str = "doc_id", text: str = "text", **how) -> DataFrame:
