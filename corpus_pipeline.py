@@ -18,8 +18,8 @@ from tickloom.llm.queries import vocabulary
 # band of least hashes, or in all but 10 of 64 bits and all but 12 of a second fingerprint.
 NEAR = {"words": 5, "radius": 10, "verify": 12, "jaccard": 0.8}
 
-# Rows that agree in id and text are interchangeable.
-MIX = {"ties": ["text"]}
+# The weights as they are; rows that agree in id and text are interchangeable.
+MIX = {"ties": ["text"], "exact": True}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,35 @@ def test_more_sources_than_units_share_a_queue(spark):
     assert len(got) == 300 and len({r.place for r in got}) == 300
 
 
+def test_exact_weights_over_a_thousand_sources(spark):
+    """Every source has a queue and keeps its requested weight, far below a thousandth and far above."""
+    sizes = {f"s{i:04d}": 3 + i % 9 for i in range(1500)} | {"hot": 3000, None: 40}
+    ids = iter(range(10**6))
+    df = spark.createDataFrame([(next(ids), s) for s, n in sizes.items() for _ in range(n)], "doc_id long, source string")
+    weights = {s: n for s, n in sizes.items()}  # all sources end together, so the whole order counts
+    got = M.scheduled(df, block_rows=1, weight=lambda n: n).collect()
+    total = sum(weights.values())
+    assert len(got) == total and sorted(r.slot for r in got) == list(range(total))
+    blocks, worst = defaultdict(list), 0
+    for r in sorted(got, key=lambda r: r.slot):
+        t, j, w = r.slot, len(blocks[r.source]), weights[r.source]
+        assert (r.block, r.release, r.deadline) == (j, j * total // w, -(-(j + 1) * total // w))
+        worst = max(worst, abs(j - t * w / total), abs(j + 1 - (t + 1) * w / total))
+        blocks[r.source].append(t)
+    print("worst deviation", worst)
+    assert {s: len(b) for s, b in blocks.items()} == sizes and worst < 2
+
+
+def test_exact_rows_and_one_source(spark):
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(700)] + [(None, None), (9, None), (5, "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = M.scheduled(df, block_rows=4, exact=True).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows) and len({r.place for r in got}) == len(got)
+    one = M.scheduled(df.filter("source = 'hot'"), block_rows=4, exact=True).collect()
+    assert sorted(r.place for r in one) == list(range(len(one)))
+    assert M.scheduled(df.filter("false"), exact=True).count() == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string")
     assert M.scheduled(df).count() == 0 and M.mixed(df).count() == 0

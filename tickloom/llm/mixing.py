@@ -7,6 +7,14 @@ of a period, so the schedule repeats: one period is built, as one row of arrays
 inside Spark, and each block finds its slot by its index modulo the source's
 units.  No row is dropped or repeated: when a source ends, its later slots stay
 empty and are skipped by the order.
+
+Whole units round the weights and bound the number of sources.  Beyond that, or
+on request, a schedule keeps the weights as they are, with a queue for each
+source: sources are the leaves of a tree by weight (Shannon-Fano-Elias codes),
+each fork deals its slots to its two sides in rounded proportion, and the slot
+of a block follows in closed form along its source's path.  Nothing is built
+slot by slot, so there is no period.  A fork is off by half a block at most,
+of which a source bears its share of the side it is on.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import spare
+from tickloom.llm.common import spare, written
 
 PERIOD = 1000
 BLOCK_ROWS = 64
@@ -79,6 +87,52 @@ def pattern(unit_row: DataFrame, period: int) -> DataFrame:
     return flat.select(s["key"].alias("key"), s["u"].alias("u"), F.col("p.k").alias("k"), F.col("p.slot").alias("slot"))
 
 
+def paths(counts: DataFrame, weight: Callable[[Column], Column]) -> DataFrame:
+    """(key, w, total, path) of every source; the path has the forks from the source up.
+
+    A fork is a struct (d, right, own, all): whether its side is the right one,
+    the weight of its side, and of both.
+    """
+    wide = lambda c: c.cast("decimal(38,0)")
+    w = counts.select("key", F.greatest(weight(F.col("n")), F.lit(1)).cast("long").alias("w"))
+    # One row a source, numbers only.
+    upto = Window.orderBy(F.desc("w"), F.col("key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    w = w.select("*", F.sum("w").over(upto).alias("upto")).crossJoin(w.agg(F.sum("w").alias("total")))
+    # The shortest code whose dyadic interval lies within the source's own.
+    enough = lambda i: F.col("w") >= F.ceil(F.col("total") / F.call_function("shiftleft", F.lit(1).cast("long"), i - 1))
+    w = w.withColumn("length", F.array_min(F.filter(F.sequence(F.lit(1), F.lit(62)), enough)))
+    middle = wide(2 * F.col("upto") - F.col("w"))
+    code = div(middle * F.expr("CAST(shiftleft(1L, length) AS DECIMAL(19,0))"), wide(2 * F.col("total")))
+    w = written(w.withColumn("code", code.cast("long")).select("key", "w", "total", "length", "code"), "codes")
+    forks = w.select("key", "w", F.explode(F.sequence(F.lit(0), F.col("length"))).alias("d"), "length", "code")
+    forks = forks.select("key", "w", "d", F.expr("shiftright(code, length - d)").alias("prefix"))
+    sums = forks.groupBy("d", "prefix").agg(F.sum("w").alias("own"))
+    above = sums.select((F.col("d") + 1).alias("d"), F.col("prefix").alias("up"), F.col("own").alias("all"))
+    sides = sums.withColumn("up", F.shiftright("prefix", 1)).join(above, ["d", "up"]).filter("own < all")
+    steps = forks.join(sides, ["d", "prefix"]).select("key", F.struct((-F.col("d")).alias("d"), (F.col("prefix") % 2 == 1).alias("right"), "own", "all").alias("s"))
+    steps = steps.groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("path"))
+    p = steps.withColumnRenamed("key", "key_")
+    none = F.array().cast(p.schema["path"].dataType)
+    return w.join(p, F.col("key").eqNullSafe(F.col("key_")), "left").select("key", "w", "total", F.coalesce("path", none).alias("path"))
+
+
+def along(path: Column, block: Column) -> Column:
+    """The slot of a source's ``block``: its place among the blocks of each fork above, up to the whole.
+
+    In t slots of a fork its left side has round(t * own / all), its right one the rest.
+    """
+    wide = lambda c: c.cast("decimal(19,0)")
+
+    def up(k: Column, s: Column) -> Column:
+        own, all_, half = s["own"], s["all"], div(s["all"], F.lit(2))
+        ceil = lambda x: div(x + (wide(own) - 1), wide(own))
+        left = ceil(wide(k + 1) * wide(all_) - wide(half))
+        right = ceil(wide(k) * wide(all_) + wide(half + 1))
+        return F.when(s["right"], right).otherwise(left).cast("long") - 1
+
+    return F.aggregate(path, block.cast("long"), up)
+
+
 def scheduled(
     df: DataFrame,
     *,
@@ -88,13 +142,16 @@ def scheduled(
     period: int = PERIOD,
     block_rows: int = BLOCK_ROWS,
     weight: Callable[[Column], Column] = root_share,
+    exact: bool | None = None,
 ) -> DataFrame:
     """Append block, release, deadline, slot and place (all long) to every row.
 
     Rows of a source go in the order of a hash of their id, cut into blocks of
-    ``block_rows``; ``place`` orders the whole mixture.  The ``period - 1`` most
-    frequent sources are scheduled by themselves; the others, and rows without a
-    source, share one queue.  Rows that agree in id and in ``ties`` are
+    ``block_rows``; ``place`` orders the whole mixture.  Every source, and the rows
+    without one, has a queue of its own.  Weights are in units of the period, or
+    ``exact``; if that is None, they are exact from ``period`` sources on.  A slot
+    of the exact schedule may be outside its block's window, which tells the
+    ideal times.  Rows that agree in id and in ``ties`` are
     interchangeable.  The new columns take free names if those are taken (see
     ``names``).
 
@@ -104,15 +161,11 @@ def scheduled(
     n = names(df)
     key, chunk, hashed = (spare(df, c) for c in ("key", "chunk", "hash"))
     counts = df.groupBy(F.col(source).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.filter("key IS NOT NULL").orderBy(F.desc("n"), "key").limit(period - 1)
-    own = top.select(F.col("key").alias(key), F.lit(True).alias("__mix_own"))
-    # At most ``period`` rows: a proven bound.
-    pooled = counts.join(F.broadcast(own.withColumnRenamed(key, "__mix_k")), F.col("key") == F.col("__mix_k"), "left")
-    pooled = pooled.groupBy(F.col("__mix_k").alias("key")).agg(F.sum("n").alias("n"))
-    slots = pattern(units(pooled, period, weight), period)
-
+    if exact is None:
+        counts = written(counts, "sources")
+        exact = counts.filter("key IS NOT NULL").count() >= period
     parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.join(F.broadcast(own), df[source] == F.col(key), "left").drop("__mix_own")
+    d = df.withColumn(key, F.col(source))
     d = d.withColumn(hashed, F.md5(F.coalesce(F.col(id_).cast("string"), F.lit(""))))
     d = d.withColumn(chunk, F.shiftright(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") * parts, 32))
     sizes = d.groupBy(F.col(key).alias("__mix_k"), F.col(chunk).alias("__mix_c")).agg(F.count(F.lit(1)).alias("__mix_n"))
@@ -123,9 +176,22 @@ def scheduled(
     d = d.join(sizes, d[key].eqNullSafe(sizes["__mix_k"]) & (d[chunk] == sizes["__mix_c"])).withColumn(n["place"], F.col(n["place"]) + F.col("__mix_from"))
     d = d.withColumn(n["block"], div(F.col(n["place"]), F.lit(block_rows)))
 
+    block, u = F.col(n["block"]), F.col("__mix_u")
+    if exact:
+        # Written, so that its size is known: few sources are broadcast, many are not.
+        own = written(paths(counts, weight), "paths").select(F.col("key").alias("__mix_k1"), F.col("w").alias("__mix_u"), F.col("total").alias("__mix_w"), F.col("path").alias("__mix_p"))
+        d = d.join(own, d[key].eqNullSafe(F.col("__mix_k1"))).withColumn("__mix_s", along(F.col("__mix_p"), block))
+        wide = lambda c: c.cast("decimal(19,0)")
+        slot, total = F.col("__mix_s"), F.col("__mix_w")
+        return d.select(
+            *df.columns, block.alias(n["block"]),
+            div(wide(block) * wide(total), wide(u)).cast("long").alias(n["release"]),
+            div(wide(block + 1) * wide(total) + wide(u - 1), wide(u)).cast("long").alias(n["deadline"]),
+            slot.alias(n["slot"]), (slot * block_rows + F.col(n["place"]) % block_rows).alias(n["place"]),
+        )
+    slots = pattern(units(counts, period, weight), period)
     first = slots.filter("k = 0").select(F.col("key").alias("__mix_k1"), F.col("u").alias("__mix_u"))
     d = d.join(F.broadcast(first), d[key].eqNullSafe(F.col("__mix_k1"))).drop("__mix_k1")
-    block, u = F.col(n["block"]), F.col("__mix_u")
     slots = slots.select(F.col("key").alias("__mix_k2"), F.col("k").alias("__mix_j"), F.col("slot").alias("__mix_s"))
     d = d.join(F.broadcast(slots), d[key].eqNullSafe(F.col("__mix_k2")) & (block % u == F.col("__mix_j")))
     slot = div(block, u) * period + F.col("__mix_s")
