@@ -64,6 +64,14 @@ def test_deep_thread(spark):
     assert sorted((r.turn, r.parent_turn, r.root_turn, r.depth) for r in Q.linked(df).collect() if r.turn) == [(i, i - 1, 0, i) for i in range(1, 150)]
 
 
+def test_short_passages_link(spark):
+    rows = [(1, 0, "u", "ok"), (1, 1, "a", "> ok\nfine"), (1, 2, "u", ">> ok\n> fine\n"), (2, 0, "u", "好的"), (2, 1, "a", "> 好的\n> \nx"), (2, 2, "u", "> X")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_quoted, r.n_linked, r.max_level, r.parent_turn, r.root_turn, r.depth) for r in Q.linked(df).collect()}
+    assert got[1, 1] == (1, 1, 1, 0, 0, 1) and got[1, 2] == (2, 2, 2, 1, 0, 2)
+    assert got[2, 1] == (1, 1, 1, 0, 0, 1) and got[2, 2] == (1, 1, 1, 1, 0, 2)
+
+
 def test_query_equals_the_plain_form(spark):
     conv = spark.read.parquet(f"{SF}/conversations.parquet")
     mail = Q.as_mail(conv).collect()

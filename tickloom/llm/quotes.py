@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import written
 
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
-# Lines shorter than this, once normalised, are too common to tell a source.
-LEAST_CHARS = 3
+# Every line that isn't empty, once normalised, is a passage: a reply may quote a mere "ok".
+LEAST_CHARS = 1
 
 
 def level_of(line: Column) -> Column:
