@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import archive, bpe, hosts, langid, media, mixing, quotes, rules, secrets, simhash
+from tickloom.llm import archive, bpe, hosts, htmltext, langid, media, mixing, negatives, quotes, rules, secrets, simhash, whitening
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,24 @@ def op4_quotes(spark: SparkSession, folder: str) -> DataFrame:
     first given those a mail program would add; the operator sees only texts.
     """
     return quotes.linked(quotes.as_mail(table(spark, folder, "conversations")))
+
+
+@query("op11_negatives", negatives.oracle_sql())
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives for every fiftieth vector; a seventh of all labels are first moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mined(rows, "vec_id", "embedding", "label", anchors=F.col("vec_id") % 50 == 0)
+
+
+@query("op12_main_text")
+def op12_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page, by weights of all pages that mark theirs."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return htmltext.extracted(pages, htmltext.learned(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened vectors, 32 components."""
+    return whitening.whitened(table(spark, folder, "embeddings"), "vec_id", "embedding")
