@@ -115,8 +115,8 @@ def _totals(blocks: DataFrame, part: Callable[[np.ndarray], np.ndarray], width:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat, pa.int64() if whole else pa.float64())], ["i", "value"])
 
     schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("value", kind)])
-    rows = blocks.select("x").mapInArrow(run, schema).groupBy("i").agg(F.sum("value").alias("value")).orderBy("i").collect()
-    return np.array([r["value"] for r in rows], np.int64 if whole else np.float64)
+    rows = blocks.select("x").mapInArrow(run, schema).groupBy("i").agg(F.sum("value").alias("value")).collect()
+    return np.array([r["value"] for r in sorted(rows)], np.int64 if whole else np.float64)
 
 
 def _centred(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
