@@ -26,9 +26,9 @@ from tickloom.sources import tables as T
 def _(spark, d):
     root = fresh(spark, "store")
     b = T.daily_bars(spark, d).withColumn("seq", F.lit(0))
-    B.upsert(spark, root, b, seq="seq", staging=root + "/stage1")
+    B.upsert(spark, root, b, seq="seq", validate_quality=False)
     late = b.filter(F.year("ts") == 1997).withColumn("close", F.col("close") * 2)
-    B.upsert(spark, root, late, seq="seq", staging=root + "/stage2")
+    B.upsert(spark, root, late, seq="seq", validate_quality=False)
     q = B.sql_over_store(spark, root, "SELECT symbol, year(ts) AS year, count(*) AS n_bars, sum(close) AS close_sum FROM bars GROUP BY 1, 2")
     return tidy(q, close_sum=4)
 

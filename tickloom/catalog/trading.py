@@ -95,7 +95,22 @@ def _(spark, d):
     return tidy(S.target_weights(alpha(spark, d), SIZE), score=5, gross=5, weight=5)
 
 
-@query("target_weights_capped", "C4")
+# Sixteen passes of clamp and rescale, each over a date's weights.
+_CAPPED = SIZED.replace("0.35 / annual ELSE 1 END AS gross", "least(0.35 / annual, 1.5) ELSE 1 END AS gross") + """,
+  it AS (SELECT ts, symbol, gross, 0 AS k, weight AS w, true AS open FROM sized WHERE gross > 0
+    UNION ALL
+    SELECT ts, symbol, gross, k + 1, CASE WHEN NOT open OR done THEN c WHEN c > 0 THEN c * up ELSE c * down END, open AND NOT done FROM (
+      SELECT *, l + s <= 0 OR abs(l + s - gross) < 1e-9 AND abs(l - s) < 1e-9 AS done, CASE WHEN l > 0 AND s > 0 THEN gross / (2 * l) ELSE gross / (l + s) END AS up,
+        CASE WHEN l > 0 AND s > 0 THEN gross / (2 * s) ELSE gross / (l + s) END AS down FROM (
+        SELECT *, sum(greatest(c, 0)) OVER x AS l, sum(greatest(-c, 0)) OVER x AS s FROM (
+          SELECT ts, symbol, gross, k, open, CASE WHEN open THEN greatest(-0.1, least(0.1, w)) ELSE w END AS c FROM it WHERE k < 16) WINDOW x AS (PARTITION BY ts))))"""
+
+
+@query(
+    "target_weights_capped", "C4",
+    f"""WITH RECURSIVE {_CAPPED} SELECT {day('ts')} AS ts, symbol, round(score, 5) AS score, round(vol, 6) AS vol, round(it.gross, 5) AS gross, round(net_target, 6) AS net_target,
+      round(greatest(-0.1, least(0.1, w)), 5) AS weight FROM it JOIN sized USING (ts, symbol) WHERE k = 16""",
+)
 def _(spark, d):
     cfg = SizingSettings(bars_per_year=252, min_dollar_volume=30_000.0, max_position_weight=0.1, max_gross=1.5, max_net_exposure=0.2)
     return tidy(S.target_weights(alpha(spark, d), cfg), score=5, gross=5, weight=5)
@@ -217,6 +232,36 @@ def _(spark, d):
     return tidy(S.conviction_targets(k, cfg).select("ts", "symbol", "gross_cap", "target"))
 
 
+_DECIDED = """st AS (SELECT symbol, ts FROM acts WHERE action = 'stop_loss'),
+    rs AS (SELECT d.ts, count(DISTINCT st.symbol) AS recent FROM (SELECT DISTINCT ts FROM acts) d LEFT JOIN st ON st.ts <= d.ts AND d.ts - st.ts < 10 GROUP BY d.ts),
+    g AS (SELECT acts.*, recent, count(*) FILTER (action = 'rebalance') OVER x AS n_open, row_number() OVER (PARTITION BY ts, action ORDER BY abs(conviction) DESC, symbol) AS place FROM acts JOIN rs USING (ts) WINDOW x AS (PARTITION BY ts)),
+    h AS (SELECT *, CASE WHEN recent = 0 THEN 0.9 ELSE greatest(0.3, 0.9 * (1 - recent / greatest(recent + n_open, 1))) END AS cap, conviction * 0.2 AS t0
+      FROM g WHERE action = 'rebalance' OR action = 'entry' AND place <= greatest(12 - n_open, 0)),
+    i AS (SELECT *, greatest(-0.2, least(0.2, t0 * CASE WHEN sum(abs(t0)) OVER x > 0 THEN least(cap / sum(abs(t0)) OVER x, 1) ELSE 1 END)) AS target, quantity * 0.004 AS cur FROM h WINDOW x AS (PARTITION BY ts)),
+    decided AS (SELECT ts, symbol, action, conviction, daily_vol, target, CASE WHEN action = 'rebalance' AND abs(target - cur) < 0.25 * greatest(abs(target), abs(cur)) THEN 'hold'
+        WHEN action = 'entry' AND (price <= 0 OR abs(target) * 50000.0 < price) THEN 'skip' WHEN action = 'entry' THEN 'buy' ELSE 'rebalance' END AS outcome FROM i
+      UNION ALL SELECT ts, symbol, action, conviction, daily_vol, 0.0, 'sell' FROM acts WHERE action IN ('eod_flat', 'stop_loss', 'exit'))"""
+
+
+def decided(spark, d):
+    """Decisions of the test book with twelve places, 50,000 of equity and 0.4 % of it a share held."""
+    cfg = BookSettings(max_positions=12)
+    b = book(spark, d)
+    held = b.groupBy("ts").agg(F.count_if(F.col("action") == "rebalance").alias("n_open"))
+    stopped = D.recent_stops(b, b.filter("action = 'stop_loss'").select("symbol", "ts"), cfg)
+    k = b.drop("action").join(held, "ts").join(stopped, "ts").withColumns({
+        "gross_cap": S.gross_cap(F.col("recent"), F.col("n_open"), cfg), "current": F.col("quantity") * 0.004, "equity": F.lit(50_000.0)})
+    return D.decide(k, cfg)
+
+
+@query(
+    "decision_ladder", "P21 C5 F41",
+    f"WITH {_BOOK}, {_DECIDED} SELECT {day('ts')} AS ts, symbol, action, outcome, round(target, 6) AS target, round(conviction * daily_vol, 6) AS expected_reward FROM decided",
+)
+def _(spark, d):
+    return tidy(decided(spark, d).select("ts", "symbol", "action", "outcome", "target", "expected_reward"))
+
+
 @query(
     "entry_slots", "O3",
     f"""WITH {_BOOK} SELECT {day('ts')} AS ts, symbol, round(conviction, 5) AS conviction FROM (
@@ -293,15 +338,21 @@ def _(spark, d):
     return tidy(D.recent_stops(bars(spark, d), stops(spark, d), BookSettings()))
 
 
+# Orders on stop days, each with the first later bar and the first processed day over five days after it.
+ORDER_STATES = f"""cal AS (SELECT DISTINCT ts FROM bars), nx AS (SELECT symbol, ts, lead(ts) OVER w AS fill_ts, lead(open) OVER w AS fill_price FROM bars {W}),
+    od AS (SELECT s.symbol, s.ts, c.ts AS deadline FROM stops s ASOF LEFT JOIN cal c ON s.ts + 5 < c.ts),
+    states AS (SELECT symbol, ts, fill_ts, fill_price, CASE WHEN fill_ts <= coalesce(deadline, fill_ts) THEN 'filled'
+      WHEN deadline IS NOT NULL THEN 'cancelled' ELSE 'pending' END AS state FROM od JOIN nx USING (symbol, ts))"""
+
+
 @query(
-    "decision_to_fill", "J9 ST12 ST7",
-    f"""{with_(BARS, STOPS)}, nx AS (SELECT symbol, ts, lead(ts) OVER w AS fill_ts, lead(open) OVER w AS fill_price FROM bars {W})
-    SELECT symbol, {day('ts')} AS ts, {day('fill_ts')} AS fill_ts, round(fill_price, 6) AS fill_price,
-      CASE WHEN fill_ts - ts <= 5 THEN 'filled' ELSE 'cancelled' END AS state FROM stops JOIN nx USING (symbol, ts)""",
+    "decision_to_fill", "J9 ST7",
+    f"{with_(BARS, STOPS, ORDER_STATES)} SELECT symbol, {day('ts')} AS ts, {day('fill_ts')} AS fill_ts, round(fill_price, 6) AS fill_price, state FROM states",
 )
 def _(spark, d):
-    f = D.next_bar_fill(stops(spark, d), bars(spark, d))
-    return tidy(D.expire(f, BookSettings()).select("symbol", "ts", "fill_ts", "fill_price", "state"))
+    b = bars(spark, d)
+    f = D.next_bar_fill(stops(spark, d), b)
+    return tidy(D.expire(f, BookSettings(), calendar=b).select("symbol", "ts", "fill_ts", "fill_price", "state"))
 
 
 @query(

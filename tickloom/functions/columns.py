@@ -40,22 +40,24 @@ def age_days(later: Column, earlier: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def norm_cdf(z: pd.Series) -> pd.Series:
     """Standard normal distribution function, for report-level rows."""
-    return z.map(lambda v: None if pd.isna(v) else _NORMAL.cdf(v)).astype("float64")
+    return pd.Series([None if pd.isna(v) else _NORMAL.cdf(v) for v in z], index=z.index, dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     """Standard normal quantile, NULL outside (0, 1)."""
-    return p.map(lambda v: _NORMAL.inv_cdf(v) if pd.notna(v) and 0 < v < 1 else None).astype("float64")
+    return pd.Series([_NORMAL.inv_cdf(v) if pd.notna(v) and 0 < v < 1 else None for v in p], index=p.index, dtype="float64")
 
 
 def seeded_hash(*cols: Column | str, seed: int) -> Column:
-    """Repeatable 64-bit hash of a seed and columns."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
+    """Repeatable 60-bit number of a seed and columns: the first 15 hex digits of the MD5 of
+    ``seed|value|value``, values as strings.  Any engine with that digest draws the same."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def uniform(h: Column) -> Column:
-    """A hash as a number in (0, 1)."""
+    """A seeded hash as a number in (0, 1), by its low 53 bits."""
     return (F.pmod(h, F.lit(2**53)).cast("double") + 0.5) / F.lit(float(2**53))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, first_after, prefix_scan
-from tickloom.operators.sizing import rebalance_needed
+from tickloom.operators.sizing import conviction_targets, rebalance_needed
 from tickloom.settings import QTY_EPS, BookSettings, SizingSettings
 
 
@@ -53,6 +53,32 @@ def book_actions(book: DataFrame, cfg: BookSettings | None = None) -> DataFrame:
     return book.withColumn("action", action)
 
 
+def decide(book: DataFrame, cfg: BookSettings | None = None) -> DataFrame:
+    """The whole ladder of a conviction book: ``outcome`` and ``target`` of every name with something to decide.
+
+    Takes what ``book_actions`` takes, and the current weight, equity and ``gross_cap``.
+    Exits and stops sell.  Kept names and the strongest new ones (up to the free
+    places, if the book has a limit) share the gross cap by conviction; a kept name
+    within the relative band is held, an entry too thin for one share is skipped.
+    """
+    cfg = cfg or BookSettings()
+    b = book_actions(book, cfg)
+    new, kept = F.col("action") == "entry", F.col("action") == "rebalance"
+    if cfg.max_positions is not None:
+        w = Window.partitionBy("ts")
+        free = F.greatest(cfg.max_positions - F.count_if(kept).over(w), F.lit(0))
+        place = F.row_number().over(Window.partitionBy("ts", "action").orderBy(F.desc(F.abs("conviction")), "symbol"))
+        b = b.withColumns({"_free": free, "_place": place}).filter(~new | (F.col("_place") <= F.col("_free"))).drop("_free", "_place")
+    gone = b.filter(F.col("action").isin("eod_flat", "stop_loss", "exit")).withColumns({"target": F.lit(0.0), "outcome": F.lit("sell")})
+    sized = conviction_targets(b.filter(new | kept), cfg)
+    t, c = F.col("target"), F.col("current")
+    inside = kept & (F.abs(t - c) < cfg.rebalance_band_frac * F.greatest(F.abs(t), F.abs(c)))
+    thin = new & ((F.col("price") <= 0) | (F.abs(t) * F.col("equity") < F.col("price")))
+    outcome = F.when(inside, "hold").when(thin, "skip").when(new, "buy").otherwise("rebalance")
+    out = sized.withColumn("outcome", outcome).unionByName(gone)
+    return out.withColumn("expected_reward", F.col("conviction") * F.col("daily_vol"))
+
+
 def stop_touched(quantity: Column, price: Column, avg_price: Column, daily_vol: Column, cfg: BookSettings) -> Column:
     """A long name's price at or below the barrier, scaled by its own volatility."""
     if cfg.stop_loss_sigma is not None:
@@ -136,10 +162,37 @@ def next_bar_fill(decisions: DataFrame, bars: DataFrame, *, price: str = "open")
     return first_after(decisions, r, keys=["symbol"], left_ts="ts", right_ts="fill_ts", values=["fill_price"])
 
 
-def expire(orders: DataFrame, cfg: BookSettings) -> DataFrame:
-    """Order state: filled, or cancelled when no bar came in time."""
-    wait = F.datediff("fill_ts", "ts")
-    return orders.withColumn("state", F.when(wait <= cfg.cancel_after_days, "filled").otherwise("cancelled"))
+def with_deadline(orders: DataFrame, calendar: DataFrame, cfg: BookSettings) -> DataFrame:
+    """Append ``deadline``: the first processed day more than ``cancel_after_days`` after the order.
+
+    A bar of that day still fills.  ``calendar`` has the processed days as ``ts``;
+    past its end there is no deadline yet (null).  Every calendar day's answer is
+    worked out once, from at most a row a day, and joined.
+    """
+    days = calendar.select(F.to_date("ts").alias("deadline")).filter("deadline IS NOT NULL").distinct()
+    prev = F.lag("deadline", 1, "1900-01-01").over(Window.orderBy("deadline"))
+    reach = days.withColumn("_past", prev.cast("date")).select("deadline", F.explode(F.sequence("_past", F.date_sub("deadline", 1))).alias("_limit"))
+    d = orders.withColumn("_limit", F.date_add(F.to_date("ts"), cfg.cancel_after_days))
+    return d.join(reach, "_limit", "left").drop("_limit")
+
+
+def expire(orders: DataFrame, cfg: BookSettings, *, calendar: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Order state as of a day (else the calendar's last): filled, cancelled or pending.
+
+    Orders have the first bar after them as ``fill_ts``.  An order waits while its
+    symbol has no bar; on the first processed day over ``cancel_after_days`` without
+    one it is cancelled.  A fill after ``as_of`` hasn't happened yet.
+    """
+    if as_of is not None:
+        calendar = calendar.filter(F.to_date("ts") <= F.lit(as_of).cast("date"))
+    d = with_deadline(orders, calendar, cfg)
+    filled = F.to_date("fill_ts") <= F.col("deadline")
+    if as_of is None:
+        filled |= F.col("fill_ts").isNotNull() & F.col("deadline").isNull()
+    else:
+        filled = (filled | F.col("deadline").isNull()) & (F.to_date("fill_ts") <= F.lit(as_of).cast("date"))
+    state = F.when(filled, "filled").when(F.col("deadline").isNotNull(), "cancelled").otherwise("pending")
+    return d.withColumn("state", state)
 
 
 def supersede(pending: DataFrame, fresh: DataFrame) -> DataFrame:

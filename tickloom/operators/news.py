@@ -157,6 +157,11 @@ def symbol_signal(ev: DataFrame, cfg: NewsSettings | None = None) -> DataFrame:
         F.sum(F.col("w") * F.col("polarity")).alias("_num"), F.sum("w").alias("weight"), F.count(F.lit(1)).alias("articles"),
         F.max_by("title", F.struct(F.round(F.col("w") * F.abs("polarity"), 9), "uid")).alias("top_headline"),
     )
+    return finish_signal(g, cfg)
+
+
+def finish_signal(g: DataFrame, cfg: NewsSettings) -> DataFrame:
+    """Signal from the sums of each (as_of, symbol): _num, weight, articles, top_headline."""
     g = g.filter("weight > 0").withColumn("raw_score", F.col("_num") / F.col("weight"))
     n = F.col("articles")
     g = g.withColumn("score", clip(F.col("raw_score") * (n / (n + cfg.prior_count)), -1.0, 1.0))

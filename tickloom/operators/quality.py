@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import finite
+from tickloom.operators.quantiles import group_quantile
 from tickloom.operators.series import RN, Blocks, calendar_chunk, index_series
 from tickloom.settings import EXCHANGE_TZ
 from tickloom.sources.bars import PRICE_COLUMNS
@@ -134,14 +135,9 @@ def drop_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def liquid_symbols(bars: DataFrame, *, min_median: float, min_price: float) -> DataFrame:
     """Symbols by median bar dollar volume and last price."""
-    return (
-        bars.groupBy("symbol")
-        .agg(
-            F.percentile(F.col("close") * F.col("volume"), F.lit(0.5)).alias("median_dollar"),
-            F.max_by("close", "ts").alias("last_price"),
-        )
-        .filter((F.col("median_dollar") >= min_median) & (F.col("last_price") >= min_price))
-    )
+    last = bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("last_price")).filter(F.col("last_price") >= min_price)
+    median = group_quantile(bars, ["symbol"], F.col("close") * F.col("volume"), 0.5, "median_dollar")
+    return median.filter(F.col("median_dollar") >= min_median).join(last, "symbol")
 
 
 def session_landmarks(bars: DataFrame) -> DataFrame:

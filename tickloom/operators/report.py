@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import norm_cdf, norm_ppf, safe_div
+from tickloom.operators.quantiles import group_quantile
 from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, index_series, prefix_scan
 from tickloom.settings import TRADING_DAYS
 
@@ -120,7 +121,6 @@ def report(
     r = returns(curve)
     d = drawdowns(r)
     ret, pnl = F.col("ret"), F.col("pnl")
-    exact = F.percentile(ret, F.lit(0.05))
     agg = d.groupBy(*k).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(ret).alias("_m"),
@@ -132,15 +132,16 @@ def report(
         (F.kurtosis(ret) + 3.0).alias("_kurt"),
         F.sqrt(F.avg(F.when(ret < 0, ret * ret))).alias("_down"),
         F.max("drawdown").alias("max_drawdown"),
-        exact.alias("var_95"),
         F.avg((pnl > 0).cast("double")).alias("win_rate"),
         F.sum(F.when(pnl > 0, pnl).otherwise(F.lit(0.0))).alias("_wins"),
         F.sum(F.when(pnl < 0, -pnl).otherwise(F.lit(0.0))).alias("_losses"),
         F.count_if(F.col("dpos") > 0.01).alias("n_trades"),
         F.sum("dpos").alias("_dpos"),
     )
+    var = group_quantile(r, k, ret, 0.05, "var_95")
+    agg = agg.join(var, k, "left")
     tail = (
-        r.join(agg.select(*k, "var_95"), k)
+        r.join(var, k)
         .filter(F.col("ret") <= F.col("var_95"))
         .groupBy(*k).agg(F.avg("ret").alias("cvar_95"))
     )

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip
-from tickloom.operators.series import calendar_chunk
 from tickloom.settings import BookSettings, SizingSettings
 
 X = ["ts"]
-# Days of one call of the cap solver: at most this many universes of names.
-CAP_DAYS = 32
 
 
 def _x() -> Window:
@@ -108,8 +103,7 @@ def target_weights(scores: DataFrame, cfg: SizingSettings | None = None) -> Data
     """Signed target weights per ts from score, vol, net_tilt (optional).
 
     Without a per-name cap this is window sums over one date.  With a cap the
-    clamp-and-rescale passes run as array arithmetic on a month of dates, a
-    group of at most 32 universes.
+    clamp-and-rescale passes fold over a date's array of weights.
     """
     cfg = cfg or SizingSettings()
     if "net_tilt" not in scores.columns:
@@ -121,45 +115,39 @@ def target_weights(scores: DataFrame, cfg: SizingSettings | None = None) -> Data
     d = scale_sides(d.filter("gross > 0"), net).withColumn("net_target", net)
     cols = ["ts", "symbol", "score", "vol", "gross", "net_target", "weight"]
     d = d.select(*cols)
-    if cfg.max_position_weight is not None:
-        days = calendar_chunk("ts", CAP_DAYS).alias("_days")
-        d = d.groupBy(days).applyInPandas(_capped(cfg.max_position_weight, cfg.cap_passes), d.schema)
-    return d
+    return capped(d, cfg.max_position_weight, cfg.cap_passes) if cfg.max_position_weight is not None else d
 
 
-def _capped(cap: float, passes: int):
-    """Clamp names to the cap and re-solve the sides until both hold.
+def capped(d: DataFrame, cap: float, passes: int) -> DataFrame:
+    """Clamp names to the cap and re-solve the sides until both hold, at most ``passes`` times.
 
-    One call holds a few dates; every pass is array arithmetic over all of
-    them, with sums per date by code.
+    A date's weights are one array (a universe at most), and a pass is an array
+    function of it, so all passes of all dates are one fold without a further shuffle.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, first, code = np.unique(pdf["ts"].to_numpy(), return_index=True, return_inverse=True)
-        n = len(first)
-        gross, net = pdf["gross"].to_numpy()[first], pdf["net_target"].to_numpy()[first]
-        w = pdf["weight"].to_numpy(copy=True)
-
-        def total(x: np.ndarray) -> np.ndarray:
-            return np.bincount(code, weights=x, minlength=n)
-
-        open_ = np.ones(n, dtype=bool)
-        for _ in range(passes):
-            w = np.where(open_[code], np.clip(w, -cap, cap), w)
-            lng, sht = total(np.maximum(w, 0)), total(np.maximum(-w, 0))
-            g = lng + sht
-            open_ &= (g > 0) & ~((np.abs(g - gross) < 1e-9) & (np.abs(lng - sht - net) < 1e-9))
-            if not open_.any():
-                break
-            aim = np.clip(net, -gross, gross)
-            two = (lng > 0) & (sht > 0)
-            safe = np.where(g > 0, g, 1.0)
-            up = np.where(two, (gross + aim) / (2 * np.where(lng > 0, lng, 1.0)), gross / safe)
-            down = np.where(two, (gross - aim) / (2 * np.where(sht > 0, sht, 1.0)), gross / safe)
-            w = np.where(open_[code], w * np.where(w > 0, up[code], down[code]), w)
-        return pdf.assign(weight=np.clip(w, -cap, cap))
-
-    return run
+    row = F.struct("symbol", *[c for c in d.columns if c not in ("ts", "symbol")])
+    g = d.groupBy("ts").agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.max("gross").alias("_gross"), F.max("net_target").alias("_net"))
+    gross, net, zero = F.col("_gross"), F.col("_net"), F.lit(0.0)
+    aim = F.greatest(-gross, F.least(gross, net))
+
+    def total(w: Column, sign: int) -> Column:
+        return F.aggregate(w, zero, lambda s, x: s + F.greatest(sign * x, zero))
+
+    def one(state: Column, _: Column) -> Column:
+        w = F.transform(state["w"], lambda x: clip(x, -cap, cap))
+        lng, sht = total(w, 1), total(w, -1)
+        g = lng + sht
+        done = (g <= 0) | ((F.abs(g - gross) < 1e-9) & (F.abs(lng - sht - net) < 1e-9))
+        two = (lng > 0) & (sht > 0)
+        up = F.when(two, F.try_divide(gross + aim, 2 * lng)).otherwise(F.try_divide(gross, g))
+        down = F.when(two, F.try_divide(gross - aim, 2 * sht)).otherwise(F.try_divide(gross, g))
+        moved = F.when(done, w).otherwise(F.transform(w, lambda x: x * F.when(x > 0, up).otherwise(down)))
+        return F.when(state["open"], F.struct(moved.alias("w"), (~done).alias("open"))).otherwise(state)
+
+    start = F.struct(F.transform("_rows", lambda r: r["weight"]).alias("w"), F.lit(True).alias("open"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, one, lambda s: s["w"])
+    pairs = F.zip_with("_rows", last, lambda r, w: F.struct(r.alias("r"), clip(w, -cap, cap).alias("w")))
+    out = g.select("ts", F.inline(pairs))
+    return out.select(*[F.col("w").alias(c) if c == "weight" else F.col("ts") if c == "ts" else F.col(f"r.{c}").alias(c) for c in d.columns])
 
 
 def dollar_neutral_weights(scores: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.sources import versions
+
 BAR_COLUMNS = ["symbol", "ts", "open", "high", "low", "close", "adj_close", "volume"]
 DATE_NAMES = ("ts", "date", "timestamp")
 PRICE_COLUMNS = ["open", "high", "low", "close", "adj_close"]
@@ -156,38 +158,58 @@ def in_range(bars: DataFrame, start: str | None = None, end: str | None = None)
 
 # --------------------------------------------------------------------- store
 
+BUCKETS = 64
+
+
+class DataQualityError(ValueError):
+    """Bars that break a quality rule were offered to the store."""
+
+
+def bucket(symbol: Column) -> Column:
+    """Partition of a symbol; a store has ``BUCKETS`` of them a year."""
+    return F.pmod(F.xxhash64(symbol), F.lit(BUCKETS)).cast("int")
 
-def store_path(root: str) -> str:
-    return f"{root.rstrip('/')}/bars"
 
+def problems(bars: DataFrame, *, max_abs_return: float = 0.75) -> list[str]:
+    """What the quality rules find in normalised bars, a sentence a rule; empty if they are clean."""
+    from tickloom.operators.quality import quality_report
 
-def upsert(spark: SparkSession, root: str, new: DataFrame, *, seq: str, staging: str, intraday: bool = False) -> DataFrame:
+    found = {r["rule"]: r["n_bad"] for r in quality_report(bars, max_abs_return=max_abs_return).collect()}
+    if not any(v is not None for v in found.values()):
+        return ["no bars"]
+    return [f"{n} bars break the rule {rule}" for rule, n in found.items() if n]
+
+
+def upsert(
+    spark: SparkSession, root: str, new: DataFrame, *, seq: str, intraday: bool = False,
+    validate_quality: bool = True, max_abs_return: float = 0.75, notes: dict[str, str] | None = None,
+) -> DataFrame:
     """Merge bars into the store; the newest row per (symbol, ts) wins.
 
-    Only the symbols of ``new`` are read and rewritten.  The merged rows are
-    staged as a table first, because a partition cannot be overwritten while
-    it is being read; a lost executor only re-reads the stage.  Returns the
-    row count per rewritten symbol.
+    Bars that break a quality rule are refused whole, before anything is written
+    (``DataQualityError``).  Only the years and buckets of ``new`` are read and
+    written anew, so a late bar costs one year of its bucket; the new version is
+    committed last, with ``notes``, and a run that dies before that changes nothing.
+    Returns the row count per symbol of ``new``.
     """
-    path = store_path(root)
-    fresh = normalize(new, seq=seq, intraday=intraday).withColumn("_age", F.lit(1))
-    if exists(spark, path):
-        touched = fresh.select("symbol").distinct()
-        old = read_store(spark, root, schema=INTRADAY_SCHEMA if intraday else DAILY_SCHEMA)
-        old = old.join(touched, "symbol", "left_semi").withColumn("_age", F.lit(0))
-        fresh = old.unionByName(fresh)
-    merged = normalize(fresh, seq="_age", intraday=intraday)
-    merged.write.mode("overwrite").parquet(staging)
-    stage = spark.read.parquet(staging)
-    spread_by_symbol(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "compression", "zstd"
-    ).partitionBy("symbol").parquet(path)
-    return stage.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
-
-
-def spread_by_symbol(bars: DataFrame) -> DataFrame:
-    """Writer layout: a symbol's years go to different tasks, rows in order."""
-    return bars.repartition("symbol", F.year("ts")).sortWithinPartitions("symbol", "ts")
+    fresh = normalize(new, seq=seq, intraday=intraday)
+    if validate_quality and (wrong := problems(fresh, max_abs_return=max_abs_return)):
+        raise DataQualityError("; ".join(wrong))
+    base = versions.latest(spark, root)
+    keyed = fresh.withColumns({"bucket": bucket(F.col("symbol")), "year": F.year("ts")})
+    # At most BUCKETS a year.
+    touched = {(r["bucket"], r["year"]) for r in keyed.select("bucket", "year").distinct().collect()}
+    old = versions.read(spark, root, _schema(intraday), base, lambda k: (int(k["bucket"]), int(k["year"])) in touched)
+    both = old.withColumn("_age", F.lit(0)).unionByName(fresh.withColumn("_age", F.lit(1)))
+    merged = normalize(both, seq="_age", intraday=intraday).withColumns({"bucket": bucket(F.col("symbol")), "year": F.year("ts")})
+    parts = versions.stage(spark, root, merged.repartition("bucket", "year").sortWithinPartitions("bucket", "year", "symbol", "ts"), ["bucket", "year"])
+    versions.commit(spark, root, base, parts, notes)
+    mine = read_store(spark, root, schema=_schema(intraday)).join(fresh.select("symbol").distinct(), "symbol", "left_semi")
+    return mine.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+
+
+def _schema(intraday: bool) -> T.StructType:
+    return INTRADAY_SCHEMA if intraday else DAILY_SCHEMA
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -204,9 +226,18 @@ def read_store(
     end: str | None = None,
     adjustment: str = "raw",
     schema: T.StructType = DAILY_SCHEMA,
+    version: int | None = None,
 ) -> DataFrame:
-    """Stored bars; symbols prune partitions, the range reaches the scan."""
-    df = spark.read.schema(schema).parquet(store_path(root)).select(*BAR_COLUMNS)
+    """Stored bars of a version (else the newest); symbols and range choose the partitions and reach the scan."""
+    v = versions.latest(spark, root) if version is None else versions.read_version(spark, root, version)
+    first, last = (int(b[:4]) if b else None for b in (start, end))
+    wanted = None if symbols is None else {r["b"] for r in spark.createDataFrame([(s,) for s in symbols], "s string").select(bucket(F.col("s")).alias("b")).collect()}
+
+    def keep(k: dict[str, str]) -> bool:
+        year = int(k["year"])
+        return (wanted is None or int(k["bucket"]) in wanted) and (first is None or year >= first) and (last is None or year <= last)
+
+    df = versions.read(spark, root, schema, v, keep).select(*BAR_COLUMNS)
     if symbols is not None:
         df = df.filter(F.col("symbol").isin(*symbols))
     return adjust(in_range(df, start, end), adjustment)

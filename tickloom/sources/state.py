@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import json_safe
@@ -62,10 +62,34 @@ def write_run(folder: str, *, metrics: DataFrame, trades: DataFrame, equity: Dat
     json_safe(manifest).write.mode("overwrite").json(f"{folder}/manifest")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Watch list: one ticker per line, ``#`` starts a comment."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): the lines of text files with their number in the file, from 1.
+
+    A split's lines are numbered in the order they are read, and a split starts after
+    the lines of those before it, of which there is one count each; so a file of many
+    splits is numbered without going through one task.
+    """
+    m = F.col("_metadata")
+    d = spark.read.text(path).select("value", m["file_path"].alias("file"), m["file_block_start"].alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    inside = Window.partitionBy("file", "_split").orderBy("_id")
+    sizes = d.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("file", "_split", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    d = d.withColumn("_k", F.row_number().over(inside)).join(starts, ["file", "_split"])
+    return d.select("file", (F.col("_ahead") + F.col("_k")).alias("line_no"), "value")
+
+
+def read_lines(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
+    """Watch list (symbol, line_no) in its own order: one ticker per line, ``#`` starts a comment.
+
+    A ticker stands where it is first listed; ``first`` keeps that many from the top.
+    Several files are read one after the other, by path.
+    """
     t = F.upper(F.trim(F.split("value", "#")[0]))
-    return spark.read.text(path).select(t.alias("symbol")).filter("symbol <> ''").distinct()
+    d = numbered_lines(spark, path).select(t.alias("symbol"), "file", "line_no").filter("symbol <> ''")
+    d = d.groupBy("symbol").agg(F.min(F.struct("file", "line_no")).alias("at"))
+    d = d.select("symbol", F.col("at.file").alias("_file"), F.col("at.line_no").alias("line_no")).orderBy("_file", "line_no")
+    return (d if first is None else d.limit(first)).drop("_file")
 
 
 def resolve_universe(*sets: DataFrame) -> DataFrame:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tickloom.functions.text import Lexicon, NameBook, label_articles, score_articles
-from tickloom.operators.news import merge_archive
 from tickloom.operators.positions import executed
 from tickloom.settings import QTY_EPS
-from tickloom.sources.bars import exists, upsert
+from tickloom.sources import versions
+from tickloom.sources.bars import upsert
+from tickloom.sources.news_store import append_articles
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,15 +41,6 @@ def tick_bars(ticks: DataFrame, *, minutes: int = 30, lateness: str = "5 minutes
     )
 
 
-def rolling_article_counts(articles: DataFrame, *, days: int = 14, step_days: int = 1, lateness: str = "1 day") -> DataFrame:
-    """Articles per symbol over a sliding look-back."""
-    w = F.window("ts", f"{days} days", f"{step_days} days")
-    d = articles.withWatermark("ts", lateness).withColumn("symbol", F.explode("symbols"))
-    return d.groupBy(w.alias("_w"), "symbol").agg(F.count(F.lit(1)).alias("articles")).select(
-        F.col("_w.end").alias("as_of"), "symbol", "articles"
-    )
-
-
 def sessions(events: DataFrame, *, gap: str = "30 minutes", lateness: str = "10 minutes") -> DataFrame:
     """Sessions per symbol: runs of events without a gap."""
     w = F.session_window("ts", gap)
@@ -74,24 +66,6 @@ def before(articles: DataFrame, as_of: str) -> DataFrame:
     return articles.filter(F.col("ts") < F.lit(as_of).cast("timestamp"))
 
 
-def decisions_to_bars(decisions: DataFrame, bars: DataFrame, *, lateness: str = "1 day", expiry: str = "5 days") -> DataFrame:
-    """Decisions with the bars after them, up to the order's expiry.
-
-    Both sides have watermarks, so state is dropped once a decision expired.
-    The earliest bar per decision is taken by ``first_bar`` at the sink.
-    """
-    a = decisions.withWatermark("ts", lateness).alias("a")
-    b = bars.select(F.col("symbol").alias("_s"), F.col("ts").alias("fill_ts"), "open").withWatermark("fill_ts", lateness).alias("b")
-    on = (F.col("a.symbol") == F.col("b._s")) & (F.col("b.fill_ts") > F.col("a.ts")) & (
-        F.col("b.fill_ts") <= F.col("a.ts") + F.expr(f"INTERVAL {expiry}")
-    )
-    return a.join(b, on).select("a.symbol", "a.ts", "b.fill_ts", F.col("open").alias("fill_price"))
-
-
-def first_bar(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("symbol", "ts").agg(F.min("fill_ts").alias("fill_ts"), F.min_by("fill_price", "fill_ts").alias("fill_price"))
-
-
 # ------------------------------------------------------------------- sinks
 
 
@@ -102,6 +76,25 @@ def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoi
     )
 
 
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all that is there, into files under ``folder``, and read them back.
+
+    The last trigger carries no data: it lets the watermark reach the end of what
+    was read, so timers up to it fire.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    q.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def replayed(df: DataFrame, folder: str) -> DataFrame:
+    """A stream of the rows of a batch table, by way of files under ``folder``."""
+    df.write.parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+
+
 def idempotent_append(path: str) -> Callable[[DataFrame, int], None]:
     """Write a batch to its own partition: a repeated batch replaces itself."""
 
@@ -111,28 +104,36 @@ def idempotent_append(path: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def bar_store_sink(root: str, *, seq: str) -> Callable[[DataFrame, int], None]:
-    """Late and corrected bars: upsert the batch, newest row wins."""
+def bar_store_sink(root: str, *, seq: str, validate_quality: bool = False) -> Callable[[DataFrame, int], None]:
+    """Late and corrected bars: upsert the batch, newest row wins.
+
+    The batch's number is committed with its bars; a batch that comes again is skipped.
+    With ``validate_quality`` a batch that breaks a rule stops the stream.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch.sparkSession, root, batch, seq=seq, staging=f"{root}/stage/{batch_id}")
+        spark = batch.sparkSession
+        if int(versions.latest(spark, root).notes.get("batch", -1)) < batch_id:
+            upsert(spark, root, batch, seq=seq, validate_quality=validate_quality, notes={"batch": str(batch_id)})
 
     return each
 
 
-def archive_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Merge a batch of articles into versioned archives under ``path``.
+def archive_sink(root: str, *, name: str = "articles") -> Callable[[DataFrame, int], None]:
+    """Append a batch to the article archive, once.
 
-    Version ``n`` is version ``n-1`` merged with batch ``n``, so a batch that
-    runs again rebuilds the same version from the same parts.
+    The number of the last batch that went in is kept beside the archive.  A batch
+    that comes again is skipped, and one that died half-way is appended anew,
+    which adds only what is missing; months without new stories aren't touched.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        older = [v for v in range(batch_id - 1, -1, -1) if exists(spark, f"{path}/v{v}/_SUCCESS")]
-        fresh = merge_archive(batch.limit(0), batch)
-        out = merge_archive(spark.read.parquet(f"{path}/v{older[0]}"), batch) if older else fresh
-        out.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        spark, ledger = batch.sparkSession, f"{root}/batches"
+        done = versions.latest(spark, ledger)
+        if int(done.notes.get(name, -1)) >= batch_id:
+            return
+        append_articles(spark, root, batch)
+        versions.commit(spark, ledger, done, {}, {name: str(batch_id)})
 
     return each
 
