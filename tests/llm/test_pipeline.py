@@ -1,7 +1,6 @@
 """The pipeline against a brute-force version, and each stage on odd rows."""
 import random
 
-import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -13,11 +12,9 @@ from tickloom.llm.common import written
 SF = "/root/testdata/sf0.001"
 
 
-def fp(text, k, seed):
+def shingles(text):
     w = text.encode().lower().split()
-    sh = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
-    hs = [xxhash.xxh64_intdigest(s, seed) for s in sh]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
 def brute(rows):
@@ -27,7 +24,7 @@ def brute(rows):
         m = dict(zip(R.MEASURES, R.measure(t or "")))
         if not any(eval(rule.format(**m).replace(" OR ", " or ")) for _, rule in R.RULES):
             good.append((d, t, s))
-    fps = [(fp(t, 5, 42), fp(t, 5, 43)) for _, t, _ in good]
+    sets = [shingles(t) for _, t, _ in good]
     root = list(range(len(good)))
 
     def find(i):
@@ -37,7 +34,7 @@ def brute(rows):
 
     for i in range(len(good)):
         for j in range(i):
-            if (fps[i][0] ^ fps[j][0]).bit_count() <= P.NEAR["radius"] and (fps[i][1] ^ fps[j][1]).bit_count() <= P.NEAR["verify"]:
+            if sets[i] == sets[j] or sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     low = {}
     for i, (d, _, _) in enumerate(good):

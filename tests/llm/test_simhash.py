@@ -142,3 +142,45 @@ def test_odd_rows(spark):
     twins = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 1)], "doc_id long, text string, fp int")
     assert H.deduplicated(twins).count() == 1
     assert H.grouped(df.filter("false")).count() == 0 and H.deduplicated(df.filter("false")).count() == 0
+
+
+def chains(n, step, size, seed):
+    """Sets of which each shares most with the next ones, so that a star at one of them fails for many."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(-(1 << 62), 1 << 62, n * step + size)
+    return [np.unique(base[i * step : i * step + size]) for i in range(n)]
+
+
+@pytest.mark.parametrize("step", [3, 12, 40])
+def test_cells_link_what_all_pairs_link(step):
+    sets = chains(40, step, 100, 1) + chains(5, 200, 100, 2)
+    n = len(sets)
+    linked = lambda pairs, k: components_of(k, pairs)
+    close = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    offsets = np.append(0, np.cumsum([len(x) for x in sets]))
+    found = H.cell_links(np.arange(n).astype(str), offsets, np.concatenate(sets), 0.8)
+    assert set(found) <= {(j, i) for i, j in close} | set(close)
+    assert linked(found, n) == linked(close, n) and len(found) < n
+    known = ["a" if i < 20 else str(i) for i in range(n)]
+    more = H.cell_links(np.array(known), offsets, np.concatenate(sets), 0.8)
+    joined = [(0, i) for i in range(20)]
+    assert linked(more + joined, n) == linked(close + joined, n)
+
+
+def components_of(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = [x if r == y else r for r in root]
+    return sorted(sorted(i for i in range(n) if root[i] == r) for r in set(root))
+
+
+def test_large_groups_are_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(H, "CELL_HASHES", 700)
+    sets = chains(60, 6, 100, 3)
+    rows = [(f"s{i:02d}", [int(v) for v in x]) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "sig string, set array<long>")
+    own = table.selectExpr("7L AS group", "sig", "sig AS own").unionByName(table.limit(2).selectExpr("8L AS group", "sig", "sig AS own"))
+    got = [(int(r.a[1:]), int(r.b[1:])) for r in H._linked(own, table, 0.8).collect()]
+    close = [(i, j) for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert components_of(60, got) == components_of(60, close) and len(components_of(60, close)) == 1

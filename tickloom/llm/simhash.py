@@ -45,6 +45,8 @@ PIECE = 1 << 16
 ROW_COST = 300.0
 # Rows of a bucket that one task compares among themselves.
 BUCKET_ROWS = 20_000
+# Shingle hashes of the sets that one task compares among themselves, at most twice as many.
+CELL_HASHES = 1_000_000
 # Bands of least hashes and hashes in each: a pair of similarity 0.8 shares one with 0.992.
 BANDS, BAND_ROWS = 16, 6
 _MIX = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -371,7 +373,7 @@ def grouped(
     if jaccard is not None:
         seen = banded(seen, words).withColumn("digest", digest(F.col("text")))
         seen = written(seen.drop("text"), "fp")
-        low = _similar(df.select(F.col(text).alias("text")), seen, words, radius, verify, jaccard)
+        low = _similar(df.select(F.col(id_).alias("id"), F.col(text).alias("text")), seen, words, radius, verify, jaccard)
         return seen.join(low, "sig").select(F.col("id").alias(id_), "fp", F.col("low").alias("component_id"))
     seen = written(seen.drop("text"), "fp")
     low = written(seen.groupBy("fp", "second").agg(F.min("id").alias("low")), "low")
@@ -398,12 +400,13 @@ def _similar(texts: DataFrame, seen: DataFrame, words: int, radius: int, verify:
 
     Each candidate group (the sets of a fingerprint component, or of a band) is
     first a star at its least member, so there are about as many pairs as sets.
-    Where a pair of a star fails, other pairs of its groups may still be similar:
-    there all pairs that aren't connected yet are compared as well.
+    Where a band still has several components, its sets are compared in tasks.
     """
     nodes = written(seen.groupBy("sig").agg(F.min("id").alias("low"), F.min("digest").alias("digest"), F.any_value("bands").alias("bands")), "sets")
     in_bands = nodes.select("sig", F.explode("bands").alias("group"))
-    stars = _star(in_bands)
+    several = in_bands.groupBy("group").agg(F.min("sig").alias("b"), F.max("sig").alias("last")).filter("b != last").select("group", "b")
+    in_bands = written(in_bands.join(several, "group"), "bands")
+    stars = in_bands.filter("sig != b").select(F.col("sig").alias("a"), "b")
     prints = seen.select("fp", "second").distinct()
     parts = fp_links(written(prints, "prints"), radius, verify)
     if parts is not None:
@@ -411,8 +414,11 @@ def _similar(texts: DataFrame, seen: DataFrame, words: int, radius: int, verify:
         stars = stars.unionByName(_star(named.select("sig", F.coalesce("root", "node").alias("group"))))
     stars = written(stars.distinct(), "stars")
     ends = stars.select(F.col("a").alias("sig")).unionByName(stars.select(F.col("b").alias("sig"))).distinct()
-    need = written(nodes.join(ends, "sig").select("sig", "digest"), "ends")
-    held = texts.withColumn("digest", digest(F.col("text"))).join(need, "digest").groupBy("sig").agg(F.min("text").alias("text"))
+    need = nodes.join(ends, "sig").select("sig", "digest", "low")
+    # One row of each set: by id as well, so copies of one text are dealt to many tasks.
+    named = texts.select("text", F.col("id").alias("low"), digest(F.col("text")).alias("digest")).alias("t")
+    mine = named.join(need.alias("n"), (F.col("t.digest") == F.col("n.digest")) & F.col("t.low").eqNullSafe(F.col("n.low"))).select("sig", "text")
+    held = mine.groupBy("sig").agg(F.min("text").alias("text"))
 
     def make():
         def fn(column: pa.Array):
@@ -421,29 +427,88 @@ def _similar(texts: DataFrame, seen: DataFrame, words: int, radius: int, verify:
         return fn
 
     sets = written(append_arrow(held, ["text"], [("set", T.ArrayType(T.LongType()))], make).drop("text"), "shingles")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("set").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        return written(x.select("a", "b", (both / (F.size("x") + F.size("y") - both) >= jaccard).alias("ok")), "compared")
-
-    first = compared(stars)
-    good = first.filter("ok").select("a", "b")
-    failed = first.filter("NOT ok")
-    if not failed.isEmpty():
-        near, own = components(stars), components(good)
-        open_ = near.join(failed.select(F.col("a").alias("node")).join(near, "node").select("root").distinct(), "root", "left_semi")
-        open_ = open_.select("node").join(own, "node", "left").select(F.col("node").alias("sig"), F.coalesce("root", "node").alias("own"))
-        x = written(in_bands.join(open_, "sig"), "open")
-        # A group of one component has nothing to compare.
-        more = x.groupBy("group").agg(F.min("own").alias("p"), F.max("own").alias("q")).filter("p != q").select("group")
-        x = x.join(more, "group", "left_semi")
-        y = x.select("group", F.col("sig").alias("b"), F.col("own").alias("own_b"))
-        pairs = x.withColumnRenamed("sig", "a").join(y, "group").filter("own < own_b").select("a", "b").distinct()
-        good = good.unionByName(compared(pairs).filter("ok").select("a", "b"))
+    x = stars.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("set").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    good = written(x.filter(both / (F.size("x") + F.size("y") - both) >= jaccard).select("a", "b"), "good")
+    own = in_bands.select("group", "sig").join(components(good).withColumnRenamed("node", "sig"), "sig", "left").withColumn("own", F.coalesce("root", "sig")).drop("root")
+    own = written(own, "own")
+    # A group of one component has nothing to compare.
+    more = own.groupBy("group").agg(F.min("own").alias("p"), F.max("own").alias("q")).filter("p != q").select("group")
+    good = good.unionByName(_linked(own.join(more, "group", "left_semi"), sets, jaccard))
     return _least(nodes.select(F.col("sig").alias("node"), "low"), components(good)).withColumnRenamed("node", "sig")
 
 
+def cell_links(own: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, jaccard: float) -> list[tuple[int, int]]:
+    """Links (i, j) of sets of at least ``jaccard``, enough to connect all that are; ``own`` has the components known before.
+
+    Set i is compared at once with all later sets of other components: its hashes
+    are marked, and each other set counts its marks.
+    """
+    ids = np.unique(hashes, return_inverse=True)[1]
+    sizes = np.diff(offsets)
+    label = np.unique(own, return_inverse=True)[1]
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int32)
+    out = []
+    for i in range(len(own) - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        rest = rest[np.minimum(sizes[rest], sizes[i]) >= jaccard * np.maximum(sizes[rest], sizes[i])]
+        if not len(rest):
+            continue
+        mine = ids[offsets[i] : offsets[i + 1]]
+        mark[mine] = 1
+        ends = np.cumsum(sizes[rest])
+        at = np.arange(ends[-1]) + np.repeat(offsets[rest] - (ends - sizes[rest]), sizes[rest])
+        both = np.add.reduceat(mark[ids[at]], ends - sizes[rest])
+        mark[mine] = 0
+        for j in rest[both >= jaccard * (sizes[rest] + sizes[i] - both)]:
+            if label[j] != label[i]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _linked(own: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """Links (a, b) inside groups (group, sig, own) between sets of different components.
+
+    A group whose sets hold over CELL_HASHES hashes is cut into blocks, and a task
+    compares two blocks; it sends out fewer links than it has sets.
+    """
+    sized = own.join(sets.select("sig", F.size("set").alias("m")), "sig").groupBy("group").agg(F.ceil(F.sum("m") / CELL_HASHES).cast("long").alias("k"))
+    at = F.pmod(F.xxhash64("sig"), F.col("k"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda x: F.least(x, at) * F.col("k") + F.greatest(x, at))
+    dealt = own.join(sized, "group").withColumn("c", F.explode(cells)).drop("k").join(sets, "sig")
+    dealt = dealt.repartition("group", "c").sortWithinPartitions("group", "c").select("group", "c", "sig", "own", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            sig, lists = t.column("sig").combine_chunks(), t.column("set").combine_chunks()
+            sizes = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+            found = cell_links(np.array(t.column("own").to_pylist()), sizes, lists.flatten().to_numpy(), jaccard)
+            return pa.RecordBatch.from_arrays([sig.take(pa.array([p[k] for p in found], pa.int64())) for k in (0, 1)], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            start = 0
+            for i, key in enumerate([*keys, None]):
+                if key == last and key is not None:
+                    continue
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if key is not None:
+                    if held:
+                        yield out()
+                    held, last = [], key
+                start = i
+        if held:
+            yield out()
+
+    return dealt.mapInArrow(run, "a string, b string")
+
+
 def _star(groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of each member (sig) of a group and the group's least."""
     least = groups.groupBy("group").agg(F.min("sig").alias("b"), F.max("sig").alias("last")).filter("b != last").select("group", "b")
