@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -85,3 +86,14 @@ def test_query_and_odd_rows(spark):
     assert [list(r.ids) for r in back] == [ids(t or "") for _, t, _ in rows]
     assert back[3].decoded == "ab cd " and back[3].spelled == "ab</w> cd</w>"
     assert B.digests(df.filter("false"), queries.vocabulary()).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["a1", "a", "1", "é", "-", "日"])
+def test_long_runs_take_time_by_length(piece):
+    times = []
+    for size in (1 << 16, 1 << 18):
+        e = B.Encoder(V)
+        t0 = time.perf_counter()
+        e.encode(piece * size)
+        times.append(time.perf_counter() - t0)
+    assert times[1] < 4 * 3 * times[0] + 0.5

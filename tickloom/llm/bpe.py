@@ -175,11 +175,11 @@ class Encoder:
         self.marks = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a run without white space."""
+    def piece(self, piece: str) -> list[int]:
+        """Ids of a run without white space, in time proportional to its length."""
         # Letter by letter: the final form of a sigma is not made here.
         plain = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        known, ids = self.known, ()
+        known, ids = self.known, []
         # A run of letters is one word, as the pattern has it.
         for w in (plain,) if plain.isalpha() else self.word.findall(plain):
             if (got := known.get(w)) is None:

@@ -44,11 +44,18 @@ def append_arrow(
 ) -> DataFrame:
     """Append columns computed in tasks, slice by slice; all other columns pass through.
 
-    ``make`` runs once in each task and returns the function of the input
+    Where a column of a new one's name (in any case) is there already, the new one gets
+    underscores behind its name.  ``make`` runs once in each task and returns the function of the input
     arrays.  No shuffle; memory is one slice.
     """
     at = [df.columns.index(c) for c in inputs]
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in fields)])
+    taken = {c.lower() for c in df.columns}
+    schema = T.StructType(df.schema.fields)
+    for name, kind in fields:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        schema = T.StructType([*schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn, names = make(), [f.name for f in schema.fields]

@@ -27,10 +27,19 @@ KINDS = ("assign", "access", "hex", "jwt", "key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is [0-9a-f]+ of 24 or more
-JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?![A-Za-z0-9_.-]*[A-Za-z0-9_-])")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])", re.I | re.A)
+DOTTED = re.compile(r"[A-Za-z0-9_.-]++")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+# A base64 run that goes on in the next lines; line ends may be escaped.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40,}+(?:[\x20\t]*+(?:\\r)?(?:\\n|\r?\n)[\x20\t]*+[A-Za-z0-9+/]++)++={0,2}")
+LINE = re.compile(r"\\[rn]|([A-Za-z0-9+/]+)")
+ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0x)?((?:[0-9a-f]{2}){24,}+)(?![0-9A-Za-z])", re.I | re.A)
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\x00-\x7f])*)-----END \1-----")
+LINE_END = re.compile(r"\\r|\\n|[\r\n]+")
+DEK = re.compile(r"DEK-Info:\x20*[A-Za-z0-9-]+,([0-9A-Fa-f]{16,32})", re.A)
+# Letters of the shortest header that names an algorithm, {"alg":""}, are 14.
+LEAST_HEADER = 14
+# How the base64 of a JSON object begins: an opening brace, then a quote, a blank or a line end.
+OBJECTS = (b"eyJ", b"eyA", b"ewo", b"ewk", b"ew0")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 
 # Shortest run of base64 letters that a confirmed candidate or a hex match holds.
@@ -122,6 +131,58 @@ def unbase64(text: str) -> bytes:
         return b""
 
 
+def is_pem_key(body: str) -> bool:
+    """The body of a PEM block: a key, or an encrypted one with its cipher, vector and whole blocks."""
+    lines = [x.strip() for x in LINE_END.split(body)]
+    head = [x for x in lines if ":" in x]
+    data = unbase64("".join("".join(x.split()) for x in lines if ":" not in x))
+    if any(x.startswith("Proc-Type:") and x.endswith("ENCRYPTED") for x in head):
+        return any(DEK.match(x) for x in head) and len(data) >= 32 and len(data) % 8 == 0
+    return is_key(data)
+
+
+def wrapped_key(run: str) -> int:
+    """Where the key at the start of a run of base64 lines ends in it; 0 if there is none.
+
+    A DER key says its own length, so lines after it don't matter; an OpenSSH key ends with a line.
+    """
+    lines = [(m.end(1), m[1]) for m in LINE.finditer(run) if m[1]]
+    whole = "".join(x for _, x in lines)
+    start = unbase64(whole[:8])
+    if start[:1] == b"\x30" and len(start) == 6:
+        k = start[1] & 127 if start[1] & 128 else 0
+        if k > 4:
+            return 0
+        size = 2 + k + (int.from_bytes(start[2 : 2 + k], "big") if k else start[1])
+        need = -(-size * 4 // 3)
+        if need > len(whole) or not is_der_key(unbase64(whole[:need])[:size]):
+            return 0
+        used = 0
+        for end, x in lines:
+            used += len(x)
+            if used >= need:
+                end -= used - need
+                return end + min(2, len(run) - end - len(run[end:].lstrip("=")))
+    if whole.startswith("b3BlbnNzaC1rZXktdjEA"):
+        for n in (len(lines), len(lines) - 1):
+            if n and is_ssh_key(unbase64("".join(x for _, x in lines[:n]))):
+                return len(run) if n == len(lines) else lines[n - 1][0]
+    return 0
+
+
+def tokens_of(text: str) -> Iterator[Span]:
+    """Dotted runs of two or three parts that are signed tokens; the third may be empty."""
+    for m in DOTTED.finditer(text):
+        run = m[0].rstrip(".")
+        parts = run.split(".", 3)
+        if len(parts) == 2 and len(m[0]) > len(run):
+            run += "."
+        elif len(parts) != 3:
+            continue
+        if len(parts[0]) >= LEAST_HEADER and parts[1] and is_token(run):
+            yield m.start(), m.start() + len(run), "jwt"
+
+
 def is_token(text: str) -> bool:
     """A compact signed token: header object with an algorithm, payload object, signature of a fitting length."""
     head, body, signature = text.split(".")
@@ -151,28 +212,38 @@ def base_spans(text: str, data: bytes) -> Iterator[Span]:
 
 
 def confirmed(text: str) -> Iterator[Span]:
-    """Candidates that decode to a structure."""
-    for m in JWT.finditer(text):
-        if is_token(m[0]):
-            yield m.start(), m.end(), "jwt"
-    blocks = [(m.start(), m.end()) for m in PEM.finditer(text) if is_key(unbase64("".join(m[2].split())))]
-    yield from ((a, b, "key") for a, b in blocks)
-    for rx, decode in ((BASE64, unbase64), (ANY_HEX, bytes.fromhex)):
+    """Candidates that decode to a structure, found in time proportional to the text's length."""
+    yield from tokens_of(text)
+    blocks = [(m.start(), m.end(), "key") for m in PEM.finditer(text) if is_pem_key(m[2])]
+    for m in WRAPPED.finditer(text):
+        if size := wrapped_key(m[0]):
+            blocks.append((m.start(), m.start() + size, "key"))
+    inside: list[Span] = []
+    for block in sorted(blocks):
+        if not inside or block[0] >= inside[-1][1]:
+            inside.append(block)
+    yield from inside
+    for rx, group, decode in ((BASE64, 0, unbase64), (ANY_HEX, 1, bytes.fromhex)):
+        at = 0
         for m in rx.finditer(text):
-            if is_key(decode(m[0])) and not any(a <= m.start() < b for a, b in blocks):
-                yield m.start(), m.end(), "key"
+            while at < len(inside) and inside[at][1] <= m.start(group):
+                at += 1
+            if (at == len(inside) or m.start(group) < inside[at][0]) and is_key(decode(m[group])):
+                yield m.start(group), m.end(group), "key"
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and added spans of a text, in code points, each by start and kind."""
     data = text.encode()
     base, added = list(base_spans(text, data)), []
-    # Everything else holds a long run of base64 letters; most texts have none.
+    # Everything else but short tokens holds a long run of base64 letters; most texts have none.
     if b"a" * MIN_RUN in data.translate(_RUN):
         base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
         added = list(confirmed(text))
     elif "-----BEGIN " in text:
         added = list(confirmed(text))
+    elif any(x in data for x in OBJECTS):
+        added = list(tokens_of(text))
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     return sorted(base, key=order), sorted(set(added), key=order)
 
@@ -192,7 +263,10 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 
 
 def scanned(df: DataFrame, text: str = "text") -> DataFrame:
-    """Append n_assign, n_access, n_hex (long), base_sha256 and spans; null text is empty, without spans.  No shuffle."""
+    """Append n_assign, n_access, n_hex (long), base_sha256 and spans; null text is empty, without spans.
+
+    Repeated rows repeat; a new column whose name is taken gets underscores.  No shuffle.
+    """
 
     def make():
         def fn(column: pa.Array):
