@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.base import query, tidy
 from tickloom.catalog.features import W, full
-from tickloom.catalog.sqlbits import BARS, FILLS, day
+from tickloom.catalog.sqlbits import BARS, FILLS, day, stamp
 from tickloom.functions import costs as K
 from tickloom.operators import positions as P
 from tickloom.operators import quality as Q
@@ -180,7 +180,7 @@ def _(spark, d):
 
 
 @query(
-    "live_account_view", "C12 A45 J13",
+    "live_account_view", "C12 J13",
     f"""WITH RECURSIVE {LIVE}, v AS (SELECT account, sum(rep.q * px) AS v, count(*) AS n FROM rep GROUP BY account)
     SELECT account, round(cash + coalesce(v, 0), 2) AS equity, round(cash + coalesce(v, 0) - 999000, 2) AS day_pnl, round(cash + coalesce(v, 0) - 1e6, 2) AS total_pnl, coalesce(n, 0) AS n_positions
     FROM lcash LEFT JOIN v USING (account)""",
@@ -192,6 +192,39 @@ def _(spark, d):
     return tidy(P.live_view(r, cash, base, capital=1e6), 2)
 
 
+@query(
+    "site_summary", "A45",
+    f"""WITH RECURSIVE {LIVE}, v AS (SELECT account, sum(rep.q * px) AS net, sum(abs(rep.q * px)) AS gross, sum(rep.q * (px - avg)) AS un, count(*) FILTER (rep.q > 0) AS nl, count(*) FILTER (rep.q < 0) AS ns FROM rep GROUP BY account),
+    k AS (SELECT account, sum(abs(quantity * (price - reference_price))) AS fr, sum(commission + fees) AS fe, count(*) AS n FROM fills WHERE abs(quantity) >= 1e-9 GROUP BY account)
+    SELECT account, round(cash + coalesce(net, 0), 2) AS equity, round((cash + coalesce(net, 0)) / 1e6 - 1, 6) AS total_return, round(coalesce(un, 0), 2) AS unrealized_pnl,
+      round(coalesce(gross, 0) / (cash + coalesce(net, 0)), 4) AS gross, round(coalesce(net, 0) / (cash + coalesce(net, 0)), 4) AS net, coalesce(nl, 0) AS n_long, coalesce(ns, 0) AS n_short,
+      round(fr, 2) AS friction_costs, round(fe, 2) AS fee_costs, 0.0 AS borrow_costs, n AS n_fills FROM lcash LEFT JOIN v USING (account) LEFT JOIN k USING (account)""",
+)
+def _(spark, d):
+    fin, cash = live_parts(spark, d)
+    r = P.position_report(fin, quotes(spark, d), cash.select("account", F.col("cash").alias("equity")))
+    costs = T.fills(spark, d).select(
+        "account", F.abs(F.col("quantity") * (F.col("price") - F.col("reference_price"))).alias("friction"), (F.col("commission") + F.col("fees")).alias("fees"), F.lit(0.0).alias("borrow"))
+    return tidy(P.site_summary(r, cash, costs, capital=1e6), 2, total_return=6, gross=4, net=4)
+
+
+@query(
+    "live_market", "C12 A45",
+    f"""WITH {BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM bars), q AS (SELECT symbol, max(ts) AS ts, max(close) FILTER (rn = 1) / max(close) FILTER (rn = 2) - 1 AS chg FROM r WHERE rn <= 2 GROUP BY 1),
+    t AS (SELECT symbol, ts, chg, unnest([TIMESTAMP '1998-12-01 13:29:00', TIMESTAMP '1998-12-01 14:30:00', TIMESTAMP '1998-12-01 20:59:59', TIMESTAMP '1998-12-01 21:00:00', TIMESTAMP '1998-11-28 16:00:00']) AS now FROM q)
+    SELECT symbol, {stamp('now')} AS now, {day("now - INTERVAL 5 HOUR")} AS today, CAST(ts = CAST(now - INTERVAL 5 HOUR AS DATE) AS BIGINT) AS traded_today, round(chg, 6) AS bench_day_change,
+      CAST(ts = CAST(now - INTERVAL 5 HOUR AS DATE) AND isodow(now - INTERVAL 5 HOUR) < 6 AND strftime(now - INTERVAL 5 HOUR, '%H:%M') >= '09:30' AND strftime(now - INTERVAL 5 HOUR, '%H:%M') < '16:00' AS BIGINT) AS market_open FROM t""",
+)
+def _(spark, d):
+    """Every brand as the benchmark, at five moments of two winter days."""
+    q = Q.latest_two(T.daily_bars(spark, d))
+    out = None
+    for now in ("1998-12-01 13:29:00", "1998-12-01 14:30:00", "1998-12-01 20:59:59", "1998-12-01 21:00:00", "1998-11-28 16:00:00"):
+        one = P.market_states(q, now=now).withColumn("now", F.lit(now))
+        out = one if out is None else out.unionByName(one)
+    return tidy(out.select("symbol", "now", "today", "traded_today", "bench_day_change", "market_open"))
+
+
 @query(
     "lifecycle_columns", "W39",
     f"""WITH RECURSIVE {marks_sql(YEARLY)}, le AS (SELECT account, symbol, ts, arg_max(life, rn) AS life FROM run GROUP BY 1, 2, 3), en AS (SELECT le.account, le.symbol, le.ts, entry FROM le JOIN ent USING (account, symbol, life)),

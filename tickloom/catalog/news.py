@@ -25,16 +25,20 @@ UNIVERSE = ["AA", "BB", "DD", "EE", "GG", "Brand#1", "Brand#2"]
 CFG = NewsSettings()
 AS_OF = "2024-01-15 12:00:00"
 
-_LEXROWS = ", ".join(f"('{w}', {v!r}::DOUBLE)" for w, v in WORDS.items())
-_NEGLIST = "[" + ", ".join(f"'{w}'" for w in NEGS) + "]"
 _TOKS = "regexp_extract_all(lower(replace({c}, '’', '''')), '[a-z][a-z''-]*')"
 
 
-def polarity_sql(src: str) -> str:
+def quoted(word: str) -> str:
+    return "'" + word.replace("'", "''") + "'"
+
+
+def polarity_sql(src: str, lex: X.Lexicon = LEX) -> str:
     """Token positions joined to the lexicon, negation by a list slice."""
-    return f"""lex AS (SELECT * FROM (VALUES {_LEXROWS}) AS v(w, wt)),
+    rows = ", ".join(f"({quoted(w)}, {float(v)!r}::DOUBLE)" for w, v in lex.weights.items())
+    negators = "[" + ", ".join(quoted(w) for w in lex.negators) + "]"
+    return f"""lex AS (SELECT * FROM (VALUES {rows}) AS v(w, wt)),
   tk AS (SELECT uid, f, toks, unnest(range(1, len(toks) + 1)) AS p FROM (SELECT uid, 't' AS f, {_TOKS.format(c='title')} AS toks FROM {src} UNION ALL SELECT uid, 's', {_TOKS.format(c='summary')} FROM {src})),
-  hit AS (SELECT uid, f, CASE WHEN list_has_any(list_transform(toks[greatest(1, p - 3):p - 1], lambda x: replace(x, '''', '')), {_NEGLIST}) THEN -wt ELSE wt END AS v FROM tk JOIN lex ON lex.w = toks[p]),
+  hit AS (SELECT uid, f, CASE WHEN list_has_any(list_transform(toks[greatest(1, p - 3):p - 1], lambda x: replace(x, '''', '')), {negators}) THEN -wt ELSE wt END AS v FROM tk JOIN lex ON lex.w = toks[p]),
   agg AS (SELECT uid, sum(CASE WHEN f = 't' THEN 1 ELSE 0 END) AS tm, count(*) AS matched, coalesce(sum(v) FILTER (v > 0 AND f = 't'), 0) AS tp, coalesce(-sum(v) FILTER (v < 0 AND f = 't'), 0) AS tn,
     coalesce(sum(v) FILTER (v > 0 AND f = 's'), 0) AS sp, coalesce(-sum(v) FILTER (v < 0 AND f = 's'), 0) AS sn FROM hit GROUP BY uid),
   scored AS (SELECT a.*, coalesce(matched, 0) AS matched, coalesce(tp, 0) * CASE WHEN a.summary <> '' THEN 2 ELSE 1 END + coalesce(sp, 0) AS positive, coalesce(tn, 0) * CASE WHEN a.summary <> '' THEN 2 ELSE 1 END + coalesce(sn, 0) AS negative
@@ -73,6 +77,19 @@ def _(spark, d):
                          F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"), F.array_join("symbols", ",").alias("symbols")))
 
 
+@query(
+    "article_identity_stripped", "F10",
+    f"""WITH {ARTICLES} SELECT doc_id, substr(sha1(url), 1, 16) AS url_uid, substr(sha1('x y'), 1, 16) AS title_uid FROM articles""",
+)
+def _(spark, d):
+    """White space of every kind around a URL or a title doesn't change the identity."""
+    a = T.articles(spark, d)
+    k = (F.col("doc_id") % len(X.WHITE)).cast("int") + 1
+    white = F.substring(F.lit(X.WHITE), k, F.lit(1))
+    return a.select("doc_id", X.article_uid(F.concat(white, F.upper("url"), white, F.lit("\n")), F.lit("t")).alias("url_uid"),
+                    X.article_uid(F.lit(""), F.concat(F.lit("\t"), F.lit("X y"), white)).alias("title_uid"))
+
+
 @query(
     "feed_timestamps", "F12 F13",
     f"""SELECT o_orderkey, {stamp("CASE o_orderkey % 5 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t - INTERVAL 2 HOUR WHEN 3 THEN t + INTERVAL 5 HOUR END")} AS ts
@@ -108,11 +125,20 @@ def _(spark, d):
     return tidy(s.select("doc_id", "matched", "positive", "negative", "polarity", "confident", "confidence"))
 
 
-@query("market_lexicon_polarity", "F20 F21 D19")
+MARKET = X.Lexicon()
+_MARKET_WORDS = "[" + ", ".join(quoted(w) for w in MARKET.weights) + "]"
+
+
+@query(
+    "market_lexicon_polarity", "F20 F21 D19",
+    f"""WITH {ARTICLES}, m AS (SELECT doc_id, uid || doc_id AS uid, {_MARKET_WORDS}[1 + doc_id % {len(MARKET.weights)}] AS word, summary FROM articles),
+    t AS (SELECT doc_id, uid, 'Shares ' || word || ' after not ' || word AS title, summary FROM m), {polarity_sql('t', MARKET)}
+    SELECT doc_id, matched, round(positive, 6) AS positive, round(negative, 6) AS negative, round(polarity, 6) AS polarity FROM pol""",
+)
 def _(spark, d):
-    """The market word list over part names, stocked with its own words."""
+    """The market word list over titles stocked with its own words."""
     a = T.articles(spark, d)
-    words = X.literal_array(list(X.Lexicon().weights))
+    words = X.literal_array(list(MARKET.weights))
     w = F.get(words, (F.col("doc_id") % F.size(words)).cast("int"))
     a = a.withColumn("title", F.concat(F.lit("Shares "), w, F.lit(" after not "), w)).drop("symbols")
     return tidy(X.score_articles(a).select("doc_id", "matched", "positive", "negative", "polarity"))

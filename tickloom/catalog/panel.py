@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tickloom.catalog.base import query, tidy
 from tickloom.catalog.features import W, full
-from tickloom.catalog.sqlbits import BARS, BENCH, day
+from tickloom.catalog.sqlbits import BARS, BENCH, day, drawn
 from tickloom.operators import evaluate as E
 from tickloom.operators import panel as P
 from tickloom.sources import tables as T
@@ -88,8 +88,18 @@ def _(spark, d):
     return tidy(E.ic_by_year(ic(spark, d)))
 
 
-# Shuffled targets: the permutation is a rotation by symbol order in SQL-free
-# form on the Spark side, so the SQL states only what must not change.
+def shuffled_sql(src: str, by: str = "ts", name: str = "shuffled") -> str:
+    """Targets dealt anew inside each group, in the order of a seeded hash."""
+    return f"""{name}_s AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY symbol) AS slot,
+      row_number() OVER (PARTITION BY {by} ORDER BY {drawn(7, *by.split(', '), 'symbol')}, symbol) AS draw FROM {src}),
+    {name} AS (SELECT a.* EXCLUDE (target, slot, draw), b.target FROM {name}_s a JOIN {name}_s b ON a.slot = b.draw AND {' AND '.join(f'a.{c} = b.{c}' for c in by.split(', '))})"""
+
+
+@query("shuffled_targets", "W35 F11", f"WITH {SCORES}, {shuffled_sql('scores')} SELECT {day('ts')} AS ts, symbol, round(score, 6) AS score, round(target, 6) AS target FROM shuffled")
+def _(spark, d):
+    return tidy(P.shuffle_targets(scores(spark, d)))
+
+
 @query(
     "shuffled_target_marginals", "W35",
     f"WITH {SCORES} SELECT {day('ts')} AS ts, count(target) AS n, round(sum(target), 6) AS total, round(min(target), 6) AS low, round(max(target), 6) AS high FROM scores GROUP BY ts",
@@ -99,7 +109,11 @@ def _(spark, d):
     return tidy(s.groupBy("ts").agg(F.count("target").alias("n"), F.sum("target").alias("total"), F.min("target").alias("low"), F.max("target").alias("high")))
 
 
-@query("go_no_go", "A4 W35 C24")
+@query(
+    "go_no_go", "A4 W35",
+    f"""WITH {IC}, {shuffled_sql('scores')}, {ic_sql('shuffled', name='nic')}, n AS (SELECT avg(ic) AS null_mean FROM nic)
+    SELECT {SUMMARY}, round(any_value(null_mean), 6) AS null_mean, CAST(avg(ic) >= 0.02 AND avg(ic) / stddev_samp(ic) > 0.15 AS BIGINT) AS go, CAST(abs(any_value(null_mean)) < 0.01 AS BIGINT) AS leak_free FROM ic, n""",
+)
 def _(spark, d):
     s = scores(spark, d)
     null = E.ic_summary(E.rank_ic(P.shuffle_targets(s)))
@@ -188,6 +202,25 @@ def _(spark, d):
     return tidy(E.horizon_ic(P.horizon_panel(T.daily_bars(spark, d), T.benchmark(spark, d), HS)))
 
 
+@query(
+    "horizon_experiment", "C24 J18 W35",
+    f"""WITH {_HSQL}, {ic_sql('long', 'h, ts')}, {shuffled_sql('long', 'h, ts')}, {ic_sql('shuffled', 'h, ts', 'nic')},
+    n AS (SELECT h, round(avg(ic), 6) AS null_mean, round(avg(ic) / (stddev_samp(ic) / sqrt(count(ic))), 6) AS null_t_stat FROM nic GROUP BY h), s AS (SELECT h, {SUMMARY} FROM ic GROUP BY h)
+    SELECT * FROM s JOIN n USING (h)""",
+)
+def _(spark, d):
+    return tidy(E.horizon_experiment(P.horizon_panel(T.daily_bars(spark, d), T.benchmark(spark, d), HS)))
+
+
+@query("model_health_means", "C27 A40", f"""WITH {SCORES}, c AS (SELECT ts, greatest(-1, least(1, score)) AS score FROM scores),
+    s AS (SELECT ts, avg(CAST(abs(score) > 0.99 AS DOUBLE)) AS f, stddev_pop(abs(score)) AS k FROM c GROUP BY ts)
+    SELECT count(*) AS n_days, round(avg(k), 6) AS mean_conviction_std, round(avg(f), 6) AS mean_frac_saturated, round(arg_max(k, ts), 6) AS last_conviction_std,
+      round(avg(CAST(f > 0.5 OR k < 0.05 AS DOUBLE)), 6) AS alarm_share FROM s""")
+def _(spark, d):
+    s = scores(spark, d).withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score"))))
+    return tidy(E.model_health(E.score_saturation(s)))
+
+
 @query(
     "score_saturation", "A40",
     f"""WITH {SCORES}, c AS (SELECT ts, greatest(-1, least(1, score)) AS score FROM scores)

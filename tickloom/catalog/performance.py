@@ -55,7 +55,7 @@ def _(spark, d):
 
 
 @query(
-    "forward_filled_ledger", "W26 C28",
+    "forward_filled_ledger", "W26",
     f"""WITH {CURVE}, h AS (SELECT strategy, ts, CASE WHEN day(ts) % 4 = 0 THEN equity END AS mark FROM curve)
     SELECT strategy, {day('ts')} AS ts, round(last_value(mark IGNORE NULLS) OVER (PARTITION BY strategy ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) AS mark FROM h""",
 )
@@ -143,7 +143,7 @@ def _(spark, d):
 
 
 @query(
-    "window_statistics", "A26 C27",
+    "window_statistics", "A26",
     f"""WITH {RETS}, b AS (SELECT strategy, ts, equity, ret, equity - coalesce(pnl, 0) AS prev, unnest([CAST(year(ts) AS VARCHAR), 'all']) AS win FROM rets),
     f AS (SELECT strategy, win, arg_min(prev, ts) AS base FROM b GROUP BY 1, 2),
     p AS (SELECT b.*, base, greatest(max(equity) OVER (PARTITION BY strategy, win ORDER BY ts), base) AS pk FROM b JOIN f USING (strategy, win))
@@ -154,6 +154,49 @@ def _(spark, d):
     return tidy(R.window_stats(curve(spark, d)))
 
 
+_WINDOWS = f"""{RETS}, {BENCH}, b AS (SELECT strategy, ts, equity, ret, lag(ts) OVER (PARTITION BY strategy ORDER BY ts) AS pts, equity - coalesce(pnl, 0) AS prev, unnest([CAST(year(ts) AS VARCHAR), 'all']) AS win FROM rets),
+    f AS (SELECT strategy, win, arg_min(prev, ts) AS base, arg_max(equity, ts) AS fin, coalesce(min(pts) FILTER (pts IS NOT NULL AND ts = t0), min(ts)) AS a0, max(ts) AS a1
+      FROM (SELECT *, min(ts) OVER (PARTITION BY strategy, win) AS t0 FROM b) GROUP BY 1, 2),
+    g AS (SELECT f.*, x.close AS b0, y.close AS b1 FROM f ASOF LEFT JOIN bench x ON f.a0 >= x.ts ASOF LEFT JOIN bench y ON f.a1 >= y.ts),
+    n AS (SELECT o_orderpriority AS strategy, win, count(*) AS n_trades FROM (SELECT o_orderpriority, unnest([CAST(year(o_orderdate) AS VARCHAR), 'all']) AS win FROM orders) GROUP BY 1, 2),
+    fw AS (SELECT strategy, win, fin / base - 1 AS total, n_trades, b1 / b0 - 1 AS br FROM g JOIN n USING (strategy, win))"""
+
+
+def findings(spark, d):
+    trades = T.table(spark, d, "orders").select(F.col("o_orderpriority").alias("strategy"), F.to_date("o_orderdate").alias("ts"))
+    return R.window_stats(curve(spark, d), trades=trades, bench=T.benchmark(spark, d).withColumnRenamed("close", "equity"))
+
+
+@query(
+    "model_findings", "A26 C27",
+    f"""WITH {_WINDOWS} SELECT strategy, win AS "window", round(total, 6) AS total_return, n_trades, round(br, 6) AS bench_return, round(total - br, 6) AS excess FROM fw""",
+)
+def _(spark, d):
+    return tidy(findings(spark, d).select("strategy", "window", "total_return", "n_trades", "bench_return", "excess"))
+
+
+@query(
+    "best_and_worst_years", "C27",
+    f"""WITH {_WINDOWS}, r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY total DESC, win) AS k, row_number() OVER (PARTITION BY strategy ORDER BY total, win) AS j FROM fw WHERE win <> 'all')
+    SELECT strategy, max(win) FILTER (k = 1) AS best_year, round(max(total) FILTER (k = 1), 6) AS best_return, max(win) FILTER (j = 1) AS worst_year, round(max(total) FILTER (j = 1), 6) AS worst_return FROM r GROUP BY strategy""",
+)
+def _(spark, d):
+    return tidy(R.extremes(R.window_stats(curve(spark, d))))
+
+
+@query(
+    "chart_payload", "C28 W32 W33",
+    f"""WITH {RETS}, {BENCH}, j AS (SELECT r.strategy, r.ts, r.equity, r.pnl, r.drawdown, b.close FROM rets r ASOF LEFT JOIN bench b ON r.ts >= b.ts),
+    z AS (SELECT strategy, arg_min(equity / close, ts) FILTER (close IS NOT NULL) AS k FROM j GROUP BY 1),
+    t AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY ts) - 1 AS rn, count(*) OVER (PARTITION BY strategy) AS n FROM j)
+    SELECT strategy, {day('ts')} AS ts, round(equity, 4) AS equity, round(drawdown * 100, 4) AS drawdown, round(pnl, 4) AS pnl, round(close * k, 4) AS bench FROM t JOIN z USING (strategy)
+    WHERE rn % greatest(1, CAST(ceil(n / 900.0) AS BIGINT)) = 0 OR rn = n - 1""",
+)
+def _(spark, d):
+    payload = R.chart_payload(curve(spark, d), T.benchmark(spark, d).withColumnRenamed("close", "equity"), digits=6)
+    return tidy(R.chart_points(payload), 4)
+
+
 @query(
     "monthly_returns", "A6 F14",
     f"WITH {RETS} SELECT strategy, strftime(ts, '%Y-%m') AS month, round(product(1 + coalesce(ret, 0) / 10) - 1, 6) AS ret FROM rets GROUP BY 1, 2",

@@ -64,3 +64,13 @@ def stamp(col: str) -> str:
 
 def with_(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)
+
+
+def drawn(seed: int, *cols: str) -> str:
+    """The seeded hash of columns."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(cols)})), 1, 15) AS BIGINT)"
+
+
+def uniform(seed: int, *cols: str) -> str:
+    """The same as a number in (0, 1)."""
+    return f"((CAST({drawn(seed, *cols)} % {2**53} AS DOUBLE) + 0.5) / {2**53}.0)"

@@ -1,11 +1,12 @@
 """Stores, histories, artefacts, folds, model scores and noise bars."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.catalog.base import query, tidy
-from tickloom.catalog.panel import PANEL, panel
+from tickloom.catalog.panel import IC, PANEL, panel, scores
 from tickloom.catalog.performance import CURVE, curve
-from tickloom.catalog.sqlbits import BARS, day, with_
+from tickloom.catalog.sqlbits import BARS, day, uniform, with_
 from tickloom.functions.columns import json_safe
 from tickloom.operators import evaluate as E
 from tickloom.operators import folds as K
@@ -121,14 +122,14 @@ def _(spark, d):
     return tidy(json_safe(S.newest(c.select("strategy", "ts", e.alias("equity")), 800, tie=["strategy"])), 4)
 
 
-@query("universe_resolution", "P18 U5 D18 S17 O6", "SELECT symbol FROM (SELECT DISTINCT upper(trim(p_brand)) AS symbol FROM part UNION SELECT DISTINCT upper(p_type) FROM part)")
+@query("universe_resolution", "P18 U5 D18", "SELECT symbol FROM (SELECT DISTINCT upper(trim(p_brand)) AS symbol FROM part UNION SELECT DISTINCT upper(p_type) FROM part)")
 def _(spark, d):
     p = T.table(spark, d, "part")
     return S.resolve_universe(p.select(F.lower("p_brand").alias("symbol")).distinct(), p.select(F.col("p_type").alias("symbol")).distinct())
 
 
 @query(
-    "inception_rollover", "C29 S18",
+    "inception_rollover", "C29",
     f"""SELECT CAST(c_custkey AS VARCHAR) AS account, CASE WHEN min(o_orderdate) < DATE '1995-02-01' THEN 'retired' ELSE 'live' END AS status,
       CAST(c_custkey AS VARCHAR) || '@' || strftime(min(o_orderdate), '%Y%m%d') AS book_id FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
 )
@@ -187,8 +188,10 @@ def _(spark, d):
 @query("walk_forward_model_ic", "C17 A2 S19")
 def _(spark, d):
     p = panel(spark, d)
-    s = K.walk_forward_scores(spark, p, P.FEATURES, fresh(spark, "ranker"), refit_every=252, max_iter=20)
-    return tidy(E.ic_summary(E.rank_ic(s)))
+    folder = fresh(spark, "ranker")
+    s = K.walk_forward_scores(spark, p, P.FEATURES, folder + "/fit", refit_every=252, max_iter=20)
+    K.write_ranker(folder, s)
+    return tidy(E.ic_summary(K.read_ranker(spark, folder)[1]))
 
 
 @query(
@@ -201,8 +204,68 @@ def _(spark, d):
     return tidy(z.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.count_if(ok).alias("n_valid")))
 
 
-@query("noise_bars", "S22 F11")
+def _u(k):
+    return uniform(7000 + k, "symbol", "ts")
+
+
+def _normal(a, b):
+    return f"sqrt(-2.0 * ln({_u(a)})) * cos(2.0 * pi() * {_u(b)})"
+
+
+_WICK = "0.2 * sqrt(1.0 / 252) * 0.5"
+
+
+@query(
+    "noise_bars", "S22 F11",
+    f"""{with_(BARS)}, z AS (SELECT symbol, ts, (0 - 0.5 * 0.04) / 252.0 + 0.2 * sqrt(1.0 / 252) * {_normal(1, 2)} AS step, {_u(4)} AS u4, {_u(5)} AS u5, {_u(6)} AS u6, floor(exp(13.0 + 0.5 * {_normal(7, 8)}) + 0.5) AS volume FROM bars),
+    c AS (SELECT *, 100.0 * exp(sum(step) OVER (PARTITION BY symbol ORDER BY ts)) AS close FROM z), o AS (SELECT *, close * exp(-step * u4) AS open FROM c)
+    SELECT symbol, {day('ts')} AS ts, round(open, 3) AS open, round(greatest(open, close) * (1 + {_WICK} * u5), 3) AS high, round(least(open, close) * (1 - {_WICK} * u6), 3) AS low,
+      round(close, 3) AS close, round(close, 3) AS adj_close, round(volume, 3) AS volume FROM o""",
+)
+def _(spark, d):
+    return tidy(Z.noise_bars(T.daily_bars(spark, d)), 3)
+
+
+@query(
+    "watch_list_first", "S17 O6",
+    "SELECT upper(p_brand) AS symbol, row_number() OVER (ORDER BY min(p_partkey)) AS place FROM part GROUP BY 1 QUALIFY place <= 12",
+)
 def _(spark, d):
-    return tidy(Z.noise_bars(T.daily_bars(spark, d)))
+    """A list of all parts' brands in the order of their keys, with comments and blank lines; its first twelve tickers."""
+    path = fresh(spark, "list")
+    p = T.table(spark, d, "part")
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), F.lower("p_brand"), F.lit("\t"))).otherwise(F.lower("p_brand"))
+    rows = p.select("p_partkey", F.replace(line, F.lit("#"), F.lit("=")).alias("line"))
+    notes = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "# note").otherwise("").alias("line"))
+    rows.unionByName(notes).orderBy("p_partkey", "line").select("line").write.text(path)
+    got = S.read_lines(spark, path, 12)
+    out = got.withColumn("place", F.row_number().over(Window.orderBy("file", "line_no")))
+    return tidy(out.select(F.replace("symbol", F.lit("="), F.lit("#")).alias("symbol"), "place"))
 
 
+@query(
+    "book_state_load", "S18",
+    """SELECT CAST(c_custkey AS VARCHAR) AS account, round(c_acctbal, 2) AS cash, sym.symbol, round(c_custkey % 100 + sym.k, 2) AS quantity, round(10.0 + sym.k, 2) AS avg_price
+    FROM customer, (SELECT 'AA' AS symbol, 1 AS k UNION ALL SELECT 'BB', 2) sym""",
+)
+def _(spark, d):
+    """A saved book for every customer, with keys the reader doesn't know."""
+    path = fresh(spark, "books")
+    c = T.table(spark, d, "customer")
+    held = lambda k: F.struct((F.col("c_custkey") % 100 + k).cast("double").alias("quantity"), F.lit(10.0 + k).alias("avg_price"), F.lit("x").alias("note"))
+    docs = c.select(F.lit(2).alias("version"), F.lit(True).alias("simulated_capital"), F.col("c_custkey").cast("string").alias("account"), F.col("c_acctbal").cast("double").alias("cash"),
+                    F.struct(held(1).alias("AA"), held(2).alias("BB")).alias("positions"), F.lit("later").alias("unknown"))
+    docs.write.json(path)
+    return tidy(S.load_book(spark, path, version=2, lines=True), 2)
+
+
+@query(
+    "ranker_outputs", "S19 A1",
+    f"""WITH {IC} SELECT {day('s.ts')} AS ts, s.symbol, round(s.score, 6) AS score, round(ic, 6) AS ic FROM scores s LEFT JOIN ic USING (ts) WHERE s.target IS NOT NULL""",
+)
+def _(spark, d):
+    """Scores and rank_ic as a ranker's run leaves them, read back."""
+    folder = fresh(spark, "ranker")
+    K.write_ranker(folder, scores(spark, d).filter("target IS NOT NULL"))
+    s, ic = K.read_ranker(spark, folder)
+    return tidy(s.join(ic, "ts", "left").select("ts", "symbol", "score", "ic"))

@@ -8,6 +8,7 @@ from tickloom.catalog.panel import zsql
 from tickloom.catalog.sqlbits import BARS, INTRADAY, day, stamp, with_
 from tickloom.operators import alpha as A
 from tickloom.operators import decisions as D
+from tickloom.operators import report as R
 from tickloom.operators import sizing as S
 from tickloom.operators.series import Blocks, asof_backward
 from tickloom.settings import AlphaSettings, BookSettings, NewsSettings, SizingSettings
@@ -262,6 +263,15 @@ def _(spark, d):
     return tidy(decided(spark, d).select("ts", "symbol", "action", "outcome", "target", "expected_reward"))
 
 
+@query(
+    "decision_log", "S14",
+    f"""WITH {_BOOK}, {_DECIDED} SELECT {day('b.ts')} AS ts, b.symbol, round(b.close, 6) AS close, coalesce(action, 'none') AS action, coalesce(outcome, 'none') AS outcome, round(target, 6) AS target,
+      round(conviction, 5) AS conviction FROM bars b LEFT JOIN decided d ON b.ts = d.ts AND b.symbol = d.symbol""",
+)
+def _(spark, d):
+    return tidy(R.decision_log(bars(spark, d), decided(spark, d)), conviction=5)
+
+
 @query(
     "entry_slots", "O3",
     f"""WITH {_BOOK} SELECT {day('ts')} AS ts, symbol, round(conviction, 5) AS conviction FROM (

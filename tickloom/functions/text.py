@@ -17,6 +17,15 @@ NEGATION_WINDOW = 3
 TOKEN = "[a-z][a-z'-]*"
 
 
+# The characters that count as white space at the ends of a text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def clean_text(raw: Column) -> Column:
     """Tags out, white space collapsed; NULL reads as empty."""
     bare = F.regexp_replace(F.coalesce(raw, F.lit("")), "<[^>]+>", " ")
@@ -26,12 +35,12 @@ def clean_text(raw: Column) -> Column:
 def article_uid(url: Column, title: Column) -> Column:
     """Identity of a story: hash of its URL, or of its title without one."""
     basis = F.when(F.coalesce(url, F.lit("")) != "", url).otherwise(title)
-    return F.substring(F.sha1(F.lower(F.trim(basis))), 1, 16)
+    return F.substring(F.sha1(F.lower(strip(basis))), 1, 16)
 
 
 def parse_instant(raw: Column) -> Column:
     """RFC-822 or ISO-8601 text as a UTC instant, NULL when unreadable."""
-    t = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3,9},\s*", "")
+    t = F.regexp_replace(strip(raw), r"^[A-Za-z]{3,9},\s*", "")
     # Obsolete zone names as offsets; an unzoned time is UTC.
     zones = {"GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400",
              "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip, safe_div
-from tickloom.operators.panel import average_rank
+from tickloom.operators.panel import average_rank, shuffle_targets
 from tickloom.operators.series import RN, Blocks, calendar_chunk, ewm_lookback, prefix_scan
 from tickloom.settings import ewm_alpha
 
@@ -136,6 +136,20 @@ def horizon_ic(panel: DataFrame) -> DataFrame:
     return ic_summary(rank_ic(panel, by=["h", "ts"]), by=["h"])
 
 
+def horizon_experiment(panel: DataFrame, *, seed: int = 7) -> DataFrame:
+    """IC summary per horizon beside that of targets shuffled inside each horizon and date."""
+    null = ic_summary(rank_ic(shuffle_targets(panel, seed=seed, by=["h", "ts"]), by=["h", "ts"]), by=["h"])
+    return horizon_ic(panel).join(null.select("h", F.col("mean").alias("null_mean"), F.col("t_stat").alias("null_t_stat")), "h")
+
+
+def model_health(saturation: DataFrame) -> DataFrame:
+    """Means over all dates of the saturation monitor, the last spread and the share of alarms: one row."""
+    return saturation.agg(
+        F.count(F.lit(1)).alias("n_days"), F.avg("conviction_std").alias("mean_conviction_std"), F.avg("frac_saturated").alias("mean_frac_saturated"),
+        F.max_by("conviction_std", "ts").alias("last_conviction_std"), F.avg(F.col("alarm").cast("double")).alias("alarm_share"),
+    )
+
+
 def score_saturation(scores: DataFrame) -> DataFrame:
     """Share of saturated convictions and their spread per date, with alarms."""
     a = F.abs("score")

@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.evaluate import rank_ic
 from tickloom.operators.series import RN, index_series, calendar_chunk
 
 
@@ -119,3 +120,15 @@ def walk_forward_scores(
         s = gbt.fit(train).transform(vec.filter(F.col("_block") == i)).select("ts", "symbol", "score", "target")
         s.write.mode("append").parquet(folder + "/scores")
     return spark.read.parquet(folder + "/scores")
+
+
+def write_ranker(folder: str, scores: DataFrame) -> None:
+    """A ranker's outputs: ``scores`` (ts, symbol, score, target) by year, and ``rank_ic`` (ts, ic)."""
+    kept = scores.select("ts", "symbol", "score", "target", F.year("ts").alias("year"))
+    kept.repartition("year").sortWithinPartitions("ts", "symbol").write.mode("overwrite").partitionBy("year").parquet(f"{folder}/scores")
+    rank_ic(scores.sparkSession.read.parquet(f"{folder}/scores")).write.mode("overwrite").parquet(f"{folder}/rank_ic")
+
+
+def read_ranker(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(scores, rank_ic) of a run."""
+    return spark.read.parquet(f"{folder}/scores").drop("year"), spark.read.parquet(f"{folder}/rank_ic")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import age_days, clip, half_life_decay
-from tickloom.functions.text import Lexicon, NameBook, article_uid, clean_text, label_articles, parse_instant, score_articles
+from tickloom.functions.text import Lexicon, NameBook, article_uid, clean_text, label_articles, parse_instant, score_articles, strip
 from tickloom.settings import NewsSettings
 
 RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, pubDate: STRING, published: STRING, updated: STRING, description: STRING, summary: STRING>>>"
@@ -23,7 +23,7 @@ VENDOR = f"content STRUCT<{VENDOR_BODY}>, {VENDOR_BODY.replace(': ', ' ')}, prov
 
 def first_text(*cols: Column) -> Column:
     """First non-empty text."""
-    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in cols])
+    return F.coalesce(*[F.when(strip(c) != "", c) for c in cols])
 
 
 def parse_feeds(raw: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def parse_feeds(raw: DataFrame) -> DataFrame:
     d = raw.withColumns({"_rss": F.from_xml("body", RSS), "_atom": F.from_xml("body", ATOM)})
     link = F.transform("_atom.entry", lambda e: F.struct(
         e["title"].alias("title"),
-        F.array_join(F.slice(F.filter(F.transform(e["link"], lambda x: F.coalesce(F.when(F.trim(x["_VALUE"]) != "", x["_VALUE"]), x["_href"])), lambda x: F.length(x) > 0), 1, 1), "").alias("link"),
+        F.array_join(F.slice(F.filter(F.transform(e["link"], lambda x: F.coalesce(F.when(strip(x["_VALUE"]) != "", x["_VALUE"]), x["_href"])), lambda x: F.length(x) > 0), 1, 1), "").alias("link"),
         e["pubDate"].alias("pubDate"), e["published"].alias("published"), e["updated"].alias("updated"),
         e["description"].alias("description"), e["summary"].alias("summary"),
     ))
@@ -45,7 +45,7 @@ def parse_feeds(raw: DataFrame) -> DataFrame:
     out = i.select(
         "source", "kind", parse_instant(first_text(F.col("_i.pubDate"), F.col("_i.published"), F.col("_i.updated"))).alias("ts"),
         clean_text(F.col("_i.title")).alias("title"), clean_text(first_text(F.col("_i.description"), F.col("_i.summary"))).alias("summary"),
-        F.trim(F.coalesce("_i.link", F.lit(""))).alias("url"), F.array().cast("array<string>").alias("symbols"),
+        strip(F.coalesce("_i.link", F.lit(""))).alias("url"), F.array().cast("array<string>").alias("symbols"),
     )
     out = out.filter(F.col("ts").isNotNull() & (F.col("title") != ""))
     return out.withColumn("uid", article_uid(F.col("url"), F.col("title")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import costs as K
 from tickloom.operators.series import Blocks, asof_backward, calendar_chunk, index_series, prefix_scan, solve_chunk
-from tickloom.settings import QTY_EPS, CostSettings
+from tickloom.settings import CostSettings, EXCHANGE_TZ, QTY_EPS
 
 KEYS = ["account", "symbol"]
 
@@ -221,6 +221,43 @@ def live_view(report: DataFrame, cash: DataFrame, base: DataFrame, *, capital: f
     )
 
 
+def market_states(quotes: DataFrame, *, now: str, tz: str = EXCHANGE_TZ) -> DataFrame:
+    """(symbol, today, traded_today, market_open, bench_day_change) at ``now`` (a UTC time), each symbol taken as the benchmark.
+
+    A trading day is one on which the benchmark printed a bar; the market is open
+    on such a weekday from 9:30 up to 16:00 exchange time.
+    """
+    local = F.from_utc_timestamp(F.lit(now).cast("timestamp"), tz)
+    minute = F.hour(local) * 60 + F.minute(local)
+    d = quotes.select(
+        "symbol", F.to_date(local).alias("today"), F.coalesce(F.to_date("ts") == F.to_date(local), F.lit(False)).alias("traded_today"),
+        (F.try_divide("price", "prev_close") - 1).alias("bench_day_change"),
+    )
+    hours = (F.weekday("today") < 5) & (minute >= 570) & (minute < 960)
+    return d.withColumn("market_open", F.col("traded_today") & hours)
+
+
+def site_summary(report: DataFrame, cash: DataFrame, costs: DataFrame, *, capital: float) -> DataFrame:
+    """One row per account: equity, return, exposures, counts, the split of costs and the number of fills.
+
+    ``costs`` has a row a fill: account, friction, fees and borrow.  An account
+    without positions or fills has zeros.
+    """
+    v = F.col("value")
+    r = report.groupBy("account").agg(
+        F.sum(v).alias("_net"), F.sum(F.abs(v)).alias("_gross"), F.sum("unrealized_pnl").alias("_un"),
+        F.count_if(F.col("quantity") > 0).alias("_long"), F.count_if(F.col("quantity") < 0).alias("_short"),
+    )
+    k = costs.groupBy("account").agg(*[F.sum(c).alias(f"_{c}") for c in ("friction", "fees", "borrow")], F.count(F.lit(1)).alias("_fills"))
+    d = cash.select("account", "cash").join(r, "account", "left").join(k, "account", "left").na.fill(0)
+    eq = F.col("cash") + F.col("_net")
+    return d.select(
+        "account", eq.alias("equity"), (eq / capital - 1).alias("total_return"), F.col("_un").alias("unrealized_pnl"),
+        F.try_divide("_gross", eq).alias("gross"), F.try_divide("_net", eq).alias("net"), F.col("_long").alias("n_long"), F.col("_short").alias("n_short"),
+        F.col("_friction").alias("friction_costs"), F.col("_fees").alias("fee_costs"), F.col("_borrow").alias("borrow_costs"), F.col("_fills").alias("n_fills"),
+    )
+
+
 def lifecycle_features(marked: DataFrame, cash: DataFrame, bars: DataFrame, *, capital: float) -> DataFrame:
     """Weight, unrealised share of equity, bars held and the account's drawdown per name and mark.
 

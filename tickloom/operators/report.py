@@ -236,12 +236,20 @@ def excess_sharpe(curve: DataFrame, bench: DataFrame, *, ppy: int = TRADING_DAYS
     return a.select("strategy", F.when(F.col("_bad") == 1, F.lit(0.0)).otherwise(v).alias("excess_sharpe"))
 
 
-def window_stats(curve: DataFrame, *, ppy: int = TRADING_DAYS) -> DataFrame:
+def window_stats(
+    curve: DataFrame, *, trades: DataFrame | None = None, bench: DataFrame | None = None, ppy: int = TRADING_DAYS
+) -> DataFrame:
     """Return against the prior base, Sharpe, drawdown (base point included)
-    and volatility, per year and overall."""
+    and volatility, per year and overall.
+
+    With ``trades`` (strategy, ts) the fills of each window are counted.  With
+    ``bench`` (ts, equity) its return from the same base bar to the same last bar
+    and the excess over it are added; its price is carried to bars it lacks.
+    """
     r = returns(curve).withColumn("year", F.year("ts").cast("string"))
     b = F.col("equity") - F.coalesce(F.col("pnl"), F.lit(0.0))
-    both = r.select("strategy", "ts", "equity", "ret", b.alias("_prev"), F.explode(F.array("year", F.lit("all"))).alias("window"))
+    wins = F.explode(F.array("year", F.lit("all"))).alias("window")
+    both = r.select("strategy", "ts", "equity", "ret", b.alias("_prev"), wins)
     # The window's first base competes for the peak, too.
     first = both.groupBy("strategy", "window").agg(F.min_by("_prev", "ts").alias("_base"))
     d = prefix_scan(both, ["strategy", "window"], ["ts"], chunk(), maxs={"_peak": F.col("equity")}).join(first, ["strategy", "window"])
@@ -250,13 +258,76 @@ def window_stats(curve: DataFrame, *, ppy: int = TRADING_DAYS) -> DataFrame:
     a = d.groupBy("strategy", "window").agg(
         F.max("_base").alias("_base"), F.max_by("equity", "ts").alias("_end"), F.avg("ret").alias("_m"),
         F.stddev_samp("ret").alias("_s"), F.count("ret").alias("_n"), F.max("_dd").alias("max_drawdown"),
-        F.count(F.lit(1)).alias("n_bars"),
+        F.count(F.lit(1)).alias("n_bars"), F.min("ts").alias("_from"), F.max("ts").alias("_to"),
     )
-    return a.select(
-        "strategy", "window", "n_bars", (F.try_divide("_end", "_base") - 1).alias("total_return"),
+    total = F.try_divide("_end", "_base") - 1
+    cols = [
+        "strategy", "window", "n_bars", total.alias("total_return"),
         sharpe_of(F.col("_m"), F.col("_s"), F.col("_n"), ppy).alias("sharpe"),
         F.coalesce(F.col("_s") * math.sqrt(ppy), F.lit(0.0)).alias("volatility"), "max_drawdown",
+    ]
+    if trades is not None:
+        n = trades.select("strategy", F.explode(F.array(F.year("ts").cast("string"), F.lit("all"))).alias("window"))
+        a = a.join(n.groupBy("strategy", "window").agg(F.count(F.lit(1)).alias("_trades")), ["strategy", "window"], "left")
+        cols.append(F.coalesce("_trades", F.lit(0)).alias("n_trades"))
+    if bench is not None:
+        # A window starts at the bar before its first one, which only an earlier window has.
+        q = bench.select(F.col("ts").alias("_bts"), F.col("equity").alias("_b"))
+        before = curve.select("strategy", F.col("ts").alias("_pts"))
+        a = asof_backward(a, before, keys=["strategy"], left_ts="_from", right_ts="_pts", values=[], strict=True)
+        a = a.withColumn("_pts", F.coalesce("_pts", "_from"))
+        for at, out in (("_pts", "_b0"), ("_to", "_b1")):
+            a = asof_backward(a, q, keys=[], left_ts=at, right_ts="_bts", values=["_b"]).drop("_bts").withColumnRenamed("_b", out)
+        gain = F.try_divide("_b1", "_b0") - 1
+        cols += [gain.alias("bench_return"), (total - gain).alias("excess")]
+    return a.select(*cols)
+
+
+def extremes(windows: DataFrame) -> DataFrame:
+    """Best and worst year of each strategy by total return; ties go to the earlier year."""
+    y = windows.filter("window <> 'all'")
+    pick = lambda f, sign: f(F.struct((sign * F.col("total_return")).alias("k"), "window", "total_return"))
+    g = y.groupBy("strategy").agg(pick(F.min, -1).alias("_b"), pick(F.min, 1).alias("_w"))
+    return g.select("strategy", F.col("_b.window").alias("best_year"), F.col("_b.total_return").alias("best_return"),
+                    F.col("_w.window").alias("worst_year"), F.col("_w.total_return").alias("worst_return"))
+
+
+def chart_payload(curve: DataFrame, bench: DataFrame, *, max_points: int = 900, digits: int = 2) -> DataFrame:
+    """(strategy, json): equity, drawdown, profit and the benchmark on the same bars, for a chart.
+
+    The benchmark (ts, equity) is carried forward and scaled to the strategy's first
+    bar.  Series are thinned to ``max_points`` and the last, so a document is bounded;
+    drawdown and profit are those of the whole curve.
+    """
+    d = drawdowns(returns(curve))
+    q = bench.select(F.col("ts").alias("_bts"), F.col("equity").alias("_b"))
+    d = asof_backward(d.select("strategy", "ts", "equity", "pnl", "drawdown"), q, keys=[], left_ts="ts", right_ts="_bts", values=["_b"]).drop("_bts")
+    base = d.filter("_b IS NOT NULL").groupBy("strategy").agg(F.min_by(F.struct("equity", "_b"), "ts").alias("_at"))
+    d = d.join(base, "strategy", "left").withColumn("bench", F.try_divide(F.col("_at.equity") * F.col("_b"), F.col("_at._b")))
+    t = thin(d.drop("_at", "_b"), keys=["strategy"], max_points=max_points)
+    point = F.struct(
+        F.date_format("ts", "yyyy-MM-dd").alias("ts"), F.round("equity", digits).alias("equity"),
+        F.round(F.col("drawdown") * 100, digits).alias("drawdown"), F.round("pnl", digits).alias("pnl"), F.round("bench", digits).alias("bench"),
     )
+    g = t.groupBy("strategy").agg(F.array_sort(F.collect_list(point)).alias("_p"))
+    doc = F.struct(*[F.col("_p")[c].alias(c) for c in ("ts", "equity", "drawdown", "pnl", "bench")])
+    return g.select("strategy", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+
+
+PAYLOAD = "ts ARRAY<STRING>, equity ARRAY<DOUBLE>, drawdown ARRAY<DOUBLE>, pnl ARRAY<DOUBLE>, bench ARRAY<DOUBLE>"
+
+
+def chart_points(payload: DataFrame) -> DataFrame:
+    """A payload's points as rows again."""
+    d = payload.select("strategy", F.from_json("json", PAYLOAD).alias("j"))
+    return d.select("strategy", F.inline(F.arrays_zip("j.ts", "j.equity", "j.drawdown", "j.pnl", "j.bench")))
+
+
+def decision_log(bars: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Every bar with its decision, those without one too: outcome ``none``, target and conviction as of the bar unknown."""
+    d = decisions.select("ts", "symbol", "action", "outcome", "target", "conviction")
+    j = bars.select("ts", "symbol", "close").join(d, ["ts", "symbol"], "left")
+    return j.withColumns({c: F.coalesce(c, F.lit("none")) for c in ("action", "outcome")})
 
 
 def monthly_returns(rets: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import json_safe
+from tickloom.functions.text import strip
 from tickloom.sources.bars import exists
 
 
@@ -80,16 +81,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
-    """Watch list (symbol, line_no) in its own order: one ticker per line, ``#`` starts a comment.
+    """Watch list (symbol, file, line_no) in its own order: one ticker per line, ``#`` starts a comment.
 
     A ticker stands where it is first listed; ``first`` keeps that many from the top.
     Several files are read one after the other, by path.
     """
-    t = F.upper(F.trim(F.split("value", "#")[0]))
+    t = F.upper(strip(F.split("value", "#")[0]))
     d = numbered_lines(spark, path).select(t.alias("symbol"), "file", "line_no").filter("symbol <> ''")
     d = d.groupBy("symbol").agg(F.min(F.struct("file", "line_no")).alias("at"))
-    d = d.select("symbol", F.col("at.file").alias("_file"), F.col("at.line_no").alias("line_no")).orderBy("_file", "line_no")
-    return (d if first is None else d.limit(first)).drop("_file")
+    d = d.select("symbol", "at.file", "at.line_no").orderBy("file", "line_no")
+    return d if first is None else d.limit(first)
 
 
 def resolve_universe(*sets: DataFrame) -> DataFrame:
@@ -106,12 +107,12 @@ BOOK = (
 )
 
 
-def load_book(spark: SparkSession, path: str, *, version: int) -> DataFrame:
-    """Positions of a saved book; refuses real capital or another version.
+def load_book(spark: SparkSession, path: str, *, version: int, lines: bool = False) -> DataFrame:
+    """Positions of saved books, a document a file or (``lines``) a line; refuses real capital or another version.
 
     Unknown keys are ignored.
     """
-    d = spark.read.schema(BOOK).option("multiLine", True).json(path)
+    d = spark.read.schema(BOOK).option("multiLine", not lines).json(path)
     ok = F.coalesce(F.col("simulated_capital"), F.lit(False)) & (F.col("version") == version)
     d = d.withColumn("_ok", F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("not a simulated book of this version"))))
     return d.filter("_ok").select("account", "cash", F.explode_outer("positions").alias("symbol", "_p")).select(
