@@ -104,17 +104,22 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in keys]
 
 
-def banded(df: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """Append ``sig``, the name of the text's shingle set, and ``bands``."""
+def marked(df: DataFrame, words: int, verify: bool, text: str = "text") -> DataFrame:
+    """Append ``fp``, ``second`` (a fingerprint with another seed, or 0), ``sig`` (the name of
+    the text's shingle set) and ``bands``, in one pass over the texts."""
 
     def make():
         def fn(column: pa.Array):
-            sets = [shingle_set(t, words) for t in texts_of(column)]
-            return [pa.array([xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+            texts = texts_of(column)
+            fps = [[fingerprint(t, words, seed) for t in texts] if seed else [0] * len(texts) for seed in (42, 43 if verify else 0)]
+            sets = [shingle_set(t, words) for t in texts]
+            sig, bands = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets], [band_keys(x) for x in sets]
+            return [*(pa.array(np.array(v, np.uint64).view(np.int64)) for v in fps), pa.array(sig, pa.string()), pa.array(bands, pa.list_(pa.int64()))]
 
         return fn
 
-    return append_arrow(df, [text], [("sig", T.StringType()), ("bands", T.ArrayType(T.LongType()))], make)
+    fields = [("fp", T.LongType()), ("second", T.LongType()), ("sig", T.StringType()), ("bands", T.ArrayType(T.LongType()))]
+    return append_arrow(df, [text], fields, make)
 
 
 # ---------------------------------------------------------------- statistics
@@ -368,13 +373,14 @@ def grouped(
     texts without words share the fingerprint 0, which links like any other.
     Null ids don't name a component; where a component has no other, its id is null.
     """
-    seen = fingerprinted(df.select(F.col(id_).alias("id"), F.col(text).alias("text")), words=words)
-    seen = seen.withColumn("second", F.lit(0).cast("long")) if verify is None else fingerprinted(seen, out="second", words=words, seed=43)
+    seen = df.select(F.col(id_).alias("id"), F.col(text).alias("text"))
     if jaccard is not None:
-        seen = banded(seen, words).withColumn("digest", digest(F.col("text")))
+        seen = marked(seen, words, verify is not None).withColumn("digest", digest(F.col("text")))
         seen = written(seen.drop("text"), "fp")
         low = _similar(df.select(F.col(id_).alias("id"), F.col(text).alias("text")), seen, words, radius, verify, jaccard)
         return seen.join(low, "sig").select(F.col("id").alias(id_), "fp", F.col("low").alias("component_id"))
+    seen = fingerprinted(seen, words=words)
+    seen = seen.withColumn("second", F.lit(0).cast("long")) if verify is None else fingerprinted(seen, out="second", words=words, seed=43)
     seen = written(seen.drop("text"), "fp")
     low = written(seen.groupBy("fp", "second").agg(F.min("id").alias("low")), "low")
     parts = fp_links(low, radius, verify)
