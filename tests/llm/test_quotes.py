@@ -22,11 +22,11 @@ def plain(rows):
             if level:
                 quoted.setdefault((c, t), []).append((level, p))
             elif c is not None and t is not None:
-                own[c, p] = min(t, own.get((c, p), t))
+                own.setdefault((c, p), set()).add(t)
     out = {}
     for c, t, _ in sorted({(c, t, None) for c, t, _ in rows if c is not None and t is not None}):
         q = quoted.get((c, t), [])
-        link = [(lv, own[c, p]) for lv, p in q if own.get((c, p), t) < t]
+        link = [(lv, max(o for o in own.get((c, p), ()) if o < t)) for lv, p in q if min(own.get((c, p), {t})) < t]
         parent = max([o for lv, o in link if lv == 1], default=None)
         root, depth = (t, 0) if parent is None else (out[c, parent][4], out[c, parent][5] + 1)
         out[c, t] = (len(q), len(link), max([lv for lv, _ in q], default=0), parent, root, depth)
@@ -72,6 +72,18 @@ def test_short_passages_link(spark):
     assert got[2, 1] == (1, 1, 1, 0, 0, 1) and got[2, 2] == (1, 1, 1, 1, 0, 2)
 
 
+def test_a_repeated_passage_links_to_the_nearest_original(spark, monkeypatch):
+    rows = [(1, 0, "ok"), (1, 2, "ok"), (1, 3, "> ok\nso"), (1, 4, "ok"), (1, 9, "> ok"), (1, 10, "ok\n> ok"), (1, 30, "> ok\n> so"), (2, 5, "> ok"), (2, 6, "ok"), (None, 1, "ok"), (None, 2, "> ok")]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    for run in (512, 4, 1):
+        monkeypatch.setattr(Q, "RUN", run)
+        got = {(r.conv_id, r.turn): r.parent_turn for r in Q.linked(df).collect()}
+        assert [got[1, t] for t in (3, 9, 10, 30)] == [2, 4, 4, 10] and got[2, 5] is None and got[None, 2] is None
+    hot = spark.createDataFrame([(7, i, "u", "> ok\nok") for i in range(300)], df.schema)
+    monkeypatch.setattr(Q, "RUN", 16)
+    assert {(r.turn, r.parent_turn) for r in Q.linked(hot).collect() if r.turn} == {(i, i - 1) for i in range(1, 300)}
+
+
 def test_query_equals_the_plain_form(spark):
     conv = spark.read.parquet(f"{SF}/conversations.parquet")
     mail = Q.as_mail(conv).collect()

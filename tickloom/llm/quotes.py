@@ -2,16 +2,16 @@
 
 A message is read line by line: leading ``>`` marks, with blanks between them,
 give the level; level 0 is the message's own text.  Lines are normalised and
-hashed.  The original of a passage is the first message of the conversation
-that has it as its own text, found by a grouped minimum and a join on
-(conversation, hash); so a line in a third of all messages is one row of the
-originals.  A message replies to the latest original it quotes at level 1, and
+hashed.  The original of a passage is the latest message of the conversation before
+the reply that has it as its own text.  It is found by reading own and quoted
+passages of a (conversation, hash) in turn order, in runs of ``RUN`` turns with one
+carried value each, so a line in a third of all messages is many keys.  A message replies to the latest original it quotes at level 1, and
 its thread starts where following replies ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import written
@@ -19,6 +19,8 @@ from tickloom.llm.common import written
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
 # Every line that isn't empty, once normalised, is a passage: a reply may quote a mere "ok".
 LEAST_CHARS = 1
+# Turns of a conversation whose passages with one hash are read together.
+RUN = 512
 
 
 def level_of(line: Column) -> Column:
@@ -59,6 +61,21 @@ def passages(messages: DataFrame) -> DataFrame:
     return x.groupBy("conv", "turn", "level", "hash").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_origin(p: DataFrame) -> DataFrame:
+    """The quoted passages of ``passages`` with ``origin``, the latest earlier turn that has the passage as its own; null without one."""
+    key = ["conv", "hash"]
+    d = p.withColumn("run", F.floor(F.col("turn") / RUN))
+    own = F.when((F.col("level") == 0) & F.col("conv").isNotNull(), F.col("turn"))
+    # Of one turn the quoted rows come first, so a message is not its own original.
+    inside = Window.partitionBy(*key, "run").orderBy("turn", (F.col("level") == 0).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("near", F.max(own).over(inside)).filter("level > 0")
+    ends = p.filter("level = 0").groupBy(*key, F.floor(F.col("turn") / RUN).alias("run")).agg(F.max("turn").alias("last"))
+    runs = d.select(*key, "run").distinct().join(ends, [*key, "run"], "full")
+    before = Window.partitionBy(*key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select(*key, "run", F.max("last").over(before).alias("carried"))
+    return d.join(carried, [*key, "run"], "left").withColumn("origin", F.coalesce("near", "carried")).drop("near", "carried", "run")
+
+
 def linked(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", rounds: int = 40) -> DataFrame:
     """One row a message: conv, turn, role, clean_text, n_quoted, n_linked, max_level, parent_turn, root_turn, depth.
 
@@ -74,9 +91,7 @@ def linked(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: st
     """
     m = df.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), lines_of(F.col(text)).alias("lines"))
     p = written(passages(m), "passages")
-    first = p.filter("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
-    quoted = p.filter("level > 0").join(first, ["conv", "hash"], "left")
-    at = F.when(F.col("origin") < F.col("turn"), F.col("origin"))
+    quoted, at = with_origin(p), F.col("origin")
     facts = quoted.groupBy("conv", "turn").agg(
         F.sum("n").alias("n_quoted"), F.sum(F.when(at.isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"),
         F.max("level").alias("max_level"), F.max(F.when(F.col("level") == 1, at)).alias("parent"),
