@@ -29,16 +29,27 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     REGISTRY["coverage"].run(spark, folder).collect()  # start-up is not the queries' cost
+    times = timed(spark, folder)
+    out = {
+        "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
+        "queries": times, "sf": Path(folder).name.removeprefix("sf"),
+    }
+    # Growth: the same queries over a tenth of the rows, after the large run has warmed everything up.
+    if folder != (small := os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01")) and Path(small).is_dir():
+        less = timed(spark, small)
+        out |= {"small_sf": Path(small).name.removeprefix("sf"), "small_queries": less, "growth": {q: round(times[q] / less[q], 2) for q in times}}
+    spark.stop()
+    print(json.dumps(out))
+
+
+def timed(spark, folder: str) -> dict[str, float]:
+    """Seconds of each headline query over a folder of tables."""
     times = {}
     for name in HEADLINE:
         t0 = time.perf_counter()
         REGISTRY[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
-    spark.stop()
-    print(json.dumps({
-        "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": Path(folder).name.removeprefix("sf"),
-    }))
+    return times
 
 
 if __name__ == "__main__":

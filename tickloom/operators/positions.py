@@ -59,9 +59,10 @@ def running_positions(
     flip = ~opening & (F.abs(dq) > F.abs(qb) + QTY_EPS)
     decay = F.when(opening, F.abs(qb) / F.abs(qa)).when((qa == 0) | flip, F.lit(0.0)).otherwise(F.lit(1.0))
     add = F.when(opening, px * F.abs(dq) / F.abs(qa)).when((qa != 0) & flip, px).otherwise(F.lit(0.0))
-    part = [*KEYS, "_chunk"]
-    d = solve_chunk(d.withColumns({"_a": decay, "_b": add}), part, order)
-    inner = Window.partitionBy(*part).orderBy(*order)
+    # The place in the series stands for the whole order from here on: one number to sort by.
+    part, place = [*KEYS, "_chunk"], ["seq_no"]
+    d = solve_chunk(d.withColumns({"_a": decay, "_b": add}), part, place)
+    inner = Window.partitionBy(*part).orderBy(*place)
     run = inner.rowsBetween(Window.unboundedPreceding, 0)
     # Average before the fill is _y0 + _r0 * (average carried into the chunk).
     d = d.withColumns({"_y0": F.coalesce(F.lag("_y").over(inner), F.lit(0.0)), "_r0": F.coalesce(F.lag("_reach").over(inner), F.lit(1.0))})
