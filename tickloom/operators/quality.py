@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import finite
 from tickloom.operators.quantiles import group_quantile
-from tickloom.operators.series import RN, Blocks, calendar_chunk, index_series
+from tickloom.operators.series import RN, calendar_chunk, index_series
 from tickloom.settings import EXCHANGE_TZ
 from tickloom.sources.bars import PRICE_COLUMNS
 
@@ -23,16 +23,21 @@ RULES = [
 def flag_rows(bars: DataFrame, *, max_abs_return: float = 0.75) -> DataFrame:
     """Bars with one 0/1 column per row rule and the adjusted return."""
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    # Unclean bars may repeat keys without bound: number them in chunks, in a total order.
-    order = ["ts", *PRICE_COLUMNS, "volume"]
-    b = Blocks.lay(bars, ["symbol"], order, lookback=1, chunk=calendar_chunk("ts"))
-    prev = b.lag(F.col("adj_close"), 1)
+    # Unclean bars may repeat keys without bound: each chunk of a symbol is read by itself, in a
+    # total order, and takes the last row of the chunk before.
+    total = ["ts", *PRICE_COLUMNS, "volume"]
+    d = bars.withColumn("_chunk", calendar_chunk("ts"))
+    w = Window.partitionBy("symbol", "_chunk").orderBy(*total)
+    d = d.withColumns({"_prev": F.lag("adj_close").over(w), "_first": F.row_number().over(w) == 1, "_last": F.lead(F.lit(1)).over(w).isNull()})
+    ends = d.filter("_last").select("symbol", "_chunk", "adj_close")
+    carry = ends.select("symbol", "_chunk", F.lag("adj_close").over(Window.partitionBy("symbol").orderBy("_chunk")).alias("_carry"))
+    d = d.join(carry, ["symbol", "_chunk"], "left")
+    prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
     order = (h < lo) | (h < o) | (h < c) | (lo > o) | (lo > c)
     cols = {f"non_positive_{p}": (F.col(p) <= 0) for p in PRICE_COLUMNS}
     cols |= {"negative_volume": F.col("volume") < 0, "ohlc_order": order}
     ret = F.try_divide(F.col("adj_close"), prev) - 1
-    b = b.add(_ret=ret)
-    d = b.close().withColumn("jump", F.abs("_ret") > max_abs_return)
+    d = d.withColumn("_ret", ret).withColumn("jump", F.abs("_ret") > max_abs_return).drop("_prev", "_first", "_last", "_carry", "_chunk")
     d = d.withColumns(cols)
     return d.withColumns({r: F.coalesce(F.col(r).cast("int"), F.lit(0)) for r in [*cols, "jump"]})
 
