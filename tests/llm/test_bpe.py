@@ -97,3 +97,13 @@ def test_long_runs_take_time_by_length(piece):
         e.encode(piece * size)
         times.append(time.perf_counter() - t0)
     assert times[1] < 4 * 3 * times[0] + 0.5
+
+
+def test_decoder_is_fed_in_pieces(monkeypatch):
+    text = "one two three <|endoftext|> four é 日本 " * 40
+    got = B.Encoder(V).encode(text)
+    want = hashlib.sha256(T.decode(got, skip_special_tokens=False).encode()).hexdigest()
+    for n in (1, 7, 4096):
+        monkeypatch.setattr(B, "FEED", n)
+        m = B.ByteToText(V, spell=True)
+        assert [B.decoded_digest(m, x) for x in (got, [], got)] == [want, hashlib.sha256(b"").hexdigest(), want]

@@ -1,4 +1,5 @@
 """The pipeline against a brute-force version, and each stage on odd rows."""
+import hashlib
 import random
 
 from tokenizers import Tokenizer
@@ -53,6 +54,7 @@ def test_run_equals_brute_force(spark):
     assert set(got) == set(want) and len(want) > 50
     for d, (text, source) in want.items():
         assert list(got[d].ids) == tok.encode(text, add_special_tokens=False).ids and got[d].source == source and got[d].n_tokens == len(got[d].ids)
+        assert got[d].decoded_sha256 == hashlib.sha256(tok.decode(list(got[d].ids), skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_near_duplicates_share_their_shingles(spark):

@@ -60,3 +60,22 @@ def test_bits_policies_and_ablations(spark):
         assert (r.n_rejected, r.n_failed, r.n_only) == (sum(b & p.mask != 0 for b in all_bits), sum(b & bit != 0 for b in all_bits), sum(b & p.mask == bit for b in all_bits))
     assert R.ablations(led).count() == sum(p.mask.bit_count() for p in R.POLICIES)
     assert R.judged(df.filter("false").drop("kept")).count() == 0
+
+
+def test_taken_names_get_underscores(spark):
+    df = spark.createDataFrame([("x " * 60, "mine", 7)], "text string, KEPT string, n_words int")
+    got = R.judged(df)
+    assert got.columns[:3] == ["text", "KEPT", "n_words"] and {"n_words_", "fail_bits", "base_failed", "kept_"} <= set(got.columns)
+    r = got.first()
+    assert (r.KEPT, r.n_words, r.n_words_) == ("mine", 7, 60)
+    assert r.base_failed == R.judged(df.select("text")).first().base_failed
+
+
+def test_the_stored_ledger_answers_as_the_texts_do(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = R.stored(docs, "doc_id")
+    assert "text" not in kept.columns and "MapInArrow" not in kept._jdf.queryExecution().toString()
+    for p in R.POLICIES:
+        a = {(r.doc_id, r.kept) for r in R.verdicts(kept, p).select("doc_id", "kept").collect()}
+        b = {(r.doc_id, r.kept) for r in R.judged(docs, p).select("doc_id", "kept").collect()}
+        assert a == b

@@ -216,15 +216,23 @@ class ByteToText:
     """Token ids in, text out: letters become bytes, bytes become code points as they complete.
 
     A word end is a blank.  A special token is its own string.  Bytes that are
-    no UTF-8 become U+FFFD.
+    no UTF-8 become U+FFFD.  With ``spell`` the vocabulary's own strings come out,
+    joined by blanks, as a tokenizer file without a decoder part has it; what is
+    kept then is whether a token went before.
     """
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, *, spell: bool = False) -> None:
         self.v = vocabulary
+        self.spell, self.begun = spell, False
         self.bytes_of = {x: b for b, x in enumerate(vocabulary.letters)}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> Iterator[str]:
+        if self.spell:
+            if text := " ".join(map(self.v.names.__getitem__, ids)):
+                yield " " + text if self.begun else text
+                self.begun = True
+            return
         for i in ids:
             name = self.v.names[i]
             if name in self.v.special:
@@ -236,27 +244,55 @@ class ByteToText:
             yield self.state.decode(data) + (" " if ended else "")
 
     def close(self) -> str:
+        """What is left; the next token starts a new text."""
+        self.begun = False
         return self.state.decode(b"", final=True)
 
 
-def encode_documents(df: DataFrame, vocabulary_json: str, text: str = "text", ids: str = "ids", n: str = "n_tokens") -> DataFrame:
+#: Ids decoded at a time.
+FEED = 4096
+
+
+def decoded_digest(machine: ByteToText, ids: list[int]) -> str:
+    """SHA-256 of the text of a row's ids, fed to the decoder and on to the hash piece by piece."""
+    h = hashlib.sha256()
+    for i in range(0, len(ids), FEED):
+        for piece in machine.feed(ids[i : i + FEED]):
+            h.update(piece.encode())
+    h.update(machine.close().encode())
+    return h.hexdigest()
+
+
+def encode_documents(
+    df: DataFrame, vocabulary_json: str, text: str = "text", ids: str = "ids", n: str = "n_tokens", decoded: str | None = None
+) -> DataFrame:
     """Append ``ids`` array<int> and ``n`` long; null text counts as empty, empty text has no ids.
 
-    The vocabulary (a bounded file) is sent to the tasks once.  No shuffle.
+    With ``decoded`` the digest of the text that the decoder makes of the ids is
+    appended, too.  Repeated rows repeat; taken names get underscores.  The
+    vocabulary (a bounded file) is sent to the tasks once.  No shuffle.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_json)
 
     def make():
-        enc = Encoder(Vocabulary(shared.value))
+        v = Vocabulary(shared.value)
+        enc, machine = Encoder(v), ByteToText(v, spell=True)
 
         def fn(column: pa.Array):
-            rows = [enc.encode(t) for t in texts_of(column)]
-            counts = [len(r) for r in rows]
-            return [int_lists([struct.pack(f"<{len(r)}i", *r) for r in rows], counts), pa.array(counts, pa.int64())]
+            chunks, counts, texts = [], [], []
+            for t in texts_of(column):
+                row = enc.encode(t)
+                counts.append(len(row))
+                chunks.append(struct.pack(f"<{len(row)}i", *row))
+                if decoded:
+                    texts.append(decoded_digest(machine, row))
+            out = [int_lists(chunks, counts), pa.array(counts, pa.int64())]
+            return [*out, pa.array(texts, pa.string())] if decoded else out
 
         return fn
 
-    return append_arrow(df, [text], [(ids, T.ArrayType(T.IntegerType())), (n, T.LongType())], make)
+    fields = [(ids, T.ArrayType(T.IntegerType())), (n, T.LongType())]
+    return append_arrow(df, [text], [*fields, (decoded, T.StringType())] if decoded else fields, make)
 
 
 def decode_ids(df: DataFrame, vocabulary_json: str, ids: str = "ids", out: str = "decoded", *, spell: bool = False) -> DataFrame:
@@ -271,9 +307,7 @@ def decode_ids(df: DataFrame, vocabulary_json: str, ids: str = "ids", out: str =
         v = Vocabulary(shared.value)
 
         def one(row) -> str:
-            if spell:
-                return " ".join([v.names[i] for i in row])
-            m = ByteToText(v)
+            m = ByteToText(v, spell=spell)
             return "".join(m.feed(row)) + m.close()
 
         def fn(column: pa.Array):
@@ -286,23 +320,23 @@ def decode_ids(df: DataFrame, vocabulary_json: str, ids: str = "ids", out: str =
 
 def digests(df: DataFrame, vocabulary_json: str, text: str = "text") -> DataFrame:
     """Append n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass,
-    so that ids and decoded texts need not leave the task."""
+    so that ids and decoded texts need not leave the task.
+
+    Null text is empty; repeated rows repeat; taken names get underscores.
+    """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_json)
 
     def make():
         v = Vocabulary(shared.value)
-        enc, digits = Encoder(v), {i: str(i) for i in v.names}
-
-        def sha(parts: list[str]) -> str:
-            return hashlib.sha256(" ".join(parts).encode()).hexdigest()
+        enc, machine, digits = Encoder(v), ByteToText(v, spell=True), {i: str(i) for i in v.names}
 
         def fn(column: pa.Array):
             n, a, b = [], [], []
             for t in texts_of(column):
                 ids = enc.encode(t)
                 n.append(len(ids))
-                a.append(sha([digits[i] for i in ids]))
-                b.append(sha([v.names[i] for i in ids]))
+                a.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                b.append(decoded_digest(machine, ids))
             return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 
         return fn

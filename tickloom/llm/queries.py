@@ -41,13 +41,19 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_rules", rules.oracle_sql())
 def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Measurements, failure bits and the verdict of the newest policy for every document."""
-    out = rules.judged(table(spark, folder, "documents").select("doc_id", "text"))
+    """Measurements, failure bits and the verdict of the newest policy for every document, from the stored ledger."""
+    out = rules.verdicts(rules.stored(table(spark, folder, "documents"), "doc_id"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits",
     )
 
 
+@query("rule_ablations", rules.ablation_sql())
+def rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of each version of the policies decides, from the stored ledger of all documents."""
+    return rules.ablations(rules.stored(table(spark, folder, "documents"), "doc_id"))
+
+
 @query("op5_secrets")
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import append_arrow, texts_of
+from tickloom.llm.common import append_arrow, spare, texts_of, written
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -104,7 +104,8 @@ def fail_bits(column: dict[str, Column | str]) -> Column:
 def ledger(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """Append the measurements (long) and ``fail_bits``; null text has no words and fails.
 
-    No shuffle.  Columns get ``prefix``, for tables that have such names already.
+    No shuffle; repeated rows repeat.  Columns get ``prefix``; a name that is taken
+    in any case gets underscores behind it.
     """
 
     def make():
@@ -115,7 +116,15 @@ def ledger(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
         return fn
 
     out = append_arrow(df, [text], [(prefix + m, T.LongType()) for m in MEASURES], make)
-    return out.withColumn(prefix + "fail_bits", fail_bits({m: prefix + m for m in MEASURES}))
+    names = dict(zip(MEASURES, out.columns[len(df.columns):], strict=True))
+    return out.withColumn(spare(out, prefix + "fail_bits"), fail_bits(names))
+
+
+def stored(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The ledger of a table, written to the shared folder and read back: the columns ``keep``,
+    the measurements and ``fail_bits``.  Policies and ablations read it and leave the texts alone."""
+    out = ledger(df.select(*keep, text), text)
+    return written(out.drop(text), "rule-ledger")
 
 
 def kept_by(policy: Policy, bits: str = "fail_bits") -> Column:
@@ -148,10 +157,18 @@ def ablations(df: DataFrame, policies: tuple[Policy, ...] = POLICIES, bits: str
 
 
 def judged(df: DataFrame, policy: Policy = POLICIES[-1], text: str = "text", prefix: str = "") -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept``: base failures are never kept."""
+    """The ledger with ``base_failed`` and ``kept``: base failures are never kept.
+
+    Repeated rows repeat; names that are taken get underscores, as in ``ledger``.
+    """
     out = ledger(df, text, prefix)
-    base = F.col(prefix + "fail_bits").bitwiseAND(F.lit(BASE_BITS)) != 0
-    return out.withColumn(prefix + "base_failed", base).withColumn(prefix + "kept", ~base & kept_by(policy, prefix + "fail_bits"))
+    return verdicts(out, policy, out.columns[-1], spare(out, prefix + "base_failed"), spare(out, prefix + "kept"))
+
+
+def verdicts(ledger_rows: DataFrame, policy: Policy = POLICIES[-1], bits: str = "fail_bits", base: str = "base_failed", kept: str = "kept") -> DataFrame:
+    """Append what a policy decides, from the failure bits alone."""
+    failed = F.col(bits).bitwiseAND(F.lit(BASE_BITS)) != 0
+    return ledger_rows.withColumns({base: failed, kept: ~failed & kept_by(policy, bits)})
 
 
 def oracle_sql() -> str:
@@ -170,3 +187,11 @@ def oracle_sql() -> str:
     b AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, fail_bits & {BASE_BITS} <> 0 AS base_failed, fail_bits & {POLICIES[-1].mask} = 0 AS kept, fail_bits FROM b"""
+
+
+def ablation_sql(policies: tuple[Policy, ...] = POLICIES) -> str:
+    """The ablation report over ``documents`` as DuckDB SQL."""
+    cases = ", ".join(f"('{p.name}', {p.version}, '{rule}', {p.mask}, {1 << i})" for p in policies for i, (rule, _) in enumerate(RULES) if p.mask >> i & 1)
+    return f"""WITH l AS ({oracle_sql()}), c(policy, version, rule, mask, bit) AS (VALUES {cases})
+    SELECT policy, version, rule, count(*) FILTER (fail_bits & mask <> 0) AS n_rejected, count(*) FILTER (fail_bits & bit <> 0) AS n_failed,
+      count(*) FILTER (fail_bits & mask = bit) AS n_only FROM l, c GROUP BY policy, version, rule"""
