@@ -51,13 +51,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, lang, place, n_tokens, ids): the token ids of every document, in the order of the mixture.
+    """(doc_id, source, lang, place, ids, n_tokens, decoded_sha256): the token ids of every document, and the
+    digest of what the decoder makes of them, in the order of the mixture.
 
     A scan doesn't keep the order of the files it reads, so ``place`` is worked
     out again from the rows, by the schedule the mixture was written in.
     """
     keep = docs.select(*[c for c in ("doc_id", "source", "lang", "text") if c in docs.columns])
-    return bpe.encode_documents(mixing.placed(keep, **MIX), vocabulary()).drop("text")
+    return bpe.encode_documents(mixing.placed(keep, **MIX), vocabulary(), decoded="decoded_sha256").drop("text")
 
 
 STAGES = [
