@@ -16,7 +16,7 @@ from tickloom.operators import panel as P
 from tickloom.operators import sizing as S
 from tickloom.operators.quantiles import group_quantile
 from tickloom.settings import BookSettings
-from tickloom.sources import state
+from tickloom.sources import bars, state
 
 
 @pytest.mark.parametrize("rounds", [0, 1, 2])
@@ -142,3 +142,18 @@ def test_fold_model_finds_what_is_planted_and_nothing_else(spark, tmp_path):
     assert mean_ic(planted, "planted") > 0.5
     assert abs(mean_ic(panel(noise), "noise")) < 0.1
     assert abs(mean_ic(P.shuffle_targets(planted), "shuffled")) < 0.1
+
+
+def test_csv_files_of_any_width(spark, tmp_path):
+    wide = [f"x{i}" for i in range(150)]
+    head = ",".join(["Date", *wide[:100], '"Close"', *wide[100:], "Volume"])
+    rows = [",".join([f"2024-01-0{d}", *['"a, ""b"""'] * 100, f' "{d}.5" ', *[""] * 50, f"{d}00"]) for d in range(1, 4)]
+    (tmp_path / "wide.csv").write_text("\n".join([head, *rows, ",bad"]) + "\n")
+    (tmp_path / "thin.csv").write_text("close,date\n7,2024-01-02\n,2024-01-03\n")
+    got = bars.read_csv_bars(spark, str(tmp_path)).collect()
+    assert sorted((r.symbol, str(r.ts), r.close, r.adj_close, r.volume) for r in got if r._corrupt is None) == [
+        ("THIN", "2024-01-02", 7.0, 7.0, None), *[("WIDE", f"2024-01-0{d}", d + 0.5, d + 0.5, d * 100.0) for d in range(1, 4)]]
+    assert sorted(r._corrupt for r in got if r._corrupt) == [",2024-01-03", ",bad"]
+    lines = ["", ",", "a,,b", '"x,y",z', '"a""b"', '"open, z', " q , r "]
+    d = spark.createDataFrame([(x,) for x in lines], "v string").select(bars.csv_cells(F.col("v")).alias("c"))
+    assert [r.c for r in d.collect()] == [[""], ["", ""], ["a", "", "b"], ["x,y", "z"], ['a"b'], ['open', "z"], ["q", "r"]]

@@ -69,7 +69,15 @@ def try_cast(df: DataFrame, f: T.StructField) -> Column:
     return c.try_cast(f.dataType).alias(f.name)
 
 
-MOST_CSV_COLUMNS = 64
+# A cell with the comma before it: quoted, with doubled quotes inside, or plain.
+CSV_CELL = r',(\s*"(?:[^"]|"")*+"[^,]*+|[^,]*+)'
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of a line of any width, without outer quotes and blanks."""
+    raw = F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CSV_CELL), 1), lambda x: F.trim(x))
+    bare = lambda x: F.trim(F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"')))
+    return F.transform(raw, lambda x: F.when(x.startswith('"'), bare(x)).otherwise(x))
 
 
 def read_csv_bars(spark: SparkSession, folder: str, *, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -77,15 +85,13 @@ def read_csv_bars(spark: SparkSession, folder: str, *, start: str | None = None,
 
     Each file's own header names its columns, in any order and case, blanks as
     underscores; ``adj_close`` falls back to ``close``.  A row whose date or
-    close can't be read keeps its text in ``_corrupt``.  A file has at most
-    ``MOST_CSV_COLUMNS`` columns; wider rows are corrupt.
+    close can't be read keeps its text in ``_corrupt``.  A file may have any
+    number of columns.
     """
     raw = spark.read.option("pathGlobFilter", "*.csv").text(folder)
     file = F.try_url_decode(F.col("_metadata.file_name"))
     raw = raw.select("value", F.coalesce(file, F.col("_metadata.file_name")).alias("_file")).filter(F.trim("value") != "")
-    cells = ", ".join(f"c{i} STRING" for i in range(MOST_CSV_COLUMNS))
-    row = F.from_csv("value", cells)
-    d = raw.select("_file", "value", F.array(*[F.trim(row[f"c{i}"]) for i in range(MOST_CSV_COLUMNS)]).alias("_c"))
+    d = raw.select("_file", "value", csv_cells(F.col("value")).alias("_c"))
     names = F.transform("_c", lambda x: F.replace(F.lower(x), F.lit(" "), F.lit("_")))
     dated = F.arrays_overlap(names, F.array(*map(F.lit, DATE_NAMES)))
     heads = d.filter(dated & F.array_contains(names, "close")).groupBy("_file").agg(F.min("value").alias("_head"), F.min(names).alias("_names"))
