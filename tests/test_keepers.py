@@ -158,3 +158,22 @@ def test_archive_stream(spark, tmp_path):
         s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")) if _ else batches(spark, parts, schema, tmp_path / "in")
         J.run_once(s, J.archive_sink(str(tmp_path / "archive")), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.uid for r in spark.read.parquet(str(tmp_path / "archive/articles")).collect()) == ["a", "b", "c"]
+
+
+def test_sessions_stream_equals_batch(spark, tmp_path):
+    from tickloom.operators.report import session_ids
+
+    rnd = random.Random(11)
+    rows = sorted((stamp(day(0)) + dt.timedelta(minutes=rnd.randrange(6000)), rnd.choice("AB")) for _ in range(150))
+    df = spark.createDataFrame([(s, t) for t, s in rows], "symbol string, ts timestamp").distinct()
+    batch = session_ids(df, keys=["symbol"], gap_minutes=30).groupBy("symbol", "session").agg(F.min("ts").alias("start"), F.count(F.lit(1)).alias("n")).collect()
+    parts = [sorted(((r.symbol, r.ts) for r in df.collect()), key=lambda r: r[1]), [("~", stamp(day(900)))]]
+    out = J.drained(J.sessions(batches(spark, parts, df.schema, tmp_path / "in"), lateness="2 days"), str(tmp_path / "run"))
+    assert {(r.symbol, r.start, r.n) for r in out.collect()} == {(r.symbol, r.start, r.n) for r in batch}
+
+
+def test_unique_articles_in_a_stream(spark, tmp_path):
+    schema = "uid string, ts timestamp, title string"
+    parts = [[("a", stamp(day(0)), "1"), ("b", stamp(day(0)), "2"), ("a", stamp(day(0), 1), "3")], [("a", stamp(day(1)), "4"), ("c", stamp(day(1)), "5")]]
+    out = J.drained(J.unique_articles(batches(spark, parts, schema, tmp_path / "in"), lateness="10 days"), str(tmp_path / "run"))
+    assert sorted(r.uid for r in out.collect()) == ["a", "b", "c"]

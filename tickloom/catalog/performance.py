@@ -280,13 +280,12 @@ def _(spark, d):
 
 @query(
     "benchmark_as_of", "J3 J5",
-    f"""WITH {CURVE}, {BENCH}, b2 AS (SELECT ts, close FROM bench WHERE day(ts) % 3 = 0), c AS (SELECT DISTINCT ts FROM curve),
-    j AS (SELECT c.ts, b2.close FROM c ASOF LEFT JOIN b2 ON c.ts >= b2.ts)
+    f"""WITH {CURVE}, {BENCH}, c AS (SELECT DISTINCT ts FROM curve),
+    j AS (SELECT c.ts, bench.close FROM c ASOF LEFT JOIN bench ON c.ts >= bench.ts)
     SELECT {day('ts')} AS ts, round(coalesce(100000 / (SELECT arg_min(close, ts) FROM j WHERE close IS NOT NULL) * close, 0), 2) AS equity FROM j""",
 )
 def _(spark, d):
-    b = T.benchmark(spark, d).filter(F.dayofmonth("ts") % 3 == 0)
-    return tidy(R.benchmark_equity(curve(spark, d), b, capital=100_000.0), equity=2)
+    return tidy(R.benchmark_equity(curve(spark, d), T.benchmark(spark, d), capital=100_000.0), equity=2)
 
 
 @query(

@@ -417,7 +417,7 @@ def _(spark, d):
 
 @query(
     "signal_as_of_bar", "J8 F15",
-    f"""{with_(BARS)}, sg AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + INTERVAL 10 HOUR AS as_of, CAST(month(o_orderdate) AS DOUBLE) AS macro FROM orders WHERE month(o_orderdate) % 2 = 1),
+    f"""{with_(BARS)}, sg AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) + INTERVAL 10 HOUR AS as_of, CAST(month(o_orderdate) AS DOUBLE) AS macro FROM orders),
     b AS (SELECT symbol, ts, CAST(ts AS TIMESTAMP) + INTERVAL 16 HOUR AS close_at FROM bars),
     j AS (SELECT b.symbol, b.ts, sg.macro, (epoch_us(close_at) - epoch_us(as_of)) / 86400000000.0 AS age FROM b ASOF LEFT JOIN sg ON b.close_at >= sg.as_of)
     SELECT symbol, {day('ts')} AS ts, round(macro, 6) AS macro, round(age, 6) AS age_days,
@@ -426,7 +426,7 @@ def _(spark, d):
 def _(spark, d):
     from tickloom.functions.columns import age_days
 
-    o = T.table(spark, d, "orders").filter(F.month("o_orderdate") % 2 == 1)
+    o = T.table(spark, d, "orders")
     at = (F.date_trunc("month", F.col("o_orderdate").cast("timestamp")) + F.expr("INTERVAL 10 HOURS")).alias("as_of")
     sig = o.select(at, F.month("o_orderdate").cast("double").alias("macro")).distinct()
     b = bars(spark, d).select("symbol", "ts", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 16 HOURS")).alias("close_at"))
