@@ -58,6 +58,8 @@ def test_scan_equals_all_runs():
     ("<article><p>&#x41;&nbsp;&eacute;&lt;b&gt;</p></article>", "A é<b>"),
     ("<article><div class='page no-sidebar'>kept</div><div class=sidebarLeft>gone</div><div class=shadow>kept too</div></article>", "kept\nkept too"),
     ("<body><div class='top-menu'>a b</div><p>some words stand here</p></body>", "some words stand here"),
+    ("<body><div class='site-header'>a name</div><div class=topnav>a b</div><p>some words stand here</p><ol class=commentlist><li>first!</ol></body>", "some words stand here"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p class=commentary>kept</p><div id=usercomments>gone</div></article>", "Title\nkept"),
     ("a < b and 5 > 3", "a < b and 5 > 3"),
     ("", ""), ("<", "<"), ("<p", ""), ("<!--", ""), ("<article></article>", ""), ("<nav>only a menu</nav>", ""),
 ])

@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +51,9 @@ NOISE = frozenset(
     "promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar widget widgets".split()
 )
+NOISE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "footer", "navbar", "newsletter", "sidebar", "sponsor")
+NOISE_ENDS = ("banner", "comments", "cookies", "footer", "menu", "nav", "popup", "sidebar")
+NOT_NOISE = frozenset("commentary commentaries".split())
 NOT_NOISE_AFTER = frozenset("has no with without".split())
 NOISE_PAIRS = frozenset([("side", "bar"), ("side", "panel"), ("sign", "up"), ("log", "in"), ("call", "out"), ("pop", "up")])
 
@@ -97,20 +101,24 @@ class Weights:
         return got if kind == BESIDE else max(LEAST, got)
 
 
-def is_noise(names: str) -> bool:
-    """Whether a class or id has a word of what isn't main text."""
+@lru_cache(maxsize=4096)
+def is_noise(names: str) -> tuple[bool, bool]:
+    """Whether a class or id has a word of what isn't main text, and whether it has one of a header."""
+    noise = header = False
     for name in names.split():
         words = [w.lower() for w in NAME_WORD.findall(name)]
         for i, w in enumerate(words):
             before = words[i - 1] if i else ""
-            if (w in NOISE or (before, w) in NOISE_PAIRS) and before not in NOT_NOISE_AFTER:
-                return True
-    return False
+            if before in NOT_NOISE_AFTER:
+                continue
+            header |= w == "header"
+            noise |= w in NOISE or (before, w) in NOISE_PAIRS or w not in NOT_NOISE and (w.startswith(NOISE_STARTS) or w.endswith(NOISE_ENDS))
+    return noise, header
 
 
-def _named(attributes: str) -> tuple[bool, bool, bool]:
-    """Of a tag's attributes: not main text, marks an article, marks the main part."""
-    noise = article = main = False
+def _named(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Of a tag's attributes: not main text, a header, marks an article, marks the main part."""
+    noise = header = article = main = False
     if "=" in attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -121,8 +129,9 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
             elif key == "itemprop":
                 article |= value.strip().lower() == "articlebody"
             else:
-                noise |= is_noise(value)
-    return noise, article, main
+                a, b = is_noise(value)
+                noise, header = noise | a, header | b
+    return noise, header, article, main
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -184,9 +193,11 @@ def blocks_of(page: str) -> list[Block]:
             pieces.append(" ")
         if stack and (name == stack[-1][0] and name in CLOSED_BY_NEXT or is_block and stack[-1][0] == "p"):
             close(stack[-1][0])
-        noise, marks, is_main = _named(m[3])
-        whole_page = name in ("html", "body")
-        gone = name in REMOVED or noise and not (whole_page or name in ("article", "main")) or name == "header" and not (article or marks)
+        noise, header, marks, is_main = _named(m[3])
+        # What holds the whole text isn't removed for its class.
+        whole = name in ("html", "body", "article", "main")
+        # A header inside an article is the article's own.
+        gone = name in REMOVED or noise and not whole or (name == "header" or header and not whole) and not (article or marks or main)
         if name == "article" and not noise:
             marks, gone = True, False
         if name == "article" and removed and not noise and not any(s[2] for s in stack):
