@@ -31,7 +31,7 @@ def batches(spark, parts, schema, path):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
 
 
-def state_rows(spark, checkpoint, name, kind="value"):
+def state_rows(spark, checkpoint, name):
     d = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
     return d.count()
 
