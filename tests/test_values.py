@@ -13,6 +13,7 @@ from tickloom.operators import decisions as D
 from tickloom.operators import evaluate as E
 from tickloom.operators import folds as K
 from tickloom.operators import panel as P
+from tickloom.operators import report as R
 from tickloom.operators import sizing as S
 from tickloom.operators.quantiles import group_quantile
 from tickloom.settings import BookSettings
@@ -157,3 +158,11 @@ def test_csv_files_of_any_width(spark, tmp_path):
     lines = ["", ",", "a,,b", '"x,y",z', '"a""b"', '"open, z', " q , r "]
     d = spark.createDataFrame([(x,) for x in lines], "v string").select(bars.csv_cells(F.col("v")).alias("c"))
     assert [r.c for r in d.collect()] == [[""], ["", ""], ["a", "", "b"], ["x,y", "z"], ['a"b'], ['open', "z"], ["q", "r"]]
+
+
+def test_best_path_equals_itself_when_means_vary(spark):
+    """Means that a second reading computes anew: the in-sample best never ranks below itself."""
+    anew = F.udf(lambda: random.random(), "double").asNondeterministic()
+    rows = [(p, c, float(c)) for p in range(60) for c in (1, 2)]
+    paths = spark.createDataFrame(rows, "path long, config int, is_perf double").withColumn("oos_perf", anew())
+    assert tuple(R.overfitting_probability(paths).first()) == (0.0, 60)
