@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.catalog.base import tidy
 from tickloom.functions.text import WHITE, article_uid
 from tickloom.operators import decisions as D
 from tickloom.operators import evaluate as E
@@ -166,3 +167,12 @@ def test_best_path_equals_itself_when_means_vary(spark):
     rows = [(p, c, float(c)) for p in range(60) for c in (1, 2)]
     paths = spark.createDataFrame(rows, "path long, config int, is_perf double").withColumn("oos_perf", anew())
     assert tuple(R.overfitting_probability(paths).first()) == (0.0, 60)
+
+
+def test_chart_payload_is_rounded_once(spark):
+    """1.00004997 is 1.0 at four places; cut to six first it would be 1.00005 and then 1.0001."""
+    rows = [("s", dt.date(2026, 1, i), v, 0.0, 0.0) for i, v in ((1, 1.0), (2, 1.00004997))]
+    curve = spark.createDataFrame(rows, "strategy string, ts date, equity double, position double, turnover double")
+    points = R.chart_points(R.chart_payload(curve, curve.select("ts", "equity"), digits=None)).orderBy("ts").collect()
+    assert [p.equity for p in points] == [1.0, 1.00004997]
+    assert [r.equity for r in tidy(spark.createDataFrame(points), 4).orderBy("ts").collect()] == [1.0, 1.0]
