@@ -109,3 +109,24 @@ def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = queries.op1_webp(spark, SF).collect()
     assert {r.doc_id: r.payload_sha256 for r in got} == {d: hashlib.sha256(M.payload_of(t)).hexdigest() for d, t in docs.items()}
+
+
+def test_payloads_use_the_transforms_that_fit_them():
+    """Tiles of slopes, of grey noise, of tied channels, of some colours and of few: each step is stored where it helps, and read back."""
+    rng = np.random.default_rng(2)
+    n = M.WIDTH * M.TILE_ROWS
+    noise, alpha = rng.integers(0, 256, n), np.full(n, 255)
+    half = (noise.astype(np.uint8).astype(np.int8).astype(int) >> 1) & 255
+    slope = (np.arange(n) // 3 + rng.integers(0, 3, n)) & 255
+    made = {
+        "predictor": np.stack([slope, slope * 3 & 255, slope * 5 & 255, alpha], 1), "green": np.stack([noise, noise, noise, alpha], 1),
+        "cross": np.stack([half, noise, half, alpha], 1), "palette": np.stack([noise & 1, noise & 1, noise & 3, alpha], 1),
+        "cache": rng.integers(0, 256, (200, 4))[rng.integers(0, 200, n)], "none": rng.integers(0, 256, (n, 4)),
+    }
+    for name, x in made.items():
+        data = x.astype(np.uint8).tobytes()
+        steps, bits = M.transforms_of(M.to_pixels(data))
+        assert name in ([s[0] for s in steps] + ["cache"] * bool(bits) or ["none"]), name
+        (images,) = M.decode_media([M.encode_payload(data)])
+        assert b"".join(M.to_bytes(p) for *_, p in images) == data
+    assert sum(len(M.encode_payload(made[k].astype(np.uint8).tobytes())) for k in ("predictor", "green", "cross")) < 0.7 * 3 * 4 * n

@@ -26,7 +26,12 @@ ROW_BYTES = 4 * WIDTH
 TILE_ROWS = 32
 FILL = b"\xff"
 SMALL_PALETTE = 16
+CACHED = 256
+# Side of a transform's block, as a power of two, and the share of its bits that a tile must come down to.
+BITS = 5
+WORTH = 0.95
 BATCH = 16 << 20
+LANES = np.arange(4) << 8
 
 
 def payload_of(text: str) -> bytes:
@@ -45,13 +50,57 @@ def to_bytes(px: np.ndarray) -> bytes:
     return np.ascontiguousarray(px.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]]).tobytes()
 
 
+def cost(ch: np.ndarray) -> float:
+    """Bits of a tile's channels at their entropy, each channel with a code of its own."""
+    n = np.bincount(((ch & 255) + LANES).ravel(), minlength=1024)
+    n = n[n > 0]
+    return float(len(ch) * 4 * np.log2(len(ch)) - (n * np.log2(n)).sum())
+
+
+def transforms_of(px: np.ndarray) -> tuple[tuple, int]:
+    """(transforms, bits of the colour cache) of a tile: each is used where it makes the tile smaller.
+
+    Predictor from the left or above, then cross-colour with fitted multipliers or
+    the green transform on what is left; a palette for few colours and a cache for some.
+    """
+    colours = len(np.unique(px[: 8 * SMALL_PALETTE])) if len(px) > 8 * SMALL_PALETTE else 0
+    colours = len(np.unique(px)) if colours <= SMALL_PALETTE else colours
+    if colours <= SMALL_PALETTE:
+        return (("palette",),), 0
+    height, blocks = len(px) // WIDTH, -(-WIDTH >> BITS) * -(-len(px) // WIDTH >> BITS)
+    ch = webp.channels(px).astype(np.int64)
+    best, steps = cost(ch), []
+    for mode, back in ((1, 1), (2, WIDTH)):
+        left = ch.copy()
+        left[back:] -= ch[:-back]
+        if height > 1 and (bits := cost(left)) < best * WORTH:
+            best, now, steps = bits, left, [("predictor", BITS, np.full(blocks, mode << 8 | webp.BLACK, np.uint32))]
+    ch = webp.channels(webp.packed(now if steps else ch))
+    signed = ch.astype(np.int8).astype(np.float64)
+    green = signed[:, 1] @ signed[:, 1] or 1.0
+    fit = [int(np.clip(np.rint(32 * (signed[:, c] @ signed[:, 1]) / green), -128, 127)) & 255 for c in (0, 2)]
+    # Red to blue stays 0; green to blue and green to red are fitted.
+    part = np.full(blocks, webp.BLACK | fit[1] | fit[0] << 8, np.uint32)
+    crossed = webp._cross(ch.reshape(height, WIDTH, 4), webp._blocks(part, WIDTH, height, BITS), -1).reshape(-1, 4)
+    less = ch.astype(np.int64)
+    less[:, 0] -= less[:, 1]
+    less[:, 2] -= less[:, 1]
+    kinds = [(cost(less), ("green",)), (cost(crossed), ("cross", BITS, part))]
+    bits, step = min(kinds, key=lambda k: k[0])
+    if bits < best * WORTH:
+        steps.append(step)
+    # A cache pays where few colours come back often.
+    few = not steps and colours * 8 <= len(px) and len(np.unique(px)) <= min(CACHED, len(px) // 8)
+    return tuple(steps), 8 if few else 0
+
+
 def encode_payload(data: bytes) -> bytes:
-    """The tiles of a payload; those of few colours are stored by palette."""
+    """The tiles of a payload, each with the transforms that fit it."""
     out = []
     for i in range(0, len(data), TILE_ROWS * ROW_BYTES):
         px = to_pixels(data[i : i + TILE_ROWS * ROW_BYTES])
-        few = len(np.unique(px[: 8 * SMALL_PALETTE])) <= SMALL_PALETTE and len(np.unique(px)) <= SMALL_PALETTE
-        out.append(webp.encode(px, WIDTH, transforms=(("palette",),) if few else ()))
+        transforms, cache_bits = transforms_of(px)
+        out.append(webp.encode(px, WIDTH, transforms=transforms, cache_bits=cache_bits))
     return b"".join(out)
 
 
