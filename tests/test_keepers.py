@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,48 @@ def test_unique_articles_in_a_stream(spark, tmp_path):
     parts = [[("a", stamp(day(0)), "1"), ("b", stamp(day(0)), "2"), ("a", stamp(day(0), 1), "3")], [("a", stamp(day(1)), "4"), ("c", stamp(day(1)), "5")]]
     out = J.drained(J.unique_articles(batches(spark, parts, schema, tmp_path / "in"), lateness="10 days"), str(tmp_path / "run"))
     assert sorted(r.uid for r in out.collect()) == ["a", "b", "c"]
+
+
+def test_signal_calls_the_state_once_a_batch():
+    """Neither rows nor cells cost a call each: one read and one write, however many there are."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.held = name, []
+
+        def get(self):
+            calls.append((self.name, "get"))
+            return iter(self.held) if self.name == "cells" else self.held
+
+        def put(self, rows):
+            calls.append((self.name, "put"))
+            self.held = rows
+
+        update = put
+
+        def clear(self):
+            self.held = []
+
+        def exists(self):
+            return bool(self.held)
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: State(name)
+
+        def registerTimer(self, ms):
+            pass
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 99 * K.DAY_US // 1000
+
+    keeper = K.SignalKeeper(0, K.DAY_US, 14 * K.DAY_US, 2.0 * K.DAY_US)
+    keeper.init(Handle())
+    cells = [d * K.DAY_US for d in (*range(1, 41), *range(1, 41))]
+    rows = pd.DataFrame({"cell": cells, "num": 1.0, "den": 2.0, "n": 1, "top": 1.0, "uid": "u", "title": "t"})
+    list(keeper.handleInputRows(("s",), iter([rows]), None))
+    assert [c for c in calls if c[0] == "cells"] == [("cells", "get"), ("cells", "put")]
+    out = pd.concat(keeper.handleExpiredTimer(("s",), Now(), None))
+    assert len(out) == 53 and out.articles.tolist() == [2 * min(i, 14, 54 - i) for i in range(1, 54)]
+    assert out.weight.iloc[0] == pytest.approx(4.0) and out.weight.iloc[1] == pytest.approx(4.0 + 4.0 * 0.5**0.5)
+    assert not keeper.cells.exists() and not keeper.next.exists()

@@ -214,6 +214,8 @@ class SignalKeeper(StatefulProcessor):
 
     A cell's sums are as of its end; at a later instant they weigh by the time
     since, so nothing but the cells is kept, and a cell leaves when it is too old.
+    The cells span the look-back and the lateness: they are read and written as one
+    list, as a call to the state for each of them costs more than their sums.
     """
 
     def __init__(self, start_us: int, step_us: int, age_us: int, half_life_us: float) -> None:
@@ -221,20 +223,21 @@ class SignalKeeper(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getMapState("cells", "cell BIGINT", "num DOUBLE, den DOUBLE, n BIGINT, top DOUBLE, uid STRING, title STRING")
+        self.cells = handle.getListState("cells", "cell BIGINT, num DOUBLE, den DOUBLE, n BIGINT, top DOUBLE, uid STRING, title STRING")
         self.next = handle.getValueState("next", "us BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, held = None, {r[0]: tuple(r[1:]) for r in self.cells.get()}
         for pdf in rows:
             for r in pdf.itertuples(index=False):
-                cell, now = (int(r.cell),), (float(r.num), float(r.den), int(r.n), float(r.top), r.uid, r.title)
-                if self.cells.containsKey(cell):
-                    old = self.cells.getValue(cell)
-                    best = max(tuple(old[3:6]), now[3:6], key=lambda t: t[:2])
+                cell, now = int(r.cell), (float(r.num), float(r.den), int(r.n), float(r.top), r.uid, r.title)
+                if (old := held.get(cell)) is not None:
+                    best = max(old[3:6], now[3:6], key=lambda t: t[:2])
                     now = (old[0] + now[0], old[1] + now[1], old[2] + now[2], *best)
-                self.cells.updateValue(cell, now)
-                first = min(first or cell[0], cell[0])
+                held[cell] = now
+                first = cell if first is None else min(first, cell)
+        if held:
+            self.cells.put([(c, *held[c]) for c in sorted(held)])
         if first is not None and (not self.next.exists() or first < self.next.get()[0]):
             if not self.next.exists():
                 self.next.update((first,))
@@ -246,22 +249,25 @@ class SignalKeeper(StatefulProcessor):
             return
         now = timerValues.getCurrentWatermarkInMs() * 1000
         at, out = self.next.get()[0], []
-        held = {k[0]: tuple(v) for k, v in self.cells.iterator()}
-        while held and at <= now:
-            for old in [c for c in held if at - (c - self.step) > self.age]:
-                self.cells.removeKey((old,))
-                del held[old]
-            seen = [(c, v) for c, v in held.items() if c <= at]
-            if seen:
+        held = sorted((r[0], tuple(r[1:])) for r in self.cells.get())
+        lo = hi = 0  # those at an instant are held[lo:hi]
+        while lo < len(held) and at <= now:
+            while lo < len(held) and at - (held[lo][0] - self.step) > self.age:
+                lo += 1
+            while hi < len(held) and held[hi][0] <= at:
+                hi += 1
+            if seen := held[lo:hi]:
                 decay = [0.5 ** ((at - c) / self.half_life) for c, _ in seen]
                 num, den = (float(np.dot(decay, [v[i] for _, v in seen])) for i in (0, 1))
                 top = max(((round(w * v[3], 9), v[4], v[5]) for w, (_, v) in zip(decay, seen, strict=True)), key=lambda t: t[:2])
                 out.append((pd.Timestamp(at, unit="us"), key[0], num, den, sum(v[2] for _, v in seen), top[2]))
             at += self.step
-        if held:
+        if left := [(c, *v) for c, v in held[lo:]]:
+            self.cells.put(left)
             self.next.update((at,))
             self.handle.registerTimer(at // 1000)
         else:
+            self.cells.clear()
             self.next.clear()
         if out:
             yield pd.DataFrame(out, columns=["as_of", "symbol", "_num", "weight", "articles", "top_headline"])
