@@ -130,3 +130,17 @@ def test_payloads_use_the_transforms_that_fit_them():
         (images,) = M.decode_media([M.encode_payload(data)])
         assert b"".join(M.to_bytes(p) for *_, p in images) == data
     assert sum(len(M.encode_payload(made[k].astype(np.uint8).tobytes())) for k in ("predictor", "green", "cross")) < 0.7 * 3 * 4 * n
+
+
+def test_quick_lookup_agrees_with_search():
+    rnd = np.random.default_rng(3)
+    long, lone = W.code_lengths((2.0 ** np.arange(15)).astype(np.int64)), np.zeros(15, np.int64)
+    lone[4] = 1
+    sizes = [long, lone, W.code_lengths(np.arange(15))]
+    quick, plain = W.Tables.of(sizes, True), W.Tables.of(sizes)
+    group, window = rnd.integers(0, 3, 4000), rnd.integers(0, 1 << 62, 4000).astype(np.uint64)
+    window[:64] = np.arange(64, dtype=np.uint64) << np.uint64(9) | np.uint64(511)
+    group[:64] = 0
+    assert long.max() > W.QUICK
+    for a, b in zip(quick.read(group, window), plain.read(group, window)):
+        assert (a == b).all()

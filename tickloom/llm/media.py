@@ -31,7 +31,7 @@ CACHED = 256
 BITS = 5
 WORTH = 0.95
 BATCH = 16 << 20
-LANES = np.arange(4) << 8
+LANES = np.arange(4, dtype=np.uint16) << 8
 
 
 def payload_of(text: str) -> bytes:
@@ -52,7 +52,7 @@ def to_bytes(px: np.ndarray) -> bytes:
 
 def cost(ch: np.ndarray) -> float:
     """Bits of a tile's channels at their entropy, each channel with a code of its own."""
-    n = np.bincount(((ch & 255) + LANES).ravel(), minlength=1024)
+    n = np.bincount((ch + LANES).ravel(), minlength=1024)
     n = n[n > 0]
     return float(len(ch) * 4 * np.log2(len(ch)) - (n * np.log2(n)).sum())
 
@@ -68,23 +68,24 @@ def transforms_of(px: np.ndarray) -> tuple[tuple, int]:
     if colours <= SMALL_PALETTE:
         return (("palette",),), 0
     height, blocks = len(px) // WIDTH, -(-WIDTH >> BITS) * -(-len(px) // WIDTH >> BITS)
-    ch = webp.channels(px).astype(np.int64)
+    ch = px.astype("<u4").view(np.uint8).reshape(-1, 4)  # differences wrap as the format's do
     best, steps = cost(ch), []
     for mode, back in ((1, 1), (2, WIDTH)):
         left = ch.copy()
         left[back:] -= ch[:-back]
         if height > 1 and (bits := cost(left)) < best * WORTH:
             best, now, steps = bits, left, [("predictor", BITS, np.full(blocks, mode << 8 | webp.BLACK, np.uint32))]
-    ch = webp.channels(webp.packed(now if steps else ch))
-    signed = ch.astype(np.int8).astype(np.float64)
+    left = now if steps else ch
+    signed = left.view(np.int8).astype(np.float64)
     green = signed[:, 1] @ signed[:, 1] or 1.0
     fit = [int(np.clip(np.rint(32 * (signed[:, c] @ signed[:, 1]) / green), -128, 127)) & 255 for c in (0, 2)]
     # Red to blue stays 0; green to blue and green to red are fitted.
     part = np.full(blocks, webp.BLACK | fit[1] | fit[0] << 8, np.uint32)
-    crossed = webp._cross(ch.reshape(height, WIDTH, 4), webp._blocks(part, WIDTH, height, BITS), -1).reshape(-1, 4)
-    less = ch.astype(np.int64)
-    less[:, 0] -= less[:, 1]
-    less[:, 2] -= less[:, 1]
+    small = left.view(np.int8).astype(np.int16)
+    crossed, less = left.copy(), left.copy()
+    for c, m in ((0, fit[0]), (2, fit[1])):
+        crossed[:, c] -= ((m - (m >> 7 << 8)) * small[:, 1] >> 5).astype(np.uint8)
+        less[:, c] -= left[:, 1]
     kinds = [(cost(less), ("green",)), (cost(crossed), ("cross", BITS, part))]
     bits, step = min(kinds, key=lambda k: k[0])
     if bits < best * WORTH:

@@ -20,11 +20,16 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 # Fixed value of the format: the order in which code-length code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 TOP = 15
+# Codes of up to this length are looked up in one step; those that are written here are no longer.
+QUICK = 11
+LONGER = 0xFFFF
 HASH = 0x1E35A7BD
 BLACK = 0xFF000000
 REVERSED = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << TOP)], np.int64)
 # Short distance codes: neighbours by nearness, then |x|, then right before left.
 LOW = np.uint64((1 << TOP) - 1)
+LOW_QUICK = np.uint64((1 << QUICK) - 1)
+REVERSED_QUICK = REVERSED[: 1 << QUICK] >> TOP - QUICK
 NEIGHBOURS = sorted(
     ((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0)
 )
@@ -86,9 +91,10 @@ class Tables:
     bound: np.ndarray  # g x 16: left-justified end of the codes up to each length; the last is never reached
     start: np.ndarray  # g * 16: where a length's symbols start, less its first code
     symbols: np.ndarray
+    quick: np.ndarray | None = None  # g << QUICK: symbol | bits used << 12 by the next bits as they come, or LONGER
 
     @classmethod
-    def of(cls, lengths: list[np.ndarray]) -> Tables:
+    def of(cls, lengths: list[np.ndarray], quick: bool = False) -> Tables:
         size = max(map(len, lengths))
         all_ = np.zeros((len(lengths), size), np.int64)
         for row, x in zip(all_, lengths):
@@ -108,10 +114,28 @@ class Tables:
         bound = end.copy()
         bound[lone], start[lone] = 1 << TOP, (np.arange(len(lengths)) * size)[lone, None]
         bound[:, TOP] = 0xFFFF
-        return cls(bound.astype(np.uint16), start.ravel(), order.ravel())
+        if not quick:
+            return cls(bound.astype(np.uint16), start.ravel(), order.ravel())
+        n = np.take_along_axis(all_, order, axis=1)
+        share = np.where((n > 0) & (n <= QUICK), 1 << np.maximum(QUICK - n, 0), 0)
+        share[lone, 0], n[lone, 0] = 1 << QUICK, 0
+        share = np.column_stack([share, (1 << QUICK) - share.sum(1)])
+        entry = np.column_stack([order | n << 12, np.full(len(lengths), LONGER)]).astype(np.uint16)
+        table = np.repeat(entry.ravel(), share.ravel()).reshape(len(lengths), -1)[:, REVERSED_QUICK]
+        return cls(bound.astype(np.uint16), start.ravel(), order.ravel(), table.ravel())
 
     def read(self, group: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol, bits used) for the next bits of each stream."""
+        if self.quick is None:
+            return self._search(group, window)
+        e = self.quick.take((group << QUICK) + (window & LOW_QUICK).view(np.int64))
+        symbol, n = (e & 0xFFF).astype(np.int64), (e >> 12).astype(np.int64)
+        if (e == LONGER).any():
+            i = np.flatnonzero(e == LONGER)
+            symbol[i], n[i] = self._search(group[i], window[i])
+        return symbol, n
+
+    def _search(self, group: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r = REVERSED[(window & LOW).view(np.int64)]
         # One byte for each length that is too short, eight counted at once.
         short = np.bitwise_count((r.astype(np.uint16)[:, None] >= self.bound.take(group, axis=0)).view(np.uint64))
@@ -323,7 +347,10 @@ def read_pixels(asked: list[WantPixels]) -> list[np.ndarray]:
     pos = base + np.array([q.stream.at for q in asked])
     stop = base + np.array([8 * len(q.stream.data) for q in asked])
     first_group = np.cumsum([0] + [len(q.groups) for q in asked[:-1]])
-    codes = [Tables.of([g[c] for q in asked for g in q.groups]) for c in range(5)]
+    codes: list[Tables] = []
+    alike = [all(np.array_equal(g[c], g[1]) for q in asked for g in q.groups) for c in range(5)]
+    for c in range(5):
+        codes.append(codes[1] if c in (2, 3) and alike[c] else Tables.of([g[c] for q in asked for g in q.groups], c < 4))
     todo = np.array([q.width * q.height for q in asked])
     start = np.cumsum([0, *todo[:-1]])
     out = np.zeros(int(todo.sum()), np.uint32)
@@ -681,7 +708,7 @@ def _put_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: i
                 codes.append(codes[-1])
                 w.repeat()
                 continue
-            lengths.append(code_lengths(x))
+            lengths.append(code_lengths(x, QUICK))
             codes.append(codes_of(lengths[-1]))
             w.mark()
             _put_code(w, lengths[-1])
