@@ -144,3 +144,36 @@ def test_quick_lookup_agrees_with_search():
     assert long.max() > W.QUICK
     for a, b in zip(quick.read(group, window), plain.read(group, window)):
         assert (a == b).all()
+
+
+def test_codes_of_very_many_symbols():
+    """A full colour cache beside all literals: more symbols than short codes have room for."""
+    rng = np.random.default_rng(4)
+    colours = rng.integers(0, 1 << 32, 40_000, dtype=np.uint32)
+    slot = (W.HASH * colours.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> np.uint64(21)
+    colours = colours[np.unique(slot, return_index=True)[1]]
+    assert len(colours) == 2048
+    same(rng.choice(colours, 144 * 150), 144, cache_bits=11, copies=False)
+
+
+def test_all_images_are_decoded_in_one_pass(monkeypatch):
+    rng = np.random.default_rng(6)
+    noise, few = rng.integers(0, 1 << 32, 600, dtype=np.uint32), rng.integers(0, 3, 600).astype(np.uint32)
+    part = np.full(2, 1 << 8 | W.BLACK, np.uint32)
+    files = [W.encode(noise, 20), W.encode(few, 20, transforms=(("palette",),)), W.encode(noise, 20, transforms=(("predictor", 4, part.repeat(2)), ("cross", 4, part.repeat(2)))), W.encode(noise, 20, meta_bits=3)]
+    calls, read = [], W.read_pixels
+    monkeypatch.setattr(W, "read_pixels", lambda asked: calls.append([q.width * q.height for q in asked]) or read(asked))
+    got = W.decode(files)
+    assert all((a == b).all() for (*_, a), b in zip(got, (noise, few, noise, noise)))
+    assert len(calls[-1]) == 4 and all(max(c) < 10 * 20 for c in calls[:-1])
+
+
+def test_forms_are_judged_by_their_entropy():
+    rng = np.random.default_rng(7)
+    for n in (1, 144, 4608):
+        forms = [rng.integers(0, k, (n, 4)).astype(np.uint8) for k in (1, 7, 256)]
+        for got, x in zip(M.costs(forms), forms):
+            p = [np.unique(x[:, c], return_counts=True)[1] / n for c in range(4)]
+            assert got == pytest.approx(-n * sum((q * np.log2(q)).sum() for q in p), abs=1e-6)
+        px = rng.integers(0, 50, n, dtype=np.uint32)
+        assert M.distinct(px) == len(np.unique(px))

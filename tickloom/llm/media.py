@@ -31,7 +31,12 @@ CACHED = 256
 BITS = 5
 WORTH = 0.95
 BATCH = 16 << 20
-LANES = np.arange(4, dtype=np.uint16) << 8
+# n * log2(n) of all counts in a tile.
+LOGS = np.arange(WIDTH * TILE_ROWS + 1) * np.log2(np.maximum(np.arange(WIDTH * TILE_ROWS + 1), 1))
+
+
+# What cross-colour takes away for each multiplier (signed, from -128 on) and each byte of green.
+CROSSED = (np.arange(-128, 128)[:, None] * np.arange(256, dtype=np.uint8).view(np.int8) >> 5).astype(np.uint8)
 
 
 def payload_of(text: str) -> bytes:
@@ -50,11 +55,18 @@ def to_bytes(px: np.ndarray) -> bytes:
     return np.ascontiguousarray(px.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]]).tobytes()
 
 
-def cost(ch: np.ndarray) -> float:
-    """Bits of a tile's channels at their entropy, each channel with a code of its own."""
-    n = np.bincount((ch + LANES).ravel(), minlength=1024)
-    n = n[n > 0]
-    return float(len(ch) * 4 * np.log2(len(ch)) - (n * np.log2(n)).sum())
+def costs(kinds: list[np.ndarray]) -> list[float]:
+    """Bits of a tile's channels at their entropy, each channel with a code of its own, for each form of the tile."""
+    n, k = len(kinds[0]), len(kinds)
+    lanes = (np.arange(4 * k, dtype=np.uint16) << 8).reshape(k, 1, 4)
+    counts = np.bincount((np.stack(kinds) + lanes).ravel(), minlength=1024 * k)
+    return (4 * LOGS[n] - LOGS[counts].reshape(k, 1024).sum(1)).tolist()
+
+
+def distinct(px: np.ndarray) -> int:
+    """The number of different pixels."""
+    s = np.sort(px)
+    return 1 + int(np.count_nonzero(s[1:] != s[:-1]))
 
 
 def transforms_of(px: np.ndarray) -> tuple[tuple, int]:
@@ -63,35 +75,36 @@ def transforms_of(px: np.ndarray) -> tuple[tuple, int]:
     Predictor from the left or above, then cross-colour with fitted multipliers or
     the green transform on what is left; a palette for few colours and a cache for some.
     """
-    colours = len(np.unique(px[: 8 * SMALL_PALETTE])) if len(px) > 8 * SMALL_PALETTE else 0
-    colours = len(np.unique(px)) if colours <= SMALL_PALETTE else colours
+    colours = distinct(px[: 8 * SMALL_PALETTE]) if len(px) > 8 * SMALL_PALETTE else 0
+    colours = distinct(px) if colours <= SMALL_PALETTE else colours
     if colours <= SMALL_PALETTE:
         return (("palette",),), 0
     height, blocks = len(px) // WIDTH, -(-WIDTH >> BITS) * -(-len(px) // WIDTH >> BITS)
-    ch = px.astype("<u4").view(np.uint8).reshape(-1, 4)  # differences wrap as the format's do
-    best, steps = cost(ch), []
-    for mode, back in ((1, 1), (2, WIDTH)):
+    ch = px.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)  # differences wrap as the format's do
+    forms, steps = [ch], []
+    for back in (1, WIDTH) if height > 1 else ():
         left = ch.copy()
         left[back:] -= ch[:-back]
-        if height > 1 and (bits := cost(left)) < best * WORTH:
-            best, now, steps = bits, left, [("predictor", BITS, np.full(blocks, mode << 8 | webp.BLACK, np.uint32))]
-    left = now if steps else ch
-    signed = left.view(np.int8).astype(np.float64)
-    green = signed[:, 1] @ signed[:, 1] or 1.0
-    fit = [int(np.clip(np.rint(32 * (signed[:, c] @ signed[:, 1]) / green), -128, 127)) & 255 for c in (0, 2)]
+        forms.append(left)
+    best, *bits = costs(forms)
+    for mode, b in enumerate(bits, 1):
+        if b < best * WORTH:
+            best, ch, steps = b, forms[mode], [("predictor", BITS, np.full(blocks, mode << 8 | webp.BLACK, np.uint32))]
+    signed = ch.view(np.int8)
+    green = signed[:, 1].astype(np.float64)
+    square = float(green @ green) or 1.0
+    fit = [min(max(round(32 * float(signed[:, c] @ green) / square), -128), 127) for c in (0, 2)]
     # Red to blue stays 0; green to blue and green to red are fitted.
-    part = np.full(blocks, webp.BLACK | fit[1] | fit[0] << 8, np.uint32)
-    small = left.view(np.int8).astype(np.int16)
-    crossed, less = left.copy(), left.copy()
-    for c, m in ((0, fit[0]), (2, fit[1])):
-        crossed[:, c] -= ((m - (m >> 7 << 8)) * small[:, 1] >> 5).astype(np.uint8)
-        less[:, c] -= left[:, 1]
-    kinds = [(cost(less), ("green",)), (cost(crossed), ("cross", BITS, part))]
-    bits, step = min(kinds, key=lambda k: k[0])
-    if bits < best * WORTH:
-        steps.append(step)
+    crossed, less = ch.copy(), ch.copy()
+    for c, m in zip((0, 2), fit):
+        crossed[:, c] -= CROSSED[m + 128].take(ch[:, 1])
+        less[:, c] -= ch[:, 1]
+    bits = costs([less, crossed])
+    if min(bits) < best * WORTH:
+        part = np.full(blocks, webp.BLACK | (fit[1] & 255) | (fit[0] & 255) << 8, np.uint32)
+        steps.append(("green",) if bits[0] <= bits[1] else ("cross", BITS, part))
     # A cache pays where few colours come back often.
-    few = not steps and colours * 8 <= len(px) and len(np.unique(px)) <= min(CACHED, len(px) // 8)
+    few = not steps and colours * 8 <= len(px) and distinct(px) <= min(CACHED, len(px) // 8)
     return tuple(steps), 8 if few else 0
 
 
@@ -126,7 +139,7 @@ def features(images: list[tuple[int, int, np.ndarray]]) -> str:
     px = np.concatenate([p for *_, p in images])
     s = px.view(np.uint8)
     step = np.abs(np.diff(s.reshape(-1, 4 * images[0][0]).astype(np.int16), axis=1))
-    return f"{images[0][0]}x{sum(h for _, h, _ in images)};mean={int(s.sum(dtype=np.int64)) // len(s)};contrast={int(step.sum(dtype=np.int64)) // step.size};colours={len(np.unique(px))}"
+    return f"{images[0][0]}x{sum(h for _, h, _ in images)};mean={int(s.sum(dtype=np.int64)) // len(s)};contrast={int(step.sum(dtype=np.int64)) // step.size};colours={distinct(px)}"
 
 
 def stored(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:

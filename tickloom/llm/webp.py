@@ -21,11 +21,13 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 TOP = 15
 # Codes of up to this length are looked up in one step; those that are written here are no longer.
-QUICK = 11
+QUICK = 9
 LONGER = 0xFFFF
 HASH = 0x1E35A7BD
 BLACK = 0xFF000000
+THREE = np.arange(3, dtype=np.uint16) << 8
 REVERSED = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << TOP)], np.int64)
+SEVEN = [int(f"{i:07b}"[::-1], 2) for i in range(1 << 7)]
 # Short distance codes: neighbours by nearness, then |x|, then right before left.
 LOW = np.uint64((1 << TOP) - 1)
 LOW_QUICK = np.uint64((1 << QUICK) - 1)
@@ -49,11 +51,12 @@ def code_lengths(counts: np.ndarray, most: int = TOP) -> np.ndarray:
     if len(used) < 2:
         out[used] = 1
         return out
-    c = counts[used]
-    used = used[np.argsort(-c, kind="stable")]
-    c = counts[used]
-    size = np.clip(np.ceil(np.log2(c.sum() / c)), 1, most).astype(int).tolist()
-    room = (1 << most) - sum(1 << most - s for s in size)
+    used = used[np.argsort(-counts[used], kind="stable")]
+    c = counts[used].tolist()
+    total = sum(c)
+    # The least s with c << s at or over the total is the rounded-up information content.
+    size = [min(max((-(-total // x) - 1).bit_length(), 1), most) for x in c]
+    room = (1 << most) - sum([1 << most - s for s in size])
     i = len(size) - 1
     while room < 0:
         while size[i] == most:
@@ -92,6 +95,8 @@ class Tables:
     start: np.ndarray  # g * 16: where a length's symbols start, less its first code
     symbols: np.ndarray
     quick: np.ndarray | None = None  # g << QUICK: symbol | bits used << 12 by the next bits as they come, or LONGER
+    longest: int = TOP
+    searched: bool = True  # some codes are not in ``quick``
 
     @classmethod
     def of(cls, lengths: list[np.ndarray], quick: bool = False) -> Tables:
@@ -122,16 +127,16 @@ class Tables:
         share = np.column_stack([share, (1 << QUICK) - share.sum(1)])
         entry = np.column_stack([order | n << 12, np.full(len(lengths), LONGER)]).astype(np.uint16)
         table = np.repeat(entry.ravel(), share.ravel()).reshape(len(lengths), -1)[:, REVERSED_QUICK]
-        return cls(bound.astype(np.uint16), start.ravel(), order.ravel(), table.ravel())
+        longest = int(all_.max())
+        return cls(bound.astype(np.uint16), start.ravel(), order.ravel(), table.ravel(), longest, longest > QUICK)
 
     def read(self, group: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbol, bits used) for the next bits of each stream."""
         if self.quick is None:
             return self._search(group, window)
         e = self.quick.take((group << QUICK) + (window & LOW_QUICK).view(np.int64))
-        symbol, n = (e & 0xFFF).astype(np.int64), (e >> 12).astype(np.int64)
-        if (e == LONGER).any():
-            i = np.flatnonzero(e == LONGER)
+        symbol, n = e & 0xFFF, e >> 12
+        if self.searched and (i := np.flatnonzero(e == LONGER)).size:
             symbol[i], n[i] = self._search(group[i], window[i])
         return symbol, n
 
@@ -179,6 +184,7 @@ class WantPixels:
     height: int
     cache_bits: int
     groups: list[list[np.ndarray]]
+    main: bool  # the image itself, not a part of its header
     meta: np.ndarray | None = None  # group of each block
     meta_bits: int = 0
     blocks: int = 0
@@ -220,7 +226,7 @@ def _pixels(s: Stream, width: int, height: int, main: bool) -> Generator:
         for size in sizes:
             codes.append((yield from _prefix_code(s, size)))
         groups.append(codes)
-    return (yield WantPixels(s, width, height, cache_bits, groups, meta, bits, blocks))
+    return (yield WantPixels(s, width, height, cache_bits, groups, main, meta, bits, blocks))
 
 
 def _image(data: bytes) -> Generator:
@@ -273,20 +279,22 @@ def decode(files: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
     out: list = [None] * len(files)
     runs = {i: _image(vp8l(f)) for i, f in enumerate(files)}
     answers: dict[int, object] = dict.fromkeys(runs)
+    asked: dict[int, WantLengths | WantPixels] = {}
     while answers:
-        asked: dict[int, object] = {}
         for i, a in answers.items():
             try:
                 asked[i] = runs[i].send(a)
             except StopIteration as e:
                 out[i] = e.value
-        lengths = {i: q for i, q in asked.items() if isinstance(q, WantLengths)}
-        pixels = {i: q for i, q in asked.items() if isinstance(q, WantPixels)}
-        answers = {}
-        if lengths:
-            answers |= zip(lengths, read_lengths(list(lengths.values())))
-        if pixels:
-            answers |= zip(pixels, read_pixels(list(pixels.values())))
+        # What is short goes first, so that the images themselves are all decoded in one pass.
+        kinds: dict[int, list[int]] = {}
+        for i, q in asked.items():
+            kinds.setdefault(0 if isinstance(q, WantLengths) else 1 + q.main, []).append(i)
+        if not kinds:
+            break
+        first = min(kinds)
+        picks = {i: asked.pop(i) for i in kinds[first]}
+        answers = dict(zip(picks, (read_pixels if first else read_lengths)(list(picks.values()))))
     return out
 
 
@@ -353,7 +361,10 @@ def read_pixels(asked: list[WantPixels]) -> list[np.ndarray]:
         codes.append(codes[1] if c in (2, 3) and alike[c] else Tables.of([g[c] for q in asked for g in q.groups], c < 4))
     todo = np.array([q.width * q.height for q in asked])
     start = np.cumsum([0, *todo[:-1]])
-    out = np.zeros(int(todo.sum()), np.uint32)
+    out = np.zeros(int(todo.sum()), "<u4")
+    bytes_ = out.view(np.uint8).reshape(-1, 4)
+    # A word holds 57 bits from any bit on: a pixel's four codes, unless they are longer.
+    long = sum(t.longest for t in codes[:4]) > 57
     caches = [np.zeros(1 << q.cache_bits, np.uint32) if q.cache_bits else None for q in asked]
     cached = any(c is not None for c in caches)
     by_block = any(q.meta is not None for q in asked)
@@ -367,7 +378,7 @@ def read_pixels(asked: list[WantPixels]) -> list[np.ndarray]:
                     y, x = divmod(int(done[i]), q.width)
                     group[i] = first_group[i] + q.meta[(y >> q.meta_bits) * q.blocks + (x >> q.meta_bits)]
         p, g = pos[act], group[act]
-        w = words[p >> 3] >> (p & 7).astype(np.uint64)
+        w = words[p >> 3] >> (p & 7).view(np.uint64)
         green, n = codes[0].read(g, w)
         p = p + n
         plain = green < LITERALS
@@ -396,21 +407,24 @@ def read_pixels(asked: list[WantPixels]) -> list[np.ndarray]:
                 if caches[i] is not None:
                     _remember(caches[i], q.cache_bits, out[at : at + length])
                 done[i] += length
-            a, p, g, green = act[plain], p[plain], g[plain], green[plain]
-            w = words[p >> 3] >> (p & 7).astype(np.uint64)
+            a, p, g, green, w, n = act[plain], p[plain], g[plain], green[plain], w[plain], n[plain]
         else:
             a = act
-            w = w >> n.astype(np.uint64)
         if len(a):
+            w = words[p >> 3] >> (p & 7).view(np.uint64) if long else w >> n
             red, n = codes[1].read(g, w)
+            w = w >> n
             p = p + n
-            w = words[p >> 3] >> (p & 7).astype(np.uint64)
+            if long:
+                w = words[p >> 3] >> (p & 7).view(np.uint64)
             blue, n = codes[2].read(g, w)
-            alpha, m = codes[3].read(g, w >> n.astype(np.uint64))
-            pos[a] = p + n + m
-            px = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint32)
-            out[start[a] + done[a]] = px
+            alpha, m = codes[3].read(g, w >> n)
+            pos[a] = p + (n + m)
+            at = start[a] + done[a]
+            for c, v in enumerate((blue, green, red, alpha)):
+                bytes_[at, c] = v
             if cached:
+                px = out[at]
                 for i, v in zip(a, px):
                     if caches[i] is not None:
                         _remember(caches[i], asked[i].cache_bits, np.array([v]))
@@ -537,7 +551,6 @@ class Writer:
         self.sizes: list[np.ndarray] = []
         self.v: list[int] = []
         self.n: list[int] = []
-        self.marked = 0
 
     def put(self, value: int, bits: int) -> None:
         self.v.append(value)
@@ -548,17 +561,6 @@ class Writer:
         self.values.append(values.astype(np.uint64))
         self.sizes.append(bits.astype(np.int64))
 
-    def mark(self) -> None:
-        """What is put from here on can be repeated."""
-        self._flush()
-        self.marked = len(self.values)
-
-    def repeat(self) -> None:
-        self._flush()
-        self.values += (v := self.values[self.marked :])
-        self.sizes += self.sizes[self.marked :]
-        self.marked = len(self.values) - len(v)
-
     def _flush(self) -> None:
         if self.v:
             self.values.append(np.array(self.v, np.uint64))
@@ -568,7 +570,8 @@ class Writer:
     def bytes(self) -> bytes:
         self._flush()
         v, n = np.concatenate(self.values), np.concatenate(self.sizes)
-        v, n = v[n > 0], n[n > 0]
+        if not n.all():
+            v, n = v[n > 0], n[n > 0]
         end = np.cumsum(n)
         at = end - n
         word, shift = at >> 6, (at & 63).astype(np.uint64)
@@ -594,28 +597,41 @@ def _put_code(w: Writer, lengths: np.ndarray) -> None:
             w.put(used[1], 8)
         return
     tokens, at = [], 0  # symbol | extra << 5
-    for s in [*used, len(size)]:
-        gap = s - at
-        while gap >= 11:
-            tokens.append(18 | min(gap, 138) - 11 << 5)
-            gap -= min(gap, 138)
-        if gap >= 3:
-            tokens.append(17 | gap - 3 << 5)
-            gap = 0
-        tokens += [0] * gap
-        if s < len(size):
-            tokens.append(size[s])
-        at = s + 1
-    t = np.array(tokens)
-    symbol, extra = t & 31, (t >> 5).astype(np.uint64)
-    size = code_lengths(np.bincount(symbol, minlength=19), 7)
-    bits, n = codes_of(size)
-    last = max(i for i, k in enumerate(LENGTH_ORDER) if size[k] or i < 4)
+    for i in used:
+        gap, at = i - at, i + 1
+        if gap:
+            tokens += _zeros(gap)
+        tokens.append(size[i])
+    if at < len(size):
+        tokens += _zeros(len(size) - at)
+    counts = [0] * 19
+    for t in tokens:
+        counts[t & 31] += 1
+    lengths = code_lengths(np.array(counts), 7).tolist()
+    bits, n, code = [0] * 19, lengths.copy(), 0
+    for s, t in sorted([(s, t) for t, s in enumerate(lengths) if s]):
+        bits[t] = SEVEN[code] & (1 << s) - 1
+        code += 1 << 7 - s
+    if len([s for s in lengths if s]) == 1:
+        n = [0] * 19
+    last = max([i for i, k in enumerate(LENGTH_ORDER) if lengths[k] or i < 4])
     w.put(0 | last - 3 << 1, 5)
-    for k in LENGTH_ORDER[: last + 1]:
-        w.put(int(size[k]), 3)
+    w.v += [lengths[k] for k in LENGTH_ORDER[: last + 1]]
+    w.n += [3] * (last + 1)
     w.put(0, 1)
-    w.put_all(bits[symbol] | extra << n[symbol].astype(np.uint64), n[symbol] + np.select([symbol == 17, symbol == 18], [3, 7], 0))
+    w.v += [bits[t & 31] | t >> 5 << n[t & 31] for t in tokens]
+    n[17] += 3
+    n[18] += 7
+    w.n += [n[t & 31] for t in tokens]
+
+
+def _zeros(gap: int) -> list[int]:
+    """Tokens of a run of symbols that don't occur."""
+    out = []
+    while gap >= 11:
+        out.append(18 | min(gap, 138) - 11 << 5)
+        gap -= min(gap, 138)
+    return out + ([17 | gap - 3 << 5] if gap >= 3 else [0] * gap)
 
 
 def _symbols(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -626,6 +642,16 @@ def _symbols(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(d < 4, d, 2 * top + (d >> np.maximum(top - 1, 0) & 1)), np.where(d < 4, 0, d & ((1 << extra) - 1)), extra
 
 
+# The same of all lengths and distances up to a tile's; larger ones are computed.
+SYMBOLS = _symbols(np.arange(1 << 13))
+
+
+def symbols(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(v) and v.max() >= len(SYMBOLS[0]):
+        return _symbols(v)
+    return tuple(t[v] for t in SYMBOLS)
+
+
 def matches(px: np.ndarray, least: int = 3, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, distance) of copies that cover repeats, in order and apart.
 
@@ -639,9 +665,14 @@ def matches(px: np.ndarray, least: int = 3, most: int = 4096) -> tuple[np.ndarra
     key = np.zeros(n, np.uint64)
     for k in range(least):
         key = key * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    here, there = order[1:][same], order[:-1][same]
+    # The top of the key and the place as one number: equal keys are sorted by place.
+    low = np.uint64(n.bit_length())
+    both = np.sort(key >> low << low | np.arange(n, dtype=np.uint64))
+    order = (both & np.uint64((1 << int(low)) - 1)).view(np.int64)
+    same = np.flatnonzero(both[1:] >> low == both[:-1] >> low)
+    if not len(same):
+        return none
+    here, there = order[same + 1], order[same]
     for k in range(least):
         fit = px[here + k] == px[there + k]
         here, there = here[fit], there[fit]
@@ -667,8 +698,8 @@ def _put_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: i
     n, height = len(px), len(px) // width
     start, length, dist = matches(px) if copies else matches(px[:0])
     literal = np.ones(n, bool)
-    for a, b in zip(start.tolist(), length.tolist()):
-        literal[a : a + b] = False
+    for a, b in zip(start.tolist(), (start + length).tolist()):
+        literal[a:b] = False
     at = np.flatnonzero(literal)
     green = (px[at] >> np.uint32(8) & np.uint32(255)).astype(np.int64)
     if cache_bits:
@@ -679,7 +710,7 @@ def _put_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: i
             if j in lit and (cache.get(slot, 0)) == v:
                 green[np.searchsorted(at, j)] = LITERALS + LENGTHS + slot
             cache[slot] = v
-    group_of = np.zeros(n, np.int64)
+    group_of = None
     if main:
         w.put(bool(meta_bits), 1)
         if meta_bits:
@@ -688,39 +719,46 @@ def _put_pixels(w: Writer, px: np.ndarray, width: int, main: bool, cache_bits: i
             meta = np.repeat((np.arange(rows) % 2).astype(np.uint32), blocks)
             _put_pixels(w, meta << np.uint32(8) | np.uint32(BLACK), blocks, False)
             group_of = np.repeat((np.arange(height) >> meta_bits) % 2, width)
-    lsym, lval, lbits = _symbols(length)
-    dsym, dval, dbits = _symbols(dist + len(NEIGHBOURS))
+    lsym, lval, lbits = symbols(length)
+    dsym, dval, dbits = symbols(dist + len(NEIGHBOURS))
     values, sizes = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    raw = px.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
     # Red, blue and alpha are alike in what is stored here and share their lengths.
-    for g in range(int(group_of.max()) + 1 if n else 1):
-        mine, copy = group_of[at] == g, group_of[start] == g
+    for g in range(int(group_of.max()) + 1 if meta_bits and n else 1):
+        mine, copy = (group_of[at] == g, group_of[start] == g) if meta_bits else (slice(None), slice(None))
         p, gr = at[mine], green[mine]
-        rest = gr < LITERALS
-        ch = channels(px[p])
-        counts = np.bincount(np.concatenate([gr, LITERALS + lsym[copy]]), minlength=LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0))
-        each = [np.bincount(ch[rest, c], minlength=LITERALS) for c in (2, 0, 3)]
-        if all(np.count_nonzero(e) > 1 for e in each):
-            each = [sum(each)] * 3
-        lengths, codes = [], []
-        for x in (counts, *each, np.bincount(dsym[copy], minlength=DISTANCES)):
-            if lengths and x is each[0] and len(lengths) > 1:  # as the one before
-                lengths.append(lengths[-1])
+        ch = raw[p][:, (2, 0, 3)]
+        rest = gr < LITERALS if cache_bits else None
+        plain = ch[rest] if cache_bits else ch
+        here, far = lsym[copy], dsym[copy]
+        counts = np.bincount(np.concatenate([gr, LITERALS + here]), minlength=LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0))
+        each = list(np.bincount((plain + THREE).ravel(), minlength=3 * LITERALS).reshape(3, LITERALS))
+        if all([np.count_nonzero(e) > 1 for e in each]):
+            each = [each[0] + each[1] + each[2]] * 3
+        codes: list[tuple[np.ndarray, np.ndarray]] = []
+        for x in (counts, *each, np.bincount(far, minlength=DISTANCES)):
+            if len(codes) > 1 and x is each[0]:  # as the one before
                 codes.append(codes[-1])
-                w.repeat()
+                more = len(w.v)
+                w.v += w.v[begun:more]
+                w.n += w.n[begun:more]
+                begun = more
                 continue
-            lengths.append(code_lengths(x, QUICK))
-            codes.append(codes_of(lengths[-1]))
-            w.mark()
-            _put_code(w, lengths[-1])
+            lengths = code_lengths(x, QUICK if np.count_nonzero(x) <= 1 << QUICK else TOP)
+            codes.append(codes_of(lengths))
+            begun = len(w.v)
+            _put_code(w, lengths)
         v, s = codes[0][0][gr], codes[0][1][gr]
-        for (bits, k), c in zip(codes[1:4], (2, 0, 3)):
-            sym = ch[:, c]
-            v = v | np.where(rest, bits[sym] << s.astype(np.uint64), np.uint64(0))
-            s = s + np.where(rest, k[sym], 0)
+        for (bits, k), sym in zip(codes[1:4], ch.T):
+            b, k = bits[sym], k[sym]
+            if cache_bits:
+                b, k = np.where(rest, b, np.uint64(0)), np.where(rest, k, 0)
+            v |= b << s.view(np.uint64)
+            s += k
         values[p], sizes[p] = v, s
-        if copy.any():
-            q, v, s = start[copy], codes[0][0][LITERALS + lsym[copy]], codes[0][1][LITERALS + lsym[copy]]
-            for more, k in ((lval[copy], lbits[copy]), (codes[4][0][dsym[copy]], codes[4][1][dsym[copy]]), (dval[copy], dbits[copy])):
+        if len(here):
+            q, v, s = start[copy], codes[0][0][LITERALS + here], codes[0][1][LITERALS + here]
+            for more, k in ((lval[copy], lbits[copy]), (codes[4][0][far], codes[4][1][far]), (dval[copy], dbits[copy])):
                 v, s = v | more.astype(np.uint64) << s.astype(np.uint64), s + k
             values[q], sizes[q] = v, s
     element = literal.copy()
