@@ -177,3 +177,15 @@ def test_forms_are_judged_by_their_entropy():
             assert got == pytest.approx(-n * sum((q * np.log2(q)).sum() for q in p), abs=1e-6)
         px = rng.integers(0, 50, n, dtype=np.uint32)
         assert M.distinct(px) == len(np.unique(px))
+
+
+def test_a_stream_that_ends_in_its_pixels_is_refused():
+    """Also between two looks, and where another stream follows it."""
+    rng = np.random.default_rng(8)
+    whole = W.encode(rng.integers(0, 1 << 32, 400, dtype=np.uint32), 20)
+    body = W.vp8l(whole)
+    for cut in (8, 200, 700):
+        short = whole[:16] + (len(body) - cut).to_bytes(4, "little") + body[:-cut]
+        for files in ([short], [short, whole], [whole, short, whole]):
+            with pytest.raises(ValueError):
+                W.decode(files)

@@ -136,10 +136,13 @@ def decode_media(media: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
 
 def features(images: list[tuple[int, int, np.ndarray]]) -> str:
     """size, mean sample, horizontal contrast and distinct colours, as whole numbers."""
-    px = np.concatenate([p for *_, p in images])
+    px = images[0][2] if len(images) == 1 else np.concatenate([p for *_, p in images])
     s = px.view(np.uint8)
-    step = np.abs(np.diff(s.reshape(-1, 4 * images[0][0]).astype(np.int16), axis=1))
-    return f"{images[0][0]}x{sum(h for _, h, _ in images)};mean={int(s.sum(dtype=np.int64)) // len(s)};contrast={int(step.sum(dtype=np.int64)) // step.size};colours={distinct(px)}"
+    rows = s.reshape(-1, 4 * images[0][0])
+    # Bytes apart: the larger less the smaller.
+    a, b = rows[:, 1:], rows[:, :-1]
+    step = int((np.maximum(a, b) - np.minimum(a, b)).sum(dtype=np.int64))
+    return f"{images[0][0]}x{sum([h for _, h, _ in images])};mean={int(s.sum(dtype=np.int64)) // len(s)};contrast={step // a.size};colours={distinct(px)}"
 
 
 def stored(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:

@@ -23,6 +23,8 @@ TOP = 15
 # Codes of up to this length are looked up in one step; those that are written here are no longer.
 QUICK = 9
 LONGER = 0xFFFF
+# Steps between looks whether a stream has run out; zeros for as many follow the data.
+EVERY = 32
 HASH = 0x1E35A7BD
 BLACK = 0xFF000000
 THREE = np.arange(3, dtype=np.uint16) << 8
@@ -134,7 +136,11 @@ class Tables:
         """(symbol, bits used) for the next bits of each stream."""
         if self.quick is None:
             return self._search(group, window)
-        e = self.quick.take((group << QUICK) + (window & LOW_QUICK).view(np.int64))
+        return self.look(group, group << QUICK, window)
+
+    def look(self, group: np.ndarray, first: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``read`` where ``first`` is the place of each group in ``quick``."""
+        e = self.quick.take((window & LOW_QUICK).view(np.int64) + first)
         symbol, n = e & 0xFFF, e >> 12
         if self.searched and (i := np.flatnonzero(e == LONGER)).size:
             symbol[i], n[i] = self._search(group[i], window[i])
@@ -300,7 +306,7 @@ def decode(files: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
 
 def _windows(streams: list[Stream]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit words at every byte, first bit of each stream) over the streams laid end to end."""
-    data = b"".join([s.data for s in streams]) + bytes(16)
+    data = b"".join([s.data for s in streams]) + bytes(16 * EVERY)
     base = np.cumsum([0] + [len(s.data) for s in streams[:-1]]) * 8
     words = np.ndarray((len(data) - 8,), "<u8", buffer=data, strides=(1,))
     return words, base
@@ -362,14 +368,13 @@ def read_pixels(asked: list[WantPixels]) -> list[np.ndarray]:
     todo = np.array([q.width * q.height for q in asked])
     start = np.cumsum([0, *todo[:-1]])
     out = np.zeros(int(todo.sum()), "<u4")
-    bytes_ = out.view(np.uint8).reshape(-1, 4)
     # A word holds 57 bits from any bit on: a pixel's four codes, unless they are longer.
     long = sum(t.longest for t in codes[:4]) > 57
     caches = [np.zeros(1 << q.cache_bits, np.uint32) if q.cache_bits else None for q in asked]
     cached = any(c is not None for c in caches)
     by_block = any(q.meta is not None for q in asked)
     done, act = np.zeros(len(asked), np.int64), np.flatnonzero(todo > 0)
-    group = first_group.copy()
+    group, step = first_group.copy(), 0
     while len(act):
         if by_block:
             for i in act:
@@ -378,61 +383,67 @@ def read_pixels(asked: list[WantPixels]) -> list[np.ndarray]:
                     y, x = divmod(int(done[i]), q.width)
                     group[i] = first_group[i] + q.meta[(y >> q.meta_bits) * q.blocks + (x >> q.meta_bits)]
         p, g = pos[act], group[act]
+        q = g << QUICK
         w = words[p >> 3] >> (p & 7).view(np.uint64)
-        green, n = codes[0].read(g, w)
+        green, n = codes[0].look(g, q, w)
         p = p + n
         plain = green < LITERALS
         if not plain.all():
             for j in np.flatnonzero(~plain):
                 i, s = int(act[j]), int(green[j])
-                q, at = asked[i], int(start[i] + done[i])
+                img, at = asked[i], int(start[i] + done[i])
                 if s >= LITERALS + LENGTHS:
                     out[at], length = caches[i][s - LITERALS - LENGTHS], 1
-                    q.stream.at = int(p[j] - base[i])
+                    img.stream.at = int(p[j] - base[i])
                 else:
-                    q.stream.at = int(p[j] - base[i])
-                    length = _value(q.stream, s - LITERALS)
-                    u = q.stream.at + int(base[i])
+                    img.stream.at = int(p[j] - base[i])
+                    length = _value(img.stream, s - LITERALS)
+                    u = img.stream.at + int(base[i])
                     d, k = codes[4].read(g[j : j + 1], words[u >> 3 : (u >> 3) + 1] >> np.uint64(u & 7))
-                    q.stream.at += int(k[0])
-                    d = _value(q.stream, int(d[0]))
-                    d = d - len(NEIGHBOURS) if d > len(NEIGHBOURS) else max(1, NEIGHBOURS[d - 1][0] + NEIGHBOURS[d - 1][1] * q.width)
+                    img.stream.at += int(k[0])
+                    d = _value(img.stream, int(d[0]))
+                    d = d - len(NEIGHBOURS) if d > len(NEIGHBOURS) else max(1, NEIGHBOURS[d - 1][0] + NEIGHBOURS[d - 1][1] * img.width)
                     if d > done[i] or length > todo[i] - done[i]:
                         raise ValueError("a copy leaves the image")
                     if d >= length:
                         out[at : at + length] = out[at - d : at - d + length]
                     else:
                         out[at : at + length] = np.resize(out[at - d : at], length)
-                pos[i] = base[i] + q.stream.at
+                pos[i] = base[i] + img.stream.at
                 if caches[i] is not None:
-                    _remember(caches[i], q.cache_bits, out[at : at + length])
+                    _remember(caches[i], img.cache_bits, out[at : at + length])
                 done[i] += length
-            a, p, g, green, w, n = act[plain], p[plain], g[plain], green[plain], w[plain], n[plain]
+            a, p, g, q, green, w, n = act[plain], p[plain], g[plain], q[plain], green[plain], w[plain], n[plain]
         else:
             a = act
         if len(a):
             w = words[p >> 3] >> (p & 7).view(np.uint64) if long else w >> n
-            red, n = codes[1].read(g, w)
+            red, n = codes[1].look(g, q, w)
             w = w >> n
             p = p + n
             if long:
                 w = words[p >> 3] >> (p & 7).view(np.uint64)
-            blue, n = codes[2].read(g, w)
-            alpha, m = codes[3].read(g, w >> n)
+            blue, n = codes[2].look(g, q, w)
+            alpha, m = codes[3].look(g, q, w >> n)
             pos[a] = p + (n + m)
-            at = start[a] + done[a]
-            for c, v in enumerate((blue, green, red, alpha)):
-                bytes_[at, c] = v
+            four = np.empty((len(a), 4), np.uint8)
+            four[:, 0], four[:, 1], four[:, 2], four[:, 3] = blue, green, red, alpha
+            px = four.view("<u4")[:, 0]
+            was = done[a]
+            out[start[a] + was] = px
             if cached:
-                px = out[at]
                 for i, v in zip(a, px):
                     if caches[i] is not None:
                         _remember(caches[i], asked[i].cache_bits, np.array([v]))
-            done[a] += 1
-        if (pos[act] > stop[act]).any():
-            raise ValueError("the stream ends too early")
+            done[a] = was + 1
         left = done[act] < todo[act]
+        step += 1
+        if step % EVERY == 0 and (pos[act] > stop[act]).any():
+            raise ValueError("the stream ends too early")
         if not left.all():
+            ended = act[~left]
+            if (pos[ended] > stop[ended]).any():
+                raise ValueError("the stream ends too early")
             act = act[left]
     for q, p, b in zip(asked, pos, base):
         q.stream.at = int(p - b)
