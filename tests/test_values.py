@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.catalog import REGISTRY
 from tickloom.catalog.base import tidy
 from tickloom.functions.text import WHITE, article_uid
 from tickloom.operators import decisions as D
@@ -18,7 +19,7 @@ from tickloom.operators import report as R
 from tickloom.operators import sizing as S
 from tickloom.operators.quantiles import group_quantile
 from tickloom.settings import BookSettings
-from tickloom.sources import bars, state
+from tickloom.sources import bars, state, tables
 
 
 @pytest.mark.parametrize("rounds", [0, 1, 2])
@@ -176,3 +177,22 @@ def test_chart_payload_is_rounded_once(spark):
     points = R.chart_points(R.chart_payload(curve, curve.select("ts", "equity"), digits=None)).orderBy("ts").collect()
     assert [p.equity for p in points] == [1.0, 1.00004997]
     assert [r.equity for r in tidy(spark.createDataFrame(points), 4).orderBy("ts").collect()] == [1.0, 1.0]
+
+
+def test_benchmark_reads_every_day_and_carries_over_gaps(spark):
+    """Ledger days with a close of their own take it, whatever the day of the month; the others take the last one before."""
+    t = lambda i: dt.date(2026, 1, i)
+    closes = spark.createDataFrame([(t(i), float(10 * i)) for i in (2, 4, 5, 7)], "ts date, close double")
+    ledger = spark.createDataFrame([(s, t(i)) for s in "ab" for i in (1, 2, 4, 5, 6, 7)], "strategy string, ts date")
+    got = {r.ts.day: r.equity for r in R.benchmark_equity(ledger, closes, capital=100.0).collect()}
+    assert got == {1: 0.0, 2: 100.0, 4: 200.0, 5: 250.0, 6: 250.0, 7: 350.0}
+
+
+def test_benchmark_query_reads_every_day_of_the_table(spark):
+    sf = "/root/testdata/sf0.001"
+    days = {str(r.ts): r.close for r in tables.benchmark(spark, sf).collect()}
+    got = {r.ts: r.equity for r in REGISTRY["benchmark_as_of"].run(spark, sf).collect()}
+    first = min(d for d in got if d in days)
+    own = [d for d in got if d in days]
+    assert len({d[-2:] for d in own}) == 31
+    assert [got[d] for d in own] == pytest.approx([100_000 / days[first] * days[d] for d in own], abs=0.006)
